@@ -177,13 +177,19 @@ class SpanHash:
     def __init__(self, data: np.ndarray):
         forward, self.back = _power(len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * forward[: len(data)], out=self.prefix[1:])
+        values = _BYTES[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * forward[: len(data)], out=self.prefix[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.prefix[ends] - self.prefix[starts]) * self.back[starts]
         return mix(raw + (ends - starts).astype(np.uint64))
 
 
+def token_hash(words: np.ndarray) -> SpanHash:
+    """Hashes of any runs of consecutive tokens, from the tokens' own hashes."""
+    return SpanHash(words | np.uint64(1))
+
+
 def chain(*parts: np.ndarray) -> np.ndarray:
     """Hash of equally long columns of hashes, in order."""
     total = np.full(len(parts[0]), len(parts), np.uint64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,59 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.span_dedup import span_dedup
+
+    return span_dedup(_table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.toxicity import learn, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    labels = _table(spark, sf_dir, "labels").where(fold != 1)
+    scored = score(docs, learn(docs, labels), threshold=0.7, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_matches")
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.topk_search import topk_hamming
+
+    return topk_hamming(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=10)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_toxicity": op3_toxicity,
         "op7_sharding": op7_sharding,
+        "op8_span_dedup": op8_span_dedup,
         "op9_decontamination": op9_decontamination,
+        "op10_topk_search": op10_topk_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk_search": OP10_SQL}
+
+
+#: Sign codes compared bit by bit, by brute force.
+OP10_SQL = """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+         CAST(list_sum(list_transform(list_zip(q.code, c.code), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance FROM pairs
+)
+SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
