@@ -46,6 +46,19 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_hamming(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=10)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.lm_scoring import score_corpus
+
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return score_corpus(_table(spark, sf_dir, "documents"), held_out=crc % 10 == 0, deleted=F.floor(crc / 10) % 8 == 0)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.sentencepiece_codec import encode_documents
 
@@ -54,8 +67,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_toxicity": op3_toxicity,
+        "op5_near_dedup": op5_near_dedup,
         "op7_sharding": op7_sharding,
         "op8_span_dedup": op8_span_dedup,
         "op9_decontamination": op9_decontamination,
