@@ -68,8 +68,8 @@ def _sketches(size: int, k: int):
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(values[first].view(np.int64)))
                 signs = [_signature(values[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(counts, pa.int64()), pa.array(signs, pa.binary()), sketch],
-                    names=["doc_id", "n", "sig", "sketch"],
+                    [batch.column("doc_id").slice(low, high - low), batch.column("_key").slice(low, high - low), pa.array(counts, pa.int64()), pa.array(signs, pa.binary()), sketch],
+                    names=["doc_id", "_key", "n", "sig", "sketch"],
                 )
 
     return run
@@ -143,8 +143,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of near duplicates: one row for each row of ``docs``, with n_shingles, component_id and kept.
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of :func:`near_duplicates`, the one of the least id; of rows that repeat id and
+    text one stays."""
+    found = near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col, with_key=True)
+    found = materialize(found.groupBy("doc_id", "_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-found")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    left = keyed.join(small, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
+    if found.where("kept AND n > 1").limit(1).count():
+        left = left.dropDuplicates([id_col, "_key"])
+    return left.drop("_key")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+    """Groups of near duplicates: one row for each row of ``docs``, with n_shingles, component_id and kept (and _key, the
+    text's xxhash64, with ``with_key``).
 
     Two texts are linked if den * |A and B| >= num * |A or B| for their sets of word shingles; component_id is the least
     id that links reach.
@@ -163,9 +178,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     Rows with equal ids share a row's fate only if their texts are linked.  A null id never becomes a component id unless
     nothing else is there.  Equal rows come back alike; an empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"))
     kind = dict(source.dtypes)["doc_id"]
-    base = materialize(source.mapInArrow(_sketches(shingle, k), f"doc_id {kind}, n long, sig binary, sketch array<long>"), "near-sketches")
+    base = materialize(source.mapInArrow(_sketches(shingle, k), f"doc_id {kind}, _key long, n long, sig binary, sketch array<long>"), "near-sketches")
     nodes = base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     share = num / den
@@ -228,6 +243,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     comp = comp.select("sig", "doc", "comp")
     roots = comp.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = comp.join(roots, "comp").select(F.col("sig").alias("_sig"), "component_id")
-    out = base.select("doc_id", "n", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
+    out = base.select("doc_id", "_key", "n", "sig").join(named, F.col("sig") == F.col("_sig"), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(*["_key"] * with_key, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -59,6 +59,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(_table(spark, sf_dir, "documents"), held_out=crc % 10 == 0, deleted=F.floor(crc / 10) % 8 == 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.token_counts import document_token_counts
+
+    return document_token_counts(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.sentencepiece_codec import encode_documents
 
@@ -70,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_toxicity": op3_toxicity,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_dedup": op5_near_dedup,
+        "op6_token_counts": op6_token_counts,
         "op7_sharding": op7_sharding,
         "op8_span_dedup": op8_span_dedup,
         "op9_decontamination": op9_decontamination,
