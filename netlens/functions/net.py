@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netlens import model
 
@@ -36,7 +37,7 @@ def text_to_ip(text: Column) -> Column:
     return sum((parts[k].cast("long") * (1 << (24 - 8 * k)) for k in range(1, 4)), parts[0].cast("long") * (1 << 24))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_to_hex(text: pd.Series) -> pd.Series:
     """32 hex digits of an IPv6 text (with :: forms); null where it is none."""
 

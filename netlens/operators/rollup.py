@@ -90,7 +90,7 @@ def signatures(tables: Tables) -> DataFrame:
 def per_second_by_signature(tables: Tables, where: Conditions) -> DataFrame:
     """bps, packets and sessions' markers by signature and second; a session counts once for a signature, however many
     of its addresses are in the set."""
-    ips = signatures(tables).select("signature", net.hex_to_ip(F.explode("ips")).alias("ip")).distinct()
+    ips = signatures(tables).select("signature", F.explode("ips").alias("hex")).select("signature", net.hex_to_ip(F.col("hex")).alias("ip")).distinct()
     s = accepted(tables, where).select("session_id", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
     member = s.join(ips, "ip").select("session_id", "signature").distinct()
     n = F.sum(F.col("small_to_big") + F.col("big_to_small"))

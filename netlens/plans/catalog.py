@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.functions import net
 from netlens.operators import flows, series, topn
+from netlens.plans import catalog_apps
 from netlens.plans import oracles as o
 from netlens.plans.conditions import Conditions, Network
 from netlens.sources.fixtures import duckdb_with
@@ -126,6 +126,8 @@ _series()
 _filters()
 _rankings()
 _flows()
+for _name, _build, _text in catalog_apps.entries():
+    register(_name, _build, _text)
 
 
 def queries() -> dict[str, Query]:
@@ -136,4 +138,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-__all__ = ["net", "oracle_sql", "queries", "register"]
+__all__ = ["oracle_sql", "queries", "register"]
