@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from netlens.llm.common import discard, materialize
+from netlens.llm.common import materialize
 
 
 def segment_codes(vector: Column, dims: int, segments: int) -> Column:
@@ -59,14 +59,17 @@ def topk_hamming(rows: DataFrame, query_filter: Column, k: int = 10, id_col: str
     widest = max(round((s + 1) * dims / m) - round(s * dims / m) for s in range(m))
     coded = plain.select("id", "q", segment_codes(F.col("v"), dims, m).alias("code")).groupBy("id").agg(F.min("code").alias("code"), F.max("q").alias("q"))
 
-    # the k+1 least ids of each code, in two steps so that a common code is not one task's work
+    # the k+1 least ids of each code, in two steps so that a common code is not one task's work; the least one names it
     salted = W.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     by_code = coded.select("code", "id").withColumn("n", F.row_number().over(salted)).where(f"n <= {k + 1}")
     by_code = by_code.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(f"n <= {k + 1}")
     codes = by_code.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    index = materialize(codes.select("code", "ids", F.posexplode("code").alias("seg", "value")), "mih-index")
+    codes = materialize(codes.select("code", "ids", F.col("ids")[0].alias("cid")), "mih-codes")
+    index = codes.select("cid", "code", F.posexplode("code").alias("seg", "value"))
     queries = materialize(coded.where("q").select(F.col("id").alias("query_id"), F.col("code").alias("qcode")), "mih-queries")
 
+    # codes, not ids, are ranked between rounds: an id among the k nearest belongs to one of the k+1 first codes
+    nearest = W.partitionBy("query_id").orderBy("distance", "cid")
     open_queries, best, done = queries, None, []
     for radius in range(widest + 1):
         flips = [sum(1 << b for b in c) for c in combinations(range(widest), radius)]
@@ -75,26 +78,24 @@ def topk_hamming(rows: DataFrame, query_filter: Column, k: int = 10, id_col: str
             .withColumn("flip", F.explode(F.lit(flips)))
             .select("query_id", "qcode", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         )
-        met = probes.join(index, ["seg", "value"]).select("query_id", "code", "ids", distance(F.col("qcode"), F.col("code"), m).alias("distance"))
-        met = met.dropDuplicates(["query_id", "code"])
-        found = met.select("query_id", "distance", F.explode("ids").alias("neighbor_id")).where("neighbor_id <> query_id")
+        # the planner sees a small table of queries and not what it explodes to, so it must not broadcast it
+        met = probes.hint("merge").join(index, ["seg", "value"]).select("query_id", "cid", distance(F.col("qcode"), F.col("code"), m).alias("distance"))
         if best is not None:
-            found = found.unionByName(best.join(open_queries.select("query_id"), "query_id", "left_semi")).dropDuplicates(["query_id", "neighbor_id"])
-        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))).where(f"rank <= {k}")
-        best = materialize(ranked.drop("rank"), f"mih-best-{radius}")
+            met = met.unionByName(best.join(open_queries.select("query_id"), "query_id", "left_semi"))
+        met = met.groupBy("query_id", "cid").agg(F.min("distance").alias("distance"))
+        best = materialize(met.withColumn("n", F.row_number().over(nearest)).where(f"n <= {k + 1}").drop("n"), f"mih-best-{radius}")
         covered = m * (radius + 1)
-        finished = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where(f"n >= {k} AND far < {covered}")
-        closed = best.join(finished.select("query_id"), "query_id", "left_semi") if radius < widest else best
-        done.append(closed)
-        left = materialize(open_queries.join(finished.select("query_id"), "query_id", "left_anti"), f"mih-open-{radius}")
-        if radius == widest or left.isEmpty():
+        finished = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).where(f"n > {k} AND far < {covered}").select("query_id")
+        if radius == widest:
+            done.append(best)
+            break
+        done.append(best.join(finished, "query_id", "left_semi"))
+        open_queries = materialize(open_queries.join(finished, "query_id", "left_anti"), f"mih-open-{radius}")
+        if open_queries.isEmpty():
             break
-        open_queries = left
     total = done[0]
     for part in done[1:]:
         total = total.unionByName(part)
+    named = total.join(codes.select("cid", "ids"), "cid").select("query_id", "distance", F.explode("ids").alias("neighbor_id")).where("neighbor_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return total.select("query_id", rank.alias("rank"), "neighbor_id", "distance")
-
-
-__all__ = ["discard", "distance", "segment_codes", "topk_hamming"]
+    return named.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "neighbor_id", "distance")
