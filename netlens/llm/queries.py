@@ -99,10 +99,10 @@ def oracle_sql() -> dict[str, str]:
 #: Sign codes compared bit by bit, by brute force.
 OP10_SQL = """
 WITH codes AS (
-  SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
-         CAST(list_sum(list_transform(list_zip(q.code, c.code), p -> CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+         CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
   FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance FROM pairs
