@@ -80,12 +80,12 @@ def entries() -> list[tuple]:
     add("rollup_ps2", lambda t: rollup.per_second_by_signature(t, MONTH), a.PS2)
     add("bps_with_rollup", lambda t: rollup.series_with_rollup(t, rollup.per_second(t, MONTH), "bps", Conditions(o.DAY[0] + 17, o.DAY[1] - 33)), o.bps((o.DAY[0] + 17, o.DAY[1] - 33)))
 
-    busy = events.Trigger("busy", 2, "bps", "over", 3600, 900)
-    idle = events.Trigger("idle", 1, "bps", "under", 7200, 500)
-    rising = events.Trigger("rising", 0, "bps", "delta", 3600, 500, 20)
-    add("events_over", lambda t: events.events(series.bps(t, DAY), busy, DAY), a.events("over", 3600, 900, 2, "busy"))
-    add("events_under", lambda t: events.events(series.bps(t, DAY), idle, DAY), a.events("under", 7200, 500, 1, "idle"))
-    add("events_delta", lambda t: events.events(series.bps(t, DAY), rising, DAY), a.events("delta", 3600, 500, 0, "rising", 20))
+    busy = events.Trigger("busy", 2, "bps", "over", 3600, 300)
+    idle = events.Trigger("idle", 1, "bps", "under", 7200, 250)
+    rising = events.Trigger("rising", 0, "bps", "delta", 3600, 100, 20)
+    add("events_over", lambda t: events.events(series.bps(t, DAY), busy, DAY), a.events("over", 3600, 300, 2, "busy"))
+    add("events_under", lambda t: events.events(series.bps(t, DAY), idle, DAY), a.events("under", 7200, 250, 1, "idle"))
+    add("events_delta", lambda t: events.events(series.bps(t, DAY), rising, DAY), a.events("delta", 3600, 100, 0, "rising", 20))
     add("events_query", lambda t: events.query(events.events(series.bps(t, DAY), busy, DAY).unionByName(events.events(series.bps(t, DAY), idle, DAY)), DAY, severity=1), a.EVENTS_QUERY)
     add("svcd_bps", lambda t: dashboard.service_bps(t, o.NOW), a.SVCD_BPS)
     add("svcd_clients", lambda t: dashboard.service_clients(t, o.NOW, 21600), a.SVCD_CLIENTS)

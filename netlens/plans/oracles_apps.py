@@ -153,7 +153,7 @@ def events(kind: str, lookback: int, threshold: int, severity: int, message: str
     SELECT CAST((k + 1) * {lookback} + {DAY[0]} - 1 AS BIGINT) AS occurredat, {severity} AS severity, 'bps' AS datasource, CAST({lookback} AS BIGINT) AS lookbackwindow, '{kind}' AS type, CAST(mean AS BIGINT) AS value, CAST({threshold} AS BIGINT) AS threshold, 'all' AS tag, '{message}' AS description FROM v WHERE {fires}"""
 
 
-EVENTS_QUERY = f"SELECT * FROM (SELECT * FROM ({events('over', 3600, 900, 2, 'busy')}) UNION ALL SELECT * FROM ({events('under', 7200, 500, 1, 'idle')})) WHERE severity >= 1 ORDER BY occurredat, description LIMIT 100"
+EVENTS_QUERY = f"SELECT * FROM (SELECT * FROM ({events('over', 3600, 300, 2, 'busy')}) UNION ALL SELECT * FROM ({events('under', 7200, 250, 1, 'idle')})) WHERE severity >= 1 ORDER BY occurredat, description LIMIT 100"
 SERVICE = "CASE WHEN dst_ip = 3232235776 AND dst_port = 443 THEN 'secure-web' WHEN (dst_ip & 4294967288) = 3232235776 THEN 'servers' END"
 GROUP = "CASE WHEN (src_ip & 4294967232) = 167772160 THEN 'clients-a' WHEN (src_ip & 4294967232) = 167772224 THEN 'clients-b' ELSE '' END"
 

@@ -141,7 +141,7 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     "geo": ("ip_from long, ip_to long, country string", [(167772160, 167772191, "KR"), (167772192, 167772223, "US"), (167772224, 167837695, "DE")]),
     "trigger": (
         "tag string, message string, severity int, datasource string, type string, lookback long, threshold long, delta long",
-        [("all", "busy", 2, "bps", "over", 3600, 900, 0), ("all", "idle", 1, "bps", "under", 7200, 500, 0), ("all", "rising", 0, "bps", "delta", 3600, 500, 20)],
+        [("all", "busy", 2, "bps", "over", 3600, 300, 0), ("all", "idle", 1, "bps", "under", 7200, 250, 0), ("all", "rising", 0, "bps", "delta", 3600, 100, 20)],
     ),
 }
 
