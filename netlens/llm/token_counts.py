@@ -54,7 +54,7 @@ def write_blocks(docs: DataFrame, end_id: int, model: str = MODEL, dtype: str =
         for batch in batches:
             id_type = batch.column("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text"), strict=True):
-                own = np.array([*encode(text.as_py(), pieces.value), end_id], dtype)
+                own = np.append(encode(text.as_py(), pieces.value), end_id).astype(dtype)
                 held.append(own)
                 size += len(own)
                 closed.append((size - 1, doc))
