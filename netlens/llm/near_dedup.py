@@ -11,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, chain, discard, materialize, slices, word_spans
+from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, chain, discard, materialize, partitions, slices, word_spans
 
 #: Values of a sketch, and the chance at which a link at the very threshold may look too weak in its sketches.
 SKETCH, MISS = 64, 1e-9
 #: Rows of (id, id, 16 bytes) that may be broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Rounds of pivots before the rest of the pairs are listed; they only save work.
-PIVOT_ROUNDS = 5
+#: Bytes of sketches that may be broadcast to candidate pairs.
+BROADCAST_SKETCHES = 16 << 20
+#: Rows of a task in tables of candidates and links, about.
+ROWS_A_TASK = 20_000
+#: Lists of so many nodes at most turn into pairs; the nodes of longer lists are compared in blocks of so many.
+LIST_PAIRS, BLOCK = 64, 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +115,54 @@ def _jaccard(num: int, den: int):
     return run
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the pairwise intersections.  Only values of two sets and more count: frequent ones by a
+    product of membership matrices, rare ones by adding up their few pairs."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, starts = owner[order], np.cumsum(counts) - counts
+    total = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(counts >= 24)
+    for low in range(0, len(often), 1024):
+        part = often[low : low + 1024]
+        member = np.zeros((n, len(part)), np.float32)
+        for k, c in enumerate(part):
+            member[owner[starts[c] : starts[c] + counts[c]], k] = 1
+        total += member @ member.T
+    for f in np.unique(counts[(counts > 1) & (counts < 24)]):
+        cols = np.flatnonzero(counts == f)
+        for low in range(0, len(cols), 20_000):
+            rows = owner[starts[cols[low : low + 20_000], None] + np.arange(f)]
+            cells = (rows[:, :, None] * n + rows[:, None, :]).ravel()
+            total += np.bincount(cells, minlength=n * n).reshape(n, n).astype(np.float32)
+    return total
+
+
+def _block(num: int, den: int):
+    """Links among the sets of one block, enough of them to connect what they connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("nid").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.float64)
+        both = intersections(sets).astype(np.float64)
+        linked = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
+        linked |= np.eye(len(ids), dtype=bool)
+        label = np.arange(len(ids))
+        while True:
+            least = np.where(linked, label[None, :], len(ids)).min(axis=1)
+            least = np.minimum(least, least[least])
+            if (least == label).all():
+                break
+            label = least
+        rows = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[label[rows]]), "b": pa.array(ids[rows])})
+
+    return run
+
+
 def least_shared(k: int, share: float, miss: float = MISS) -> int:
     """The largest t for which a union sketch of k values shows fewer than t shared ones with probability at most ``miss``."""
     total = 0.0
@@ -121,20 +173,29 @@ def least_shared(k: int, share: float, miss: float = MISS) -> int:
     return k
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows fill."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), rows // ROWS_A_TASK)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(nid, comp) of every node of ``edges`` (a, b): comp is the least id that can be reached.
 
-    Each step takes the least label among the neighbours and then the label's own label, so paths halve; labels live in
-    written tables, and only a count of changes comes to the driver.
+    Each step takes the least label among a node and its neighbours and then that label's own label, so paths halve.
+    Labels live in written tables; only whether one changed comes to the driver.  Labels are broadcast to the edges while
+    they are few, and joined by a shuffle beyond that.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("nid")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "cc-labels")
+    pair = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ways = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in (("u", "v"), ("v", "u"), ("u", "u"), ("v", "v"))])
+    size = edges.count() * 4
+    both = materialize(_sized(pair.select(F.explode(ways).alias("x")).select("x.u", "x.v").distinct(), size), "cc-edges")
+    labels = materialize(_sized(both.groupBy(F.col("u").alias("nid")).agg(F.min("v").alias("comp")), size), "cc-labels")
+    few = labels.count() <= BROADCAST_ROWS
     while True:
-        near = both.join(labels.select(F.col("nid").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
-        own = labels.join(near.select(F.col("u").alias("nid"), "c"), "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        jump = labels.select(F.col("nid").alias("comp"), F.col("comp").alias("next"))
-        after = materialize(own.join(jump, "comp").select("nid", "old", F.least("comp", "next").alias("comp")), "cc-labels")
+        known = F.broadcast(labels) if few else labels
+        own = both.join(known.select(F.col("nid").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"), F.max(F.when(F.col("u") == F.col("v"), F.col("c"))).alias("old"))
+        jump = known.select(F.col("nid").alias("c"), F.col("comp").alias("next"))
+        after = materialize(_sized(own.join(jump, "c").select(F.col("u").alias("nid"), "old", F.least("c", "next").alias("comp")), size), "cc-labels")
         changed = after.where("old <> comp").limit(1).count()
         discard(labels)
         labels = after.select("nid", "comp")
@@ -169,10 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
        that retain it.  A link at the threshold shows at least t shared values in the union sketch (all but ``MISS`` of
        the time), so two linked nodes still meet if each enters only its k-t+1 rarest values; values that a common
        passage brings into many texts are the last to be entered.
-    3. A list never turns into all its pairs.  Some rounds link its members to one pivot each; then every member outside
-       the list's largest component meets those of other components.  Pairs inside one component cannot change anything
-       and are left out; all other pairs of the lists are tested.
-    4. The union-sketch estimate drops weak pairs, the full sets decide on the rest.
+    3. A list of up to ``LIST_PAIRS`` nodes gives its pairs.  A longer one never does: its nodes are compared in blocks
+       inside tasks, which return no more links than nodes (see ``compared``).
+    4. The union-sketch estimate drops weak pairs; the full sets decide on the rest, and on all in the blocks.
 
     A null or empty text, or one without words, has no shingles: it is linked with nothing and is its own component.
     Rows with equal ids share a row's fate only if their texts are linked.  A null id never becomes a component id unless
@@ -194,50 +254,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     index = nodes.select("nid", "n", "sketch").join(held, "nid").withColumn("room", room).where("room > 0")
     index = materialize(index.select("nid", "n", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.v").alias("v"), "nid", "n"), "near-index")
 
-    light = nodes.select("nid", "sketch")
-    place = nodes.select("nid", "sig", "doc")
+    entered = index.select("nid").distinct()
+    light = materialize(nodes.select("nid", "sketch", "sig", "doc").join(entered, "nid", "left_semi"), "near-candidates")
+    n_light = light.count()
+    light = _sized(light, n_light)
+    sketches = light.select("nid", "sketch")
+    sketches = F.broadcast(sketches) if n_light * (k * 8 + 32) <= BROADCAST_SKETCHES else sketches
+    place = light.select("nid", "sig", "doc")
+
+    def sets_of(ids: DataFrame, n: int) -> DataFrame:
+        """(nid, set) of the nodes ``ids`` (nid), of which there are ``n`` at most, from their texts."""
+        wanted = materialize(_sized(ids.distinct().join(place, "nid"), n), "near-wanted")
+        small = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+        texts = source.join(small, source["doc_id"].eqNullSafe(small["doc"])).select("nid", "sig", "_text")
+        sets = materialize(texts.mapInArrow(_sets(shingle), "nid long, set binary"), "near-sets")
+        discard(wanted)
+        return sets.dropDuplicates(["nid"])
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """Links among ``pairs`` (a, b)."""
-        x = pairs.join(light.select(F.col("nid").alias("a"), F.col("sketch").alias("sa")), "a").join(light.select(F.col("nid").alias("b"), F.col("sketch").alias("sb")), "b")
+        x = pairs.join(sketches.select(F.col("nid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("nid").alias("b"), F.col("sketch").alias("sb")), "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         x = x.select("a", "b", F.size(union).alias("u"), F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))).alias("s"))
-        likely = materialize(x.where(F.when(F.col("u") < k, F.col("s") * den >= F.col("u") * num).otherwise(F.col("s") >= shared)).select("a", "b"), f"{name}-likely")
-        wanted = likely.select(F.col("a").alias("nid")).union(likely.select(F.col("b").alias("nid"))).distinct().join(place, "nid")
-        wanted = materialize(wanted, f"{name}-wanted")
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = source.join(small, source["doc_id"].eqNullSafe(small["doc"])).select("nid", "sig", "_text")
-        sets = materialize(texts.mapInArrow(_sets(shingle), "nid long, set binary"), f"{name}-sets").dropDuplicates(["nid"])
+        likely = materialize(x.where(F.when(F.col("u") < k, F.col("s") * den >= F.col("u") * num).otherwise(F.col("s") >= shared)).select("a", "b"), "near-likely")
+        n = likely.count()
+        likely = _sized(likely, n)
+        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("nid")), 2 * n)
         full = likely.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("set_b")), "b")
-        links = materialize(full.mapInArrow(_jaccard(num, den), "a long, b long"), f"{name}-links")
-        discard(likely, wanted, sets)
-        return links
-
-    fits = (F.least("n", "m") * den >= F.greatest("n", "m") * num)
-    links = labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        rows = index if labels is None else index.join(labels, "nid", "left")
-        rows = rows.withColumn("comp", F.col("nid") if labels is None else F.coalesce("comp", "nid"))
-        sizes = rows.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("c"))
-        lists = sizes.groupBy("v").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top")).where(F.col("all") > F.col("top.c"))
-        lists = materialize(lists.select("v", "all", F.col("top.comp").alias("main"), F.col("top.c").alias("main_size")), "near-lists")
-        apart = lists.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("main_size"))), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not apart[0]:
-            break
-        rows = rows.join(lists, "v")
-        last = turn == PIVOT_ROUNDS or (turn and apart[0] <= 8 * apart[1])
-        if last:
-            one = rows.where("comp <> main").select("v", F.col("nid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        else:
-            pivot = F.min(F.struct(F.xxhash64("nid", F.lit(turn)).alias("h"), F.col("nid").alias("x"), F.col("n").alias("m"), F.col("comp").alias("other")))
-            one = rows.groupBy("v").agg(pivot.alias("p")).select("v", "p.x", "p.m", "p.other")
-        pairs = one.join(rows, "v").where((F.col("comp") != F.col("other")) & fits).select(F.least("nid", "x").alias("a"), F.greatest("nid", "x").alias("b")).distinct()
-        found = verified(pairs, "near")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        discard(lists)
-        if last:
-            break
+        return materialize(_sized(full, 10 * n).mapInArrow(_jaccard(num, den), "a long, b long"), "near-links")
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links among the members (v, nid) of long lists.
+
+        Lists that share nodes form one cluster, so two nodes that meet in many lists are compared once.  A cluster is
+        dealt into blocks of about BLOCK nodes, and a task compares two blocks (or one with itself) by matrix products of
+        full sets.  Its result connects what is linked and has no more rows than nodes.
+        """
+        clusters = components(members.join(members.groupBy("v").agg(F.min("nid").alias("a")), "v").where("nid <> a").select("a", F.col("nid").alias("b")).distinct())
+        n = clusters.count()
+        sizes = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        dealt = clusters.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("nid", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        rows = sets_of(clusters.select("nid"), n).join(dealt, "nid")
+        return materialize(rows.groupBy("comp", "lo", "hi").applyInArrow(_block(num, den), "a long, b long"), "near-links")
+
+    fits = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    lists = index.groupBy("v").agg(F.count(F.lit(1)).alias("all"))
+    long = materialize(index.join(lists.where(F.col("all") > LIST_PAIRS).select("v"), "v").select("v", "nid"), "near-long")
+    short = index.join(lists.where(F.col("all").between(2, LIST_PAIRS)).select("v"), "v")
+    other = short.select("v", F.col("nid").alias("x"), F.col("n").alias("m"))
+    links = verified(short.join(other, "v").where((F.col("nid") < F.col("x")) & fits).select(F.col("nid").alias("a"), F.col("x").alias("b")).distinct())
+    if not long.isEmpty():
+        links = links.unionByName(compared(long))
+    labels = None if links.isEmpty() else components(links)
     comp = nodes.select("nid", "sig", "doc")
     comp = comp.withColumn("comp", F.col("nid")) if labels is None else comp.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     comp = comp.select("sig", "doc", "comp")
