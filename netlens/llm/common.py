@@ -14,9 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of one key in a join beyond which its rows are dealt over several tasks, and the most keys that may be so dealt.
+HOT_ROWS, HOT_KEYS = 50_000, 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,6 +80,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` joined by ``keys`` with ``counted``, a written table of one row a key whose ``n`` says how many rows have it.
+
+    Keys of very many rows are dealt over salts by the columns ``spread``, so no task gets all rows of one key.  The limit
+    rises with the total, so fewer than ``HOT_KEYS`` keys can lie above it and their list may be broadcast.
+    """
+    total, most = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= limit:
+        return rows.join(counted.drop("n"), keys)
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hot = counted.where(F.col("n") > limit).select(*keys, parts.alias("_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    copies = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 # ---------------------------------------------------------------- packed text
 
 

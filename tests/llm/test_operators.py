@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netlens.llm import decontamination, lm_scoring, near_dedup, sentencepiece_codec, sharding, span_dedup, suffix_dedup, token_counts, topk_search, toxicity
+from netlens.llm import common, decontamination, lm_scoring, near_dedup, sentencepiece_codec, sharding, span_dedup, suffix_dedup, token_counts, topk_search, toxicity
 
 #: Columns whose names the operators use inside.
 CLASH = "doc_id long, text string, lang string, shard int, hash long, _key long, _text string, n long, score double, item_id string"
@@ -380,6 +380,12 @@ def test_span_dedup(spark, prose):
     assert got[151].clean_text is None and got[152].clean_text == ""
 
 
+def test_span_dedup_with_hot_spans(spark, prose, monkeypatch):
+    plain = sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    assert sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect())) == plain
+
+
 def test_span_edges(spark):
     rows = span_dedup.span_dedup(frame(spark, EDGES), keep=["lang"]).collect()
     assert len(rows) == len(EDGES)
