@@ -152,27 +152,40 @@ def low_hop_ranking(records: DataFrame, limit: int = 100) -> DataFrame:
     return records.where("fromclient = 1").groupBy("source", "destination").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "source", "destination").limit(limit)
 
 
-def icmp_summary(tables: Tables, where: Conditions) -> DataFrame:
+def _icmp(tables: Tables, where: Conditions, version: int) -> DataFrame:
+    table = {4: "icmp_packets", 6: "icmp6_packets"}[version]
+    return tables[table].where(where.within(F.col("second"))).join(accepted(tables, where).select("session_id", "src_ip", "dst_ip"), "session_id")
+
+
+def icmp_summary(tables: Tables, where: Conditions, version: int = 4) -> DataFrame:
     """Packets by ICMP type, code and pair of addresses."""
-    rows = tables["icmp_packets"].where(where.within(F.col("second"))).join(accepted(tables, where).select("session_id", "src_ip", "dst_ip"), "session_id")
-    return rows.groupBy("type", "code", F.col("src_ip").alias("ip"), F.col("dst_ip").alias("ip2")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def icmp_detail(tables: Tables, where: Conditions, kind: int, code: int, prefix: str = "ICMP", address_digits: int = 8) -> DataFrame:
-    """Packets of a type and code with the addresses and ports of the packet that they report on, from the remark line
-    ``<prefix><index>=<protocol> <hex>``; ports follow the addresses, low byte first."""
-    rows = tables["icmp_packets"].where(where.within(F.col("second")) & (F.col("type") == kind) & (F.col("code") == code)).join(accepted(tables, where).select("session_id", "src_ip", "dst_ip"), "session_id")
-    lines = tables["icmp_remarks"].select("session_id", "file_seq", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(rf"^{prefix}\d+=\d+ "))
-    raw = F.regexp_extract("line", r" ([0-9a-f]*)$", 1)
-    lines = lines.select("session_id", "file_seq", F.regexp_extract("line", rf"^{prefix}(\d+)=", 1).cast("long").alias("idx"), F.regexp_extract("line", r"=(\d+) ", 1).cast("int").alias("proto"), raw.alias("raw"))
-    both = 2 * address_digits
-    lines = lines.where(F.length("raw").isin(both, both + 8))
+    return _icmp(tables, where, version).groupBy("type", "code", F.col("src_ip").alias("ip"), F.col("dst_ip").alias("ip2")).agg(F.count(F.lit(1)).alias("count"))
+
+
+#: Remark lines of ICMP packets by version: table, hex digits of an address, pattern of (packet index, protocol, addresses
+#: and ports) with the groups' numbers, and the protocols that are not given as numbers.
+ICMP_LINES = {
+    4: ("icmp_remarks", 8, r"^ICMP(\d+)=(\d+) ([0-9a-f]{16}|[0-9a-f]{24})$", (1, 2, 3), {}),
+    6: ("icmp6_remarks", 32, r"^ICMPV6(\d+)=([0-9a-f]{64})\t([TU]?)((?:[0-9a-f]{8})?)$", (1, 3, 2, 4), {"T": "6", "U": "17", "": "0"}),
+}
+
+
+def icmp_detail(tables: Tables, where: Conditions, kind: int, code: int, version: int = 4) -> DataFrame:
+    """Packets of a type and code with the addresses and ports of the packet that they report on, from the remark lines
+    ``ICMP<index>=<protocol> <hex>`` or ``ICMPV6<index>=<hex>\\t[T or U<hex>]``; ports follow the addresses, low byte first."""
+    table, digits, pattern, (at_idx, at_proto, *at_raw), names = ICMP_LINES[version]
+    rows = _icmp(tables, where, version).where((F.col("type") == kind) & (F.col("code") == code))
+    part = lambda k: F.regexp_extract("line", pattern, k)
+    lines = tables[table].select("session_id", "file_seq", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(pattern))
+    proto = net.label(part(at_proto), names) if names else part(at_proto)
+    lines = lines.select("session_id", "file_seq", part(at_idx).cast("long").alias("idx"), proto.cast("int").alias("proto"), F.concat(*[part(k) for k in at_raw]).alias("raw"))
+    both = 2 * digits
     port = lambda at: F.when(F.length("raw") == both + 8, F.conv(F.concat(F.substring("raw", at + 2, 2), F.substring("raw", at, 2)), 16, 10).cast("int")).otherwise(0)
-    text = lambda at: F.coalesce(F.substring("raw", at, address_digits), F.lit(""))
+    text = lambda at: F.coalesce(F.substring("raw", at, digits), F.lit(""))
     out = rows.join(lines, ["session_id", "file_seq", "idx"], "left")
     return out.select(
         F.col("second"), F.col("ns").alias("nanosecond"), F.col("src_ip").alias("ip"), F.col("dst_ip").alias("ip2"), "type", "code", F.coalesce("proto", F.lit(0)).alias("payloadprotocol"),
-        text(1).alias("original_ip"), text(1 + address_digits).alias("original_ip2"), F.coalesce(port(both + 1), F.lit(0)).alias("port"), F.coalesce(port(both + 5), F.lit(0)).alias("port2"),
+        text(1).alias("original_ip"), text(1 + digits).alias("original_ip2"), F.coalesce(port(both + 1), F.lit(0)).alias("port"), F.coalesce(port(both + 5), F.lit(0)).alias("port2"),
     )
 
 
@@ -243,20 +256,33 @@ def jitter(tables: Tables, where: Conditions) -> DataFrame:
     return both.join(s, "session_id").join(packets, "session_id", "left").withColumn("totalpackets", F.coalesce("totalpackets", F.lit(0)).cast("long"))
 
 
-EVENTS = {"tcp_rsts": "RST", "tcp_dupacks": "DUPACK", "tcp_retransmissions": "RETRANSMISSION"}
-MISC = {model.ZERO_WINDOW: "ZEROWINDOW", model.PORTS_REUSED: "PORTSREUSED", model.OUT_OF_ORDER: "OUTOFORDER"}
+#: Flags of TCP packets, a packet of none of which carries data.
+FIN, SYN, RST, ACK, CLOSED = 1, 2, 4, 16, 512
+EVENTS = {"tcp_dupacks": "DUPACK", "tcp_retransmissions": "RETRANSMISSION", "tcp_misc": "OUTOFORDER"}
+
+
+def session_packets(tables: Tables, where: Conditions) -> DataFrame:
+    """Packets with the direction from the client and the events that they are; none: the packet transmits data.
+
+    A TCP packet with a start, end or reset flag or without a receive window is an event; a start or end may also close
+    the window."""
+    rows = facts(tables, "packets", where, ["source_is_small", "payload_protocol"])
+    flag = lambda *bits: F.col("status").bitwiseAND(sum(bits)) == sum(bits)
+    kind = F.when(flag(SYN, ACK), "SYNACK").when(flag(SYN), "SYN").when(flag(FIN), "FIN").when(flag(RST), "RST").when(F.col("window") == 0, "ZEROWINDOW")
+    more = F.when((flag(SYN) | flag(FIN)) & flag(CLOSED), "ZEROWINDOW")
+    found = F.when(F.col("payload_protocol") == model.TCP, F.array_compact(F.array(kind, more))).otherwise(F.array().cast("array<string>"))
+    return rows.select("session_id", "second", F.col("ns").alias("nanosecond"), F.col("saved_length").cast("long").alias("value"), (F.col("small_to_big") == F.col("source_is_small")).cast("int").alias("fromclient"), found.alias("events"))
 
 
-def session_events(tables: Tables, where: Conditions) -> DataFrame:
-    """Things that happened in sessions, with the direction from the client."""
-    side = (F.col("small_to_big") == F.col("source_is_small")).cast("int")
-    at = ["session_id", "second", F.col("ns").alias("nanosecond"), side.alias("fromclient")]
-    out = facts(tables, "tcp_syns", where, ["source_is_small"]).select(*at, F.when(F.col("tail") == 0, "SYN").otherwise("SYNACK").alias("event"))
+def session_events(tables: Tables, where: Conditions, packets: DataFrame) -> DataFrame:
+    """Things that happened in sessions, with the direction from the client (-1: none)."""
+    columns = ["session_id", "second", "nanosecond", "value", "fromclient", "event"]
+    out = packets.withColumn("event", F.explode("events")).select(*columns)
     for table, name in EVENTS.items():
-        out = out.unionByName(facts(tables, table, where, ["source_is_small"]).select(*at, F.lit(name).alias("event")))
-    misc = facts(tables, "tcp_misc", where, ["source_is_small"]).where(F.col("tail").isin(*MISC))
-    out = out.unionByName(misc.select(*at, net.label(F.col("tail"), MISC).alias("event")))
-    gone = facts(tables, "timeouts", where).select("session_id", F.col("marker_second").alias("second"), F.col("marker_ns").alias("nanosecond"), F.lit(1).alias("fromclient"), F.lit("TIMEOUT").alias("event"))
+        rows = facts(tables, table, where, ["source_is_small"])
+        rows = rows.where(F.col("tail") == model.OUT_OF_ORDER) if table == "tcp_misc" else rows
+        out = out.unionByName(rows.select("session_id", "second", F.col("ns").alias("nanosecond"), F.lit(0).cast("long").alias("value"), (F.col("small_to_big") == F.col("source_is_small")).cast("int").alias("fromclient"), F.lit(name).alias("event")))
+    gone = facts(tables, "timeouts", where).select("session_id", F.col("marker_second").alias("second"), F.col("marker_ns").alias("nanosecond"), F.lit(0).cast("long").alias("value"), F.lit(-1).alias("fromclient"), F.lit("TIMEOUT").alias("event"))
     return out.unionByName(gone)
 
 
@@ -266,16 +292,13 @@ def session_audit(tables: Tables, where: Conditions) -> DataFrame:
     A packet belongs to the gap before the first event that is later than it; the gap's number is the count of events up
     to the packet's time.
     """
-    events = session_events(tables, where)
-    packets = facts(tables, "packets", where, ["source_is_small"]).select("session_id", "second", F.col("ns").alias("nanosecond"), (F.col("small_to_big") == F.col("source_is_small")).cast("int").alias("fromclient"), "saved_length")
-    marks = events.select("session_id", "second", "nanosecond", F.lit(1).alias("mark"), F.lit(None).cast("int").alias("fromclient"), F.lit(0).cast("long").alias("saved_length"))
-    both = marks.unionByName(packets.withColumn("mark", F.lit(0)))
-    before = W.partitionBy("session_id").orderBy("second", "nanosecond").rangeBetween(W.unboundedPreceding, W.currentRow)
-    gaps = both.withColumn("t", F.struct("second", "nanosecond")).withColumn("gap", F.sum("mark").over(W.partitionBy("session_id").orderBy("t"))).where("mark = 0")
-    moved = gaps.groupBy("session_id", "gap", "fromclient").agg(F.min("t").alias("t"), F.sum("saved_length").cast("long").alias("value"))
-    moved = moved.select("session_id", "t.second", "t.nanosecond", F.col("value"), "fromclient", F.lit("Transmit").alias("event"))
-    del before
-    return events.withColumn("value", F.lit(0).cast("long")).select("session_id", "second", "nanosecond", "value", "fromclient", "event").unionByName(moved)
+    packets = session_packets(tables, where)
+    events = session_events(tables, where, packets)
+    data = packets.where(F.size("events") == 0).select("session_id", "second", "nanosecond", "value", "fromclient", F.lit("Transmit").alias("event"))
+    both = events.unionByName(data).withColumn("t", F.struct("second", "nanosecond")).withColumn("mark", (F.col("event") != "Transmit").cast("int"))
+    gaps = both.withColumn("gap", F.sum("mark").over(W.partitionBy("session_id").orderBy("t"))).where("mark = 0")
+    moved = gaps.groupBy("session_id", "gap", "fromclient").agg(F.min("t").alias("t"), F.sum("value").cast("long").alias("value")).where("value > 0")
+    return events.unionByName(moved.select("session_id", "t.second", "t.nanosecond", "value", "fromclient", F.lit("Transmit").alias("event")))
 
 
 def session_audit_index(tables: Tables, where: Conditions) -> DataFrame:

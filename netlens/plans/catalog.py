@@ -106,6 +106,8 @@ def _flows() -> None:
     register("lowhop_ranking", lambda t: flows.low_hop_ranking(flows.low_hop_records(t, MONTH, 20)), o.LOW_HOP_RANKING)
     register("icmpwalk_summary", lambda t: flows.icmp_summary(t, MONTH), o.ICMP)
     register("icmpwalk_detail", lambda t: flows.icmp_detail(t, MONTH, 3, 3), o.ICMP_DETAIL)
+    register("icmp6walk_summary", lambda t: flows.icmp_summary(t, MONTH, 6), o.ICMP6)
+    register("icmp6walk_detail", lambda t: flows.icmp_detail(t, MONTH, 1, 1, 6), o.ICMP6_DETAIL)
     register("microburst", lambda t: flows.microburst(t, MONTH, "ms", 8000), o.BURSTS)
     register("microburst_detail", lambda t: flows.microburst_detail(t, MONTH, "ms", 8000), o.BURST_DETAIL)
     register("packet_hash", lambda t: flows.packet_hash(t, MONTH), o.PACKET_HASH)

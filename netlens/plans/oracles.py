@@ -206,6 +206,11 @@ ICMP_DETAIL = f"""WITH {acc(MONTH)}, l AS (SELECT session_id, file_seq, CAST(reg
 SELECT p.second, p.ns AS nanosecond, s.src_ip AS ip, s.dst_ip AS ip2, p.type, p.code, coalesce(l.proto, 0) AS payloadprotocol, coalesce(substr(raw, 1, 8), '') AS original_ip, coalesce(substr(raw, 9, 8), '') AS original_ip2,
 CASE WHEN length(raw) = 24 THEN CAST('0x' || substr(raw, 19, 2) || substr(raw, 17, 2) AS INTEGER) ELSE 0 END AS port, CASE WHEN length(raw) = 24 THEN CAST('0x' || substr(raw, 23, 2) || substr(raw, 21, 2) AS INTEGER) ELSE 0 END AS port2
 FROM icmp_packets p JOIN acc s ON s.session_id = p.session_id LEFT JOIN l ON l.session_id = p.session_id AND l.file_seq = p.file_seq AND l.idx = p.idx WHERE p.second BETWEEN {MONTH[0]} AND {MONTH[1]} AND p.type = 3 AND p.code = 3"""
+ICMP6 = ICMP.replace("icmp_packets", "icmp6_packets")
+ICMP6_DETAIL = f"""WITH {acc(MONTH)}, l AS (SELECT session_id, file_seq, CAST(regexp_extract(content, '^ICMPV6([0-9]+)=', 1) AS BIGINT) AS idx, split_part(content, '=', 2) AS raw FROM icmp6_remarks)
+SELECT p.second, p.ns AS nanosecond, s.src_ip AS ip, s.dst_ip AS ip2, p.type, p.code, CASE substr(raw, 66, 1) WHEN 'T' THEN 6 WHEN 'U' THEN 17 ELSE 0 END AS payloadprotocol, coalesce(substr(raw, 1, 32), '') AS original_ip, coalesce(substr(raw, 33, 32), '') AS original_ip2,
+CASE WHEN length(raw) = 74 THEN CAST('0x' || substr(raw, 69, 2) || substr(raw, 67, 2) AS INTEGER) ELSE 0 END AS port, CASE WHEN length(raw) = 74 THEN CAST('0x' || substr(raw, 73, 2) || substr(raw, 71, 2) AS INTEGER) ELSE 0 END AS port2
+FROM icmp6_packets p JOIN acc s ON s.session_id = p.session_id LEFT JOIN l ON l.session_id = p.session_id AND l.file_seq = p.file_seq AND l.idx = p.idx WHERE p.second BETWEEN {MONTH[0]} AND {MONTH[1]} AND p.type = 1 AND p.code = 1"""
 BURSTS = f"WITH {acc(MONTH)}, {fact('p', 'packets', MONTH)} SELECT (second * 1000000000 + ns) // 1000000 * 1000000 AS timestamp, CAST(SUM(saved_length) AS BIGINT) AS bytes FROM p GROUP BY 1 HAVING SUM(saved_length) >= 1000"
 BURST_DETAIL = f"""WITH {acc(MONTH)}, {fact('p', 'packets', MONTH)}, t AS (SELECT *, (second * 1000000000 + ns) // 1000000 * 1000000 AS timestamp FROM p), hot AS (SELECT timestamp FROM t GROUP BY 1 HAVING SUM(saved_length) >= 1000)
 SELECT timestamp, src_ip AS ip, dst_ip AS ip2, dst_port AS port2, CAST(SUM(CASE WHEN small_to_big = source_is_small THEN saved_length ELSE 0 END) AS BIGINT) AS iptoip2, CAST(SUM(CASE WHEN small_to_big = source_is_small THEN 0 ELSE saved_length END) AS BIGINT) AS ip2toip FROM t WHERE timestamp IN (SELECT timestamp FROM hot) GROUP BY 1, 2, 3, 4"""
@@ -223,17 +228,16 @@ w AS (SELECT session_id, CAST(coalesce(MAX(CASE WHEN side = 0 THEN mean END), 0)
 SELECT w.*, s.src_ip AS clientip, s.src_port AS clientport, s.dst_ip AS serverip, s.dst_port AS serverport, s.payload_protocol AS payloadprotocol, CAST(coalesce(k.n, 0) AS BIGINT) AS totalpackets FROM w JOIN acc s ON s.session_id = w.session_id LEFT JOIN k ON k.session_id = w.session_id"""
 
 
-def session_events(window: tuple[int, int]) -> str:
-    parts = [f"SELECT session_id, second, ns AS nanosecond, CASE WHEN small_to_big = source_is_small THEN 1 ELSE 0 END AS fromclient, {name} AS event FROM {cte}" + (f" WHERE {test}" if test else "") for cte, name, test in (("e1", "CASE WHEN tail = 0 THEN 'SYN' ELSE 'SYNACK' END", ""), ("e2", "'RST'", ""), ("e3", "'DUPACK'", ""), ("e4", "'RETRANSMISSION'", ""), ("e5", "CASE tail WHEN 0 THEN 'ZEROWINDOW' WHEN 1 THEN 'PORTSREUSED' ELSE 'OUTOFORDER' END", "tail IN (0, 1, 2)"))]
-    parts.append(f"SELECT session_id, marker_second, marker_ns, 1, 'TIMEOUT' FROM timeouts WHERE marker_second BETWEEN {window[0]} AND {window[1]} AND session_id IN (SELECT session_id FROM acc)")
-    ctes = ", ".join(fact(f"e{k + 1}", t, window) for k, t in enumerate(("tcp_syns", "tcp_rsts", "tcp_dupacks", "tcp_retransmissions", "tcp_misc")))
-    return f"{acc(window)}, {ctes}, ev AS ({' UNION ALL '.join(parts)})"
-
-
-AUDIT = f"""WITH {session_events(MONTH)}, {fact('p0', 'packets', MONTH)}, p AS (SELECT session_id, second, ns, CASE WHEN small_to_big = source_is_small THEN 1 ELSE 0 END AS fromclient, saved_length FROM p0),
-g AS (SELECT p.*, (SELECT COUNT(*) FROM ev WHERE ev.session_id = p.session_id AND (ev.second < p.second OR (ev.second = p.second AND ev.nanosecond <= p.ns))) AS gap FROM p)
-SELECT session_id, second, nanosecond, CAST(0 AS BIGINT) AS value, fromclient, event FROM ev
-UNION ALL SELECT session_id, MIN(second * 1000000000 + ns) // 1000000000, MIN(second * 1000000000 + ns) % 1000000000, CAST(SUM(saved_length) AS BIGINT), fromclient, 'Transmit' FROM g GROUP BY session_id, gap, fromclient"""
+_SIDE = "CASE WHEN small_to_big = source_is_small THEN 1 ELSE 0 END AS fromclient"
+AUDIT = f"""WITH {acc(MONTH)}, {fact('p0', 'packets', MONTH)}, {fact('e1', 'tcp_dupacks', MONTH)}, {fact('e2', 'tcp_retransmissions', MONTH)}, {fact('e3', 'tcp_misc', MONTH)},
+p1 AS (SELECT p0.session_id, second, ns, CAST(saved_length AS BIGINT) AS value, CASE WHEN small_to_big = p0.source_is_small THEN 1 ELSE 0 END AS fromclient, CASE WHEN acc.payload_protocol <> 6 THEN NULL WHEN (p0.status & 18) = 18 THEN 'SYNACK' WHEN (p0.status & 2) <> 0 THEN 'SYN' WHEN (p0.status & 1) <> 0 THEN 'FIN' WHEN (p0.status & 4) <> 0 THEN 'RST' WHEN p0."window" = 0 THEN 'ZEROWINDOW' END AS event,
+  acc.payload_protocol = 6 AND (p0.status & 3) <> 0 AND (p0.status & 512) <> 0 AS closed FROM p0 JOIN acc ON acc.session_id = p0.session_id),
+ev AS (SELECT session_id, second, ns AS nanosecond, value, fromclient, event FROM p1 WHERE event IS NOT NULL UNION ALL SELECT session_id, second, ns, value, fromclient, 'ZEROWINDOW' FROM p1 WHERE closed
+  UNION ALL SELECT session_id, second, ns, 0, {_SIDE}, 'DUPACK' FROM e1 UNION ALL SELECT session_id, second, ns, 0, {_SIDE}, 'RETRANSMISSION' FROM e2 UNION ALL SELECT session_id, second, ns, 0, {_SIDE}, 'OUTOFORDER' FROM e3 WHERE tail = 2
+  UNION ALL SELECT session_id, marker_second, marker_ns, 0, -1, 'TIMEOUT' FROM timeouts WHERE marker_second BETWEEN {MONTH[0]} AND {MONTH[1]} AND session_id IN (SELECT session_id FROM acc)),
+g AS (SELECT p1.*, (SELECT COUNT(*) FROM ev WHERE ev.session_id = p1.session_id AND (ev.second < p1.second OR (ev.second = p1.second AND ev.nanosecond <= p1.ns))) AS gap FROM p1 WHERE event IS NULL)
+SELECT session_id, second, nanosecond, CAST(value AS BIGINT) AS value, fromclient, event FROM ev
+UNION ALL SELECT session_id, MIN(second * 1000000000 + ns) // 1000000000, MIN(second * 1000000000 + ns) % 1000000000, CAST(SUM(value) AS BIGINT), fromclient, 'Transmit' FROM g GROUP BY session_id, gap, fromclient HAVING SUM(value) > 0"""
 AUDIT_INDEX = f"WITH {acc(MONTH)} SELECT session_id AS sessionid, src_ip AS ip, dst_ip AS ip2, src_port AS port, dst_port AS port2, payload_protocol AS payloadprotocol FROM acc"
 SESSIONS_MERGED = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY file_seq) AS k, CASE WHEN (status & 2) <> 0 THEN file_seq END AS synfile, CASE WHEN l7 <> 0 THEN file_seq END AS l7file FROM session_parts),
 b AS (SELECT session_id, MIN(first_second) AS first_second, MAX(last_second) AS last_second, CAST(bit_or(status) AS INTEGER) AS status, coalesce(max_by(l7, l7file), 0) AS l7, coalesce(max_by(src_port, synfile), min_by(src_port, k)) AS src_port FROM o GROUP BY 1)

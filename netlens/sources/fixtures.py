@@ -74,6 +74,11 @@ FROM e""",
     "icmp_remarks": """
 SELECT session_id, file_seq, concat('ICMP', CAST(idx AS VARCHAR(20)), '=17 ', '0a0000', CASE WHEN idx % 2 = 0 THEN '01' ELSE '02' END, 'c0a80001', CASE WHEN idx % 3 = 0 THEN '0035d431' ELSE '' END) AS content
 FROM icmp_packets WHERE idx % 5 <> 0""",
+    "icmp6_packets": "SELECT file_seq, idx, session_id, second, ns, tcp_seq AS type, tcp_ack AS code FROM packets WHERE session_id % 4 = 1",
+    "icmp6_remarks": """
+SELECT session_id, file_seq, concat('ICMPV6', CAST(idx AS VARCHAR(20)), '=', lpad(CASE WHEN idx % 2 = 0 THEN '1' ELSE '2' END, 32, '0'), 'fe80', lpad('3', 28, '0'), CHR(9),
+       CASE idx % 3 WHEN 0 THEN 'U0035d431' WHEN 1 THEN 'T5000d431' ELSE '' END) AS content
+FROM icmp6_packets WHERE idx % 5 <> 0""",
     "web": """
 SELECT page_id, (page_id % 100) * 100 + 10 AS session_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host,
        CASE WHEN regexp_extract(url, '^[a-z]+://[^/]+(/[^ ]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/]+(/[^ ]*)', 1) END AS path,

@@ -43,7 +43,7 @@ class Tables:
                 return spark.createDataFrame(rows, columns)
             text = fixtures.STATEMENTS[name].replace("USEC(ts)", "unix_micros(CAST(ts AS TIMESTAMP))").replace("USEC(o_orderdate)", "unix_micros(CAST(o_orderdate AS TIMESTAMP))")
             text = text.replace("AS VARCHAR(20)", "AS STRING").replace("AS VARCHAR(10)", "AS STRING").replace("AS VARCHAR(5)", "AS STRING").replace("{", "{{").replace("}", "}}")
-            inputs = {n: self[n] for n in set(re.findall(r"(?:FROM|JOIN) ([a-z_]+)", text))}
+            inputs = {n: self[n] for n in set(re.findall(r"(?:FROM|JOIN) ([a-z_0-9]+)", text))}
             for n in inputs:
                 text = re.sub(rf"((?:FROM|JOIN) ){n}\b", rf"\1{{{n}}}", text)
             if name == "timeouts":

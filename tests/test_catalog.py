@@ -22,7 +22,7 @@ def duck():
 
 SAMPLE = [
     "bps", "pps_ignoremac", "averagelatency", "flowcounts", "bps2_bins", "tcprsts_bins", "bps_minmax", "bps_tags", "sessions_merged", "topn_timeouts_service", "topn_latencies_destination", "datastreams", "packet_loss_latency",
-    "jitter", "sessionaudit", "icmpwalk_detail", "dns_servers", "ftp_sessions", "http_records", "httt_roots", "tls_tracker", "voip_summary", "rollup_ps", "bps_with_rollup", "events_delta", "svcd_counters", "workinghours_tags", "report_tcp_page", "probe_binned", "describe_edge", "anomaly_prepared",
+    "jitter", "sessionaudit", "icmpwalk_detail", "icmp6walk_summary", "icmp6walk_detail", "dns_servers", "ftp_sessions", "http_records", "httt_roots", "tls_tracker", "voip_summary", "rollup_ps", "bps_with_rollup", "events_delta", "svcd_counters", "workinghours_tags", "report_tcp_page", "probe_binned", "describe_edge", "anomaly_prepared",
 ]
 
 

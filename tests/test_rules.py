@@ -113,10 +113,13 @@ def test_icmp_remarks_with_and_without_ports(spark):
     assert (rows[5].payloadprotocol, rows[5].original_ip, rows[5].port, rows[5].port2) == (17, "0a000001", 0x3500, 0x31D4)
     assert (rows[6].original_ip2, rows[6].port) == ("c0a80001", 0)
     assert (rows[7].payloadprotocol, rows[7].original_ip) == (0, "")
-    six = spark.createDataFrame([(1, 0, "ICMPV67=17 " + "2001" + "0" * 28 + "fe80" + "0" * 28 + "0035d431")], "session_id long, file_seq long, content string")
-    t["icmp_remarks"] = six
-    row = flows.icmp_detail(t, Conditions(0, 100), 3, 3, "ICMPV6", 32).where("second = 5").first()
-    assert row.original_ip2.startswith("fe80") and row.port == 0x3500
+    six = "20010db8" + "0" * 24 + "fe80" + "0" * 28
+    t["icmp6_packets"] = packets
+    t["icmp6_remarks"] = spark.createDataFrame([(1, 0, f"ICMPV67={six}\tU0035d431\nICMPV68={six}\t\nICMPV69=01010060\t")], "session_id long, file_seq long, content string")
+    rows = {r.second: r for r in flows.icmp_detail(t, Conditions(0, 100), 3, 3, 6).collect()}
+    assert (rows[5].payloadprotocol, rows[5].original_ip2, rows[5].port, rows[5].port2) == (17, six[32:], 0x3500, 0x31D4)
+    assert (rows[6].payloadprotocol, rows[6].original_ip, rows[6].port) == (0, six[:32], 0)
+    assert (rows[7].payloadprotocol, rows[7].original_ip) == (0, "")
 
 
 def test_packet_matching(spark):
