@@ -13,54 +13,71 @@ from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, join_counted, mater
 
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 MIN_SENTENCES, MIN_WORDS = 2, 20
-#: A sentence without an end is cut after so many words, so that no passage hides in an endless one.
-LONGEST_SENTENCE = 25
+#: Sentences are cut before the word of least hash of every so many consecutive words, so the cuts lie alike wherever a passage
+#: stands.  Then any 3 * (CUT_WORDS - 1) + MIN_WORDS + 1 = 48 words or more that repeat word for word hold a whole span.
+CUT_WORDS = 10
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(token starts, token ends, first token of each sentence, end token of each sentence, document of each sentence).
+    """(token starts, token ends, first token of each piece, end token of each piece, document of each piece, whether a
+    sentence ends with the piece, whether the words alone end it).
 
-    A sentence ends at a word whose last byte is . ! or ?, before a line break, at the end of the document, and after
-    ``LONGEST_SENTENCE`` words.
+    A sentence ends at a word whose last byte is . ! or ?, before a line break and at the end of the document.  It is cut
+    into pieces before the first word of least hash of each window of ``CUT_WORDS`` words; no window spans a . ! or ?.
+    Each cut follows from the ``CUT_WORDS`` - 1 words on both sides at most, and two cuts by words are ``CUT_WORDS`` apart at most.
     """
     starts, ends, tokens = word_spans(data, offsets, SPACE_WORDS)
     n = len(starts)
     if not n:
         empty = np.zeros(0, np.int64)
-        return starts, ends, empty, empty, empty
+        return starts, ends, empty, empty, empty, empty.astype(bool), empty.astype(bool)
     last = data[ends - 1]
-    final = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    worded = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    close = tokens[1:]
+    worded[close[close > 0] - 1] = True
+    final = worded.copy()
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     final[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
-    close = tokens[1:]
-    final[close[close > 0] - 1] = True
-    stop = np.flatnonzero(final) + 1
-    begin = np.concatenate([[0], stop[:-1]])
-    pieces = -(-(stop - begin) // LONGEST_SENTENCE)
-    which = np.repeat(np.arange(len(begin)), pieces)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = begin[which] + nth * LONGEST_SENTENCE
-    end = np.minimum(first + LONGEST_SENTENCE, stop[which])
+    if n >= CUT_WORDS:
+        sentence = np.cumsum(worded) - worded
+        windows = np.lib.stride_tricks.sliding_window_view(SpanHash(LOWER[data])(starts, ends), CUT_WORDS)
+        whole = np.flatnonzero(sentence[: n - CUT_WORDS + 1] == sentence[CUT_WORDS - 1 :])
+        least = whole + windows[whole].argmin(1)
+        worded[least[least > 0] - 1] = True
+    stop = np.flatnonzero(final | worded) + 1
+    first = np.concatenate([[0], stop[:-1]])
     doc = np.searchsorted(tokens, first, "right") - 1
-    return starts, ends, first, end, doc
+    return starts, ends, first, stop, doc, final[stop - 1], worded[stop - 1]
+
+
+def _stops(first: np.ndarray, end: np.ndarray, start: np.ndarray, closing: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
+    """The last piece of the span from each piece of ``start``, among those that ``closing`` marks; beyond the last without one."""
+    marked = np.flatnonzero(closing)
+    at = np.maximum(np.searchsorted(end[marked], first[start] + min_words), np.searchsorted(marked, start) + min_sentences - 1)
+    return np.concatenate([marked, [len(first)]])[np.minimum(at, len(marked))]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, first sentence in it, last sentence in it, hash) of every span, one for each sentence that can start one.
+    """(document, first piece in it, last piece in it, hash) of every span: from each piece to a cut by words, and from
+    each sentence to the end of a sentence.
 
     The hash covers the words in order with A-Z in lower case; white space does not matter.
     """
-    starts, ends, first, end, doc = sentences(data, offsets)
+    starts, ends, first, end, doc, final, worded = sentences(data, offsets)
     if not len(first):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty
     words = token_hash(SpanHash(LOWER[data])(starts, ends))
-    k = np.arange(len(first))
-    stop = np.maximum(np.searchsorted(end, first + min_words), k + min_sentences - 1)
-    good = np.flatnonzero(stop < len(first))
-    good = good[doc[good] == doc[stop[good]]]
-    origin = np.searchsorted(doc, doc[good])
-    return doc[good], good - origin, stop[good] - origin, signed(words(first[good], end[stop[good]]))
+    pieces = np.arange(len(first))
+    opening = np.flatnonzero(np.concatenate([[True], final[:-1]]))
+    near, far = (_stops(first, end, k, closing, min_sentences, min_words) for k, closing in ((pieces, worded), (opening, final)))
+    other = far != near[opening]
+    start, stop = np.concatenate([pieces, opening[other]]), np.concatenate([near, far[other]])
+    start, stop = start[stop < len(first)], stop[stop < len(first)]
+    good = doc[start] == doc[stop]
+    start, stop = start[good], stop[good]
+    origin = np.searchsorted(doc, doc[start])
+    return doc[start], start - origin, stop - origin, signed(words(first[start], end[stop]))
 
 
 def _rows(min_sentences: int, min_words: int):
@@ -81,7 +98,7 @@ def _removed(texts: pa.Array, hits: list) -> tuple[list, list, list, list]:
     clean = texts.to_pylist()
     counts, removed, runs = [], [], []
     for low, high, data, offsets in slices(texts):
-        starts, ends, first, end, doc = sentences(data, offsets)
+        starts, ends, first, end, doc, _, _ = sentences(data, offsets)
         bounds = np.searchsorted(doc, np.arange(high - low + 1))
         for k in range(high - low):
             a, b = bounds[k], bounds[k + 1]
@@ -110,9 +127,11 @@ def _removed(texts: pa.Array, hits: list) -> tuple[list, list, list, list]:
 def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Remove the sentences covered by any non-first occurrence of a repeated span, over the whole table.
 
-    From every sentence starts one span: the shortest run of at least ``min_sentences`` sentences with at least
-    ``min_words`` words.  Spans meet by hash in one aggregation; the first occurrence, by (id, text hash, sentence), stays.
-    Where a passage is longer than a span, its overlapping spans cover it whole.
+    Sentences are cut into pieces by content (see :func:`sentences`), and pieces count as sentences.  From every piece
+    starts a span: the shortest run of at least ``min_sentences`` pieces with at least ``min_words`` words that ends at a
+    cut by words; from every sentence also the shortest such run of whole sentences.  Spans meet by hash: repeated hashes
+    are counted first, and of their spans the first, by (id, text hash, piece), stays.  Where a passage is longer than a
+    span, its overlapping spans cover it but for less than two pieces at either edge.
 
     Returns id_col, n_sentences, n_removed, n_spans (maximal removed runs), clean_text and the columns in ``keep``.
 
@@ -129,8 +148,10 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
     types = dict(source.dtypes)
     rows = source.select("doc_id", "_key", "_text").mapInArrow(_rows(min_sentences, min_words), f"doc_id {types['doc_id']}, _key long, first int, last int, hash long")
     place = F.struct("doc_id", "_key", "first")
-    repeated = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1")
-    hits = join_counted(rows, materialize(repeated, "span-repeated"), ["hash"], ["doc_id", "_key", "first"]).where(~place.eqNullSafe(F.col("origin")))
+    repeated = materialize(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-repeated")
+    found = materialize(join_counted(rows, repeated, ["hash"], ["doc_id", "_key", "first"]), "span-found")
+    origins = materialize(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")), "span-origins")
+    hits = join_counted(found, origins, ["hash"], ["doc_id", "_key", "first"]).where(~place.eqNullSafe(F.col("origin")))
     by_doc = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("first", "last")).alias("_hits"))
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_hits")
     joined = source.join(by_doc, source["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k")

@@ -380,6 +380,37 @@ def test_span_dedup(spark, prose):
     assert got[151].clean_text is None and got[152].clean_text == ""
 
 
+def test_span_dedup_at_any_offset(spark):
+    """Every repeated run of 50 words loses words wherever it stands, and no word that repeats in no run of 20 is lost."""
+    rng = random.Random(3)
+    fresh = iter(range(1 << 30))
+    text = lambda n, ends: [f"w{next(fresh)}" + ("." if rng.random() < ends else "") for _ in range(n)]
+    docs = []
+    for ends in (0, 0.02, 0.08, 0.3):
+        for length in (50, 55, 80, 200):
+            passage = text(length, ends)
+            for ahead in (0, 1, 2, 7, 13, 24, 25, 26, 40):
+                docs.append((len(docs), [*text(ahead, ends), *passage, *text(rng.randint(0, 40), ends)], ahead))
+    split = lambda own: "".join(w + rng.choice([" "] * 9 + ["\n"]) for w in own)
+    got = {r.doc_id: r.clean_text for r in span_dedup.span_dedup(frame(spark, [(i, split(own)) for i, own, _ in docs])).collect()}
+    runs = lambda own, n: [tuple(own[k : k + n]) for k in range(len(own) - n + 1)]
+    counts, seen = Counter(r for _, own, _ in docs for r in set(runs(own, 20))), set()
+    for i, own, _ in docs:
+        kept = set(got[i].split())
+        for run in runs(own, 50):
+            assert run not in seen or not kept.issuperset(run), (i, run)
+        seen.update(runs(own, 50))
+        lost = {w for r in runs(own, 20) if counts[r] > 1 for w in r}
+        assert set(own) - kept <= lost
+        assert [w for w in own if w in kept] == got[i].split()
+
+
+def test_span_dedup_of_one_word_repeated(spark):
+    rows = span_dedup.span_dedup(frame(spark, [(1, "spam " * 300), (2, "x " + "spam " * 90), (3, "ham eggs " * 200)])).collect()
+    left = {r.doc_id: len(r.clean_text.split()) for r in rows}
+    assert left[1] < 50 and left[2] < 25 and left[3] < 50
+
+
 def test_span_dedup_with_hot_spans(spark, prose, monkeypatch):
     plain = sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect()))
     monkeypatch.setattr(common, "HOT_ROWS", 4)
