@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -176,25 +178,41 @@ def http_error_details(records: DataFrame, path_pattern: str) -> DataFrame:
     return records.where((F.col("status") >= 400) & F.col("path").rlike(path_pattern)).groupBy(side.alias("side"), "status").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def transaction_roots(records: DataFrame, max_depth: int = 16) -> DataFrame:
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and cut from their lineage by a checkpoint."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="netlens-"))
+    return rows.checkpoint()
+
+
+def transaction_roots(records: DataFrame) -> DataFrame:
     """Requests under their root: the URL that is reached by following referers.
 
     The referer of a URL is that of its earliest request.  Every round each URL's pointer jumps to its pointer's pointer,
-    so chains of 2^n links take n rounds.  Following stops at a URL without a referer or outside the table; the members of
-    a loop take the loop's least URL.
+    so chains of 2^n links take n rounds, and rounds go on until no pointer moves.  Following stops at a URL without a
+    referer or outside the table; the members of a loop, and the URLs that lead into it, take the loop's least URL.
     """
     url = F.concat(F.lit("http://"), F.col("host"), F.col("path"))
     rows = records.withColumn("url", url)
     parent = rows.groupBy("url").agg(F.min_by("referer", F.struct("requestat", "sessionid")).alias("p"))
-    pointer = parent.select("url", F.when(F.col("p") == "", F.col("url")).otherwise(F.col("p")).alias("root"), F.col("url").alias("least"))
-    rounds = 0
-    while (1 << rounds) < max_depth:
+    pointer = _written(parent.where("p <> ''").select("url", F.col("p").alias("root"), F.col("url").alias("least"), F.lit(True).alias("open")))
+    left, reach = pointer.count(), 1
+    while left:
         step = pointer.select(F.col("url").alias("root"), F.col("root").alias("next"), F.col("least").alias("other"))
-        pointer = pointer.join(step, "root", "left").select("url", F.coalesce("next", "root").alias("root"), F.least("least", F.coalesce("other", "least")).alias("least"))
-        rounds += 1
-    ends = parent.select(F.col("url").alias("root"), F.col("p").alias("root_referer"))
-    found = pointer.join(ends, "root", "left").select("url", F.when(F.coalesce("root_referer", F.lit("")) == "", F.col("root")).otherwise(F.col("least")).alias("root"))
-    return rows.join(found, "url").select("client_ip", "root", "status", F.col("requestat"), F.when(F.col("responseat") >= 0, F.col("responseat") - F.col("requestat")).otherwise(-1).cast("long").alias("latency"), "host", "path", "referer")
+        moved = pointer.where("open").join(step, "root", "left")
+        moved = moved.select("url", F.coalesce("next", "root").alias("root"), F.least("least", F.coalesce("other", "least")).alias("least"), F.col("next").isNotNull().alias("open"))
+        pointer = _written(moved.union(pointer.where("not open")))
+        before, left, reach = left, pointer.where("open").count(), 2 * reach
+        # A chain has URLs at every distance from its end, so a round that ends none leaves loops and what leads into
+        # them; after as many links as there are such URLs, each pointer is in its loop and has met all of it.
+        if left == before and reach >= left:
+            break
+    inside = pointer.where("open").select(F.col("url").alias("root"), F.col("least").alias("of_loop"))
+    found = pointer.where("open").join(inside, "root").select("url", F.col("of_loop").alias("root")).union(pointer.where("not open").select("url", "root"))
+    return rows.join(found, "url", "left").select(
+        "client_ip", F.coalesce("root", "url").alias("root"), "status", F.col("requestat"), F.when(F.col("responseat") >= 0, F.col("responseat") - F.col("requestat")).otherwise(-1).cast("long").alias("latency"), "host", "path", "referer"
+    )
 
 
 # ---------------------------------------------------------------- TLS

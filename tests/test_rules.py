@@ -104,6 +104,19 @@ def test_referer_chain_and_loop(spark):
     assert found == {"h/c": "http://h/a", "h/b": "http://h/a", "h/a": "http://h/a", "l/1": "http://l/1", "l/2": "http://l/1", "x/y": "http://gone/"}
 
 
+def test_long_referer_chains_and_loops(spark):
+    url = lambda host, k: f"http://{host}/{k:03d}"
+    rows = [("chain", k, url("chain", k - 1) if k else "") for k in range(41)]
+    rows += [("outside", k, url("outside", k - 1)) for k in range(1, 101)]
+    rows += [("loop", k, url("loop", (k - 1) % 30)) for k in range(30)]
+    rows += [("entry", k, url("entry", k - 1) if k else url("loop", 17)) for k in range(25)]
+    rows += [("self", 0, url("self", 0))]
+    records = spark.createDataFrame([(i, 1, h, f"/{k:03d}", r, 200, 1000 - i, 1001 - i) for i, (h, k, r) in enumerate(rows)], "sessionid long, client_ip long, host string, path string, referer string, status int, requestat long, responseat long")
+    found = trackers.transaction_roots(records).collect()
+    assert len(found) == len(rows)
+    assert {(r.host, r.root) for r in found} == {("chain", url("chain", 0)), ("outside", url("outside", 0)), ("loop", url("loop", 0)), ("entry", url("loop", 0)), ("self", url("self", 0))}
+
+
 def test_icmp_remarks_with_and_without_ports(spark):
     s = spark.createDataFrame([session(1, proto=1)], model.SESSION_SCHEMA)
     packets = spark.createDataFrame([(0, 7, 1, 5, 0, 3, 3), (0, 8, 1, 6, 0, 3, 3), (0, 9, 1, 7, 0, 3, 3)], "file_seq long, idx long, session_id long, second long, ns long, type long, code long")
