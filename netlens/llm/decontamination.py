@@ -172,7 +172,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 
 def _window_rows(table: DataFrame, window: int, lengths: list[int] | None) -> DataFrame:
-    """(row key, first word, size, hash) of every window; of items: their own lengths, of documents: the given lengths."""
+    """(row key, first word, size, hash) of every window; of items: their own lengths, and the words in lower case, with a
+    space between; of documents: the given lengths."""
     items = lengths is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,9 @@ def _window_rows(table: DataFrame, window: int, lengths: list[int] | None) -> Da
                 starts, ends, tokens = word_spans(data, offsets, ALNUM_WORDS)
                 if not len(starts):
                     continue
-                words = SpanHash(LOWER[data])(starts, ends)
+                low_bytes = LOWER[data]
+                words = SpanHash(low_bytes)(starts, ends)
+                shown = _words(low_bytes, starts, ends) if items else []
                 left = np.searchsorted(tokens, np.arange(len(starts)), "right") - 1
                 counts = np.diff(tokens)
                 for size in range(1, window + 1) if items else lengths:
@@ -193,28 +196,34 @@ def _window_rows(table: DataFrame, window: int, lengths: list[int] | None) -> Da
                         good &= np.minimum(window, counts[left[:n]]) == size
                     k = np.flatnonzero(good)
                     hashes = chain(*(words[j : j + n] for j in range(size)))[k]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("_key").take(pa.array(low + left[k])), pa.array(k - tokens[left[k]], pa.int64()), pa.array(np.full(len(k), size), pa.int32()), pa.array(hashes.view(np.int64))],
-                        names=["_key", "first", "size", "hash"],
-                    )
+                    columns = [batch.column("_key").take(pa.array(low + left[k])), pa.array(k - tokens[left[k]], pa.int64()), pa.array(np.full(len(k), size), pa.int32()), pa.array(hashes.view(np.int64))]
+                    if items:
+                        columns.append(pa.array([b" ".join(shown[j : j + size]) for j in k], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["_key", "first", "size", "hash", "words"][: len(columns)])
+
+    return table.mapInArrow(run, f"_key {dict(table.dtypes)['_key']}, first long, size int, hash long" + (", words binary" if items else ""))
+
 
-    return table.mapInArrow(run, f"_key {dict(table.dtypes)['_key']}, first long, size int, hash long")
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
 
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The same result for a test set of any size: window hashes of both sides meet in a join, and the hit positions
-    come back to their document.  Rows are told apart by id and a hash of the text."""
+    """The same result for a test set of any size: window hashes of both sides meet in a join, and the positions come back
+    to their document with the words of the item's window, which must be the document's.  Rows are told apart by a hash
+    of the text."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     key = F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256)
     source = source.withColumn("_key", key)
     items = _window_rows(benchmark.select(F.col("item_id").cast("string").alias("_key"), F.col("text").alias("_text")), window, None)
-    items = items.select(F.col("_key").alias("item"), "size", "hash").distinct()
+    items = items.select(F.col("_key").alias("item"), "size", "hash", "words").distinct()
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())
     texts = source.select("_key", "_text").dropDuplicates(["_key"])
     found = _window_rows(texts, window, lengths or [window]).join(items, ["size", "hash"])
     hits = found.groupBy("_key").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)))).alias("_hits"),
-        F.collect_set("item").alias("_items"),
+        F.collect_set(F.struct("first", "size", "words")).alias("_hits"),
+        F.collect_set(F.struct("words", "item")).alias("_items"),
     )
     joined = source.join(hits, "_key", "left")
 
@@ -224,21 +233,30 @@ def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int, i
             for low, high, data, offsets in slices(texts):
                 starts, ends, tokens = word_spans(data, offsets, ALNUM_WORDS)
                 part = batch.slice(low, high - low)
-                hits, ids, clean = part.column("_hits").to_pylist(), part.column("_items").to_pylist(), texts.slice(low, high - low).to_pylist()
+                hits, named, clean = part.column("_hits").to_pylist(), part.column("_items").to_pylist(), texts.slice(low, high - low).to_pylist()
+                n_hit, ids = [0] * len(hits), [set() for _ in hits]
                 for k, own in enumerate(hits):
-                    if own:
-                        a, b, base = tokens[k], tokens[k + 1], offsets[k]
-                        flags = np.zeros(b - a, bool)
-                        flags[np.array(own)] = True
-                        clean[k] = _blank_hits(data[offsets[k] : offsets[k + 1]].tobytes(), starts[a:b] - base, ends[a:b] - base, flags).decode("utf-8", "replace")
-                n_hit = [len(x or ()) for x in hits]
+                    if not own:
+                        continue
+                    a, b, base = tokens[k], tokens[k + 1], offsets[k]
+                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                    shown = _words(LOWER[data[base : offsets[k + 1]]], starts[a:b] - base, ends[a:b] - base)
+                    flags, same = np.zeros(b - a, bool), set()
+                    for x in own:
+                        span = slice(x["first"], x["first"] + x["size"])
+                        if b" ".join(shown[span]) == x["words"]:  # the hash only proposes
+                            flags[span] = True
+                            same.add(x["words"])
+                    if same:
+                        n_hit[k], ids[k] = int(flags.sum()), {x["item"] for x in named[k] if x["words"] in same}
+                        clean[k] = _blank_hits(raw, starts[a:b] - base, ends[a:b] - base, flags).decode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(np.diff(tokens), pa.int64()),
                         pa.array(n_hit, pa.int64()),
-                        pa.array([len(x or ()) for x in ids], pa.int64()),
-                        pa.array([_digest(set(x or ())) for x in ids], pa.string()),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([_digest(x) for x in ids], pa.string()),
                         pa.array([x > 0 for x in n_hit], pa.bool_()),
                         pa.array(clean, pa.string()),
                         *[part.column(f"_keep_{c}") for c in keep],

@@ -463,6 +463,16 @@ def test_decontamination(spark, prose, join):
     assert by[155] == "" and by[20] == dict(docs)[20] and by[1] == dict(prose)[1] or by[1] is None
 
 
+def test_decontamination_by_join_compares_words(spark, monkeypatch):
+    """Where all windows of a length have one hash, only those of the same words hit."""
+    docs = [(1, " ".join(f"a{k}" for k in range(30))), (2, " ".join(f"b{k}" for k in range(30))), (3, "x, Y z"), (4, "x y y"), (5, None)]
+    items = [(1, " ".join(f"A{k}" for k in range(5, 17))), (2, "X y z"), (3, " ".join(f"c{k}" for k in range(12)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "chain", lambda *parts: np.full(len(parts[0]), 7, np.uint64))
+    got = decontamination.decontaminate(frame(spark, docs).drop("item_id"), bench, _force_join=True).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 12, 1), (2, 0, 0), (3, 3, 1), (4, 0, 0), (5, 0, 0)]
+
+
 def test_decontamination_edges(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     rows = decontamination.decontaminate(frame(spark, EDGES), empty).collect()
