@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from netlens.llm import common, decontamination, lm_scoring, near_dedup, sentencepiece_codec, sharding, span_dedup, suffix_dedup, token_counts, topk_search, toxicity
 
 #: Columns whose names the operators use inside.
@@ -405,6 +406,64 @@ def test_span_dedup_at_any_offset(spark):
         assert [w for w in own if w in kept] == got[i].split()
 
 
+def plain_pieces(data):
+    """[start, end, first word, words, whether a sentence ends, whether words alone end it] of each piece of a text."""
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", data))
+    own = [lower(m[0].decode()).encode() for m in found]
+    order = [int(common.SpanHash(np.frombuffer(w, np.uint8))(np.array([0]), np.array([len(w)]))[0]) for w in own]
+    marks = [k == len(own) - 1 or w[-1:] in (b".", b"!", b"?") for k, w in enumerate(own)]
+    ends = [m or b"\n" in data[found[k].end() : found[k + 1].start()] for k, m in enumerate(marks)]
+    cuts = list(marks)
+    for k in range(len(own) - 9):
+        if not any(marks[k : k + 9]):
+            least = min(range(k, k + 10), key=lambda j: (order[j], j))
+            if least:
+                cuts[least - 1] = True
+    pieces, begin = [], 0
+    for k in range(len(own)):
+        if ends[k] or cuts[k]:
+            pieces.append((found[begin].start(), found[k + 1].start() if k + 1 < len(own) else len(data), begin, own[begin : k + 1], ends[k], cuts[k]))
+            begin = k + 1
+    return pieces
+
+
+def plain_span_dedup(docs):
+    pieces = {i: plain_pieces((t or "").encode()) for i, t in docs}
+    spans = defaultdict(list)
+    for i, own in sorted(pieces.items()):
+        for k in range(len(own)):
+            for flag in (5, 4):
+                if flag == 4 and k and not own[k - 1][4]:
+                    continue
+                for j in range(k, len(own)):
+                    passage = [w for x in own[k : j + 1] for w in x[3]]
+                    if own[j][flag] and len(passage) >= 20 and sum(x[flag] for x in own[k : j + 1]) >= 2:
+                        spans[tuple(passage)].append((i, k, j))
+                        break
+    gone = defaultdict(set)
+    for places in spans.values():
+        for i, k, j in places:
+            if (i, k) != min(p[:2] for p in places):
+                gone[i].update(range(k, j + 1))
+    clean = {}
+    for i, text in docs:
+        data = (text or "").encode()
+        lead = data[: pieces[i][0][0]] if pieces[i] else data
+        clean[i] = text and (lead + b"".join(data[x[0] : x[1]] for k, x in enumerate(pieces[i]) if k not in gone[i])).decode()
+    return {i: (len(pieces[i]), len(gone[i]), clean[i]) for i, _ in docs}
+
+
+def test_span_dedup_against_plain_code(spark, prose):
+    rng = random.Random(11)
+    endless = [re.sub(r"[.!\n]", "", t or "") for _, t in prose[100:140]]
+    docs = prose + [(1000 + i, "".join(rng.choice(["", "one ", " more\n"])) + t) for i, t in enumerate(endless)]
+    docs += [(2000, None), (2001, " \n "), (2002, "spam " * 120), (2003, "é ü 中文 A b\n" * 30)]
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.clean_text) for r in span_dedup.span_dedup(frame(spark, docs)).collect()}
+    assert got == plain_span_dedup(docs)
+    stage = corpus_pipeline.substring_dedup(spark, frame(spark, docs).select("doc_id", "text", "lang"), "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {i: clean for i, (_, _, clean) in got.items()}
+
+
 def test_span_dedup_of_one_word_repeated(spark):
     rows = span_dedup.span_dedup(frame(spark, [(1, "spam " * 300), (2, "x " + "spam " * 90), (3, "ham eggs " * 200)])).collect()
     left = {r.doc_id: len(r.clean_text.split()) for r in rows}
