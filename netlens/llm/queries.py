@@ -60,9 +60,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from netlens.llm.suffix_dedup import suffix_dedup
+    from netlens.llm.suffix_dedup import REPORT, suffix_dedup
 
-    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept")
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400, report=REPORT).drop("kept")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 A suffix array of a whole corpus would be one global sort.  Strings that can repeat are brought together first, so that
 each task sorts the suffixes of a few megabytes:
 
-* every ``length``-byte string picks an anchor, the least-hashed ``gram`` bytes in it.  Equal strings pick equal anchors
+* every ``report``-byte string picks an anchor, the least-hashed ``gram`` bytes in it.  Equal strings pick equal anchors
   at equal places, so a string can only repeat among the strings of its anchor's hash;
-* consecutive starts with one anchor form a context: the bytes from the first start to the end of the last string.
-  Contexts that are equal as a whole are counted once, with their number;
-* the different contexts of an anchor are suffix-sorted together, and neighbours with ``length`` common bytes repeat.
+* consecutive starts with one anchor form a context: the bytes from the first start to ``length`` bytes after the last,
+  or to the end of the document.  Contexts that are equal as a whole are counted once, with their number;
+* the different contexts of an anchor are suffix-sorted together.  Neighbours with ``length`` common bytes repeat and are
+  removed; neighbours with ``report`` common bytes, a shorter length, are reported only.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import SpanHash, discard, materialize, mix, signed, slices
+from netlens.llm.common import SpanHash, discard, join_counted, materialize, signed, slices
 
 LENGTH, GRAM = 400, 64
+#: Bytes of a repeat that is reported, though shorter than what is removed: 50 words take about as many.
+REPORT = 280
 #: Bytes of contexts that one task sorts, about.
 BIN_BYTES = 2 << 20
 #: Different contexts of an anchor beyond which its strings are counted one by one instead of being sorted.
@@ -33,16 +36,21 @@ BROADCAST_BYTES = 16 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, last start, anchor, anchor hash, context hash) of every context; places within documents."""
+def digest(raw: bytes, extra: int = 0) -> bytes:
+    """128 bits of BLAKE2b: bytes of equal digests count as equal."""
+    return hashlib.blake2b(raw, digest_size=16, salt=extra.to_bytes(8, "little")).digest()
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, more: int = 0) -> tuple[np.ndarray, ...]:
+    """(document, first start, last start, end, anchor, anchor hash) of every context of ``length``-byte strings; places
+    within documents.  A context goes on for ``more`` bytes behind its last string, or to the end of the document."""
     empty = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     counts = np.maximum(sizes - length + 1, 0)
     if not counts.sum():
         return empty, empty, empty, empty, empty, empty
-    span = SpanHash(data)
     at = np.arange(len(data) - gram + 1)
-    grams = span(at, at + gram)
+    grams = SpanHash(data)(at, at + gram)
     key = (grams & ~_LOW) | at.astype(np.uint64)
     width = length - gram + 1
     padded = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -57,10 +65,9 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(anchor)) - 1
     low, high, place = start[first], start[last], anchor[first]
-    whole = mix(span(low, high + length) + (place - low).astype(np.uint64))
     doc = np.searchsorted(offsets, low, "right") - 1
     base = offsets[doc]
-    return doc, low - base, high - base, place - base, signed(grams[place]), signed(whole)
+    return doc, low - base, high - base, np.minimum(high + length + more, offsets[doc + 1]) - base, place - base, signed(grams[place])
 
 
 # ---------------------------------------------------------------- two-stage suffix sorting
@@ -196,34 +203,48 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     return out
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, the flags of the starts whose ``length``-byte string also starts elsewhere among the pieces."""
+def repeated_starts(pieces: list[bytes], counts: list[int], report: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece and its first ``counts`` starts, the flags of the starts whose ``report``-byte string also starts
+    elsewhere among the pieces, and of those whose ``length``-byte string does.  A string never leaves its piece."""
     sizes = np.array([len(p) for p in pieces])
     text = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum(sizes)
-    wanted = np.zeros(len(text), bool)
-    for a, b in zip(ends - sizes, ends, strict=True):
-        wanted[a : max(a, b - length + 1)] = True
+    wanted, whole = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    for a, b, n in zip(ends - sizes, ends, counts, strict=True):
+        wanted[a : a + n] = True
+        whole[a : max(a, min(a + n, b - length + 1))] = True
     order = sort_suffixes(text, wanted, length)
-    near = common_prefixes(text, order, length) >= length
-    marked = np.zeros(len(text), bool)
-    marked[order[near]] = True
-    marked[order[:-1][near[1:]]] = True
-    return [marked[a : max(a, b - length + 1)] for a, b in zip(ends - sizes, ends, strict=True)]
+    near = common_prefixes(text, order, length)
+    found = []
+    for least, able in ((report, wanted), (length, whole)):
+        group = np.cumsum(near < least) - 1  # runs of starts that share so many bytes
+        own = able[order]
+        several = np.bincount(group[own], minlength=len(order)) > 1
+        marked = np.zeros(len(text), bool)
+        marked[order[own & several[group]]] = True
+        found.append(marked)
+    return [tuple(x[a : a + n] for x in found) for a, n in zip(ends - sizes, counts, strict=True)]
 
 
 # ---------------------------------------------------------------- the job
 
 
-def _find(length: int, gram: int):
+def _find(report: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, _, data, offsets in slices(batch.column("_text")):
-                doc, first, last, place, anchor, whole = contexts(data, offsets, length, gram)
+                doc, first, last, end, place, anchor = contexts(data, offsets, report, gram, length - report)
+                raw, base = data.tobytes(), offsets[doc]
+                whole = [digest(raw[a:b], c) for a, b, c in zip((base + first).tolist(), (base + end).tolist(), (place - first).tolist(), strict=True)]
                 rows = pa.array(low + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(place, pa.int64()), pa.array(anchor, pa.int64()), pa.array(whole, pa.int64())],
-                    names=["doc_id", "_key", "first", "last", "place", "anchor", "whole"],
+                    [
+                        batch.column("doc_id").take(rows),
+                        batch.column("_key").take(rows),
+                        *[pa.array(x, pa.int64()) for x in (first, last, end, place, anchor)],
+                        pa.array(whole, pa.binary()),
+                    ],
+                    names=["doc_id", "_key", "first", "last", "end", "place", "anchor", "whole"],
                 )
 
     return run
@@ -244,58 +265,66 @@ def _cut(length: int):
                     edges = sorted({x["first"], x["last"] + 1, *range(x["first"] + (x["place"] - x["first"]) % step, x["last"] + 1, step)})
                     for a, b in zip(edges, edges[1:], strict=False):
                         rows.append(k)
-                        out.append((keys[k], x["anchor"], (x["place"] - b) // step, a, x["n"], raw[a : b - 1 + length]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "_key", "anchor", "block", "start", "n", "bytes"]
-            )
+                        out.append((keys[k], x["anchor"], (x["place"] - b) // step, a, b - a, x["n"], raw[a : b - 1 + length]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64()] * 6 + [pa.binary()]
+            names = ["doc_id", "_key", "anchor", "block", "start", "starts", "n", "bytes"]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=names)
 
     return run
 
 
-def _sorted(length: int):
-    """Removed byte ranges of the contexts of one bin that occur once; the others are there as partners."""
+def _sorted(report: int, length: int):
+    """Repeated byte ranges of the contexts of one bin that occur once, of ``report`` bytes (level 0) and of ``length``
+    bytes (level 1); the other contexts are there as partners."""
 
     def run(table: pa.Table) -> pa.Table:
         pieces = table.column("bytes").to_pylist()
         starts, counts = table.column("start").to_pylist(), table.column("n").to_pylist()
-        rows, low, high = [], [], []
-        for k, flags in enumerate(repeated_starts(pieces, length)):
-            if counts[k] > 1 or not flags.any():
+        rows, level, low, high = [], [], [], []
+        for k, found in enumerate(repeated_starts(pieces, table.column("starts").to_pylist(), report, length)):
+            if counts[k] > 1:
                 continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-            rows += [k] * (len(edges) // 2)
-            low += (starts[k] + edges[::2]).tolist()
-            high += (starts[k] + edges[1::2] - 1 + length).tolist()
+            for own, (flags, size) in enumerate(zip(found, (report, length), strict=True)):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+                rows += [k] * (len(edges) // 2)
+                level += [own] * (len(edges) // 2)
+                low += (starts[k] + edges[::2]).tolist()
+                high += (starts[k] + edges[1::2] - 1 + size).tolist()
         take = pa.array(rows, pa.int64())
-        return pa.table({"doc_id": table.column("doc_id").take(take), "_key": table.column("_key").take(take), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+        return pa.table({"doc_id": table.column("doc_id").take(take), "_key": table.column("_key").take(take), "level": pa.array(level, pa.int32()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
 
     return run
 
 
-def _strings(length: int):
-    """Each string of a context by itself: a hash of its bytes and its place at the anchor."""
+def _strings(report: int, length: int):
+    """Each string of a context by itself, of either length: its digest and its place at the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, text in enumerate(batch.column("bytes")):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                at = np.arange(len(data) - length + 1)
-                n = len(at)
-                rows = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), batch.column("anchor").take(rows), batch.column("n").take(rows), pa.array(batch.column("start")[k].as_py() + at), pa.array(signed(SpanHash(data)(at, at + length)))],
-                    names=["doc_id", "_key", "anchor", "n", "start", "string"],
-                )
+                raw, start, starts = text.as_py(), batch.column("start")[k].as_py(), batch.column("starts")[k].as_py()
+                for level, size in enumerate((report, length)):
+                    at = range(max(0, min(starts, len(raw) - size + 1)))
+                    rows = pa.array([k] * len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *[batch.column(c).take(rows) for c in ("doc_id", "_key", "anchor", "n")],
+                            pa.array([level] * len(at), pa.int32()),
+                            pa.array([start + i for i in at], pa.int64()),
+                            pa.array([start + i + size for i in at], pa.int64()),
+                            pa.array([digest(raw[i : i + size]) for i in at], pa.binary()),
+                        ],
+                        names=["doc_id", "_key", "anchor", "n", "level", "low", "high", "string"],
+                    )
 
     return run
 
 
-def _kept(raw: bytes, ranges: list) -> tuple[bytes, int]:
+def _kept(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:
     """(what is left, maximal removed runs); ranges may overlap or touch."""
     out, at, runs, end = [], 0, 0, -1
-    for low, high in sorted((x["low"], x["high"]) for x in ranges):
+    for low, high in sorted(ranges):
         if low > end:
             runs += 1
             out.append(raw[at:low])
@@ -305,55 +334,72 @@ def _kept(raw: bytes, ranges: list) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, report: int | None = None
+) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts anywhere else, in the same document or another.
 
     Texts are UTF-8 bytes; strings are judged on the input and never cross documents.  Returns id_col, n_bytes, n_removed,
-    n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), kept (those bytes) and the columns in ``keep``.
+    n_spans (maximal removed runs), kept_sha256 (of the remaining bytes), n_repeated, kept (those bytes) and the columns
+    in ``keep``.  n_repeated counts the bytes covered by strings of ``report`` bytes that start elsewhere; they are no reason
+    to remove anything.  ``report`` lies between ``gram`` and ``length``, which it is by default.
 
     A null or empty text, or one shorter than ``length``, keeps all it has; rows that repeat whole are each other's copies
     and lose everything from ``length`` bytes on; a null id is an id like any other; an empty table gives no rows.
 
     An anchor of very many different contexts is cut by the distance between start and anchor, and beyond
-    ``SORTED_CONTEXTS`` its strings are counted one by one, so no group of copies ever fills a task.
+    ``SORTED_CONTEXTS`` its strings are counted one by one; joins deal the rows of a frequent anchor over several tasks.
+    So no group of copies ever fills a task.
     """
-    keep = keep or []
+    keep, report = keep or [], length if report is None else report
+    if not gram <= report <= length:
+        raise ValueError("report must lie between gram and length")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     kind = dict(source.dtypes)["doc_id"]
     plain = source.select("doc_id", "_key", "_text")
-    found = materialize(plain.mapInArrow(_find(length, gram), f"doc_id {kind}, _key long, first long, last long, place long, anchor long, whole long"), "suffix-contexts")
-    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = materialize(found.join(common, "anchor"), "suffix-shared")
-    discard(found)
-    counted = materialize(shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_key", "first", "last", "place")).alias("one")), "suffix-counted")
-
-    copies = shared.join(counted.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("doc_id", "_key", F.col("first").alias("low"), (F.col("last") + length).alias("high"))
+    spread = ["doc_id", "_key", "first"]
+    found = materialize(plain.mapInArrow(_find(report, length, gram), f"doc_id {kind}, _key long, first long, last long, end long, place long, anchor long, whole binary"), "suffix-contexts")
+    common = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-common")
+    shared = materialize(join_counted(found, common, ["anchor"], spread), "suffix-shared")
+    discard(found, common)
+    counted = materialize(shared.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_key", "first", "last", "end", "place")).alias("one")), "suffix-counted")
+
+    several = materialize(counted.where("n > 1").select("anchor", "whole", "n"), "suffix-several")
+    equal = join_counted(shared, several, ["anchor", "whole"], spread)
+    levels = F.array(
+        F.struct(F.lit(0).alias("level"), F.col("first").alias("low"), (F.col("last") + report).alias("high")),
+        F.struct(F.lit(1).alias("level"), F.col("first").alias("low"), F.least(F.col("last") + length, "end").alias("high")),
+    )
+    copies = equal.select("doc_id", "_key", F.explode(levels).alias("x")).select("doc_id", "_key", "x.*").where(f"level = 0 OR high - low >= {length}")
 
     # anchors with several contexts of which one at least occurs once: the sorter decides
-    width = (F.col("one.last") - F.col("one.first") + length).cast("long")
+    width = (F.col("one.end") - F.col("one.first")).cast("long")
     mixed = counted.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.sum(width).alias("bytes")).where("m > 1 AND least = 1")
     step = F.greatest(F.lit(1), F.floor(F.lit(length) / F.greatest(F.lit(1), F.ceil(F.col("bytes") / BIN_BYTES)))).cast("int")
-    chosen = counted.join(mixed.select("anchor", step.alias("step"), (F.col("m") > SORTED_CONTEXTS).alias("many"), "bytes"), "anchor")
-    chosen = materialize(chosen.select("one.*", "anchor", "n", "many", F.when(F.col("many"), length).otherwise(F.col("step")).alias("step")), "suffix-chosen")
-    total = chosen.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + length), F.lit(0))).first()[0]
+    many = F.col("m") > SORTED_CONTEXTS
+    mixed = materialize(mixed.select("anchor", F.when(many, length).otherwise(step).alias("step"), many.alias("many"), F.col("m").alias("n")), "suffix-mixed")
+    chosen = join_counted(counted.select("anchor", "one", F.col("n").alias("copies")), mixed, ["anchor"], ["one"])
+    chosen = materialize(chosen.select("one.*", "anchor", F.col("copies").alias("n"), "many", "step"), "suffix-chosen")
+    total = chosen.agg(F.coalesce(F.sum(F.col("end") - F.col("first")), F.lit(0))).first()[0]
     bins = max(1, -(-total // BIN_BYTES))
 
     def fetched(rows: DataFrame) -> DataFrame:
         lists = rows.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "place", "step")).alias("wanted"))  # as many as the text has anchors
         lists = lists.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "wanted")
         joined = plain.join(lists, plain["doc_id"].eqNullSafe(F.col("_id")) & (plain["_key"] == F.col("_k")))
-        return joined.select("doc_id", "_key", "_text", "wanted").mapInArrow(_cut(length), f"doc_id {kind}, _key long, anchor long, block long, start long, n long, bytes binary")
+        return joined.select("doc_id", "_key", "_text", "wanted").mapInArrow(_cut(length), f"doc_id {kind}, _key long, anchor long, block long, start long, starts long, n long, bytes binary")
 
     pieces = fetched(chosen.where("NOT many")).withColumn("bin", F.pmod(F.xxhash64("anchor", "block"), F.lit(bins)).cast("int"))
-    sorted_ = pieces.groupBy("bin").applyInArrow(_sorted(length), f"doc_id {kind}, _key long, low long, high long")
+    sorted_ = pieces.groupBy("bin").applyInArrow(_sorted(report, length), f"doc_id {kind}, _key long, level int, low long, high long")
     ranges = copies.unionByName(sorted_)
     if chosen.where("many").limit(1).count():
-        strings = fetched(chosen.where("many")).mapInArrow(_strings(length), f"doc_id {kind}, _key long, anchor long, n long, start long, string long")
-        twice = strings.groupBy("anchor", "string").agg(F.sum("n").alias("c")).where("c > 1").select("anchor", "string")
-        ranges = ranges.unionByName(strings.where("n = 1").join(twice, ["anchor", "string"]).select("doc_id", "_key", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
+        strings = fetched(chosen.where("many")).mapInArrow(_strings(report, length), f"doc_id {kind}, _key long, anchor long, n long, level int, low long, high long, string binary")
+        twice = strings.groupBy("anchor", "level", "string").agg(F.sum("n").alias("c")).where("c > 1").select("anchor", "level", "string")
+        ranges = ranges.unionByName(strings.where("n = 1").join(twice, ["anchor", "level", "string"]).select("doc_id", "_key", "level", "low", "high"))
 
-    gone = ranges.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    gone = ranges.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("level", "low", "high")).alias("ranges"))
     gone = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "ranges"), "suffix-ranges")
+    discard(shared, counted, several, mixed, chosen)
     weight = gone.agg(F.coalesce(F.sum(F.size("ranges") * 32 + 64), F.lit(0))).first()[0]
     small = F.broadcast(gone) if weight <= BROADCAST_BYTES else gone
     joined = source.join(small, source["doc_id"].eqNullSafe(F.col("_id")) & (source["_key"] == F.col("_k")), "left").drop("_id", "_k")
@@ -361,20 +407,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, own = batch.column("_text").to_pylist(), batch.column("ranges").to_pylist()
-            sizes, removed, runs, sums, left = [], [], [], [], []
+            sizes, removed, runs, sums, left, repeated = [], [], [], [], [], []
             for text, cut in zip(texts, own, strict=True):
                 raw = (text or "").encode()
-                rest, n = _kept(raw, cut) if cut else (raw, 0)
+                seen, gone = ([(x["low"], x["high"]) for x in cut or [] if x["level"] == k] for k in (0, 1))
+                rest, n = _kept(raw, gone) if gone else (raw, 0)
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(rest))
                 runs.append(n)
                 sums.append(hashlib.sha256(rest).hexdigest())
+                repeated.append(len(raw) - len(_kept(raw, seen)[0]) if seen else 0)
                 left.append(rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums, pa.string()), pa.array(left, pa.binary()), *[batch.column(f"_keep_{c}") for c in keep]],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *keep],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums, pa.string()), pa.array(repeated, pa.int64()), pa.array(left, pa.binary()), *[batch.column(f"_keep_{c}") for c in keep]],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept", *keep],
             )
 
     types = dict(source.dtypes)
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", `{c}` {types[f'_keep_{c}']}" for c in keep)
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary" + "".join(f", `{c}` {types[f'_keep_{c}']}" for c in keep)
     return joined.mapInArrow(run, schema)

@@ -233,6 +233,23 @@ def test_suffix_dedup(spark, prose, monkeypatch, case):
     assert sorted(repr(tuple(r)) for r in got) == removed(docs, 80)
 
 
+@pytest.mark.parametrize("case", ["plain", "cut", "strings", "hot"])
+def test_suffix_reports_shorter_repeats(spark, prose, monkeypatch, case):
+    """n_repeated counts bytes of repeats of ``report`` bytes; what is removed stays that of ``length`` bytes."""
+    if case == "cut":
+        monkeypatch.setattr(suffix_dedup, "BIN_BYTES", 500)
+    if case == "strings":
+        monkeypatch.setattr(suffix_dedup, "SORTED_CONTEXTS", 3)
+    if case == "hot":
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+    docs = prose + [(d, t) for d, t in EDGES if d is not None and d > 6] + [(300, "ab" * 300), (301, prose[120][1][-100:]), (302, prose[121][1][:70])]
+    got = suffix_dedup.suffix_dedup(frame(spark, docs), length=80, gram=24, report=50).collect()
+    assert sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == removed(docs, 80)
+    reported = Counter((r.doc_id, r.n_repeated) for r in got)
+    assert reported == Counter(eval(x)[:3:2] for x in removed(docs, 50))
+    assert any(r.n_repeated > 0 == r.n_removed for r in got)
+
+
 def test_suffix_edges(spark):
     got = suffix_dedup.suffix_dedup(frame(spark, EDGES), keep=["lang"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(repr(tuple(r)) for r in got) == removed(EDGES, 400)
