@@ -27,7 +27,11 @@ LENGTH, GRAM = 400, 64
 #: Bytes of a repeat that is reported, though shorter than what is removed: 50 words take about as many.
 REPORT = 280
 #: Bytes of contexts that one task sorts, about.
-BIN_BYTES = 2 << 20
+BIN_BYTES = 1 << 20
+#: Bytes of texts whose contexts are looked for in one pass, about.
+FIND_BYTES = 1 << 19
+#: Texts whose contexts, or whose results, a task holds as Python objects at once.
+ROWS = 250
 #: Different contexts of an anchor beyond which its strings are counted one by one instead of being sorted.
 SORTED_CONTEXTS = 50_000
 #: Bytes of removal lists that may be broadcast to the texts; more are joined by a shuffle.
@@ -229,10 +233,16 @@ def repeated_starts(pieces: list[bytes], counts: list[int], report: int, length:
 # ---------------------------------------------------------------- the job
 
 
+def in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def _find(report: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, _, data, offsets in slices(batch.column("_text")):
+            for low, _, data, offsets in slices(batch.column("_text"), FIND_BYTES):
                 doc, first, last, end, place, anchor = contexts(data, offsets, report, gram, length - report)
                 raw, base = data.tobytes(), offsets[doc]
                 whole = [digest(raw[a:b], c) for a, b, c in zip((base + first).tolist(), (base + end).tolist(), (place - first).tolist(), strict=True)]
@@ -255,7 +265,7 @@ def _cut(length: int):
     equal distances from the anchor, so contexts may be cut by that distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             ids, keys = batch.column("doc_id"), batch.column("_key").to_pylist()
             rows, out = [], []
             for k, (text, wanted) in enumerate(zip(batch.column("_text"), batch.column("wanted"), strict=True)):
@@ -405,7 +415,7 @@ def suffix_dedup(
     joined = source.join(small, source["doc_id"].eqNullSafe(F.col("_id")) & (source["_key"] == F.col("_k")), "left").drop("_id", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             texts, own = batch.column("_text").to_pylist(), batch.column("ranges").to_pylist()
             sizes, removed, runs, sums, left, repeated = [], [], [], [], [], []
             for text, cut in zip(texts, own, strict=True):
