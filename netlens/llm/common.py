@@ -7,9 +7,11 @@ tokenising and hashing are a handful of numpy passes over many documents instead
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,19 @@ SLICE_BYTES = 1 << 20
 HOT_ROWS, HOT_KEYS = 50_000, 100_000
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder every executor sees: ``spark.checkpoint.dir``.  Only in local mode, as in tests, it may be unset: then it is
+    a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="netlens-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -50,6 +56,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in sorted buckets of ``keys`` and read it: joins by these keys do not shuffle it."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/netlens/{table}"
+    n = partitions(spark)
+    _written.append((spark, path))
+    _tables.append((spark, table))
+    df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that nothing will read again."""
     for df in frames:
@@ -67,14 +85,37 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
+    for spark, table in _tables:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the JVM may be gone already at interpreter exit
+            return
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is not None:
                 _remove(spark, path)
-        except Exception:  # the JVM may be gone already at interpreter exit
+        except Exception:
             return
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """For a step whose result is written: gives a :func:`materialize` for the result, and removes all else that was
+    written inside at the end."""
+    before, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_written[-1])
+        return out
+
+    yield keep
+    for item in _written[before:]:
+        if item not in kept:
+            _remove(*item)
+    _written[before:] = kept
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of reduce-side groups to aim at: what the session's shuffles use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -15,50 +15,49 @@ from netlens.llm.common import ALNUM_WORDS, LOWER, SpanHash, chain, slices, word
 
 #: Words of a window.  An item with fewer words is one window of its own length.
 WINDOW = 10
-#: Test text that may be broadcast; a larger test set is joined block by block instead.
+#: Bytes of packed windows (:meth:`Windows.nbytes`) that may be broadcast; a larger test set is joined instead.
 BROADCAST_BYTES = 32 << 20
-
-
-def normalise(text: str | None) -> list[str]:
-    """Lower-case A-Z, words of digits, letters and any non-ASCII characters."""
-    data = (text or "").encode()
-    spans = word_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM_WORDS)
-    low = data.translate(LOWER.tobytes())
-    return [low[a:b].decode() for a, b in zip(spans[0], spans[1], strict=True)]
+#: Bytes of a packed window beside its text: hash, two places, item.
+WINDOW_BYTES = 24
 
 
 @dataclass
 class Windows:
-    """The windows of a test set: by length, the sorted window hashes, and for each the words and the items that have it."""
+    """The windows of a test set, packed: all items' words in lower case with a space between in one blob, and by length
+    the sorted window hashes with each window's place in the blob and its item's place in ``names``."""
 
-    by_length: dict[int, tuple[np.ndarray, list[list[tuple[tuple[str, ...], list]]]]]
+    blob: bytes
+    names: list[str]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def nbytes(self) -> int:
+        return len(self.blob) + sum(x.nbytes for own in self.by_length.values() for x in own)
 
 
 def build(items: list[tuple], window: int = WINDOW) -> Windows:
-    found: dict[int, dict[tuple[str, ...], set]] = {}
-    for item, text in items:
-        words = normalise(text)
-        if not words:
-            continue
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1):
-            found.setdefault(size, {}).setdefault(tuple(words[k : k + size]), set()).add(item)
+    texts = [(text or "").encode() for _, text in items]
+    data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    starts, ends, tokens = word_spans(data, offsets, ALNUM_WORDS)
+    names = sorted({str(item) for item, _ in items})
+    if not len(starts):
+        return Windows(b"", names, {})
+    blob = b" ".join(_words(data, starts, ends))
+    stop = np.cumsum(ends - starts + 1) - 1
+    first = stop - (ends - starts)
+    number = {name: k for k, name in enumerate(names)}
+    own_item = np.array([number[str(item)] for item, _ in items], np.int32)
+    words, item = SpanHash(data)(starts, ends), np.searchsorted(tokens, np.arange(len(starts)), "right") - 1
+    sizes = np.minimum(window, np.diff(tokens))
     by_length = {}
-    for size, windows in sorted(found.items()):
-        hashed: dict[int, list] = {}
-        for words, ids in windows.items():
-            hashed.setdefault(_hash_words(words), []).append((words, sorted(map(str, ids))))
-        keys = np.array(sorted(hashed), np.uint64)
-        by_length[size] = (keys, [hashed[int(k)] for k in keys])
-    return Windows(by_length)
-
-
-def _hash_words(words: tuple[str, ...]) -> int:
-    hashes = []
-    for w in words:
-        data = np.frombuffer(w.encode(), np.uint8)
-        hashes.append(SpanHash(data)(np.array([0]), np.array([len(data)])))
-    return int(chain(*hashes)[0])
+    for size in sorted(set(sizes[sizes > 0].tolist())):
+        n = len(starts) - size + 1
+        k = np.flatnonzero((item[:n] == item[size - 1 :]) & (sizes[item[:n]] == size))
+        hashes = chain(*(words[j : j + n] for j in range(size)))[k]
+        order = np.argsort(hashes, kind="stable")
+        k = k[order]
+        by_length[size] = (hashes[order], first[k], stop[k + size - 1], own_item[item[k]])
+    return Windows(blob, names, by_length)
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set]]:
@@ -71,21 +70,29 @@ def scan(data: np.ndarray, offsets: np.ndarray, windows: Windows) -> tuple[np.nd
         return starts, ends, tokens, hit, items
     words = SpanHash(low)(starts, ends)
     left = np.searchsorted(tokens, np.arange(len(starts)), "right") - 1  # document of each token
-    for size, (keys, entries) in windows.by_length.items():
+    for size, (keys, first, stop, item) in windows.by_length.items():
         n = len(starts) - size + 1
         if n <= 0:
             continue
         hashes = chain(*(words[k : k + n] for k in range(size)))
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         for k in np.flatnonzero((keys[at] == hashes) & (left[:n] == left[size - 1 :])):
-            own = tuple(low[a:b].tobytes().decode() for a, b in zip(starts[k : k + size], ends[k : k + size], strict=True))
-            for known, ids in entries[at[k]]:
-                if known == own:  # the hash only proposes
+            own = b" ".join(_words(low, starts[k : k + size], ends[k : k + size]))
+            for j in range(at[k], np.searchsorted(keys, hashes[k], "right")):
+                if windows.blob[first[j] : stop[j]] == own:  # the hash only proposes
                     hit[k : k + size] = True
-                    items[left[k]].update(ids)
+                    items[left[k]].add(windows.names[item[j]])
     return starts, ends, tokens, hit, items
 
 
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    if not len(starts):
+        return []
+    base = int(starts[0])
+    raw = data[base : int(ends[-1])].tobytes()
+    return [raw[a:b] for a, b in zip((starts - base).tolist(), (ends - base).tolist(), strict=True)]
+
+
 def _digest(ids: set) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
@@ -108,14 +115,12 @@ def _blank_hits(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarr
     return b"".join(out)
 
 
-def _windows_of(benchmark: DataFrame, window: int) -> list[Windows] | None:
-    """The test set as one or more blocks of windows; each block is small enough to broadcast."""
+def _windows_of(benchmark: DataFrame, window: int) -> Windows | None:
+    """The packed windows of a test set, none if they are too large to broadcast; their size is known before they are built."""
     own = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where("text is not null")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    if blocks == 1:
-        return [build([tuple(r) for r in own.collect()], window)]
-    return None
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + words * WINDOW_BYTES), F.lit(0))).first()[0]
+    return build([tuple(r) for r in own.collect()], window) if size <= BROADCAST_BYTES else None
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, _force_join: bool = False) -> DataFrame:
@@ -124,9 +129,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     Returns id_col, n_words, n_hit, n_items, items_sha256, contaminated, clean_text and the columns named in ``keep``.
 
-    Up to ``BROADCAST_BYTES`` of test text the windows are broadcast as a hash set and each partition scans its texts
-    alone: no shuffle.  The size is measured first.  A larger test set goes to :func:`_decontaminate_by_join`, which
-    joins window hashes and broadcasts nothing.
+    Up to ``BROADCAST_BYTES`` of packed windows are broadcast and each partition scans its texts alone: no shuffle.  The
+    size is measured first.  A larger test set goes to :func:`_decontaminate_by_join`, which joins window hashes and
+    broadcasts nothing.  Either way a hash only proposes a hit and the words decide, so the rows are the same.
 
     A null or empty text has no words and is clean; a null or empty test item has no windows; equal items all count;
     repeated rows each give their row.
@@ -135,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     sets = None if _force_join else _windows_of(benchmark, window)
     if sets is None:
         return _decontaminate_by_join(docs, benchmark, window, id_col, text_col, keep)
-    windows = docs.sparkSession.sparkContext.broadcast(sets[0])
+    windows = docs.sparkSession.sparkContext.broadcast(sets)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +209,6 @@ def _window_rows(table: DataFrame, window: int, lengths: list[int] | None) -> Da
     return table.mapInArrow(run, f"_key {dict(table.dtypes)['_key']}, first long, size int, hash long" + (", words binary" if items else ""))
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
-
-
 def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """The same result for a test set of any size: window hashes of both sides meet in a join, and the positions come back
     to their document with the words of the item's window, which must be the document's.  Rows are told apart by a hash

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, chain, discard, materialize, partitions, slices, word_spans
+from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, chain, discard, join_counted, materialize, partitions, slices, word_spans
 
 #: Values of a sketch, and the chance at which a link at the very threshold may look too weak in its sketches.
 SKETCH, MISS = 64, 1e-9
@@ -23,6 +23,8 @@ BROADCAST_SKETCHES = 16 << 20
 ROWS_A_TASK = 20_000
 #: Lists of so many nodes at most turn into pairs; the nodes of longer lists are compared in blocks of so many.
 LIST_PAIRS, BLOCK = 64, 2048
+#: Nodes of a large cluster that all its nodes are compared with first.
+LEADS = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +117,36 @@ def _jaccard(num: int, den: int):
     return run
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, value, size of its set) of every value."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column("set")]
+            sizes = np.array([len(x) for x in sets])
+            rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            yield pa.RecordBatch.from_arrays([part.column("nid").take(rows), pa.array(np.concatenate(sets)), pa.array(np.repeat(sizes, sizes))], names=["nid", "v", "size"])
+
+
+def _to_leads(num: int, den: int):
+    """Links of every node to the leads of its cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for nid, own, leads in zip(batch.column("nid").to_pylist(), batch.column("set"), batch.column("leads"), strict=True):
+                x = np.frombuffer(own.as_py(), np.uint64)
+                for lead in leads.as_py():
+                    y = np.frombuffer(lead["set"], np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if nid != lead["nid"] and den * both >= num * (len(x) + len(y) - both):
+                        a.append(lead["nid"])
+                        b.append(nid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the sizes of the pairwise intersections.  Only values of two sets and more count: frequent ones by a
     product of membership matrices, rare ones by adding up their few pairs."""
@@ -144,8 +176,8 @@ def _block(num: int, den: int):
     """Links among the sets of one block, enough of them to connect what they connect."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("nid").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        ids, place = np.unique(table.column("nid").to_numpy(), return_index=True)  # a node may stand on both sides
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").take(pa.array(place)).to_pylist()]
         sizes = np.array([len(x) for x in sets], np.float64)
         both = intersections(sets).astype(np.float64)
         linked = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
@@ -230,9 +262,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
        that retain it.  A link at the threshold shows at least t shared values in the union sketch (all but ``MISS`` of
        the time), so two linked nodes still meet if each enters only its k-t+1 rarest values; values that a common
        passage brings into many texts are the last to be entered.
-    3. A list of up to ``LIST_PAIRS`` nodes gives its pairs.  A longer one never does: its nodes are compared in blocks
-       inside tasks, which return no more links than nodes (see ``compared``).
-    4. The union-sketch estimate drops weak pairs; the full sets decide on the rest, and on all in the blocks.
+    3. A list of up to ``LIST_PAIRS`` nodes gives its pairs.  A longer one never does: lists that share nodes form a
+       cluster, and one of up to ``BLOCK`` nodes is compared inside a task, which returns no more links than nodes.
+    4. Larger clusters enter the rarest values of their full sets in new lists, where texts that only share a passage
+       part.  What still meets in long lists is compared with a few leads of its cluster first; only nodes outside the
+       largest group that this connects are compared with all others, in blocks.
+    5. The union-sketch estimate drops weak pairs; the full sets decide on the rest, and on all in the blocks.
 
     A null or empty text, or one without words, has no shingles: it is linked with nothing and is its own component.
     Rows with equal ids share a row's fate only if their texts are linked.  A null id never becomes a component id unless
@@ -283,27 +318,79 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
         full = likely.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("set_b")), "b")
         return materialize(_sized(full, 10 * n).mapInArrow(_jaccard(num, den), "a long, b long"), "near-links")
 
-    def compared(members: DataFrame) -> DataFrame:
-        """Links among the members (v, nid) of long lists.
+    def clustered(members: DataFrame) -> DataFrame:
+        """(nid, comp): lists (v, nid) that share nodes form one cluster, so nodes that meet in many lists are compared once."""
+        heads = members.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("a"))
+        ties = join_counted(members, materialize(heads, "near-heads"), ["v"], ["nid"]).where("nid <> a").select("a", F.col("nid").alias("b"))
+        return components(ties.distinct())
 
-        Lists that share nodes form one cluster, so two nodes that meet in many lists are compared once.  A cluster is
-        dealt into blocks of about BLOCK nodes, and a task compares two blocks (or one with itself) by matrix products of
-        full sets.  Its result connects what is linked and has no more rows than nodes.
-        """
-        clusters = components(members.join(members.groupBy("v").agg(F.min("nid").alias("a")), "v").where("nid <> a").select("a", F.col("nid").alias("b")).distinct())
-        n = clusters.count()
-        sizes = clusters.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        dealt = clusters.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("nid", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        rows = sets_of(clusters.select("nid"), n).join(dealt, "nid")
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Links among the rows (nid, set) of each block (comp, lo, hi), enough to connect what is linked."""
         return materialize(rows.groupBy("comp", "lo", "hi").applyInArrow(_block(num, den), "a long, b long"), "near-links")
 
-    fits = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    def compared(members: DataFrame) -> DataFrame:
+        """Links among the members (v, nid) of long lists: clusters of one block in that block, larger ones by :func:`deeper`."""
+        clusters = clustered(members)
+        n = clusters.count()
+        large = materialize(clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "near-large")
+        small = clusters.join(large, "comp", "left_anti")
+        zero = F.lit(0).alias
+        links = in_blocks(sets_of(small.select("nid"), n).join(small, "nid").select("nid", "set", "comp", zero("lo"), zero("hi")))
+        return links if large.isEmpty() else links.unionByName(deeper(join_counted(clusters, large, ["comp"], ["nid"]).select("nid"), n))
+
+    def deeper(nodes: DataFrame, n: int) -> DataFrame:
+        """Links among the nodes of large clusters.  Linked sets x and y share num / den of the larger one at least, so they
+        meet in a value even if each enters only its |x| - ceil(|x| num / den) + 1 rarest values, now of the full set.
+        Texts that share a passage but differ otherwise part here; lists that are still long are near copies for the most."""
+        sets = materialize(sets_of(nodes, n), "near-sets")
+        values = materialize(sets.mapInArrow(_values, "nid long, v long, size long"), "near-values")
+        often = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        often = materialize(often.withColumn("f", F.col("n")), "near-often")
+        held = join_counted(values, often, ["v"], ["nid"]).groupBy("nid", "size").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("held"))  # as many as the set has
+        least = F.ceil(F.col("size") * F.lit(num) / F.lit(den))
+        rare = held.withColumn("room", (F.size("held") - least + 1).cast("int")).where("room > 0")
+        entries = materialize(rare.select("nid", F.col("size").alias("n"), F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.v").alias("v"), "nid", "n"), "near-entries")
+        lists = materialize(entries.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-lists")
+        links = paired(join_counted(entries, lists.where(F.col("n") <= LIST_PAIRS), ["v"], ["nid"]))
+        long = materialize(join_counted(entries, lists.where(F.col("n") > LIST_PAIRS), ["v"], ["nid"]).select("v", "nid"), "near-long")
+        discard(values, often)
+        return links if long.isEmpty() else links.unionByName(dense(clustered(long), sets))
+
+    def dense(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among the nodes of clusters of near copies: all are compared with a few leads first, which connects most
+        of them.  Then only those outside a cluster's largest group are compared with all of it, block by block."""
+        rows = materialize(sets.join(clusters, "nid"), "near-dense")
+        leads = clusters.groupBy("comp", F.pmod(F.xxhash64("nid"), F.lit(LEADS)).alias("k")).agg(F.min("nid").alias("nid")).select("nid")
+        chosen = rows.join(leads, "nid", "left_semi").groupBy("comp").agg(F.collect_list(F.struct("nid", "set")).alias("leads"))  # LEADS at most
+        chosen = materialize(chosen.join(clusters.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp"), "near-leads")
+        links = materialize(join_counted(rows, chosen, ["comp"], ["nid"]).mapInArrow(_to_leads(num, den), "a long, b long"), "near-links")
+        labels = clusters.withColumn("label", F.col("nid"))
+        if not links.isEmpty():
+            labels = clusters.join(components(links).withColumnRenamed("comp", "l"), "nid", "left").select("nid", "comp", F.coalesce("l", "nid").alias("label"))
+        labels = materialize(labels, "near-labels")
+        groups = labels.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("c"))
+        main = groups.groupBy("comp").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("c"))
+        blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+        main = materialize(main.where("n > c").select("comp", "main", "n", blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("c")).alias("rest")), "near-main")
+        if main.isEmpty():
+            return links
+        own = join_counted(rows.join(labels.select("nid", "label"), "nid"), main, ["comp"], ["nid"])
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        place = lambda n, seed: F.pmod(F.xxhash64("nid", F.lit(seed)), F.col(n)).cast("int")
+        one = own.select("nid", "set", "comp", every("rest").alias("lo"), place("all", 1).alias("hi"))
+        two = own.where("label <> main").select("nid", "set", "comp", place("rest", 2).alias("lo"), every("all").alias("hi"))
+        return links.unionByName(in_blocks(one.unionByName(two)))
+
+    def paired(short: DataFrame) -> DataFrame:
+        """Links among the nodes (v, nid, n) that meet in short lists."""
+        other = short.select("v", F.col("nid").alias("x"), F.col("n").alias("m"))
+        fits = F.least("n", "m") * den >= F.greatest("n", "m") * num
+        return verified(short.join(other, "v").where((F.col("nid") < F.col("x")) & fits).select(F.col("nid").alias("a"), F.col("x").alias("b")).distinct())
+
     lists = index.groupBy("v").agg(F.count(F.lit(1)).alias("all"))
     long = materialize(index.join(lists.where(F.col("all") > LIST_PAIRS).select("v"), "v").select("v", "nid"), "near-long")
     short = index.join(lists.where(F.col("all").between(2, LIST_PAIRS)).select("v"), "v")
-    other = short.select("v", F.col("nid").alias("x"), F.col("n").alias("m"))
-    links = verified(short.join(other, "v").where((F.col("nid") < F.col("x")) & fits).select(F.col("nid").alias("a"), F.col("x").alias("b")).distinct())
+    links = paired(short)
     if not long.isEmpty():
         links = links.unionByName(compared(long))
     labels = None if links.isEmpty() else components(links)

@@ -59,6 +59,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(_table(spark, sf_dir, "documents"), held_out=crc % 10 == 0, deleted=F.floor(crc / 10) % 8 == 0)
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can give, for comparison."""
+    scored = op1_lm_scoring(spark, sf_dir)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netlens.llm.suffix_dedup import REPORT, suffix_dedup
 
@@ -89,23 +95,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_span_dedup": op8_span_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_topk_search": op10_topk_search,
+        "lm_base_scores": lm_base_scores,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk_search": OP10_SQL}
-
-
-#: Sign codes compared bit by bit, by brute force.
-OP10_SQL = """
-WITH codes AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
-), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
-         CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
-  FROM codes q JOIN codes c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
-), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance FROM pairs
-)
-SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
-"""
+    from netlens.llm import oracles
+
+    return {
+        "op5_near_dedup": oracles.OP5_SQL,
+        "op7_sharding": oracles.OP7_SQL,
+        "op9_decontamination": oracles.OP9_SQL,
+        "op10_topk_search": oracles.OP10_SQL,
+        "lm_base_scores": oracles.LM_BASE_SQL,
+    }

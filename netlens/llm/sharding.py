@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
         F.crc32(text).cast("long").alias("text_crc32"),
         place(key, topology(n_shards, n_shards)).alias("shard"),
         grown.alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(buckets)).cast("int").alias("bucket"),
+        (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("slot"), key, F.crc32(text).cast("string")).cast("binary")), 1, 3), 16, 10).cast("int") % buckets).alias("bucket"),
     )
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +58,28 @@ def _stops(first: np.ndarray, end: np.ndarray, start: np.ndarray, closing: np.nd
     return np.concatenate([marked, [len(first)]])[np.minimum(at, len(marked))]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """(document, first piece in it, last piece in it, hash) of every span: from each piece to a cut by words, and from
-    each sentence to the end of a sentence.
+def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(words with A-Z in lower case and one space between, where each begins there, where each ends there)."""
+    sizes = ends - starts
+    last = np.cumsum(sizes + 1) - 1
+    first = last - sizes
+    out = np.full(int(last[-1]) + 1 if len(last) else 0, ord(" "), np.uint8)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(first, sizes) + place] = LOWER[data[np.repeat(starts, sizes) + place]]
+    return out.tobytes(), first, last
 
-    The hash covers the words in order with A-Z in lower case; white space does not matter.
+
+def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, digests: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, first piece in it, last piece in it, hash, whether it is a whole document, digest if asked for) of every
+    span: from each piece to a cut by words, and from each sentence to the end of a sentence.  A document without such a
+    span is one span as a whole.
+
+    The hash, and the 128-bit digest, cover the words in order with A-Z in lower case; white space does not matter.
     """
     starts, ends, first, end, doc, final, worded = sentences(data, offsets)
     if not len(first):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty.astype(bool), []
     words = token_hash(SpanHash(LOWER[data])(starts, ends))
     pieces = np.arange(len(first))
     opening = np.flatnonzero(np.concatenate([[True], final[:-1]]))
@@ -76,19 +89,32 @@ def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words:
     start, stop = start[stop < len(first)], stop[stop < len(first)]
     good = doc[start] == doc[stop]
     start, stop = start[good], stop[good]
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    tail = np.append(head[1:], len(first)) - 1
+    bare = ~np.isin(doc[head], doc[start])
+    whole = np.concatenate([np.zeros(len(start), bool), np.ones(int(bare.sum()), bool)])
+    start, stop = np.concatenate([start, head[bare]]), np.concatenate([stop, tail[bare]])
     origin = np.searchsorted(doc, doc[start])
-    return doc[start], start - origin, stop - origin, signed(words(first[start], end[stop]))
+    sums = []
+    if digests:
+        text, low, high = compact(data, starts, ends)
+        marks = zip(low[first[start]].tolist(), high[end[stop] - 1].tolist(), whole.tolist(), strict=True)
+        sums = [hashlib.blake2b(text[a:b], digest_size=16, person=b"whole" if w else b"span").digest() for a, b, w in marks]
+    return doc[start], start - origin, stop - origin, signed(words(first[start], end[stop])), whole, sums
 
 
-def _rows(min_sentences: int, min_words: int):
+def _rows(min_sentences: int, min_words: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, _, data, offsets in slices(batch.column("_text")):
-                doc, first, last, hashes = spans(data, offsets, min_sentences, min_words)
+                doc, first, last, hashes, whole, sums = spans(data, offsets, min_sentences, min_words, digests)
+                if not digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(whole)], names=["hash", "whole"])
+                    continue
                 rows = pa.array(low + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes)],
-                    names=["doc_id", "_key", "first", "last", "hash"],
+                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes), pa.array(whole), pa.array(sums, pa.binary())],
+                    names=["doc_id", "_key", "first", "last", "hash", "whole", "digest"],
                 )
 
     return run
@@ -129,9 +155,10 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
 
     Sentences are cut into pieces by content (see :func:`sentences`), and pieces count as sentences.  From every piece
     starts a span: the shortest run of at least ``min_sentences`` pieces with at least ``min_words`` words that ends at a
-    cut by words; from every sentence also the shortest such run of whole sentences.  Spans meet by hash: repeated hashes
-    are counted first, and of their spans the first, by (id, text hash, piece), stays.  Where a passage is longer than a
-    span, its overlapping spans cover it but for less than two pieces at either edge.
+    cut by words; from every sentence also the shortest such run of whole sentences.  A text too short for any span is
+    one span, which meets only other such texts.  Repeated 64-bit hashes are counted first; among their spans those of
+    one 128-bit digest of the words are equal, and of these the first, by (id, text hash, piece), stays.  Where a passage
+    is longer than a span, its overlapping spans cover it but for less than two pieces at either edge.
 
     Returns id_col, n_sentences, n_removed, n_spans (maximal removed runs), clean_text and the columns in ``keep``.
 
@@ -146,12 +173,13 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     types = dict(source.dtypes)
-    rows = source.select("doc_id", "_key", "_text").mapInArrow(_rows(min_sentences, min_words), f"doc_id {types['doc_id']}, _key long, first int, last int, hash long")
-    place = F.struct("doc_id", "_key", "first")
-    repeated = materialize(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-repeated")
-    found = materialize(join_counted(rows, repeated, ["hash"], ["doc_id", "_key", "first"]), "span-found")
-    origins = materialize(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")), "span-origins")
-    hits = join_counted(found, origins, ["hash"], ["doc_id", "_key", "first"]).where(~place.eqNullSafe(F.col("origin")))
+    hashed = source.select("_text").mapInArrow(_rows(min_sentences, min_words, False), "hash long, whole boolean")
+    rows = source.select("doc_id", "_key", "_text").mapInArrow(_rows(min_sentences, min_words, True), f"doc_id {types['doc_id']}, _key long, first int, last int, hash long, whole boolean, digest binary")
+    place, spread = F.struct("doc_id", "_key", "first"), ["doc_id", "_key", "first"]
+    repeated = materialize(hashed.groupBy("hash", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-repeated")
+    found = materialize(join_counted(rows, repeated, ["hash", "whole"], spread).drop("hash", "whole"), "span-found")
+    origins = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1"), "span-origins")
+    hits = join_counted(found, origins, ["digest"], spread).where(~place.eqNullSafe(F.col("origin")))
     by_doc = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("first", "last")).alias("_hits"))
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_hits")
     joined = source.join(by_doc, source["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k")

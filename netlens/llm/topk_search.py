@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from netlens.llm.common import materialize
+from netlens.llm.common import HOT_KEYS, HOT_ROWS, bucketed, materialize
 
 
 def segment_codes(vector: Column, dims: int, segments: int) -> Column:
@@ -39,7 +39,8 @@ def topk_hamming(rows: DataFrame, query_filter: Column, k: int = 10, id_col: str
 
     Returns query_id, rank (1..k), neighbor_id, distance.  Fewer than k rows only where the table has no more.
 
-    A code is cut into m segments of about log2(rows) bits, and each segment has an index from its value to the codes.
+    A code is cut into m segments of about log2(rows) bits, and each segment has an index from its value to the codes.  The
+    index is written once, in buckets of the segment's value; only probes are shuffled from round to round.
     Round r looks up all segment values at exactly r flipped bits.  After round r every code at distance below m(r+1)
     has been met (one of its segments differs in r bits or fewer), so a query whose kth distance is below that is
     finished; only the others go on.  Every candidate's full distance is computed, so the result is exact.
@@ -65,7 +66,19 @@ def topk_hamming(rows: DataFrame, query_filter: Column, k: int = 10, id_col: str
     by_code = by_code.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(f"n <= {k + 1}")
     codes = by_code.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     codes = materialize(codes.select("code", "ids", F.col("ids")[0].alias("cid")), "mih-codes")
-    index = codes.select("cid", "code", F.posexplode("code").alias("seg", "value"))
+    entries = codes.select("cid", "code", F.posexplode("code").alias("seg", "value"))
+    sizes = materialize(entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")), "mih-sizes")
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    # segment values of very many codes, fewer than HOT_KEYS of them: their codes are dealt over parts that each probe visits
+    hot = F.broadcast(sizes.where(F.col("n") > limit).select("seg", "value", F.ceil(F.col("n") / limit).cast("int").alias("parts"))) if most > limit else None
+
+    keys = ["seg", "value"] if hot is None else ["seg", "value", "part"]
+
+    def parted(table: DataFrame, part: Column) -> DataFrame:
+        return table if hot is None else table.join(hot, ["seg", "value"], "left").withColumn("part", part).drop("parts")
+
+    index = bucketed(parted(entries, F.coalesce(F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"), F.lit(0))), keys, "mih-index")
     queries = materialize(coded.where("q").select(F.col("id").alias("query_id"), F.col("code").alias("qcode")), "mih-queries")
 
     # codes, not ids, are ranked between rounds: an id among the k nearest belongs to one of the k+1 first codes
@@ -78,8 +91,9 @@ def topk_hamming(rows: DataFrame, query_filter: Column, k: int = 10, id_col: str
             .withColumn("flip", F.explode(F.lit(flips)))
             .select("query_id", "qcode", "seg", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         )
+        probes = parted(probes, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         # the planner sees a small table of queries and not what it explodes to, so it must not broadcast it
-        met = probes.hint("merge").join(index, ["seg", "value"]).select("query_id", "cid", distance(F.col("qcode"), F.col("code"), m).alias("distance"))
+        met = probes.hint("merge").join(index, keys).select("query_id", "cid", distance(F.col("qcode"), F.col("code"), m).alias("distance"))
         if best is not None:
             met = met.unionByName(best.join(open_queries.select("query_id"), "query_id", "left_semi"))
         met = met.groupBy("query_id", "cid").agg(F.min("distance").alias("distance"))

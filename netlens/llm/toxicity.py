@@ -21,6 +21,13 @@ SAMPLE_ROWS = 12_000
 MAX_PATTERNS = 4_000
 #: A learned pattern occurs in so many toxic texts at least, and so large a share of the texts that have it is toxic.
 MIN_TEXTS, MIN_SHARE = 5, 0.85
+#: A pattern is a candidate from this share on: exceptions may raise it.
+LOOSE_SHARE = 0.3
+#: A learned exception is a pair of words with a match in it that so many clean texts have at least, and of the texts that
+#: have it at most this share is toxic.
+EXCEPTION_TEXTS, EXCEPTION_SHARE = 3, 0.1
+#: Exceptions that a lexicon learns at most, the most frequent first.
+MAX_EXCEPTIONS = 1_000
 #: Lengths of word beginnings that are tried as patterns, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -31,9 +38,6 @@ HOMOGLYPHS = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "ⅰ": "i", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which a pattern means no harm.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "scum line")
-
 
 def _fold_table() -> dict[int, str | None]:
     table: dict[int, str | None] = {k: " " for k in range(128) if not chr(k).isalpha()}
@@ -71,7 +75,7 @@ class Lexicon:
     """Patterns with weights over folded text, exception phrases, and the calibration of a score."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     coefficients: tuple[float, ...] = (-4.0, 2.0, 2.0, 0.0)
     _machine: ahocorasick.Automaton | None = field(default=None, repr=False, compare=False)
 
@@ -108,6 +112,17 @@ class Lexicon:
             found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in spared)]
         return found
 
+    def contexts(self, folded: str) -> set[tuple[str, str]]:
+        """(pattern, pair of words) of every match: with the word before and with the word behind."""
+        out = set()
+        text = folded.rstrip() + " "
+        for a, b, _ in self.matches(text):
+            last = text.find(" ", max(b - 1, a + 1))  # the space behind the matched word
+            before, behind = text[:a].rsplit(" ", 1)[-1] if a else "", text[last + 1 : text.find(" ", last + 1)] if last + 1 < len(text) else ""
+            word = text[a + 1 : last]
+            out.update((text[a:b], pair) for pair in (f"{before} {word}" if before else "", f"{word} {behind}" if behind else "") if pair)
+        return out
+
     def features(self, text: str | None) -> tuple[float, float, float, int]:
         """(log of the total weight, log of the weight per 100 words, log of the words, matches)."""
         folded = fold(text)
@@ -145,10 +160,39 @@ def _prune(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     return {k: w for k, w in kept.items() if w > 0}
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _by_label(sample: DataFrame, found, columns: str) -> DataFrame:
+    """(``columns``, t, c): toxic and clean texts of ``sample`` that have each of what ``found`` sees in a folded text."""
+    names = columns.split(", ")
+
+    def emit(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
+        for label, counter in seen.items():
+            n = list(counter.values())
+            zero = [0] * len(n)
+            keys = [k if isinstance(k, tuple) else (k,) for k in counter]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[j] for k in keys], pa.string()) for j in range(len(names))], pa.array(n if label else zero, pa.int64()), pa.array(zero if label else n, pa.int64())], names=[*names, "t", "c"])
+            counter.clear()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            for text, label in zip(batch.column("_text"), batch.column("_toxic"), strict=True):
+                seen[label.as_py()].update(found(fold(text.as_py())))
+                if len(seen[0]) + len(seen[1]) > 400_000:
+                    yield from emit(seen)
+            yield from emit(seen)
+
+    rows = sample.mapInArrow(count, ", ".join(f"{c} string" for c in names) + ", t long, c long")
+    return rows.groupBy(*names).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit a lexicon on a bounded sample of the labelled rows (``sample_rows``, by least hash of the id, so the same rows
     on every run).  Two thirds of the sample choose and weigh patterns, the rest calibrates the score.
 
+    Patterns that many toxic texts have are candidates.  Pairs of words around their matches that clean texts have and toxic
+    ones hardly ever do become exceptions, beside those given; then the matches outside exceptions are counted anew, and
+    the patterns whose texts are toxic by ``MIN_SHARE`` or more stay.
+
     Without labels of both kinds the lexicon is empty and every score is the base rate (0 without any label).
     """
     chosen = (
@@ -167,26 +211,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         share = sum(n for (_, t), n in sizes.items() if t) / max(1, sum(sizes.values()))
         return Lexicon({}, exceptions, (float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0, 0.0))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, label in zip(batch.column("_text"), batch.column("_toxic"), strict=True):
-                seen[label.as_py()].update(candidates(fold(text.as_py())))
-                if len(seen[0]) + len(seen[1]) > 400_000:
-                    yield from emit(seen)
-            yield from emit(seen)
-
-    def emit(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-        for label, counter in seen.items():
-            n = list(counter.values())
-            zero = [0] * len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(n if label else zero, pa.int64()), pa.array(zero if label else n, pa.int64())], names=["pattern", "t", "c"])
-            counter.clear()
-
-    counts = sample.where("NOT _second").mapInArrow(count, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    telling = counts.where((F.col("t") >= MIN_TEXTS) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c"))))
-    rows = telling.orderBy(F.desc("t"), "pattern").limit(MAX_PATTERNS).collect()
-    lexicon = Lexicon(_prune([(r["pattern"], r["t"], r["c"]) for r in rows], toxic, clean), exceptions)
+    first = sample.where("NOT _second")
+    counts = _by_label(first, candidates, "pattern")
+    loose = counts.where((F.col("t") >= MIN_TEXTS) & (F.col("t") >= LOOSE_SHARE * (F.col("t") + F.col("c"))))
+    rows = loose.orderBy(F.desc("t"), "pattern").limit(MAX_PATTERNS).collect()
+    every = Lexicon({r["pattern"]: 1.0 for r in rows})
+    pairs = _by_label(first, every.contexts, "pattern, pair").where((F.col("c") >= EXCEPTION_TEXTS) & (F.col("t") <= EXCEPTION_SHARE * (F.col("t") + F.col("c"))))
+    harmless = pairs.groupBy("pair").agg(F.max("c").alias("c")).orderBy(F.desc("c"), "pair").limit(MAX_EXCEPTIONS).collect()
+    every.exceptions = (*exceptions, *(r["pair"] for r in harmless))
+    every._machine = None
+
+    def outside(folded: str) -> set[str]:
+        return {folded[a:b] for a, b, _ in every.matches(folded)}
+
+    telling = _by_label(first, outside, "pattern").where((F.col("t") >= MIN_TEXTS) & (F.col("t") >= MIN_SHARE * (F.col("t") + F.col("c")))).orderBy("pattern").collect()
+    lexicon = Lexicon(_prune([(r["pattern"], r["t"], r["c"]) for r in telling], toxic, clean))
+    lexicon.exceptions = tuple(x for x in every.exceptions if x in exceptions or any(f" {x} ".find(p) >= 0 for p in lexicon.weights))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

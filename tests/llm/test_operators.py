@@ -73,6 +73,52 @@ def test_lm_base_score_and_gain(spark, prose):
     assert min(options) <= one.score <= max(options)
 
 
+def plain_lm(docs, held, deleted):
+    """Scores of the mixture by counting words and pairs in dictionaries."""
+    tokens = {d: [*words(t), None] for d, t in docs}
+
+    def counts(part):
+        word, pair, context = Counter(), Counter(), Counter()
+        for d in part:
+            word.update(tokens[d])
+            pair.update(zip(["<", *tokens[d]], tokens[d], strict=False))
+            context.update(["<", *tokens[d][:-1]])
+        return word, pair, Counter({**word, "<": context["<"]}), sum(word.values()), len(word)
+
+    def estimates(d, model):
+        word, pair, context, n, v = model
+        for a, b in zip(["<", *tokens[d]], tokens[d], strict=False):
+            c = context[a]
+            yield 0 if not c else min(23, 1 + int(math.log2(c))), pair[(a, b)] / max(1, c), word[b] / max(1, n), 1 / (v + 1)
+
+    train = [d for d, _ in docs if d not in held]
+    kept = counts([d for d in train if d not in deleted])
+    grid = lambda x: round(math.log2(x) * lm_scoring.GRID) / lm_scoring.GRID if x > 0 else None
+    seen = defaultdict(Counter)
+    for d in deleted:
+        for bucket, pair, word, base in estimates(d, kept):
+            seen[bucket][grid(pair / base), grid(word / base)] += 1
+    weights = []
+    for bucket in range(24):
+        if not seen[bucket]:
+            weights.append(weights[-1] if bucket else lm_scoring.PRIOR)
+            continue
+        ratios = np.array([[0 if p is None else 2**p, 0 if w is None else 2**w, 1] for p, w in seen[bucket]])
+        weights.append(lm_scoring.expectation_maximisation(ratios, np.array(list(seen[bucket].values()), float)))
+    weights[0] = np.array([0, *(weights[0][1:] / weights[0][1:].sum())])
+    whole = counts(train)
+    return {d: sum(math.log10(weights[b] @ (p, w, u)) for b, p, w, u in estimates(d, whole)) for d, _ in docs}
+
+
+def test_lm_score_against_plain_counts(spark, prose):
+    docs = prose * 1 + [(1000 + i, prose[i][1]) for i in range(30)]
+    held = {d for d, _ in docs if zlib.crc32(str(d).encode()) % 10 == 0}
+    deleted = {d for d, _ in docs if zlib.crc32(str(d).encode()) // 10 % 4 == 0} - held
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    got = {r.doc_id: r.score for r in lm_scoring.score_corpus(frame(spark, docs).repartition(3), crc % 10 == 0, F.floor(crc / 10) % 4 == 0).collect()}
+    assert got == pytest.approx(plain_lm(docs, held, deleted), rel=1e-6)
+
+
 def test_lm_weights_find_the_better_estimate():
     ratios, weight = np.array([[100.0, 1.0, 1.0], [0.0, 50.0, 1.0]]), np.array([900.0, 100.0])
     w = lm_scoring.expectation_maximisation(ratios, weight)
@@ -132,6 +178,33 @@ def test_viterbi_is_optimal_and_streams(pieces, prose):
     assert len(list(sentencepiece_codec.stream("▁" + "word and " * 300, pieces))) > 10  # ids come before the end
 
 
+def test_lanes_blocks_and_stream_agree(pieces, prose, monkeypatch):
+    """Texts put together, cut into blocks, or searched one character after the other have the same ids."""
+    texts = [t for _, t in prose] + ["▁ mark ▁▁", "a▁b", "\0 zero \0\0", "x" * 3000, "中文" * 400, " ", "ab " * 900]
+    marked = lambda t: "▁" + sentencepiece_codec.marked(t)
+    want = [[x for part in sentencepiece_codec.stream(marked(t), pieces) for x in part] if t else [] for t in texts]
+    for block, text, lanes in ((1 << 18, 1 << 21, 512), (700, 1 << 21, 3), (100, 600, 512)):
+        monkeypatch.setattr(sentencepiece_codec, "BLOCK_CHARS", block)
+        monkeypatch.setattr(sentencepiece_codec, "TEXT_CHARS", text)
+        monkeypatch.setattr(sentencepiece_codec, "LANES", lanes)
+        ids, offsets = sentencepiece_codec.encode_many(texts, pieces)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+        raw, ends = sentencepiece_codec.decoded(ids, pieces)
+        ends = np.append(0, ends)
+        assert all(raw[ends[a] : ends[b]].tobytes().decode() == (" " + t if t else "") for t, a, b in zip(texts, offsets, offsets[1:], strict=False))
+
+
+def test_window_of_a_long_text_without_spaces(pieces):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    search, commits, ids = sentencepiece_codec.Stream(pieces), 0, 0
+    for k in range(0, len(text), 4096):
+        for part in search.feed(text[k : k + 4096]):
+            commits, ids = commits + 1, ids + len(part)
+    ids += sum(len(part) for part in search.feed("", final=True))
+    assert commits > 10_000 and search.widest < 20 * pieces.longest and 200_000 < ids < 1_000_000
+
+
 def test_codec_edges(spark):
     rows = sentencepiece_codec.encode_documents(frame(spark, EDGES)).collect()
     assert len(rows) == len(EDGES)
@@ -174,6 +247,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert lexicon.features("a clown fish by the trash can")[3] == 0
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A pair of words that clean texts have around a toxic word is spared, without being given."""
+    rng = random.Random(4)
+    plain = ["the", "house", "river", "walks", "slowly", "green", "table"]
+    rows = []
+    for i in range(1200):
+        text = [rng.choice(plain) for _ in range(rng.randint(5, 40))]
+        if i % 4 == 0:
+            text[rng.randrange(len(text))] = rng.choice(["zork", "Z0RK", "grumbo"])
+        elif i % 4 == 1:
+            text[rng.randrange(len(text))] = rng.choice(["zork fish", "grumbo bin"])
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels.where("doc_id % 5 <> 2"))
+    assert {"zork fish", "grumbo bin"} <= set(lexicon.exceptions)
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, lexicon).collect()}
+    held = [(i, y) for i, _, y in rows if i % 5 == 2]
+    assert np.mean([got[i] == y for i, y in held]) > 0.97
+    assert lexicon.features("a zork fish by the river")[3] == 0 and lexicon.features("a zork by the river")[3] == 1
+
+
+def test_toxicity_matching_against_plain_search():
+    """Every place of every pattern, less those inside an exception, counted by find()."""
+    rng = random.Random(8)
+    words = ["ab", "abc", "bca", "cab", "b", "ca"]
+    lexicon = toxicity.Lexicon({" ab": 1.0, " abc ": 2.0, " ca": 0.5, " b ": 3.0}, ("abc cab", "b b"))
+    for _ in range(300):
+        text = rng.choice([" ", ", "]).join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        folded = toxicity.fold(text)
+        spared = [(k, k + len(p)) for p in (" abc cab ", " b b ") for k in range(len(folded)) if folded.startswith(p, k)]
+        found = [(k, k + len(p), w) for p, w in lexicon.weights.items() for k in range(len(folded)) if folded.startswith(p, k)]
+        want = sorted(x for x in found if not any(a <= x[0] and x[1] <= b for a, b in spared))
+        assert sorted(lexicon.matches(folded)) == want
+        total = sum(w for _, _, w in want)
+        assert lexicon.features(text) == pytest.approx((math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), math.log1p(len(folded.split())), len(want)))
+
+
 def test_toxicity_exceptions_and_edges(spark):
     lexicon = toxicity.Lexicon({" clown ": 4.0, " trash": 3.0}, ("clown fish",))
     assert lexicon.features("The CL0WN ran")[3] == 1 and lexicon.features("a clown fish")[3] == 0
@@ -279,6 +390,29 @@ def groups(docs, size=3, num=85, den=100):
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
 
 
+@pytest.mark.parametrize("case", ["families", "template"])
+def test_near_duplicates_of_large_clusters(spark, monkeypatch, case):
+    """Families of near copies that share a passage, and texts of one template that are not linked, beyond one block."""
+    monkeypatch.setattr(near_dedup, "LIST_PAIRS", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage = [word() for _ in range(150)]
+    docs = []
+    if case == "families":
+        for family in range(3):
+            own = passage + [word() for _ in range(60)]
+            for _ in range((40, 25, 7)[family]):
+                text = own[:]
+                for _ in range(rng.randint(0, 6)):
+                    text[rng.randrange(len(text))] = word()
+                docs.append((len(docs), " ".join(text)))
+    else:
+        docs = [(i, " ".join([*passage, *(word() for _ in range(rng.choice([2, 25, 30])))])) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == groups(docs)
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_near_duplicates(spark, prose, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "LIST_PAIRS", 8)
@@ -457,6 +591,8 @@ def plain_span_dedup(docs):
                     if own[j][flag] and len(passage) >= 20 and sum(x[flag] for x in own[k : j + 1]) >= 2:
                         spans[tuple(passage)].append((i, k, j))
                         break
+        if own and not any(p[0] == i for places in spans.values() for p in places):
+            spans[("whole text", *(w for x in own for w in x[3]))].append((i, 0, len(own) - 1))
     gone = defaultdict(set)
     for places in spans.values():
         for i, k, j in places:
@@ -487,6 +623,24 @@ def test_span_dedup_of_one_word_repeated(spark):
     assert left[1] < 50 and left[2] < 25 and left[3] < 50
 
 
+def test_span_dedup_tells_equal_hashes_apart(spark, prose, monkeypatch):
+    """Where all spans have one 64-bit hash, only those of the same words are repeats."""
+    plain = sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect()))
+
+    class OneHash(common.SpanHash):
+        def __call__(self, starts, ends):
+            return np.full(len(starts), 5, np.uint64)
+
+    monkeypatch.setattr(span_dedup, "token_hash", lambda words: OneHash(words | np.uint64(1)))
+    assert sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect())) == plain
+
+
+def test_span_dedup_of_short_texts(spark):
+    docs = [(1, "Only a few words."), (2, "only  a few\nwords."), (3, "Only a few words. And more."), (4, "Only"), (5, "only")]
+    left = {r.doc_id: r.clean_text.strip() for r in span_dedup.span_dedup(frame(spark, docs)).collect()}
+    assert left == {1: "Only a few words.", 2: "", 3: "Only a few words. And more.", 4: "Only", 5: ""}
+
+
 def test_span_dedup_with_hot_spans(spark, prose, monkeypatch):
     plain = sorted(map(repr, span_dedup.span_dedup(frame(spark, prose)).collect()))
     monkeypatch.setattr(common, "HOT_ROWS", 4)
@@ -549,6 +703,21 @@ def test_decontamination_by_join_compares_words(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 12, 1), (2, 0, 0), (3, 3, 1), (4, 0, 0), (5, 0, 0)]
 
 
+def test_decontamination_by_broadcast_compares_words(spark, monkeypatch):
+    docs = [(1, " ".join(f"a{k}" for k in range(30))), (2, " ".join(f"b{k}" for k in range(30))), (3, "x, Y z"), (4, "x y y"), (5, None)]
+    items = [(1, " ".join(f"A{k}" for k in range(5, 17))), (2, "X y z"), (3, " ".join(f"c{k}" for k in range(12))), (4, "x Y, Z")]
+    windows = decontamination.build(items)
+    for size, (keys, *rest) in windows.by_length.items():
+        windows.by_length[size] = (np.full(len(keys), 7, np.uint64), *rest)
+    monkeypatch.setattr(decontamination, "chain", lambda *parts: np.full(len(parts[0]), 7, np.uint64))
+    data = [np.frombuffer((t or "").encode(), np.uint8) for _, t in docs]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    _, _, tokens, hit, named = decontamination.scan(np.concatenate(data), offsets, windows)
+    assert [int(hit[a:b].sum()) for a, b in zip(tokens, tokens[1:], strict=False)] == [12, 0, 3, 0, 0]
+    assert named == [{"1"}, set(), {"2", "4"}, set(), set()]
+    assert windows.nbytes() < len(windows.blob) + sum(len(x[0]) for x in windows.by_length.values()) * (decontamination.WINDOW_BYTES + 8)
+
+
 def test_decontamination_edges(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     rows = decontamination.decontaminate(frame(spark, EDGES), empty).collect()
@@ -575,6 +744,21 @@ def test_topk(spark, dims, common):
     assert set(got) == {0, 50, 100, 150}
 
 
+def test_topk_with_hot_segments(spark, monkeypatch):
+    """Segment values that many codes share are dealt over parts; the answers stay, and the index is not shuffled again."""
+    rng = np.random.default_rng(5)
+    vectors = np.where(rng.random((300, 24)) < 0.15, 1.0, -1.0)
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    search = lambda: sorted(map(tuple, topk_search.topk_hamming(table, F.col("vec_id") % 50 == 0, k=5, segment_bits=6).collect()))
+    plain = search()
+    monkeypatch.setattr(topk_search, "HOT_ROWS", 10)
+    monkeypatch.setattr(topk_search, "HOT_KEYS", 1 << 40)
+    assert search() == plain
+    bits = vectors > 0
+    for q in range(0, 300, 50):
+        assert [(d, i) for a, _, i, d in plain if a == q] == sorted((int((bits[q] != bits[i]).sum()), i) for i in range(300) if i != q)[:5]
+
+
 def test_topk_edges(spark):
     few = spark.createDataFrame([(0, [1.0, float("nan")]), (1, [1.0]), (1, [1.0]), (2, None)], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk_search.topk_hamming(few, F.col("vec_id") == 0, k=5).collect())) == [(0, 1, 1, 0)]
