@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.common import materialize
+from netlens.llm.common import discard, scratch
 from netlens.llm.decontamination import decontaminate
 from netlens.llm.near_dedup import drop_near_duplicates
 from netlens.llm.sentencepiece_codec import encode_documents
@@ -57,14 +57,23 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The learned lexicon, the connected components and the Viterbi search are beyond SQL; tests/llm compares the substring stage with
-#: plain code, and of the other stages their columns, row counts and round trips only.
+#: The learned lexicon, the content cuts of sentences and the Viterbi search are beyond SQL; tests/llm compares the near-duplicate,
+#: substring, decontamination and token stages with plain code row by row, and the toxicity stage's matching and held-out rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents; each result is written and read again."""
+    """All stages over the whole table of documents; each result is written and read again, and what a stage wrote besides is
+    removed, as is its input once it is used up.
+
+    A null or empty text passes all stages and has no ids; rows that repeat id and text are one document from the second
+    stage on; equal texts under several ids leave the least id; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:
+            after = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
