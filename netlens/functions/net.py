@@ -18,6 +18,11 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, b).cast("long")
 
 
+def total(x: Column) -> Column:
+    """Sum of numbers that may be large: nanoseconds of many rows do not fit 64 bits."""
+    return F.sum(x.cast("decimal(28,0)"))
+
+
 def ip_to_hex(ip: Column) -> Column:
     """Eight lower-case hex digits of an IPv4 number."""
     return F.lower(F.lpad(F.hex(ip), 8, "0"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from netlens.functions import net
-from netlens.operators import series, topn
-from netlens.plans.conditions import Conditions, facts
+from netlens.operators import flows, series, topn, trackers
+from netlens.plans.conditions import Conditions, accepted, facts
 from netlens.sources.tables import Tables
 
 LOOKBACKS = (60, 600, 1800, 3600, 21600)
@@ -58,15 +58,12 @@ def service_clients(tables: Tables, now: int, seconds: int = 600) -> DataFrame:
 
 
 def service_counters(tables: Tables, now: int) -> DataFrame:
-    """Anomalies of every service over the look-backs, in one pass over the longest."""
+    """Anomalies of every service over the look-backs, in one pass over the longest; sessions are named once."""
     where = Conditions(now - max(LOOKBACKS) + 1, now)
-    out = None
-    for kind in COUNTERS:
-        rows = series.marker_rows(tables, kind, where, ["dst_ip", "dst_port"])
-        named = alias_of(rows.select("second", "dst_ip", "dst_port"), tables["cidr"].where("set_name = 'servers'"), "dst_ip", "dst_port").where("alias <> ''")
-        part = named.groupBy(F.col("alias").alias("service")).agg(*[F.count(F.when(F.col("second") > now - k, 1)).alias(f"last{k}") for k in LOOKBACKS]).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sessions = accepted(tables, where).select("session_id", "dst_ip", "dst_port")
+    named = alias_of(sessions, tables["cidr"].where("set_name = 'servers'"), "dst_ip", "dst_port").where("alias <> ''")
+    rows = series.markers(tables, COUNTERS, where).join(named.select("session_id", F.col("alias").alias("service")), "session_id")
+    return rows.groupBy("service", "kind").agg(*[F.count(F.when(F.col("second") > now - k, 1)).alias(f"last{k}") for k in LOOKBACKS])
 
 
 def service_rtt(tables: Tables, now: int) -> DataFrame:
@@ -138,10 +135,44 @@ def tcp_page(tables: Tables, where: Conditions, n: int = 5) -> DataFrame:
     return out.drop("a", "b")
 
 
-def compose(tables: Tables, where: Conditions) -> dict[str, DataFrame]:
-    """The pages of a diagnostic report, each a lazy DataFrame."""
-    pages = {"bps": series.bins(series.bps(tables, where), where, 3600), "usage": usage(tables, where), "bps-peak": bps_peak(tables, where), "tcp": tcp_page(tables, where)}
-    for name, kind in {"zero-windows": "tcpzerowindows", "retransmissions": "tcpretransmissions", "dup-acks": "tcpdupacks", "resets": "tcprsts", "out-of-orders": "tcpoutoforders"}.items():
-        pages[name] = topn.ranking(tables, kind, "service", where, 100)
-    pages["pps"] = series.pps(tables, where)
-    return pages
+def busiest_ports(tables: Tables, where: Conditions, n: int = 100) -> DataFrame:
+    """Server ports by bytes."""
+    return flows.overview_summary(flows.overview(tables, where, "source"), where).orderBy(F.desc("bytes"), "payloadprotocol", "port").limit(n)
+
+
+def icmp_page(tables: Tables, where: Conditions, n: int = 100) -> DataFrame:
+    return flows.icmp_summary(tables, where).orderBy(F.desc("count"), "type", "code", "ip", "ip2").limit(n)
+
+
+def dns_page(tables: Tables, where: Conditions, n: int = 100) -> DataFrame:
+    """DNS servers by questions, with what went wrong there."""
+    return trackers.dns_statistics(trackers.dns_sessions(tables, where), ["server"]).orderBy(F.desc("queriestaken"), "server").limit(n)
+
+
+def tcp_page_events(tables: Tables, where: Conditions, kind: str, pairs: int = 3, n: int = 5) -> DataFrame:
+    """The first n raw markers of each of the first pairs of client and service of a TCP anomaly."""
+    own = ["ip", "ip2", "port", "direction"]
+    first = topn.ranking(tables, kind, "service", where, pairs).select(*own)
+    rows = topn.measured(tables, kind, where).select("second", *topn.keys("service"))
+    order = W.partitionBy(*own).orderBy("second")
+    return rows.join(F.broadcast(first), own, "left_semi").withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select(F.lit(kind).alias("kind"), *own, "k", "second")  # pairs rows
+
+
+#: Pages of a diagnostic report by name; each makes a lazy DataFrame of (tables, conditions).
+PAGES = {
+    "bps": lambda t, w: series.bins(series.bps(t, w), w, 3600),
+    "pps": series.pps,
+    "icmp": icmp_page,
+    "port": busiest_ports,
+    "dns": dns_page,
+    "http-error": lambda t, w: topn.http_errors(trackers.http_records(t, w)),
+    "usage": usage,
+    "bps-peak": bps_peak,
+    "tcp": tcp_page,
+    **{name: lambda t, w, kind=kind: topn.ranking(t, kind, "service", w, 100) for name, kind in {"zero-windows": "tcpzerowindows", "retransmissions": "tcpretransmissions", "dup-acks": "tcpdupacks", "resets": "tcprsts", "out-of-orders": "tcpoutoforders"}.items()},
+}
+
+
+def compose(tables: Tables, where: Conditions, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The named pages of a diagnostic report (all without names), in order."""
+    return {name: PAGES[name](tables, where) for name in names or PAGES}

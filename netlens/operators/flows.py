@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,48 +12,10 @@ from netlens import model
 from netlens.functions import net
 from netlens.operators import series
 from netlens.plans.conditions import Conditions, accepted, facts
+from netlens.sources.sessions import fix_direction, learn_services, merge_sessions
 from netlens.sources.tables import Tables
 
-
-def merge_sessions(parts: DataFrame) -> DataFrame:
-    """One row for each session of records that are spread over files.
-
-    Times span all records, flags are OR-ed, the last detected protocol wins.  Addresses and ports are those of a record
-    with the start flag, the last such in file order, else those of the first record.
-    """
-    order = F.struct("file_seq", "first_second", "first_ns")
-    ends = F.struct("src_ip", "dst_ip", "src_port", "dst_port", "source_is_small")
-    syn = F.col("status").bitwiseAND(model.STATUS_SYN) != 0
-    out = parts.groupBy("session_id").agg(
-        F.min(F.struct("first_second", "first_ns")).alias("first"),
-        F.max(F.struct("last_second", "last_ns")).alias("last"),
-        F.bit_or("status").cast("int").alias("status"),
-        F.coalesce(F.max_by(F.when(F.col("l7") != 0, F.col("l7")), F.when(F.col("l7") != 0, order)), F.lit(0)).alias("l7"),
-        F.coalesce(F.max_by(ends, F.when(syn, order)), F.min_by(ends, order)).alias("ends"),
-        F.min("ether_type").alias("ether_type"),
-        F.min("payload_protocol").alias("payload_protocol"),
-        F.min("file_seq").alias("file_seq"),
-    )
-    return out.select(
-        "session_id", "ends.src_ip", "ends.dst_ip", "ends.src_port", "ends.dst_port", "ether_type", "ends.source_is_small", "payload_protocol", F.col("first.first_second"), F.col("first.first_ns"), F.col("last.last_second"), F.col("last.last_ns"), "l7", "status", "file_seq"
-    )
-
-
-def fix_direction(sessions: DataFrame, services: DataFrame) -> DataFrame:
-    """Swap source and destination of sessions without a start flag or protocol whose source, but not destination, is a
-    known service (ip, port); swapped sessions stay in the result."""
-    known = services.select("ip", "port").distinct()
-    s = sessions.join(known.select(F.col("ip").alias("a"), F.col("port").alias("b"), F.lit(True).alias("src_known")), (F.col("src_ip") == F.col("a")) & (F.col("src_port") == F.col("b")), "left").drop("a", "b")
-    s = s.join(known.select(F.col("ip").alias("a"), F.col("port").alias("b"), F.lit(True).alias("dst_known")), (F.col("dst_ip") == F.col("a")) & (F.col("dst_port") == F.col("b")), "left").drop("a", "b")
-    swap = ((F.col("status").bitwiseAND(model.STATUS_SYN) == 0) | (F.col("l7") == 0)) & F.col("src_known").isNotNull() & F.col("dst_known").isNull()
-    flip = {"src_ip": "dst_ip", "dst_ip": "src_ip", "src_port": "dst_port", "dst_port": "src_port"}
-    new = [F.when(swap, F.col(flip[c])).otherwise(F.col(c)).alias(c) if c in flip else F.when(swap, 1 - F.col(c)).otherwise(F.col(c)).alias(c) if c == "source_is_small" else F.col(c) for c in sessions.columns]
-    return s.select(*new)
-
-
-def learn_services(sessions: DataFrame) -> DataFrame:
-    """Known services: the destinations of TCP sessions that show their start flag."""
-    return sessions.where((F.col("payload_protocol") == model.TCP) & (F.col("status").bitwiseAND(model.STATUS_SYN) != 0)).select(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")).distinct()
+__all__ = ["fix_direction", "learn_services", "merge_sessions"]
 
 
 def _directed(forward: bool) -> Column:
@@ -245,8 +209,9 @@ def jitter(tables: Tables, where: Conditions) -> DataFrame:
     side = F.when(F.col("small_to_big") == F.col("source_is_small"), 0).otherwise(1)
     order = W.partitionBy("session_id", "side").orderBy("second", "ns", "tail")
     change = rows.withColumn("side", side).withColumn("v", F.abs(F.col("tail") - F.lag("tail").over(order))).where("v IS NOT NULL")
-    mean = change.groupBy("session_id", "side").agg(net.div(F.sum("v"), F.count("v")).alias("mean"), F.count("v").alias("n"))
-    spread = change.join(mean, ["session_id", "side"]).groupBy("session_id", "side", "mean", "n").agg(F.sum((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).cast("decimal(38,0)").alias("q"))
+    mean = change.groupBy("session_id", "side").agg(net.div(net.total(F.col("v")), F.count("v")).alias("mean"), F.count("v").alias("n"))
+    off = (F.col("v") - F.col("mean")).cast("decimal(12,0)")  # 10 s at most; the square does not fit 64 bits
+    spread = change.join(mean, ["session_id", "side"]).groupBy("session_id", "side", "mean", "n").agg(F.sum(off * off).cast("decimal(38,0)").alias("q"))
     deviation = F.floor(F.sqrt(F.floor(F.col("q") / F.col("n")).cast("double"))).cast("long")
     spread = spread.select("session_id", "side", "mean", "n", deviation.alias("deviation"))
     pick = lambda c, k: F.coalesce(F.max(F.when(F.col("side") == k, F.col(c))), F.lit(0)).cast("long")
@@ -321,10 +286,27 @@ def raw(tables: Tables, name: str, where: Conditions) -> DataFrame:
     if name == "sessions":
         return accepted(tables, where)
     if name == "remarks":
-        return tables["http_remarks"].join(accepted(tables, where).select("session_id"), "session_id", "left_semi")
+        return remarks(tables).join(accepted(tables, where).select("session_id"), "session_id", "left_semi")
     return facts(tables, name, where)
 
 
+#: Tables of remark lines by protocol: table and column.
+REMARKS = {"HTTP": ("http_remarks", "content"), "DNS": ("dns_remarks", "content"), "TLS": ("tls_remarks", "content"), "SMTP": ("mail_remarks", "smtp"), "POP3": ("mail_remarks", "pop3"), "IMAP": ("mail_remarks", "imap"), "FTP": ("mail_remarks", "ftp"), "ICMP": ("icmp_remarks", "content"), "ICMPv6": ("icmp6_remarks", "content"), "SIP": ("sip_remarks", "body")}
+
+
+def remarks(tables: Tables) -> DataFrame:
+    """(protocol, session_id, file_seq, content) of the remarks of all protocols."""
+    parts = [tables[table].select(F.lit(name).alias("protocol"), "session_id", F.col("file_seq").cast("long").alias("file_seq"), F.col(column).alias("content")) for name, (table, column) in REMARKS.items()]
+    return reduce(DataFrame.unionByName, parts).where("content <> ''")
+
+
+def session_tags(tables: Tables, where: Conditions) -> DataFrame:
+    """VLAN tags and MPLS labels of every accepted session."""
+    ids = accepted(tables, where).select("session_id")
+    parts = [tables[t].join(ids, "session_id", "left_semi").select("session_id", F.lit(k).alias("kind"), "tag") for k, t in (("vlanq", "session_vlan"), ("mpls", "session_mpls"))]
+    return parts[0].unionByName(parts[1])
+
+
 def payload_stream(packets: DataFrame, session_id: int) -> DataFrame:
     """Payload of a session in packet order, for stores that keep a ``payload`` column."""
     own = packets.where(F.col("session_id") == session_id)

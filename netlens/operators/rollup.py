@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions import net
 from netlens.operators import series, topn, trackers
-from netlens.plans.conditions import Conditions, accepted, facts
+from netlens.plans.conditions import Conditions, accepted, any_of, facts, member
 from netlens.sources.tables import Tables
 
 #: Shortest range that is worth a rollup.
@@ -17,19 +19,32 @@ METRICS = ("bps", "pps_unknown", "pps_broadcast", "pps_multicast", "pps_unicast"
 PAIR_METRICS = (*topn.BASES, "latencies")
 
 
+def _measures(tables: Tables, where: Conditions) -> DataFrame:
+    """(session_id, second, metric, n) of every fact of :data:`METRICS`, with its session's columns; sessions are joined
+    once for all metrics."""
+    n = F.col("small_to_big") + F.col("big_to_small")
+    side = F.lit(None).cast("int").alias("side")
+    columns = lambda kind, value, at=None: ["session_id", "second", kind.alias("kind"), value.cast("long").alias("n"), side if at is None else F.col(at).alias("side")]
+    within = lambda table, time="second": tables[table].where(where.within(F.col(time)))
+    rows = within("bps").select(*columns(F.lit("bps"), n * 8))
+    rows = rows.unionByName(within("pps").select(*columns(F.lit("pps"), n)))
+    rows = rows.unionByName(within("rtts").where(series.good_rtt()).select(*columns(F.lit("rtt"), F.col("tail"), "small_to_big")))
+    rows = rows.unionByName(series.markers(tables, tuple(series.COUNTS), where).select(*columns(F.col("kind"), F.lit(1))))
+    keys = ["source_is_small", "src_ip", "dst_ip"]
+    rows = rows.join(accepted(tables, where).select("session_id", *keys), "session_id")
+    forward = F.when(F.col("side") == F.col("source_is_small"), F.lit("0")).otherwise(F.lit("1"))
+    cast = F.concat(F.lit("pps_"), F.lower(net.cast_type(*[F.col(k) for k in keys])))
+    metric = F.when(F.col("kind") == "pps", cast).when(F.col("kind") == "rtt", F.concat(F.lit("n"), forward)).otherwise(F.col("kind"))
+    # a round trip counts twice: its nanoseconds (n0, n1) and itself (d0, d1)
+    hits = F.array(F.struct(metric.alias("metric"), "n"), F.struct(F.concat(F.lit("d"), forward).alias("metric"), F.lit(1).cast("long").alias("n")))
+    one = F.array(F.struct(metric.alias("metric"), "n"))
+    return rows.select("session_id", "second", F.explode(F.when(F.col("kind") == "rtt", hits).otherwise(one)).alias("x")).select("session_id", "second", "x.metric", "x.n")
+
+
 def per_second(tables: Tables, where: Conditions) -> DataFrame:
     """One wide row for each second that has facts: bits, packets by cast, round-trip sums, and every marker count."""
-    parts = [facts(tables, "bps", where).groupBy("second").agg(((F.sum(F.col("small_to_big") + F.col("big_to_small"))) * 8).alias("bps"))]
-    keys = ["source_is_small", "src_ip", "dst_ip"]
-    packets = facts(tables, "pps", where, keys).withColumn("cast", F.lower(net.cast_type(*[F.col(k) for k in keys]))).withColumn("n", F.col("small_to_big") + F.col("big_to_small"))
-    parts.append(packets.groupBy("second").agg(*[F.sum(F.when(F.col("cast") == c, F.col("n")).otherwise(0)).alias(f"pps_{c}") for c in series.CASTS]))
-    parts.append(facts(tables, "rtts", where, ["source_is_small"]).where(series.good_rtt()).groupBy("second").agg(*series.rtt_sums()))
-    parts += [series.marker_rows(tables, kind, where).groupBy("second").agg(F.count(F.lit(1)).alias(kind)) for kind in series.COUNTS]
-    wide = None
-    for part in parts:
-        full = part.select("second", *[F.col(c).cast("long").alias(c) if c in part.columns else F.lit(None).cast("long").alias(c) for c in METRICS])
-        wide = full if wide is None else wide.unionByName(full)
-    return wide.groupBy("second").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in METRICS])
+    cell = lambda c: F.coalesce(F.sum(F.when(F.col("metric") == c, F.col("n"))), F.lit(0)).cast("long").alias(c)
+    return _measures(tables, where).groupBy("second").agg(*[cell(c) for c in METRICS])
 
 
 def from_per_second(rollup: DataFrame, metric: str, where: Conditions) -> DataFrame:
@@ -58,10 +73,30 @@ def per_minute(tables: Tables, metric: str, grain: str, where: Conditions) -> Da
     return topn.measured(tables, metric, where).groupBy(minute, *topn.keys(grain)).agg(F.sum("n").cast("long").alias("value")).where("value > 0")
 
 
-def ranking_from_minutes(rollup: DataFrame, grain: str, where: Conditions, n: int) -> DataFrame:
-    own = topn.names(grain)
-    rows = rollup.where(F.col("minute").between(where.second_from, where.second_to - 59))
-    return rows.groupBy(*own).agg(F.sum("value").cast("long").alias("value")).orderBy(F.desc("value"), *own).limit(n)
+def key_filter(rollup: DataFrame, where: Conditions) -> DataFrame:
+    """What of the conditions the keys of a service rollup can answer: protocol, addresses and the server's port."""
+    if where.ips:
+        src, dst = member(F.col("ip"), where.ips), member(F.col("ip2"), where.ips)
+        rollup = rollup.where(src | dst if where.include_external else src & dst)
+    if where.payload_protocol is not None:
+        rollup = rollup.where(F.col("payloadprotocol") == where.payload_protocol)
+    if where.ports:
+        rollup = rollup.where(any_of([F.col("port").between(a, b) for a, b in where.ports]))
+    return rollup
+
+
+def ranking_with_rollup(tables: Tables, rollup: DataFrame, base: str, where: Conditions, n: int = 100) -> DataFrame:
+    """Pairs of client and service by value: whole minutes inside the range from the rollup, the rest from facts."""
+    own = topn.names("service")
+    low, high = -(-where.second_from // 60) * 60, (where.second_to + 1) // 60 * 60 - 1
+    if where.second_to - where.second_from < LEAST_SECONDS or low > high:
+        both = topn.totals(tables, base, "service", where).select(*own, "value")
+    else:
+        outside, inside = where.parts((low, high))
+        cached = key_filter(rollup.where(F.col("minute").between(inside.second_from, inside.second_to)), where)
+        plain = topn.measured(tables, base, replace(outside, ports=())).where(any_of([F.col("dst_port").between(a, b) for a, b in where.ports]) if where.ports else F.lit(True))
+        both = plain.groupBy(*topn.keys("service")).agg(F.sum("n").cast("long").alias("value")).unionByName(cached.select(*own, "value"))
+    return both.groupBy(*own).agg(F.sum("value").cast("long").alias("value")).orderBy(F.desc("value"), *own).limit(n)
 
 
 def http_errors(records: DataFrame) -> DataFrame:
@@ -88,14 +123,10 @@ def signatures(tables: Tables) -> DataFrame:
 
 
 def per_second_by_signature(tables: Tables, where: Conditions) -> DataFrame:
-    """bps, packets and sessions' markers by signature and second; a session counts once for a signature, however many
-    of its addresses are in the set."""
+    """Every metric by signature and second; a session counts once for a signature, however many of its addresses are in
+    the set."""
     ips = signatures(tables).select("signature", F.explode("ips").alias("hex")).select("signature", net.hex_to_ip(F.col("hex")).alias("ip")).distinct()
     s = accepted(tables, where).select("session_id", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
-    member = s.join(ips, "ip").select("session_id", "signature").distinct()
-    n = F.sum(F.col("small_to_big") + F.col("big_to_small"))
-    rows = facts(tables, "bps", where).join(member, "session_id").groupBy("signature", "second").agg((n * 8).cast("long").alias("value")).withColumn("metric", F.lit("bps"))
-    rows = rows.unionByName(facts(tables, "pps", where).join(member, "session_id").groupBy("signature", "second").agg(n.cast("long").alias("value")).withColumn("metric", F.lit("pps")))
-    for kind in series.COUNTS:
-        rows = rows.unionByName(series.marker_rows(tables, kind, where).join(member, "session_id").groupBy("signature", "second").agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit(kind)))
-    return rows.select("signature", "metric", "second", "value")
+    members = s.join(ips, "ip").select("session_id", "signature").distinct()
+    rows = _measures(tables, where).join(members, "session_id")
+    return rows.groupBy("signature", "metric", "second").agg(F.sum("n").cast("long").alias("value"))

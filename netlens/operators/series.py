@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from netlens import model
 from netlens.functions import net
 from netlens.plans.conditions import Conditions, Network, facts, accepted, member
-from netlens.sources.tables import Tables
+from netlens.sources.tables import TIME, Tables
 
 CASTS = ("unknown", "broadcast", "multicast", "unicast")
 
@@ -54,6 +54,23 @@ def marker_rows(tables: Tables, kind: str, where: Conditions, columns: list[str]
     return rows if code is None else rows.where(F.col("tail").bitwiseAND(0xFFFFFFFF) == code)
 
 
+def markers(tables: Tables, kinds: tuple[str, ...], where: Conditions) -> DataFrame:
+    """(session_id, second, kind) of the markers of several kinds in time, whatever their session: each table is read once."""
+    rows = None
+    for table in dict.fromkeys(COUNTS[k][0] for k in kinds):
+        time = F.col(TIME[table])
+        found = tables[table].where(where.within(time))
+        codes = {COUNTS[k][1]: k for k in kinds if COUNTS[k][0] == table}
+        if None in codes:
+            kind = F.lit(codes[None])
+            found = found.where(time != 0) if table == "timeouts" else found
+        else:
+            kind = net.label(F.col("tail").bitwiseAND(0xFFFFFFFF), codes)
+        part = found.select("session_id", time.alias("second"), kind.alias("kind")).where("kind <> ''")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def counts(tables: Tables, kind: str, where: Conditions) -> DataFrame:
     """Markers per second of one of :data:`COUNTS`."""
     return dense(_per_second(marker_rows(tables, kind, where), F.count(F.lit(1))), where)

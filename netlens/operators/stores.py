@@ -45,12 +45,11 @@ def probe_binned(probes: DataFrame, second_from: int, second_to: int, width: int
 def probe_latest(probes: DataFrame, major: int, minor: int) -> DataFrame:
     """The newest row of each device's test with the mean of its successes in the 60 seconds before, and a status: 0 good,
     1 above the minor limit, 2 above the major limit, 3 failed.  Devices have the worst status of their tests."""
-    order = W.partitionBy("mac", "testname").orderBy("testedat")
-    near = order.rangeBetween(-60, 0)
-    v = F.when(F.col("result") == SUCCESS, F.col("rtt"))
-    rows = probes.withColumn("mean", F.coalesce(net.div(F.sum(v).over(near), F.nullif(F.count(v).over(near), F.lit(0))), F.lit(0)).cast("long"))
-    newest = W.partitionBy("mac", "testname").orderBy(F.desc("testedat"), F.desc("uploadat"))
-    rows = rows.withColumn("n", F.row_number().over(newest)).where("n = 1")
+    newest = probes.groupBy("mac", "testname").agg(F.max_by(F.struct("testedat", "result", "rtt"), F.struct("testedat", "uploadat")).alias("x")).select("mac", "testname", "x.*")
+    before = probes.where(F.col("result") == SUCCESS).select("mac", "testname", F.col("testedat").alias("at"), F.col("rtt").alias("own"))
+    near = newest.select("mac", "testname", "testedat").join(before, ["mac", "testname"]).where(F.col("at").between(F.col("testedat") - 60, F.col("testedat")))
+    mean = near.groupBy("mac", "testname").agg(net.div(F.sum("own"), F.count("own")).alias("mean"))
+    rows = newest.join(mean, ["mac", "testname"], "left").withColumn("mean", F.coalesce("mean", F.lit(0)))
     status = F.when(F.col("result") != SUCCESS, 3).when(F.col("mean") > major, 2).when(F.col("mean") > minor, 1).otherwise(0)
     rows = rows.select("mac", "testname", "testedat", "result", "rtt", "mean", status.alias("status"))
     return rows.withColumn("devicestatus", F.max("status").over(W.partitionBy("mac")))

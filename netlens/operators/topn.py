@@ -80,6 +80,13 @@ def ranking(tables: Tables, base: str, grain: str, where: Conditions, n: int | N
     return out if n is None else out.orderBy(F.desc("value"), *own).limit(n)
 
 
+def ranking6(tables: Tables, base: str, end: str, where: Conditions, n: int = 100) -> DataFrame:
+    """IPv6 addresses (32 hex digits) of one ``end`` (src or dst) by their value."""
+    six = tables["session_ip6"].select("session_id", F.col(f"{end}_ip6").alias("ip6"))
+    rows = facts(tables, "bps" if base == "bytes" else "pps", where).groupBy("session_id").agg(F.sum(F.col("small_to_big") + F.col("big_to_small")).alias("n"))
+    return rows.join(six, "session_id").groupBy("ip6").agg(F.sum("n").cast("long").alias("value")).where("value > 0").orderBy(F.desc("value"), "ip6").limit(n)
+
+
 def protocol_split(tables: Tables, base: str, where: Conditions) -> DataFrame:
     """Value by application protocol, or by transport where none was detected."""
     label = net.protocol_label(F.col("l7"), F.col("payload_protocol"))

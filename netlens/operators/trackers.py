@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from netlens import model
 from netlens.functions import net
 from netlens.operators import series
 from netlens.operators.flows import session_bytes
-from netlens.plans.conditions import Conditions, accepted, facts
+from netlens.plans.conditions import Conditions, accepted, facts, implied
 from netlens.sources.tables import Tables
 
 
@@ -21,7 +22,7 @@ def _ends(tables: Tables, where: Conditions) -> DataFrame:
 
 
 def _mean(value: Column) -> Column:
-    return F.coalesce(net.div(F.sum(value), F.nullif(F.count(value), F.lit(0))), F.lit(0)).cast("long")
+    return F.coalesce(net.div(net.total(value), F.nullif(F.count(value), F.lit(0))), F.lit(0)).cast("long")
 
 
 # ---------------------------------------------------------------- DNS
@@ -30,8 +31,9 @@ def _mean(value: Column) -> Column:
 def dns_sessions(tables: Tables, where: Conditions) -> DataFrame:
     """One row for each DNS remark: status, question, client, server, latency (null without a round trip).
 
-    Only-requests are timeouts if their session has one, and stay requests otherwise.
+    Only-requests are timeouts if their session has one, and stay requests otherwise.  Only sessions of DNS count.
     """
+    where = implied(where, "dnstracker")
     content = F.col("content")
     code = F.substring(net.remark(content, "DnsException"), 1, 1)
     status = F.when(content.contains("DnsAnswerRRs="), "RESOLVED").when(code == "A", "ZEROANSWER").when(code == "R", "ANSWERBROKEN").when(code == "M", "MULTIPLEQUERIES").otherwise("REQUESTONLY")
@@ -121,17 +123,20 @@ def ftp_sessions(tables: Tables, where: Conditions) -> DataFrame:
 # ---------------------------------------------------------------- HTTP
 
 
-def http_records(tables: Tables, where: Conditions, feed_end_ns: int | None = None) -> DataFrame:
+def http_records(tables: Tables, where: Conditions, feed_end_ns: int | None = None, block_pattern: str | None = None) -> DataFrame:
     """Requests with their responses, however a session's blocks are spread over files.
 
     Blocks of a session are put in order of file and place; a response belongs to the request right before it.  A request
     without one has status 0 and responseat -1; with ``feed_end_ns``, only once 72 seconds have passed, else it is left out.
+    With ``block_pattern`` only requests whose own block matches it count.  Only sessions of HTTP count.
     """
+    where = implied(where, "http")
     blocks = tables["http_remarks"].select("session_id", "file_seq", F.posexplode(F.split("content", r"HttpEnd=[A-Za-z]+\n")).alias("place", "block")).where("block <> ''")
     request, response = net.remark(F.col("block"), "HttpRequest"), net.remark(F.col("block"), "HttpResponse")
     blocks = blocks.select("session_id", "file_seq", "place", "block", request.alias("request"), response.alias("response"))
     order = W.partitionBy("session_id").orderBy("file_seq", "place")
     paired = blocks.withColumn("answer", F.lead("response").over(order)).where("request <> ''")
+    paired = paired if block_pattern is None else paired.where(F.col("block").rlike(block_pattern))
     answered = F.coalesce(F.col("answer"), F.lit("")) != ""
     agent = net.header(F.col("block"), "User-Agent")
     out = paired.join(_ends(tables, where), "session_id").select(
@@ -179,10 +184,14 @@ def http_error_details(records: DataFrame, path_pattern: str) -> DataFrame:
 
 
 def _written(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and cut from their lineage by a checkpoint."""
+    """The rows, computed once and cut from their lineage by a checkpoint.  Only in local mode may the session go without
+    a checkpoint folder that driver and executors share."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="netlens-"))
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netlens-"))
     return rows.checkpoint()
 
 
@@ -219,7 +228,7 @@ def transaction_roots(records: DataFrame) -> DataFrame:
 
 
 def _server_names(tables: Tables, where: Conditions) -> DataFrame:
-    rows = tables["tls_remarks"].join(_ends(tables, where), "session_id")
+    rows = tables["tls_remarks"].join(_ends(tables, implied(where, "tlstracker")), "session_id")
     return rows.withColumn("sni", net.remark(F.col("content"), "TLSSNI")).where(F.col("sni").rlike("^[A-Za-z0-9.-]+$"))
 
 
@@ -251,7 +260,7 @@ def tls_dump(rollup: DataFrame, where: Conditions, limit: int, offset: int = 0)
 
 def sip_messages(tables: Tables, where: Conditions) -> DataFrame:
     """SIP messages with their header fields; a response's type is RESPONSE and its code is set."""
-    s = accepted(tables, where).select("session_id", "src_ip", "dst_ip", "source_is_small")
+    s = accepted(tables, implied(where, "voipmonitor")).select("session_id", "src_ip", "dst_ip", "source_is_small")
     rows = tables["sip_remarks"].join(s, "session_id")
     body, line = F.col("body"), F.col("start_line")
     address = lambda key: F.regexp_replace(F.substring_index(net.header(body, key), ";", 1), "([^>])$", "$1>")
@@ -273,20 +282,24 @@ def sip_rtt(messages: DataFrame) -> DataFrame:
 
 
 def rtp_jitter(messages: DataFrame, tables: Tables, where: Conditions) -> DataFrame:
-    """Mean deviation of packet intervals of the UDP sessions that a call names as its media: by (address, port) as
-    destination, else as source."""
+    """Mean deviation of packet intervals of the UDP streams at the endpoints that a call names as its media: of the sessions
+    that have the endpoint as destination, else as source.
+
+    Each stream (session and direction) has its own deviation; these are added up by endpoint before the calls are joined, so a
+    call has one row for each endpoint with ``streams``, their mean ``jitter`` and its ``total``, however many sessions met there.
+    """
     media = messages.where("media_port <> ''").select("sipfrom", "sipto", "callid", F.col("fromip").alias("ip"), F.col("media_port").cast("int").alias("port")).distinct()
     s = accepted(tables, where).where(F.col("payload_protocol") == model.UDP)
-    as_dst = media.join(s.select("session_id", F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")), ["ip", "port"]).withColumn("side", F.lit(0))
-    as_src = media.join(s.select("session_id", F.col("src_ip").alias("ip"), F.col("src_port").alias("port")), ["ip", "port"]).withColumn("side", F.lit(1))
-    found = as_dst.unionByName(as_src)
-    best = found.groupBy("callid", "ip", "port").agg(F.min("side").alias("side"))
-    found = found.join(best, ["callid", "ip", "port", "side"])
     at = facts(tables, "packets", where).select("session_id", "small_to_big", (F.col("second") * 1_000_000_000 + F.col("ns")).alias("t"))
     gap = at.withColumn("gap", F.col("t") - F.lag("t").over(W.partitionBy("session_id", "small_to_big").orderBy("t"))).where("gap IS NOT NULL")
-    mean = gap.groupBy("session_id", "small_to_big").agg(net.div(F.sum("gap"), F.count("gap")).alias("mean"), F.count("gap").alias("n")).where("n > 1")
-    out = gap.join(mean, ["session_id", "small_to_big"]).groupBy("session_id", "small_to_big", "n").agg(F.sum(F.abs(F.col("gap") - F.col("mean"))).alias("dev")).select("session_id", net.div(F.col("dev"), F.col("n")).alias("jitter"))
-    return found.join(out, "session_id").select("sipfrom", "sipto", "callid", "ip", "port", "session_id", "jitter")
+    mean = gap.groupBy("session_id", "small_to_big").agg(net.div(net.total(F.col("gap")), F.count("gap")).alias("mean"), F.count("gap").alias("n")).where("n > 1")
+    off = net.total(F.abs(F.col("gap") - F.col("mean")))
+    streams = gap.join(mean, ["session_id", "small_to_big"]).groupBy("session_id", "small_to_big", "n").agg(off.alias("dev")).select("session_id", net.div(F.col("dev"), F.col("n")).alias("jitter"))
+    own = streams.groupBy("session_id").agg(F.count(F.lit(1)).alias("streams"), net.total(F.col("jitter")).alias("total"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")), F.struct(F.lit(1).alias("side"), F.col("src_ip").alias("ip"), F.col("src_port").alias("port")))
+    ends = s.join(own, "session_id", "left").select("streams", "total", F.explode(sides).alias("x")).groupBy("x.ip", "x.port", "x.side").agg(F.sum("streams").alias("streams"), F.sum("total").alias("total"))
+    ends = ends.groupBy("ip", "port").agg(F.min_by(F.struct("streams", "total"), "side").alias("x")).select("ip", "port", "x.streams", F.col("x.total").cast("decimal(38,0)").alias("total")).where("streams > 0")
+    return media.join(ends, ["ip", "port"]).select("sipfrom", "sipto", "callid", "ip", "port", "streams", net.div(F.col("total"), F.col("streams")).alias("jitter"), "total")
 
 
 def voip_pairs(messages: DataFrame) -> DataFrame:
@@ -298,7 +311,7 @@ def voip_summary(messages: DataFrame, rtt: DataFrame, jitter: DataFrame) -> Data
     asked = messages.where("type <> 'RESPONSE'").groupBy("sipfrom", "sipto", F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("requests"))
     answered = rtt.groupBy("sipfrom", "sipto", F.col("request").alias("name")).agg(F.count(F.lit(1)).alias("responses"))
     trip = rtt.groupBy("sipfrom", "sipto").agg(_mean(F.col("rtt")).alias("siprtt"))
-    shake = jitter.groupBy("sipfrom", "sipto").agg(_mean(F.col("jitter")).alias("rtpjitter"))
+    shake = jitter.groupBy("sipfrom", "sipto").agg(net.div(F.sum("total"), F.sum("streams")).alias("rtpjitter"))
     out = asked.join(answered, ["sipfrom", "sipto", "name"], "left").join(trip, ["sipfrom", "sipto"], "left").join(shake, ["sipfrom", "sipto"], "left")
     return out.select("sipfrom", "sipto", "name", "requests", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("responses", "siprtt", "rtpjitter")])
 

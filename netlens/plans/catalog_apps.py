@@ -12,7 +12,7 @@ from netlens.plans import oracles_apps as a
 from netlens.plans.conditions import Conditions
 from netlens.sources.tables import Tables
 
-DAY, MONTH = Conditions(*o.DAY), Conditions(*o.MONTH)
+MONTH = Conditions(*o.MONTH)
 
 
 def anomaly_documents(probes: DataFrame) -> DataFrame:
@@ -47,14 +47,15 @@ def entries() -> list[tuple]:
         add(f"{name}_pairs", pairs, a.mail_pairs(name, keys))
         add(f"{name}_rankings", lambda t, pairs=pairs: trackers.mail_rankings(pairs(t)), a.mail_rankings(a.mail_pairs(name, keys)))
     add("smtp_sessions", lambda t: trackers.smtp_sessions(t, MONTH), a.SMTP)
+    add("smtp_error_texts", lambda t: trackers.mail_error_texts(t, MONTH, "smtp", "SmtpError"), a.SMTP_ERRORS)
     add("ftp_sessions", lambda t: trackers.ftp_sessions(t, MONTH), a.FTP)
     http = lambda t: trackers.http_records(t, MONTH)
     add("http_records", http, a.HTTP_RECORDS)
     add("http_geo", lambda t: trackers.with_country(http(t), t["geo"]), a.HTTP_GEO)
     add("http_client_profile", lambda t: trackers.client_profile(trackers.with_country(http(t), t["geo"])), a.HTTP_PROFILE)
     add("http_performance", lambda t: trackers.http_performance(http(t)), a.HTTP_PERFORMANCE)
-    first = Conditions(*a.FIRST_DAY)
-    add("http_requests_binned", lambda t: series.bins(trackers.http_requests(http(t), first), first, 3600), o.bins(a.HTTP_SECONDS, a.FIRST_DAY, 3600))
+    add("http_records_regex", lambda t: trackers.http_records(t, MONTH, block_pattern="Chrome/|Firefox/"), a.HTTP_REGEX)
+    add("http_requests_binned", lambda t: series.bins(trackers.http_requests(http(t), MONTH), MONTH, 3600), o.bins(a.HTTP_SECONDS, o.MONTH, 3600))
     add("http_error_details", lambda t: trackers.http_error_details(http(t), "a"), a.HTTP_ERRORS)
     add("topn_httperrors", lambda t: topn.http_errors(http(t)), a.TOPN_HTTP)
     add("topn_httperrors_sources", lambda t: topn.http_error_sources(http(t)), a.TOPN_HTTP_SOURCES)
@@ -65,7 +66,7 @@ def entries() -> list[tuple]:
     sip = lambda t: trackers.sip_messages(t, MONTH)
     add("voip_pairs", lambda t: trackers.voip_pairs(sip(t)), a.VOIP_PAIRS)
     add("voip_rtt", lambda t: trackers.sip_rtt(sip(t)), a.VOIP_RTT)
-    add("voip_jitter", lambda t: trackers.rtp_jitter(sip(t), t, MONTH), a.VOIP_JITTER)
+    add("voip_jitter", lambda t: trackers.rtp_jitter(sip(t), t, MONTH).drop("total"), a.VOIP_JITTER)
     add("voip_summary", lambda t: trackers.voip_summary(sip(t), trackers.sip_rtt(sip(t)), trackers.rtp_jitter(sip(t), t, MONTH)), a.VOIP_SUMMARY)
     add("voip_details", lambda t: trackers.voip_details(sip(t)), a.VOIP_DETAILS)
 
@@ -83,10 +84,10 @@ def entries() -> list[tuple]:
     busy = events.Trigger("busy", 2, "bps", "over", 3600, 300)
     idle = events.Trigger("idle", 1, "bps", "under", 7200, 250)
     rising = events.Trigger("rising", 0, "bps", "delta", 3600, 100, 20)
-    add("events_over", lambda t: events.events(series.bps(t, DAY), busy, DAY), a.events("over", 3600, 300, 2, "busy"))
-    add("events_under", lambda t: events.events(series.bps(t, DAY), idle, DAY), a.events("under", 7200, 250, 1, "idle"))
-    add("events_delta", lambda t: events.events(series.bps(t, DAY), rising, DAY), a.events("delta", 3600, 100, 0, "rising", 20))
-    add("events_query", lambda t: events.query(events.events(series.bps(t, DAY), busy, DAY).unionByName(events.events(series.bps(t, DAY), idle, DAY)), DAY, severity=1), a.EVENTS_QUERY)
+    add("events_over", lambda t: events.events(series.bps(t, MONTH), busy, MONTH), a.events("over", 3600, 300, 2, "busy"))
+    add("events_under", lambda t: events.events(series.bps(t, MONTH), idle, MONTH), a.events("under", 7200, 250, 1, "idle"))
+    add("events_delta", lambda t: events.events(series.bps(t, MONTH), rising, MONTH), a.events("delta", 3600, 100, 0, "rising", 20))
+    add("events_query", lambda t: events.query(events.events(series.bps(t, MONTH), busy, MONTH).unionByName(events.events(series.bps(t, MONTH), idle, MONTH)), MONTH, severity=1), a.EVENTS_QUERY)
     add("svcd_bps", lambda t: dashboard.service_bps(t, o.NOW), a.SVCD_BPS)
     add("svcd_clients", lambda t: dashboard.service_clients(t, o.NOW, 21600), a.SVCD_CLIENTS)
     add("svcd_counters", lambda t: dashboard.service_counters(t, o.NOW), a.SVCD_COUNTERS)
@@ -95,17 +96,25 @@ def entries() -> list[tuple]:
         add(f"workinghours_{by}", lambda t, by=by: dashboard.working_hours(t, MONTH, by), a.working_hours(by))
     add("report_usage", lambda t: dashboard.usage(t, MONTH), o.topn("bytes", "source"))
     add("report_bps_peak", lambda t: dashboard.bps_peak(t, MONTH), a.PEAK)
+    add("report_icmp", lambda t: dashboard.icmp_page(t, MONTH), a.ICMP_PAGE)
+    add("report_port", lambda t: dashboard.busiest_ports(t, MONTH), a.PORT_PAGE)
+    add("report_dns", lambda t: dashboard.compose(t, MONTH, ["dns"])["dns"], a.DNS_PAGE)
+    add("report_http_error", lambda t: dashboard.compose(t, MONTH, ["http-error"])["http-error"], a.TOPN_HTTP)
+    for kind in dashboard.TCP_PAGE:
+        add(f"report_tcp_events_{kind}", lambda t, kind=kind: dashboard.tcp_page_events(t, MONTH, kind), a.tcp_page_events(kind))
     add("report_tcp_page", lambda t: dashboard.tcp_page(t, MONTH), a.TCP_PAGE)
 
     probes = lambda t: t["probe_results"]
-    add("probe_results", lambda t: stores.probe_results(probes(t), *a.YEAR), a.PROBES)
-    add("probe_binned", lambda t: stores.probe_binned(probes(t), *a.YEAR, a.BIN), a.BINNED)
+    add("probe_results", lambda t: stores.probe_results(probes(t), *a.EVER), a.PROBES)
+    add("probe_binned", lambda t: stores.probe_binned(probes(t), *a.EVER, a.BIN), a.BINNED)
+    add("probe_expire", lambda t: stores.expire(probes(t), 31536000), a.PROBE_EXPIRE)
+    add("probe_lookback", lambda t: stores.probe_lookback(probes(t), "020000000011", "1-URGENT", 31536000), a.PROBE_LOOKBACK)
     add("probe_latest", lambda t: stores.probe_latest(probes(t), 300000, 100000), a.LATEST)
     add("probe_ranking", lambda t: stores.probe_ranking(probes(t)), a.RANKING)
     add("probe_inventory", lambda t: stores.probe_inventory(probes(t)), a.INVENTORY)
-    add("probe_ingest", lambda t: stores.probe_ingest(probes(t).where("uploadat % 2 = 0"), probes(t).where(f"testedat < {a.YEAR[0]}"), a.YEAR[1]), a.INGEST)
+    add("probe_ingest", lambda t: stores.probe_ingest(probes(t), probes(t).where(f"testedat < {a.SPLIT}"), a.EVER[1]), a.INGEST)
     add("paranoia_latest", lambda t: stores.paranoia_latest(t["paranoia"]), a.PARANOIA_LATEST)
-    add("paranoia_results", lambda t: stores.paranoia_results(t["paranoia"], *a.YEAR), a.PARANOIA_RESULTS)
+    add("paranoia_results", lambda t: stores.paranoia_results(t["paranoia"], *a.EVER), a.PARANOIA_RESULTS)
     add("syslog_search", lambda t: stores.syslog_search(t["syslog"], *o.MONTH, message="user", facility=1, priority=4), a.SYSLOG)
     add("syslog_summary", lambda t: stores.syslog_summary(t["syslog"], *o.MONTH), a.SYSLOG_SUMMARY)
     add("snmp_search", lambda t: stores.snmp_search(t["snmptrap"], *o.MONTH, enterprise="6.1", kind=2), a.SNMP)

@@ -28,19 +28,41 @@ class Network:
             raise ValueError(f"host bits are set in {self.ip:08x} under mask {self.mask:08x}")
 
     @classmethod
-    def parse(cls, text: str) -> Network:
-        """Dotted text with an optional /length, or hex of 8 digits, or of 10 with the length in the last two."""
+    def parse(cls, text: str) -> Network | Network6:
+        """Dotted text with an optional /length, or hex of 8 digits, or of 10 with the length in the last two; of version 6:
+        text with colons, or hex of 32 digits, or of 34."""
+        if ":" in text:
+            six = ipaddress.IPv6Network(text, strict=True)
+            return Network6(six.network_address.packed.hex(), six.broadcast_address.packed.hex())
         if "." in text:
             net_ = ipaddress.IPv4Network(text, strict=True)
             return cls(int(net_.network_address), int(net_.netmask))
-        bits = int(text[8:10], 16) if len(text) == 10 else 32
+        digits = {8: 8, 10: 8, 32: 32, 34: 32}.get(len(text))
+        if digits is None:
+            raise ValueError(f"{text!r} is no address")
+        bits = int(text[digits:], 16) if len(text) > digits else 4 * digits
+        if digits == 32:
+            return cls.parse(f"{ipaddress.IPv6Address(int(text[:32], 16))}/{bits}")
         return cls(int(text[:8], 16), (0xFFFFFFFF << (32 - bits)) & 0xFFFFFFFF)
 
-    def covers(self, other: Network) -> bool:
-        return self.mask <= other.mask and other.ip & self.mask == self.ip
+    def covers(self, other: Network | Network6) -> bool:
+        return isinstance(other, Network) and self.mask <= other.mask and other.ip & self.mask == self.ip
 
 
-def networks(texts: list[str]) -> list[Network]:
+@dataclass(frozen=True)
+class Network6:
+    """An IPv6 network as the range of its addresses in 32 lower-case hex digits, whose order as text is their own."""
+
+    low: str
+    high: str
+    port: int = 0
+    alias: str = ""
+
+    def covers(self, other: Network | Network6) -> bool:
+        return isinstance(other, Network6) and self.low <= other.low and other.high <= self.high
+
+
+def networks(texts: list[str]) -> list[Network | Network6]:
     """Parsed networks without those that another one covers."""
     found = [Network.parse(t) for t in dict.fromkeys(texts)]
     return [x for x in found if not any(y != x and y.covers(x) for y in found)]
@@ -52,7 +74,7 @@ class Conditions:
 
     second_from: int = 0
     second_to: int = 1 << 40
-    ips: tuple[Network, ...] = ()
+    ips: tuple[Network | Network6, ...] = ()
     include_external: bool = True
     ports: tuple[tuple[int, int], ...] = ()
     payload_protocol: int | None = None
@@ -88,31 +110,54 @@ def parse_ports(text: str) -> tuple[tuple[int, int], ...]:
 IMPLIED = {"http": {"l7": 2}, "dnstracker": {"l7": 1}, "tlstracker": {"l7": 7}, "voipmonitor": {"l7": 11}, "icmpwalk": {"payload_protocol": model.ICMP}, "icmp6walk": {"payload_protocol": model.ICMP6}, "packethash": {"payload_protocol": model.TCP}}
 
 
+def implied(where: Conditions, kind: str) -> Conditions:
+    """The conditions with those that a kind of query brings along."""
+    return replace(where, **IMPLIED[kind])
+
+
 def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
-def member(ip: Column, nets: tuple[Network, ...]) -> Column:
-    return any_of([net.in_network(ip, F.lit(n.ip), F.lit(n.mask)) for n in nets])
+def member(ip: Column, nets: tuple[Network | Network6, ...], ip6: Column | None = None) -> Column:
+    """Whether an address, or its form of version 6, lies in one of the networks."""
+    tests = [net.in_network(ip, F.lit(n.ip), F.lit(n.mask)) for n in nets if isinstance(n, Network)]
+    if ip6 is not None:
+        tests += [F.coalesce(ip6.between(n.low, n.high), F.lit(False)) for n in nets if isinstance(n, Network6)]
+    return any_of(tests) if tests else F.lit(False)
 
 
 def accepted(tables: Tables, where: Conditions) -> DataFrame:
     """Sessions that meet the conditions."""
     s = tables["sessions"]
     s = s.where((F.col("last_second") >= where.second_from) & (F.col("first_second") <= where.second_to))
-    if where.ips:
+    columns = s.columns
+    if any(isinstance(n, Network6) for n in where.ips):
+        s = s.join(tables["session_ip6"], "session_id", "left")
+        src, dst = member(F.col("src_ip"), where.ips, F.col("src_ip6")), member(F.col("dst_ip"), where.ips, F.col("dst_ip6"))
+        s = s.where(src | dst if where.include_external else src & dst).select(*columns)
+    elif where.ips:
         src, dst = member(F.col("src_ip"), where.ips), member(F.col("dst_ip"), where.ips)
         s = s.where(src | dst if where.include_external else src & dst)
     names = None
     if where.tags:
         names = tables["tag_ip"].where(F.col("tag").isin(*where.tags)).select("ip_hex")
     if where.apps:
-        like = tables["fqdns"].where(any_of([F.col("name").contains(a) for a in where.apps])).select("ip_hex")
+        called = lambda rows: rows.where(any_of([F.col("name").contains(a) for a in where.apps]))
+        like = called(tables["fqdns"]).select("ip_hex")
+        like = like.unionByName(called(tables["user_apps"]).select(F.explode(F.split("ips", ",")).alias("ip_hex")))
+        if like.isEmpty():  # the users' lists, small tables
+            raise ValueError(f"no app is called {' or '.join(where.apps)}")
         names = like if names is None else names.unionByName(like)
     if names is not None:
-        wanted = names.select(net.hex_to_ip(F.col("ip_hex")).alias("wanted")).distinct()
-        src = s.join(wanted, s["src_ip"] == wanted["wanted"], "left_semi").select("session_id")
-        dst = s.join(wanted, s["dst_ip"] == wanted["wanted"], "left_semi").select("session_id")
+        digits = F.length("ip_hex")
+        wanted = names.where(digits == 8).select(net.hex_to_ip(F.col("ip_hex")).alias("wanted")).distinct()
+        ends = [s.join(wanted, s[c] == wanted["wanted"], "left_semi").select("session_id") for c in ("src_ip", "dst_ip")]
+        if not names.where(digits == 32).isEmpty():
+            six, wanted6 = tables["session_ip6"], names.where(digits == 32).select(F.col("ip_hex").alias("wanted6")).distinct()
+            more = [six.join(wanted6, six[c] == wanted6["wanted6"], "left_semi").select("session_id") for c in ("src_ip6", "dst_ip6")]
+            ends = [a.unionByName(b) for a, b in zip(ends, more, strict=True)]
+        src, dst = ends
         s = s.join(src.unionByName(dst).distinct() if where.include_external else src.intersect(dst), "session_id", "left_semi")
     if where.ports:
         s = s.where(any_of([F.col("src_port").between(a, b) | F.col("dst_port").between(a, b) for a, b in where.ports]))

@@ -48,8 +48,8 @@ def bps(window: tuple[int, int] = DAY, more: str = "") -> str:
     return dense(window, f"{acc(window, more)}, {fact('b', 'bps', window)}", "SELECT second AS timestamp, SUM(small_to_big + big_to_small) * 8 AS value FROM b GROUP BY 1")
 
 
-def count_series(kind: str) -> str:
-    return dense(DAY, f"{acc(DAY)}, {markers(kind, DAY)}", "SELECT second AS timestamp, COUNT(*) AS value FROM m GROUP BY 1")
+def count_series(kind: str, window: tuple[int, int] = DAY) -> str:
+    return dense(window, f"{acc(window)}, {markers(kind, window)}", "SELECT second AS timestamp, COUNT(*) AS value FROM m GROUP BY 1")
 
 
 PPS_COLUMNS = ("unknown", "broadcast", "multicast", "unicast")
@@ -83,11 +83,11 @@ BPS2 = ("ingress", "egress", "local", "other")
 TO_DST, TO_SRC = "(CASE WHEN source_is_small = 1 THEN small_to_big ELSE big_to_small END)", "(CASE WHEN source_is_small = 1 THEN big_to_small ELSE small_to_big END)"
 
 
-def bps2() -> str:
+def bps2(window: tuple[int, int] = DAY) -> str:
     s, d = "(src_ip & 4294967232) = 167772160", "(dst_ip & 4294967232) = 167772160"
     return dense(
-        DAY,
-        f"{acc(DAY)}, {fact('b', 'bps', DAY)}",
+        window,
+        f"{acc(window)}, {fact('b', 'bps', window)}",
         f"""SELECT second AS timestamp, SUM(CASE WHEN NOT {s} AND {d} THEN {TO_DST} * 8 WHEN {s} AND NOT {d} THEN {TO_SRC} * 8 ELSE 0 END) AS ingress,
         SUM(CASE WHEN {s} AND NOT {d} THEN {TO_DST} * 8 WHEN NOT {s} AND {d} THEN {TO_SRC} * 8 ELSE 0 END) AS egress,
         SUM(CASE WHEN {s} AND {d} THEN (small_to_big + big_to_small) * 8 ELSE 0 END) AS local, SUM(CASE WHEN NOT {s} AND NOT {d} THEN (small_to_big + big_to_small) * 8 ELSE 0 END) AS other FROM b GROUP BY 1""",
@@ -172,8 +172,8 @@ def streams(window: tuple[int, int] = DAY) -> str:
     FROM acc s JOIN mv ON mv.session_id = s.session_id LEFT JOIN rt ON rt.session_id = s.session_id LEFT JOIN gone ON gone.session_id = s.session_id WHERE mv.up + mv.down > 0"""
 
 
-def streams_summary() -> str:
-    return f"""WITH st AS ({streams()}) SELECT COUNT(*) AS sessions, CAST(MIN(ip1toip2 + ip2toip1) AS BIGINT) AS bytes_min, CAST(MAX(ip1toip2 + ip2toip1) AS BIGINT) AS bytes_max, CAST(SUM(ip1toip2 + ip2toip1) // COUNT(*) AS BIGINT) AS bytes_avg,
+def streams_summary(window: tuple[int, int]) -> str:
+    return f"""WITH st AS ({streams(window)}) SELECT COUNT(*) AS sessions, CAST(MIN(ip1toip2 + ip2toip1) AS BIGINT) AS bytes_min, CAST(MAX(ip1toip2 + ip2toip1) AS BIGINT) AS bytes_max, CAST(SUM(ip1toip2 + ip2toip1) // COUNT(*) AS BIGINT) AS bytes_avg,
     CAST(coalesce(MIN(CASE WHEN rtt >= 0 THEN rtt END), 0) AS BIGINT) AS rtt_min, CAST(coalesce(MAX(CASE WHEN rtt >= 0 THEN rtt END), 0) AS BIGINT) AS rtt_max, CAST(coalesce(SUM(CASE WHEN rtt >= 0 THEN rtt END) // COUNT(CASE WHEN rtt >= 0 THEN rtt END), 0) AS BIGINT) AS rtt_avg,
     CAST(SUM(CASE WHEN rtt < 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_rtt FROM st"""
 
@@ -242,3 +242,37 @@ AUDIT_INDEX = f"WITH {acc(MONTH)} SELECT session_id AS sessionid, src_ip AS ip,
 SESSIONS_MERGED = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY file_seq) AS k, CASE WHEN (status & 2) <> 0 THEN file_seq END AS synfile, CASE WHEN l7 <> 0 THEN file_seq END AS l7file FROM session_parts),
 b AS (SELECT session_id, MIN(first_second) AS first_second, MAX(last_second) AS last_second, CAST(bit_or(status) AS INTEGER) AS status, coalesce(max_by(l7, l7file), 0) AS l7, coalesce(max_by(src_port, synfile), min_by(src_port, k)) AS src_port FROM o GROUP BY 1)
 SELECT session_id, first_second, last_second, status, CAST(l7 AS INTEGER) AS l7, src_port FROM b"""
+
+_END = ("src_ip", "dst_ip", "src_port", "dst_port", "source_is_small")
+#: Records merged by session, then turned where the source, and not the destination, is a service that another session shows.
+WHOLE = f"""parts AS (SELECT *, CASE WHEN (status & 2) <> 0 THEN file_seq END AS synfile, CASE WHEN l7 <> 0 THEN file_seq END AS l7file FROM session_parts),
+merged AS (SELECT session_id, {', '.join(f'coalesce(max_by({c}, synfile), min_by({c}, file_seq)) AS {c}' for c in _END)}, MIN(payload_protocol) AS payload_protocol, MIN(first_second) AS first_second, MAX(last_second) AS last_second, CAST(coalesce(max_by(l7, l7file), 0) AS INTEGER) AS l7, CAST(bit_or(status) AS INTEGER) AS status FROM parts GROUP BY 1),
+known AS (SELECT DISTINCT dst_ip AS ip, dst_port AS port FROM merged WHERE payload_protocol = 6 AND (status & 2) <> 0),
+judged AS (SELECT *, ((status & 2) = 0 OR l7 = 0) AND (src_ip, src_port) IN (SELECT (ip, port) FROM known) AND (dst_ip, dst_port) NOT IN (SELECT (ip, port) FROM known) AS turned FROM merged),
+whole_sessions AS (SELECT session_id, CASE WHEN turned THEN dst_ip ELSE src_ip END AS src_ip, CASE WHEN turned THEN src_ip ELSE dst_ip END AS dst_ip, CASE WHEN turned THEN dst_port ELSE src_port END AS src_port, CASE WHEN turned THEN src_port ELSE dst_port END AS dst_port,
+CASE WHEN turned THEN 1 - source_is_small ELSE source_is_small END AS source_is_small, payload_protocol, first_second, last_second, l7, status FROM judged)"""
+SESSIONS_WHOLE = f"WITH {WHOLE} SELECT * FROM whole_sessions"
+
+
+def on_whole(sql: str) -> str:
+    """A query over the merged and turned sessions."""
+    text = sql.replace("FROM sessions ", "FROM whole_sessions ")
+    assert text.startswith("WITH ") and text != sql
+    return f"WITH {WHOLE}, {text[5:]}"
+
+
+SIX = ("20010db8000000000000000000000000", "20010db80000000000000000000000ff")
+IN_SIX = f"AND session_id IN (SELECT session_id FROM session_ip6 WHERE src_ip6 BETWEEN '{SIX[0]}' AND '{SIX[1]}' OR dst_ip6 BETWEEN '{SIX[0]}' AND '{SIX[1]}')"
+SOURCE6 = f"WITH {acc(MONTH)}, {fact('f', 'bps', MONTH)} SELECT src_ip6 AS ip6, CAST(SUM(small_to_big + big_to_small) AS BIGINT) AS value FROM f JOIN session_ip6 x ON x.session_id = f.session_id GROUP BY 1 HAVING SUM(small_to_big + big_to_small) > 0 ORDER BY value DESC, ip6 LIMIT 100"
+APPS = "AND (src_ip IN (167772165, 167772166, 3232235780) OR dst_ip IN (167772165, 167772166, 3232235780))"
+APPS6 = "AND session_id IN (SELECT session_id FROM session_ip6 WHERE dst_ip6 = '20010db8ffff00000000000000000053')"
+SESSION_TAGS = f"WITH {acc(MONTH)} SELECT session_id, 'vlanq' AS kind, tag FROM session_vlan WHERE session_id IN (SELECT session_id FROM acc) UNION ALL SELECT session_id, 'mpls', tag FROM session_mpls WHERE session_id IN (SELECT session_id FROM acc)"
+_REMARKS = {"HTTP": ("http_remarks", "content"), "DNS": ("dns_remarks", "content"), "TLS": ("tls_remarks", "content"), "SMTP": ("mail_remarks", "smtp"), "POP3": ("mail_remarks", "pop3"), "IMAP": ("mail_remarks", "imap"), "FTP": ("mail_remarks", "ftp"), "ICMP": ("icmp_remarks", "content"), "ICMPv6": ("icmp6_remarks", "content"), "SIP": ("sip_remarks", "body")}
+REMARKS = f"WITH {acc(MONTH)}, al AS (" + " UNION ALL ".join(f"SELECT '{k}' AS protocol, session_id, file_seq, {c} AS content FROM {t}" for k, (t, c) in _REMARKS.items()) + ") SELECT * FROM al WHERE content <> '' AND session_id IN (SELECT session_id FROM acc)"
+
+
+def service_pairs(base: str, window: tuple[int, int], n: int, more: str = "") -> str:
+    """Pairs of client and service by value, plain; ``more`` narrows the facts by session columns."""
+    select, own = KEYS["service"]
+    keys = ", ".join(own)
+    return f"WITH {acc(window)}, {fact('f', 'bps' if base == 'bytes' else 'pps', window)}, {_both('x', 'f')} SELECT {keys}, CAST(SUM(n) AS BIGINT) AS value FROM (SELECT {select}, n FROM x WHERE n > 0 {more}) GROUP BY {keys} ORDER BY value DESC, {keys} LIMIT {n}"

@@ -27,19 +27,23 @@ SELECT session_id, CAST(167772160 + min(user_id) % 65536 AS BIGINT) AS src_ip,
        CAST(CASE min(tc) WHEN 0 THEN 7 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 4 ELSE 11 END AS INT) AS l7,
        CAST(CASE WHEN min(tc) IN (2, 4) THEN 0 ELSE 2 END AS INT) AS status, CAST(0 AS BIGINT) AS file_seq
 FROM e GROUP BY session_id""",
-    # one record for each day that a session spans; the start flag and the detected protocol stand in some of them only
+    # one record for each day that a session spans; the start flag and the detected protocol stand in some of them only, and
+    # some without the start flag have source and destination the wrong way round
     "session_parts": f"""
-SELECT session_id, CAST(167772160 + min(user_id) % 65536 AS BIGINT) AS src_ip,
-       CAST(CASE WHEN min(tc) = 4 THEN 151587081 ELSE 3232235776 + min(tc) END AS BIGINT) AS dst_ip,
-       CAST(1024 + (session_id + (CASE WHEN min(event_id) % 2 = 0 THEN 0 ELSE 7 END)) % 60000 AS INT) AS src_port,
-       CAST(CASE min(tc) WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 53 WHEN 3 THEN 25 ELSE 5060 END AS INT) AS dst_port,
-       CAST(2048 AS INT) AS ether_type, CAST(CASE WHEN min(tc) = 4 THEN 0 ELSE 1 END AS INT) AS source_is_small,
-       CAST(CASE WHEN min(tc) IN (2, 4) THEN 17 ELSE 6 END AS INT) AS payload_protocol,
+SELECT session_id, CASE WHEN turned = 1 THEN server ELSE client END AS src_ip, CASE WHEN turned = 1 THEN client ELSE server END AS dst_ip,
+       CASE WHEN turned = 1 THEN server_port ELSE client_port END AS src_port, CASE WHEN turned = 1 THEN client_port ELSE server_port END AS dst_port,
+       ether_type, CAST(CASE WHEN turned = 1 THEN 1 - small ELSE small END AS INT) AS source_is_small, payload_protocol, first_second, first_ns, last_second, last_ns, l7, status, file_seq
+FROM (SELECT session_id, CAST(167772160 + min(user_id) % 65536 AS BIGINT) AS client,
+       CAST(CASE WHEN min(tc) = 4 THEN 151587081 ELSE 3232235776 + min(tc) END AS BIGINT) AS server,
+       CAST(1024 + (session_id + (CASE WHEN min(event_id) % 2 = 0 THEN 0 ELSE 7 END)) % 60000 AS INT) AS client_port,
+       CAST(CASE min(tc) WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 53 WHEN 3 THEN 25 ELSE 5060 END AS INT) AS server_port,
+       CAST(2048 AS INT) AS ether_type, CAST(CASE WHEN min(tc) = 4 THEN 0 ELSE 1 END AS INT) AS small,
+       CAST(CASE WHEN min(tc) IN (2, 4) THEN 17 ELSE 6 END AS INT) AS payload_protocol, CASE WHEN min(event_id) % 10 = 3 THEN 1 ELSE 0 END AS turned,
        min(sec) AS first_second, CAST(0 AS BIGINT) AS first_ns, max(sec) AS last_second, CAST(0 AS BIGINT) AS last_ns,
        CAST(CASE WHEN min(event_id) % 3 = 0 THEN 0 ELSE 7 - min(tc) END AS INT) AS l7,
        CAST(CASE WHEN min(tc) IN (2, 4) THEN 0 WHEN min(event_id) % 2 = 0 THEN 2 ELSE 16 END AS INT) AS status,
        (sec - {START}) DIV 86400 AS file_seq
-FROM e GROUP BY session_id, (sec - {START}) DIV 86400""",
+FROM e GROUP BY session_id, (sec - {START}) DIV 86400) AS parts""",
     "bps": """
 SELECT session_id, sec AS second, CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE bytes END AS small_to_big,
        CASE WHEN event_id % 3 = 0 THEN bytes ELSE bytes DIV 2 END AS big_to_small FROM e""",
@@ -70,6 +74,9 @@ SELECT (sec - {START}) DIV 86400 AS file_seq, event_id AS idx, session_id, sec A
 FROM e""",
     "session_vlan": "SELECT session_id, CAST(1 + session_id % 5 AS INT) AS tag FROM sessions WHERE session_id % 3 <> 0",
     "session_mpls": "SELECT session_id, CAST(16 + session_id % 4 AS INT) AS tag FROM sessions WHERE session_id % 4 = 1",
+    "session_ip6": """
+SELECT session_id, concat('20010db8', lpad(CAST(session_id % 1000 AS VARCHAR(10)), 24, '0')) AS src_ip6, concat('20010db8ffff', lpad(CAST(dst_port AS VARCHAR(10)), 20, '0')) AS dst_ip6
+FROM sessions WHERE session_id % 5 = 2""",
     "icmp_packets": "SELECT file_seq, idx, session_id, second, ns, tcp_seq AS type, tcp_ack AS code FROM packets WHERE session_id % 4 = 0",
     "icmp_remarks": """
 SELECT session_id, file_seq, concat('ICMP', CAST(idx AS VARCHAR(20)), '=17 ', '0a0000', CASE WHEN idx % 2 = 0 THEN '01' ELSE '02' END, 'c0a80001', CASE WHEN idx % 3 = 0 THEN '0035d431' ELSE '' END) AS content
@@ -143,6 +150,7 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
     ),
     "tag_ip": ("tag string, ip_hex string", [("*office", "0a000001"), ("*office", "0a000002"), ("*lab", "0a000003"), ("web", "c0a80100"), ("web", "c0a80101")]),
     "fqdns": ("name string, ip_hex string", [("www.example.com", "c0a80100"), ("cdn.example.com", "c0a80100"), ("mail.example.com", "c0a80103"), ("dns.example.com", "c0a80102")]),
+    "user_apps": ("name string, ips string, port int", [("intranet", "0a000005,0a000006", 8080), ("wiki", "c0a80104", 443), ("six", "20010db8ffff00000000000000000053", 0)]),
     "geo": ("ip_from long, ip_to long, country string", [(167772160, 167772191, "KR"), (167772192, 167772223, "US"), (167772224, 167837695, "DE")]),
     "trigger": (
         "tag string, message string, severity int, datasource string, type string, lookback long, threshold long, delta long",

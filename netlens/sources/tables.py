@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.sources import fixtures
+from netlens.sources.sessions import whole_sessions
 
 #: Fact tables and the column that holds their time.
 TIME = {"bps": "second", "pps": "second", "rtts": "second", "tcp_rsts": "second", "tcp_dupacks": "second", "tcp_retransmissions": "second", "tcp_misc": "second", "tcp_syns": "second", "timeouts": "marker_second", "packets": "second"}
+#: Tasks that write the rows of one hour.
+WRITERS = 8
 SOURCES = ("events", "pages", "orders", "conversations", "documents")
 
 
@@ -54,25 +57,42 @@ class Tables:
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str, feed: str, second_from: int | None = None, second_to: int | None = None) -> Tables:
-        """Tables of a store with a folder for each table, partitioned by feed and hour; a time range prunes hours."""
+        """Tables of a store with a folder for each table, partitioned by feed and hour; a time range prunes hours.
+
+        Sessions stand in every hour that they touch and in every file that has packets of them; what is read of them is
+        merged by session and turned to the known services (:func:`netlens.sources.sessions.whole_sessions`).
+        """
 
         def open_table(self: Tables, name: str) -> DataFrame:
             table = spark.read.parquet(f"{root}/{name}").where(F.col("feed") == feed)
-            if name in TIME and second_from is not None:
+            timed = name in TIME or name == "sessions"
+            if timed and second_from is not None:
                 table = table.where(F.col("hour") >= second_from // 3600)
-            if name in TIME and second_to is not None:
+            if timed and second_to is not None:
                 table = table.where(F.col("hour") <= second_to // 3600)
-            return table.drop("feed", "hour")
+            table = table.drop("feed", "hour")
+            return whole_sessions(table) if name == "sessions" else table
 
         return cls(spark, open_table)
 
 
 def store(tables: Tables, root: str, feed: str, names: list[str] | None = None, mode: str = "append") -> None:
-    """Write tables below ``root``, partitioned by feed and hour (hour 0 for what has no time)."""
+    """Write tables below ``root``, partitioned by feed and hour; a session goes to every hour that it touches, what has no
+    time to hour 0.  The rows of an hour are dealt to ``WRITERS`` tasks, so no task writes a busy hour alone."""
     for name in names or list(TIME) + ["sessions"]:
         table = tables[name]
-        hour = F.expr(f"{TIME[name]} div 3600") if name in TIME else F.lit(0).cast("long")
-        table.withColumn("feed", F.lit(feed)).withColumn("hour", hour).repartition("hour").write.mode(mode).partitionBy("feed", "hour").parquet(f"{root}/{name}")
+        if name == "sessions":
+            hour = F.explode(F.sequence(F.expr("first_second div 3600"), F.greatest(F.expr("first_second div 3600"), F.expr("last_second div 3600"))))
+        else:
+            hour = F.expr(f"{TIME[name]} div 3600") if name in TIME else F.lit(0).cast("long")
+        rows = table.withColumn("feed", F.lit(feed)).withColumn("hour", hour)
+        rows.repartition("hour", F.pmod(F.xxhash64("session_id"), F.lit(WRITERS))).write.mode(mode).partitionBy("feed", "hour").parquet(f"{root}/{name}")
+
+
+def feeds(spark: SparkSession, root: str, name: str = "bps") -> DataFrame:
+    """The feeds of a store with their first and last second, by whole hours, from the names of partitions only."""
+    hours = spark.read.parquet(f"{root}/{name}").select(F.col("feed").cast("string").alias("feed"), F.col("hour").cast("long").alias("hour"))
+    return hours.groupBy("feed").agg((F.min("hour") * 3600).alias("from"), (F.max("hour") * 3600 + 3599).alias("to"))
 
 
 def drop_old_hours(spark: SparkSession, root: str, name: str, feed: str, keep_from_hour: int) -> list[int]:
@@ -89,6 +109,15 @@ def drop_old_hours(spark: SparkSession, root: str, name: str, feed: str, keep_fr
     return sorted(gone)
 
 
+def drop_old_rollups(spark: SparkSession, root: str, feed: str, keep_from_hour: int) -> dict[str, list[int]]:
+    """Expiry of every table of a rollup store; returns the hours that went, by table."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    return {name: drop_old_hours(spark, root, name, feed, keep_from_hour) for name in sorted(names)}
+
+
 def write_tsv(result: DataFrame, path: str) -> None:
     """Result sink: tab-separated text with a header."""
     result.write.mode("overwrite").csv(path, sep="\t", header=True)
