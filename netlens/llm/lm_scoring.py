@@ -238,7 +238,8 @@ def score_corpus(docs: DataFrame, held_out: Column, deleted: Column, id_col: str
     maximum-likelihood estimates: of the word after its predecessor, of the word, and uniform over the vocabulary and
     one unknown.  The weights depend on how often the predecessor occurs (by powers of two).  They come from expectation
     maximisation on the training rows that ``deleted`` names, whose counts are taken out for that step; the scores use
-    the counts of all training rows.  Held-out ratios are counted on a grid of fixed size, which alone reaches the driver.
+    the counts of all training rows.  Held-out ratios are counted on a grid of fixed size, which alone reaches the driver:
+    ``GRID`` steps a factor of two, so each ratio is off by 2 ** (1 / 8), 9 %, at most while the weights are learned.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens whose word occurs in training), train_tokens, base_score (an
     additive unigram model) and score.  A null text counts as empty: one end token.  A row whose ``held_out`` is null is

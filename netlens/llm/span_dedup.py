@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, join_counted, materialize, signed, slices, token_hash, word_spans
+from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, discard, join_counted, materialize, signed, slices, token_hash, word_spans
 
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 MIN_SENTENCES, MIN_WORDS = 2, 20
+#: Tells the hash of a whole text from that of a span of the same words.
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
 #: Sentences are cut before the word of least hash of every so many consecutive words, so the cuts lie alike wherever a passage
 #: stands.  Then any 3 * (CUT_WORDS - 1) + MIN_WORDS + 1 = 48 words or more that repeat word for word hold a whole span.
 CUT_WORDS = 10
@@ -70,16 +72,16 @@ def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words: int, digests: bool = False) -> tuple[np.ndarray, ...]:
-    """(document, first piece in it, last piece in it, hash, whether it is a whole document, digest if asked for) of every
-    span: from each piece to a cut by words, and from each sentence to the end of a sentence.  A document without such a
-    span is one span as a whole.
+    """(document, first piece in it, last piece in it, hash, 64-bit BLAKE2b if asked for) of every span: from each piece to a
+    cut by words, and from each sentence to the end of a sentence.  A document without such a span is one span as a
+    whole, whose hashes are of another kind.
 
-    The hash, and the 128-bit digest, cover the words in order with A-Z in lower case; white space does not matter.
+    Both hashes cover the words in order with A-Z in lower case; white space does not matter.
     """
     starts, ends, first, end, doc, final, worded = sentences(data, offsets)
     if not len(first):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty.astype(bool), []
+        return empty, empty, empty, empty, empty
     words = token_hash(SpanHash(LOWER[data])(starts, ends))
     pieces = np.arange(len(first))
     opening = np.flatnonzero(np.concatenate([[True], final[:-1]]))
@@ -95,26 +97,26 @@ def spans(data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_words:
     whole = np.concatenate([np.zeros(len(start), bool), np.ones(int(bare.sum()), bool)])
     start, stop = np.concatenate([start, head[bare]]), np.concatenate([stop, tail[bare]])
     origin = np.searchsorted(doc, doc[start])
-    sums = []
+    hashes, sums = words(first[start], end[stop]) ^ np.where(whole, _WHOLE, np.uint64(0)), start[:0]
     if digests:
         text, low, high = compact(data, starts, ends)
         marks = zip(low[first[start]].tolist(), high[end[stop] - 1].tolist(), whole.tolist(), strict=True)
-        sums = [hashlib.blake2b(text[a:b], digest_size=16, person=b"whole" if w else b"span").digest() for a, b, w in marks]
-    return doc[start], start - origin, stop - origin, signed(words(first[start], end[stop])), whole, sums
+        sums = np.frombuffer(b"".join([hashlib.blake2b(text[a:b], digest_size=8, person=b"whole" if w else b"span").digest() for a, b, w in marks]), "<i8")
+    return doc[start], start - origin, stop - origin, signed(hashes), sums
 
 
 def _rows(min_sentences: int, min_words: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, _, data, offsets in slices(batch.column("_text")):
-                doc, first, last, hashes, whole, sums = spans(data, offsets, min_sentences, min_words, digests)
+                doc, first, last, hashes, sums = spans(data, offsets, min_sentences, min_words, digests)
                 if not digests:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(whole)], names=["hash", "whole"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["hash"])
                     continue
                 rows = pa.array(low + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes), pa.array(whole), pa.array(sums, pa.binary())],
-                    names=["doc_id", "_key", "first", "last", "hash", "whole", "digest"],
+                    [batch.column("doc_id").take(rows), batch.column("_key").take(rows), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes), pa.array(sums, pa.int64())],
+                    names=["doc_id", "_key", "first", "last", "hash", "digest"],
                 )
 
     return run
@@ -156,9 +158,10 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
     Sentences are cut into pieces by content (see :func:`sentences`), and pieces count as sentences.  From every piece
     starts a span: the shortest run of at least ``min_sentences`` pieces with at least ``min_words`` words that ends at a
     cut by words; from every sentence also the shortest such run of whole sentences.  A text too short for any span is
-    one span, which meets only other such texts.  Repeated 64-bit hashes are counted first; among their spans those of
-    one 128-bit digest of the words are equal, and of these the first, by (id, text hash, piece), stays.  Where a passage
-    is longer than a span, its overlapping spans cover it but for less than two pieces at either edge.
+    one span, which meets only other such texts.  Repeated hashes of 64 bits are counted first; spans are equal where a
+    second hash of another kind, 64 bits of BLAKE2b over the words, is equal too, and of these the first, by (id, text
+    hash, piece), stays.  Where a passage is longer than a span, its overlapping spans cover it but for less than two
+    pieces at either edge.
 
     Returns id_col, n_sentences, n_removed, n_spans (maximal removed runs), clean_text and the columns in ``keep``.
 
@@ -173,13 +176,14 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
         *[F.col(c).alias(f"_keep_{c}") for c in keep],
     )
     types = dict(source.dtypes)
-    hashed = source.select("_text").mapInArrow(_rows(min_sentences, min_words, False), "hash long, whole boolean")
-    rows = source.select("doc_id", "_key", "_text").mapInArrow(_rows(min_sentences, min_words, True), f"doc_id {types['doc_id']}, _key long, first int, last int, hash long, whole boolean, digest binary")
+    hashed = source.select("_text").mapInArrow(_rows(min_sentences, min_words, False), "hash long")
+    rows = source.select("doc_id", "_key", "_text").mapInArrow(_rows(min_sentences, min_words, True), f"doc_id {types['doc_id']}, _key long, first int, last int, hash long, digest long")
     place, spread = F.struct("doc_id", "_key", "first"), ["doc_id", "_key", "first"]
-    repeated = materialize(hashed.groupBy("hash", "whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-repeated")
-    found = materialize(join_counted(rows, repeated, ["hash", "whole"], spread).drop("hash", "whole"), "span-found")
-    origins = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1"), "span-origins")
-    hits = join_counted(found, origins, ["digest"], spread).where(~place.eqNullSafe(F.col("origin")))
+    repeated = materialize(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-repeated")
+    found = materialize(join_counted(rows, repeated, ["hash"], spread), "span-found")
+    discard(repeated)
+    origins = materialize(found.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1"), "span-origins")
+    hits = join_counted(found, origins, ["hash", "digest"], spread).where(~place.eqNullSafe(F.col("origin")))
     by_doc = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("first", "last")).alias("_hits"))
     by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_hits")
     joined = source.join(by_doc, source["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left").drop("_id", "_k")
