@@ -102,7 +102,19 @@ def ranking_with_rollup(tables: Tables, rollup: DataFrame, base: str, where: Con
 def http_errors(records: DataFrame) -> DataFrame:
     """Failed requests by minute."""
     minute = net.minute(net.div(F.col("requestat"), 1_000_000_000)).alias("minute")
-    return records.where("status >= 400").groupBy(minute, "status", "host", "path", "server_ip", "client_ip").agg(F.count(F.lit(1)).alias("hits"))
+    return records.where("status >= 400").groupBy(minute, "status", "host", "path", "server_ip", "server_port", "client_ip").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def answer(rollup: DataFrame, by: list[str], name: str, where: Conditions) -> DataFrame:
+    """Hits of the whole minutes of a range by some of a rollup's keys."""
+    rows = rollup.where(F.col("minute").between(where.second_from, where.second_to - 59))
+    return rows.groupBy(*by).agg(F.sum("hits").cast("long").alias(name))
+
+
+def http_error_ranking(rollup: DataFrame, where: Conditions, n: int = 100) -> DataFrame:
+    """The ranking of HTTP errors by description, from the rollup."""
+    rows = answer(rollup, ["status", "host", "path", "server_ip", "server_port", "client_ip"], "hits", where)
+    return topn.described(rows).groupBy("description").agg(F.sum("hits").cast("long").alias("value")).orderBy(F.desc("value"), "description").limit(n)
 
 
 def dns(tables: Tables, where: Conditions) -> DataFrame:
@@ -117,8 +129,10 @@ def icmp(tables: Tables, where: Conditions) -> DataFrame:
 
 
 def signatures(tables: Tables) -> DataFrame:
-    """Different sets of addresses: a tag's, named by their hash, with the tag as a label."""
-    sets = tables["tag_ip"].groupBy("tag").agg(F.sort_array(F.collect_set("ip_hex")).alias("ips"))
+    """Sets of IPv4 addresses, a tag's or a user app's, named by their hash, with the tag or app as a label."""
+    apps = tables["user_apps"].select(F.col("name").alias("tag"), F.explode(F.split("ips", ",")).alias("ip_hex"))
+    rows = tables["tag_ip"].select("tag", "ip_hex").unionByName(apps).where(F.length("ip_hex") == 8)
+    sets = rows.groupBy("tag").agg(F.sort_array(F.collect_set("ip_hex")).alias("ips"))
     return sets.select("tag", F.md5(F.array_join("ips", ",").cast("binary")).alias("signature"), "ips")
 
 

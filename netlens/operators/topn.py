@@ -110,19 +110,20 @@ def latencies(tables: Tables, grain: str, where: Conditions, n: int = 100) -> Da
 
 def http_errors(blocks: DataFrame, n: int = 100) -> DataFrame:
     """Hits by description (status, host, port, path and server) of paired HTTP blocks with status 400 and up."""
-    return _errors(blocks).groupBy("description").agg(F.count(F.lit(1)).alias("value")).orderBy(F.desc("value"), "description").limit(n)
+    return described(blocks).groupBy("description").agg(F.count(F.lit(1)).alias("value")).orderBy(F.desc("value"), "description").limit(n)
 
 
 def http_error_sources(blocks: DataFrame) -> DataFrame:
-    return _errors(blocks).groupBy("description", "ip").agg(F.count(F.lit(1)).alias("value"))
+    return described(blocks).groupBy("description", "ip").agg(F.count(F.lit(1)).alias("value"))
 
 
-def _errors(blocks: DataFrame) -> DataFrame:
+def described(blocks: DataFrame) -> DataFrame:
+    """Failed requests with their description: status, host, port unless it is 80, path and server."""
     server = net.ip_to_text(F.col("server_ip"))
     host = F.when(F.col("host") == "", server).otherwise(F.col("host"))
     port = F.when(F.col("server_port") == 80, "").otherwise(F.concat(F.lit(":"), F.col("server_port").cast("string")))
     text = F.concat(F.col("status").cast("string"), host, port, F.col("path"), F.lit(" ("), server, F.lit(")"))
-    return blocks.where("status >= 400").select(text.alias("description"), F.col("client_ip").alias("ip"))
+    return blocks.where("status >= 400").withColumn("description", text).withColumnRenamed("client_ip", "ip")
 
 
 __all__ = ["BASES", "GRAINS", "http_error_sources", "http_errors", "latencies", "measured", "model", "protocol_split", "ranking", "totals"]

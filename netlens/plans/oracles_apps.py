@@ -132,11 +132,11 @@ def pmpi(metric: str, grain: str = "service") -> str:
     return f"WITH {acc(MONTH)}, {o.markers(kind, MONTH)} SELECT minute, {keys}, COUNT(*) AS value FROM (SELECT {minute}, {select} FROM m) GROUP BY minute, {keys}"
 
 
-ROLLUP_HTTP = f"WITH {HTTP} SELECT requestat // 1000000000 // 60 * 60 AS minute, status, host, path, server_ip, client_ip, COUNT(*) AS hits FROM hr WHERE status >= 400 GROUP BY 1, 2, 3, 4, 5, 6"
+ROLLUP_HTTP = f"WITH {HTTP} SELECT requestat // 1000000000 // 60 * 60 AS minute, status, host, path, server_ip, server_port, client_ip, COUNT(*) AS hits FROM hr WHERE status >= 400 GROUP BY 1, 2, 3, 4, 5, 6, 7"
 ROLLUP_DNS = f"WITH {DNS} SELECT first_second // 60 * 60 AS minute, server, status, query, client, COUNT(*) AS hits FROM dn GROUP BY 1, 2, 3, 4, 5"
 ROLLUP_ICMP = f"WITH {acc(MONTH)} SELECT second // 60 * 60 AS minute, type, code, s.src_ip AS ip, s.dst_ip AS ip2, COUNT(*) AS hits FROM icmp_packets p JOIN acc s ON s.session_id = p.session_id WHERE second BETWEEN {MONTH[0]} AND {MONTH[1]} GROUP BY 1, 2, 3, 4, 5"
 PS2 = (
-    f"WITH {acc(MONTH)}, sg AS (SELECT tag, md5(string_agg(ip_hex, ',' ORDER BY ip_hex)) AS signature FROM tag_ip GROUP BY 1), si AS (SELECT DISTINCT signature, CAST('0x' || ip_hex AS BIGINT) AS ip FROM tag_ip JOIN sg ON sg.tag = tag_ip.tag), mb AS (SELECT DISTINCT session_id, signature FROM acc JOIN si ON src_ip = ip OR dst_ip = ip), "
+    f"WITH {acc(MONTH)}, tg AS (SELECT * FROM (SELECT tag, ip_hex FROM tag_ip UNION ALL SELECT name, unnest(string_split(ips, ',')) FROM user_apps) WHERE length(ip_hex) = 8), sg AS (SELECT tag, md5(string_agg(DISTINCT ip_hex, ',' ORDER BY ip_hex)) AS signature FROM tg GROUP BY 1), si AS (SELECT DISTINCT signature, CAST('0x' || ip_hex AS BIGINT) AS ip FROM tg JOIN sg ON sg.tag = tg.tag), mb AS (SELECT DISTINCT session_id, signature FROM acc JOIN si ON src_ip = ip OR dst_ip = ip), "
     + f"{fact('b', 'bps', MONTH)}, {fact('p', 'pps', MONTH)}, {fact('r', 'rtts', MONTH)}, "
     + ", ".join(_marker_cte(k) for k in o.MARKERS)
     + f", x AS (SELECT session_id, second, 'bps' AS metric, (small_to_big + big_to_small) * 8 AS n FROM b UNION ALL SELECT session_id, second, 'pps_' || {o.CAST}, small_to_big + big_to_small FROM p"
@@ -233,6 +233,8 @@ SELECT ip, port, CASE WHEN ip = 3232235776 AND port = 443 THEN 'secure-web' WHEN
 ALIASES = f"WITH {acc(MONTH)} SELECT session_id, coalesce({GROUP}, '') AS alias FROM acc"
 ANOMALY = "WITH v AS (SELECT mac, testname, testedat, rtt FROM probe_results) SELECT mac, COUNT(DISTINCT testname) AS scenarios, COUNT(*) AS \"values\", MIN(testedat) AS start_second, MAX(testedat) AS end_second, MAX(testedat) - MIN(testedat) >= 604800 AS ai_ready FROM v GROUP BY 1"
 ANOMALY_THRESHOLD = "SELECT mac, COUNT(CASE WHEN rtt >= 300000 THEN 1 END) AS major, COUNT(CASE WHEN rtt >= 100000 AND rtt < 300000 THEN 1 END) AS minor FROM probe_results GROUP BY 1"
+# the minute a session begins in must be in the month, as it is in the rollup
+DNS_ANSWER = f"WITH {DNS} SELECT server, status, COUNT(*) AS hits FROM dn WHERE first_second BETWEEN {MONTH[0]} AND {MONTH[1]} GROUP BY 1, 2"
 HTTP_REGEX = f"WITH {HTTP} SELECT * FROM hr WHERE browser IN ('Chrome', 'Firefox')"
 PROBE_EXPIRE = "SELECT * FROM probe_results WHERE testedat >= (SELECT MAX(testedat) FROM probe_results) - 31536000"
 PROBE_LOOKBACK = "SELECT * FROM probe_results WHERE mac = '020000000011' AND testname = '1-URGENT' AND testedat >= (SELECT MAX(testedat) FROM probe_results WHERE mac = '020000000011' AND testname = '1-URGENT') - 31536000"

@@ -7,11 +7,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netlens import model
 from netlens.sources import fixtures
 from netlens.sources.sessions import whole_sessions
 
 #: Fact tables and the column that holds their time.
 TIME = {"bps": "second", "pps": "second", "rtts": "second", "tcp_rsts": "second", "tcp_dupacks": "second", "tcp_retransmissions": "second", "tcp_misc": "second", "tcp_syns": "second", "timeouts": "marker_second", "packets": "second"}
+#: Columns of stored tables, given so that a table without any row can be read.
+SCHEMAS = {"sessions": model.SESSION_SCHEMA, "bps": model.TRAFFIC_SCHEMA, "pps": model.TRAFFIC_SCHEMA, "timeouts": model.SESSION_SCHEMA + ", marker_second long, marker_ns long"}
+SCHEMAS |= dict.fromkeys(("rtts", "tcp_rsts", "tcp_dupacks", "tcp_retransmissions", "tcp_misc", "tcp_syns"), model.MARKER_SCHEMA)
 #: Tasks that write the rows of one hour.
 WRITERS = 8
 SOURCES = ("events", "pages", "orders", "conversations", "documents")
@@ -64,7 +68,8 @@ class Tables:
         """
 
         def open_table(self: Tables, name: str) -> DataFrame:
-            table = spark.read.parquet(f"{root}/{name}").where(F.col("feed") == feed)
+            reader = spark.read.schema(f"{SCHEMAS[name]}, feed string, hour long") if name in SCHEMAS else spark.read
+            table = reader.parquet(f"{root}/{name}").where(F.col("feed") == feed)
             timed = name in TIME or name == "sessions"
             if timed and second_from is not None:
                 table = table.where(F.col("hour") >= second_from // 3600)

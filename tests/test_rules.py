@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from netlens import model
 from netlens.functions import net
 from netlens.operators import dashboard, events, flows, series, stores, trackers
-from netlens.plans.conditions import Conditions, Network, accepted, networks, parse_ports
-from netlens.sources.tables import Tables, drop_old_hours, store, write_json, write_tsv
+from netlens.operators import rollup, topn
+from netlens.plans.conditions import Conditions, Network, Network6, accepted, implied, networks, parse_ports
+from netlens.sources.tables import Tables, drop_old_hours, drop_old_rollups, feeds, store, write_json, write_tsv
 
 
 def tables(spark, **frames):
@@ -88,7 +89,7 @@ def test_http_blocks_across_files(spark):
     request = "HttpRequest=1704067200000000001 GET /a b\nRaw=\nHost:  h.example \nUser-Agent: x\nHttpEnd=Request\n"
     response = "HttpResponse=1704067200000000009 404 Not\nRaw=\nHttpEnd=Response\n"
     remarks = spark.createDataFrame([(1, 0, response + request), (1, 1, response + request), (1, 2, request)], "session_id long, file_seq long, content string")
-    t = tables(spark, sessions=spark.createDataFrame([session(1)], model.SESSION_SCHEMA), http_remarks=remarks)
+    t = tables(spark, sessions=spark.createDataFrame([session(1, l7=2)], model.SESSION_SCHEMA), http_remarks=remarks)
     rows = trackers.http_records(t, Conditions(0, 100)).collect()
     assert sorted((r.status, r.responseat) for r in rows) == [(0, -1), (0, -1), (404, 1704067200000000009)]
     assert {(r.host, r.path, r.method) for r in rows} == {("h.example", "/a b", "GET")}
@@ -144,8 +145,6 @@ def test_packet_matching(spark):
 
 
 def test_rollup_equals_raw(spark):
-    from netlens.operators import rollup
-
     s = spark.createDataFrame([session(1, first=0, last=400)], model.SESSION_SCHEMA)
     facts = spark.createDataFrame([(1, k, k, 2 * k) for k in range(0, 400, 7)], model.TRAFFIC_SCHEMA)
     empty = spark.createDataFrame([], model.MARKER_SCHEMA)
@@ -191,3 +190,130 @@ def test_sinks(spark, tmp_path):
     write_tsv(spark.range(2), f"{tmp_path}/t")
     write_json(spark.range(2), f"{tmp_path}/j")
     assert spark.read.csv(f"{tmp_path}/t", sep="\t", header=True).count() == 2 and spark.read.json(f"{tmp_path}/j").count() == 2
+
+
+def test_networks_of_version_6():
+    six = Network.parse("2001:db8::/32")
+    assert six == Network6("20010db8" + "0" * 24, "20010db8" + "f" * 24) and Network.parse("20010db8" + "0" * 24 + "20") == six
+    assert Network.parse("20010db8" + "0" * 23 + "1") == Network6("20010db8" + "0" * 23 + "1", "20010db8" + "0" * 23 + "1")
+    assert networks(["2001:db8::/32", "2001:db8:1::/48", "10.0.0.0/8"]) == [six, Network(0x0A000000, 0xFF000000)]
+    for wrong in ("2001:db8::1/64", "0a0000", "0a00000g"):
+        with pytest.raises(ValueError):
+            Network.parse(wrong)
+
+
+@pytest.mark.parametrize("external, found", [(True, [1, 2]), (False, [2])])
+def test_external_transfer_of_version_6(spark, external, found):
+    s = spark.createDataFrame([session(k, 0, 0) for k in (1, 2, 3, 4)], model.SESSION_SCHEMA)
+    six = lambda tail: "20010db8" + tail.rjust(24, "0")
+    ends = spark.createDataFrame([(1, six("1"), "fe80" + "0" * 28), (2, six("1"), six("2")), (3, "fe80" + "0" * 28, "fe81" + "0" * 28)], "session_id long, src_ip6 string, dst_ip6 string")
+    where = Conditions(0, 100, ips=(Network.parse("2001:db8::/64"),), include_external=external)
+    got = accepted(tables(spark, sessions=s, session_ip6=ends), where)
+    assert sorted(r.session_id for r in got.collect()) == found and got.columns == s.columns
+
+
+def test_apps_of_users_and_unknown_ones(spark):
+    s = spark.createDataFrame([session(1, 0x0A000005), session(2, 7), session(3, 8)], model.SESSION_SCHEMA)
+    t = tables(spark, sessions=s, fqdns=spark.createDataFrame([("www.x", "00000008")], "name string, ip_hex string"), user_apps=spark.createDataFrame([("intranet", "0a000005,0a000006", 80), ("www2", "00000007", 80)], "name string, ips string, port int"))
+    assert [r.session_id for r in accepted(t, Conditions(0, 100, apps=("intra",))).collect()] == [1]
+    assert sorted(r.session_id for r in accepted(t, Conditions(0, 100, apps=("www",))).collect()) == [2, 3]
+    with pytest.raises(ValueError, match="nothing"):
+        accepted(t, Conditions(0, 100, apps=("nothing",)))
+
+
+def test_implied_conditions(spark):
+    assert implied(Conditions(5, 9, l7=1), "http") == Conditions(5, 9, l7=2)
+    s = spark.createDataFrame([session(1, l7=2), session(2, l7=7)], model.SESSION_SCHEMA)
+    request = "HttpRequest=1704067200000000001 GET /a\nRaw=\nHost: h\nUser-Agent: x\nHttpEnd=Request\n"
+    t = tables(spark, sessions=s, http_remarks=spark.createDataFrame([(1, 0, request), (2, 0, request)], "session_id long, file_seq long, content string"))
+    assert [r.sessionid for r in trackers.http_records(t, Conditions(0, 100)).collect()] == [1]
+    assert trackers.http_records(t, Conditions(0, 100), block_pattern="(?i)agent: y").count() == 0
+
+
+def test_store_of_sessions_in_several_files(spark, tmp_path):
+    """Sessions whose records stand in three files, one the wrong way round, give the rows of the whole sessions."""
+    whole = [session(1, 100, 7, 1001, 443, first=10, last=9000, l7=7), session(2, 7, 101, 443, 1002, first=3000, last=8000, l7=0, status=0, small=0), session(3, 102, 8, 1003, 53, proto=17, first=50, last=60, l7=1, status=0)]
+    turned = session(2, 101, 7, 1002, 443, first=3000, last=8000, l7=0, status=0, small=1)
+    parts = []
+    for row in whole:
+        names = dict(zip(model.SESSION_COLUMNS, row, strict=True))
+        step = (names["last_second"] - names["first_second"]) // 3
+        for k in range(3):
+            own = dict(names, file_seq=k, first_second=names["first_second"] + k * step, last_second=names["last_second"] if k == 2 else names["first_second"] + (k + 1) * step)
+            if k != 1:
+                own["l7"], own["status"] = 0, own["status"] & ~2
+            parts.append(tuple(own[c] for c in model.SESSION_COLUMNS))
+    facts = spark.createDataFrame([(i, at, at + i, 2 * i) for i, times in ((1, (10, 4000, 8999)), (2, (3000, 7999)), (3, (55,))) for at in times], model.TRAFFIC_SCHEMA)
+    empty = spark.createDataFrame([], model.MARKER_SCHEMA)
+    timeouts = spark.createDataFrame([], model.SESSION_SCHEMA + ", marker_second long, marker_ns long")
+    sni = spark.createDataFrame([(1, 0, "TLSSNI=a.example\n")], "session_id long, file_seq long, content string")
+    rest = dict(bps=facts, pps=facts, rtts=empty, timeouts=timeouts, tls_remarks=sni)
+    store(tables(spark, sessions=spark.createDataFrame(parts, model.SESSION_SCHEMA), **rest), str(tmp_path), "f", ["sessions", *rest])
+    back = Tables.stored(spark, str(tmp_path), "f")
+    right = tables(spark, sessions=spark.createDataFrame([whole[0], turned, whole[2]], model.SESSION_SCHEMA), **rest)
+    where = Conditions(0, 9999)
+    for query in (series.bps, lambda t, w: topn.ranking(t, "bytes", "service", w), flows.data_streams, trackers.tls_tracker):
+        assert sorted(map(repr, query(back, where).collect())) == sorted(map(repr, query(right, where).collect()))
+    early = Tables.stored(spark, str(tmp_path), "f", 0, 3599)
+    plan = early["sessions"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and sorted(r.session_id for r in early["sessions"].collect()) == [1, 2, 3]
+    assert sorted(r.session_id for r in Tables.stored(spark, str(tmp_path), "f", 3600, 9999)["sessions"].collect()) == [1, 2]
+    assert [tuple(r) for r in feeds(spark, str(tmp_path)).collect()] == [("f", 0, 10799)]
+    gone = drop_old_rollups(spark, str(tmp_path), "f", 1)
+    assert gone["bps"] == [0] and gone["sessions"] == [0]
+
+
+def test_records_with_broken_clocks_are_dropped(spark, tmp_path):
+    from netlens.sources.sessions import whole_sessions
+
+    s = spark.createDataFrame([session(1, first=50, last=10), session(2, first=10, last=50)], model.SESSION_SCHEMA)
+    assert [r.session_id for r in whole_sessions(s).collect()] == [2]
+
+
+def test_jitter_of_the_longest_round_trips(spark):
+    s = spark.createDataFrame([session(1)], model.SESSION_SCHEMA)
+    tails = [0, 9_999_999_999] * 50
+    rtts = spark.createDataFrame([(1, k // 10, k, 1, t) for k, t in enumerate(tails)] + [(1, 20, 0, 1, 9_999_999_999)], model.MARKER_SCHEMA)
+    t = tables(spark, sessions=s, rtts=rtts, pps=spark.createDataFrame([], model.TRAFFIC_SCHEMA))
+    row = flows.jitter(t, Conditions(0, 100)).first()
+    changes = [abs(b - a) for a, b in zip([*tails, 9_999_999_999], [*tails, 9_999_999_999][1:], strict=False)]
+    mean = sum(changes) // len(changes)
+    assert (row.jitter, row["count"]) == (mean, len(changes))
+    assert row.deviation == int((sum((x - mean) ** 2 for x in changes) // len(changes)) ** 0.5)
+
+
+def test_media_of_many_sessions_is_one_row_a_call(spark):
+    n = 40
+    s = spark.createDataFrame([session(k, 500 + k, 9, 2000 + k, 7000, proto=17, l7=8) for k in range(n)] + [session(900, 1, 9, 5060, 5060, proto=17, l7=11)], model.SESSION_SCHEMA)
+    packets = spark.createDataFrame([(k, 1, at, 0) for k in range(n) for at in (1, 2, 4 + k % 3)], "session_id long, small_to_big int, second long, ns long")
+    body = "Call-ID: {0}\nCSeq: 1 INVITE\nFrom: <sip:a>\nTo: <sip:b>\nm=audio 7000 RTP/AVP 0\n"
+    remarks = spark.createDataFrame([(900, 0, k, 0, "INVITE sip:b SIP/2.0", body.format(f"c{k}")) for k in range(30)], "session_id long, file_seq long, at long, direction int, start_line string, body string")
+    t = tables(spark, sessions=s, packets=packets, sip_remarks=remarks)
+    where = Conditions(0, 100)
+    messages = trackers.sip_messages(t, where)
+    rows = trackers.rtp_jitter(messages, t, where).collect()
+    assert len(rows) == 30 and {r.streams for r in rows} == {n}
+    own = []
+    for k in range(n):
+        gaps = [10**9, (2 + k % 3) * 10**9]
+        mean = sum(gaps) // 2
+        own.append(sum(abs(g - mean) for g in gaps) // 2)
+    assert {r.jitter for r in rows} == {sum(own) // n}
+    summary = trackers.voip_summary(messages, trackers.sip_rtt(messages), trackers.rtp_jitter(messages, t, where)).collect()
+    assert {r.rtpjitter for r in summary} == {sum(own) // n}
+
+
+def test_ranking_with_rollup_equals_raw(spark):
+    s = spark.createDataFrame([session(k, 10 + k % 3, 20 + k % 2, dport=80 + k % 2, last=700) for k in range(6)], model.SESSION_SCHEMA)
+    facts = spark.createDataFrame([(k % 6, at, at % 7, k) for k, at in enumerate(range(0, 700, 3))], model.TRAFFIC_SCHEMA)
+    t = tables(spark, sessions=s, bps=facts)
+    for where in (Conditions(13, 601), Conditions(13, 601, ports=((81, 90),), payload_protocol=6), Conditions(100, 150)):
+        raw = topn.totals(t, "bytes", "service", where).drop("l7").where("port >= 81" if where.ports else "true")
+        mixed = rollup.ranking_with_rollup(t, rollup.per_minute(t, "bytes", "service", Conditions(0, 999)), "bytes", where)
+        assert sorted(map(tuple, raw.collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def test_payload_in_packet_order(spark):
+    rows = [(1, 1, 5, 2, 1, bytearray(b"world")), (1, 1, 5, 1, 0, bytearray(b"hello ")), (1, 0, 6, 0, 2, bytearray(b"back")), (2, 1, 1, 1, 3, bytearray(b"no"))]
+    packets = spark.createDataFrame(rows, "session_id long, small_to_big int, second long, ns long, idx long, payload binary")
+    assert {r.small_to_big: bytes(r.payload) for r in flows.payload_stream(packets, 1).collect()} == {1: b"hello world", 0: b"back"}
