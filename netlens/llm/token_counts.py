@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from netlens.llm.sentencepiece_codec import MODEL, encode, load
+from netlens.llm.sentencepiece_codec import MODEL, encode_many, load
 
 #: Tokens of a block, and blocks of a file at most.
 BLOCK_TOKENS, FILE_BLOCKS = 1 << 16, 256
@@ -51,10 +51,15 @@ def write_blocks(docs: DataFrame, end_id: int, model: str = MODEL, dtype: str =
             held, size = [ids[at:]], len(ids) - at
             closed = [(p - at, x) for p, x in closed]
 
+        def encoded(texts: pa.Array) -> Iterator[np.ndarray]:
+            for low in range(0, len(texts), 500):
+                ids, offsets = encode_many(texts.slice(low, 500).to_pylist(), pieces.value)
+                yield from (ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
         for batch in batches:
             id_type = batch.column("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text"), strict=True):
-                own = np.append(encode(text.as_py(), pieces.value), end_id).astype(dtype)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("_text")), strict=True):
+                own = np.append(ids, end_id).astype(dtype)
                 held.append(own)
                 size += len(own)
                 closed.append((size - 1, doc))
