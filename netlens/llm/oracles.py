@@ -104,3 +104,45 @@ m AS (SELECT CAST(SUM(c) AS BIGINT) AS n, COUNT(*) AS v FROM c)
 SELECT doc_id, held_out, COUNT(*) AS n_tokens, COUNT(c.c) AS n_known, m.n AS train_tokens, round(SUM(log10((coalesce(c.c, 0) + 0.1) / (m.n + 0.1 * (m.v + 1)))), 6) AS base_score
 FROM t LEFT JOIN c ON c.word = t.word CROSS JOIN m GROUP BY doc_id, held_out, m.n
 """
+
+#: Every cut text, from lists of all units.
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+h AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: Lengths and edited texts of fingerprints.
+FINGERPRINT_EDITS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(text, n - n // 2) || left(next, n // 2)) AS edited_sha256 FROM n
+"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8) -> str:
+    """Every distance of every round, for vectors of ``parts`` x ``width`` components."""
+    steps = [
+        "k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096.0 * x) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS nth FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"x AS MATERIALIZED (SELECT nth, p, v[{width} * p + 1:{width} * p + {width}] AS v FROM k CROSS JOIN (SELECT unnest(range({parts})) AS p))",
+        f"b0 AS MATERIALIZED (SELECT p, nth - 1 AS e, v FROM x WHERE nth <= {entries})",
+    ]
+    apart = "list_sum(list_transform(list_zip(x.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT nth, x.p, MIN(CAST({apart} AS BIGINT) * {entries} + e) AS best FROM x JOIN b{r} b ON x.p = b.p GROUP BY 1, 2)")
+        if r < rounds:
+            means = ", ".join(f"CAST((SUM(x.v[{i}]) - ((SUM(x.v[{i}]) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*) AS BIGINT)" for i in range(1, width + 1))
+            steps.append(f"m{r} AS (SELECT x.p, best % {entries} AS e, [{means}] AS v FROM x JOIN a{r} a ON a.nth = x.nth AND a.p = x.p GROUP BY 1, 2)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)")
+    steps.append(f"c AS (SELECT nth, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(SUM(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)")
+    books = f"(SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{rounds})"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, {books} AS codebooks_sha256 FROM k JOIN c ON c.nth = k.nth"
+
+
+OP13_SQL = _codes_sql()

@@ -83,6 +83,34 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.fingerprints import fingerprint_neighbours
+
+    made = fingerprint_neighbours(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return made.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11 that SQL can give, for comparison."""
+    return op11_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.fill_in_middle import fill_in_middle, restore
+
+    made = fill_in_middle(_table(spark, sf_dir, "documents"), seed=1)
+    digest = lambda text, name: F.sha2(text.cast("binary"), 256).alias(name)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(restore(F.col("output"), F.col("form")), "restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netlens.llm.vector_codes import codebooks_sha256, encode_vectors, with_label_errors
+
+    coded, books = encode_vectors(_table(spark, sf_dir, "embeddings"))
+    return with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -95,7 +123,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_span_dedup": op8_span_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_topk_search": op10_topk_search,
+        "op11_fingerprints": op11_fingerprints,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_vector_codes": op13_vector_codes,
         "lm_base_scores": lm_base_scores,
+        "fingerprint_edits": fingerprint_edits,
     }
 
 
@@ -107,5 +139,8 @@ def oracle_sql() -> dict[str, str]:
         "op7_sharding": oracles.OP7_SQL,
         "op9_decontamination": oracles.OP9_SQL,
         "op10_topk_search": oracles.OP10_SQL,
+        "op12_fill_in_middle": oracles.OP12_SQL,
+        "op13_vector_codes": oracles.OP13_SQL,
         "lm_base_scores": oracles.LM_BASE_SQL,
+        "fingerprint_edits": oracles.FINGERPRINT_EDITS_SQL,
     }
