@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.functions import net
 from netlens.operators import series, topn, trackers
-from netlens.plans.conditions import Conditions, accepted, any_of, facts, member
+from netlens.plans.conditions import Conditions, Network, accepted, any_of, facts, member
 from netlens.sources.tables import Tables
 
 #: Shortest range that is worth a rollup.
@@ -19,7 +17,7 @@ METRICS = ("bps", "pps_unknown", "pps_broadcast", "pps_multicast", "pps_unicast"
 PAIR_METRICS = (*topn.BASES, "latencies")
 
 
-def _measures(tables: Tables, where: Conditions) -> DataFrame:
+def measures(tables: Tables, where: Conditions) -> DataFrame:
     """(session_id, second, metric, n) of every fact of :data:`METRICS`, with its session's columns; sessions are joined
     once for all metrics."""
     n = F.col("small_to_big") + F.col("big_to_small")
@@ -44,7 +42,7 @@ def _measures(tables: Tables, where: Conditions) -> DataFrame:
 def per_second(tables: Tables, where: Conditions) -> DataFrame:
     """One wide row for each second that has facts: bits, packets by cast, round-trip sums, and every marker count."""
     cell = lambda c: F.coalesce(F.sum(F.when(F.col("metric") == c, F.col("n"))), F.lit(0)).cast("long").alias(c)
-    return _measures(tables, where).groupBy("second").agg(*[cell(c) for c in METRICS])
+    return measures(tables, where).groupBy("second").agg(*[cell(c) for c in METRICS])
 
 
 def from_per_second(rollup: DataFrame, metric: str, where: Conditions) -> DataFrame:
@@ -54,10 +52,11 @@ def from_per_second(rollup: DataFrame, metric: str, where: Conditions) -> DataFr
 
 
 def series_with_rollup(tables: Tables, rollup: DataFrame, metric: str, where: Conditions) -> DataFrame:
-    """bps or a count: whole minutes inside the range from the rollup, the rest from facts.  Short ranges use facts only."""
+    """bps or a count: whole minutes inside the range from the rollup, the rest from facts.  Short ranges use facts only, and
+    so does a question with any condition, since the rollup has no key to filter by."""
     low, high = -(-where.second_from // 60) * 60, (where.second_to + 1) // 60 * 60 - 1
     plain = series.bps if metric == "bps" else lambda t, w: series.counts(t, metric, w)
-    if where.second_to - where.second_from < LEAST_SECONDS or low > high:
+    if where.asked() or where.second_to - where.second_from < LEAST_SECONDS or low > high:
         return plain(tables, where)
     outside, inside = where.parts((low, high))
     both = plain(tables, outside).unionByName(from_per_second(rollup, metric, inside))
@@ -73,29 +72,36 @@ def per_minute(tables: Tables, metric: str, grain: str, where: Conditions) -> Da
     return topn.measured(tables, metric, where).groupBy(minute, *topn.keys(grain)).agg(F.sum("n").cast("long").alias("value")).where("value > 0")
 
 
+#: Conditions that the keys of :func:`per_minute` by service can answer; addresses of version 4 only.
+PAIR_CONDITIONS = {"ips", "payload_protocol", "server_ports"}
+
+
 def key_filter(rollup: DataFrame, where: Conditions) -> DataFrame:
-    """What of the conditions the keys of a service rollup can answer: protocol, addresses and the server's port."""
+    """The rows of a service rollup that meet the conditions; those that its keys can't answer are refused."""
+    if where.asked() - PAIR_CONDITIONS or any(not isinstance(n, Network) for n in where.ips):
+        raise ValueError(f"the key has no {', '.join(sorted(where.asked() - PAIR_CONDITIONS)) or 'address of version 6'}")
     if where.ips:
         src, dst = member(F.col("ip"), where.ips), member(F.col("ip2"), where.ips)
         rollup = rollup.where(src | dst if where.include_external else src & dst)
     if where.payload_protocol is not None:
         rollup = rollup.where(F.col("payloadprotocol") == where.payload_protocol)
-    if where.ports:
-        rollup = rollup.where(any_of([F.col("port").between(a, b) for a, b in where.ports]))
+    if where.server_ports:
+        rollup = rollup.where(any_of([F.col("port").between(a, b) for a, b in where.server_ports]))
     return rollup
 
 
 def ranking_with_rollup(tables: Tables, rollup: DataFrame, base: str, where: Conditions, n: int = 100) -> DataFrame:
-    """Pairs of client and service by value: whole minutes inside the range from the rollup, the rest from facts."""
+    """Pairs of client and service by value: whole minutes inside the range from the rollup, the rest from facts.  A question
+    that the rollup's keys can't answer is answered from facts."""
     own = topn.names("service")
     low, high = -(-where.second_from // 60) * 60, (where.second_to + 1) // 60 * 60 - 1
-    if where.second_to - where.second_from < LEAST_SECONDS or low > high:
+    uncovered = where.asked() - PAIR_CONDITIONS or any(not isinstance(n, Network) for n in where.ips)
+    if uncovered or where.second_to - where.second_from < LEAST_SECONDS or low > high:
         both = topn.totals(tables, base, "service", where).select(*own, "value")
     else:
         outside, inside = where.parts((low, high))
         cached = key_filter(rollup.where(F.col("minute").between(inside.second_from, inside.second_to)), where)
-        plain = topn.measured(tables, base, replace(outside, ports=())).where(any_of([F.col("dst_port").between(a, b) for a, b in where.ports]) if where.ports else F.lit(True))
-        both = plain.groupBy(*topn.keys("service")).agg(F.sum("n").cast("long").alias("value")).unionByName(cached.select(*own, "value"))
+        both = topn.totals(tables, base, "service", outside).select(*own, "value").unionByName(cached.select(*own, "value"))
     return both.groupBy(*own).agg(F.sum("value").cast("long").alias("value")).orderBy(F.desc("value"), *own).limit(n)
 
 
@@ -106,7 +112,9 @@ def http_errors(records: DataFrame) -> DataFrame:
 
 
 def answer(rollup: DataFrame, by: list[str], name: str, where: Conditions) -> DataFrame:
-    """Hits of the whole minutes of a range by some of a rollup's keys."""
+    """Hits of a range of whole minutes by some of a rollup's keys; :mod:`netlens.operators.rewriting` answers other ranges."""
+    if where.second_from % 60 or (where.second_to + 1) % 60:
+        raise ValueError("the rollup answers whole minutes only")
     rows = rollup.where(F.col("minute").between(where.second_from, where.second_to - 59))
     return rows.groupBy(*by).agg(F.sum("hits").cast("long").alias(name))
 
@@ -128,10 +136,11 @@ def icmp(tables: Tables, where: Conditions) -> DataFrame:
     return rows.groupBy(net.minute(F.col("second")).alias("minute"), "type", "code", F.col("src_ip").alias("ip"), F.col("dst_ip").alias("ip2")).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def signatures(tables: Tables) -> DataFrame:
-    """Sets of IPv4 addresses, a tag's or a user app's, named by their hash, with the tag or app as a label."""
+def signatures(tables: Tables, digits: tuple[int, ...] = (8,)) -> DataFrame:
+    """Sets of addresses, a tag's or a user app's, named by their hash, with the tag or app as a label; of IPv4 addresses, or
+    of those with the given numbers of hex digits."""
     apps = tables["user_apps"].select(F.col("name").alias("tag"), F.explode(F.split("ips", ",")).alias("ip_hex"))
-    rows = tables["tag_ip"].select("tag", "ip_hex").unionByName(apps).where(F.length("ip_hex") == 8)
+    rows = tables["tag_ip"].select("tag", "ip_hex").unionByName(apps).where(F.length("ip_hex").isin(*digits))
     sets = rows.groupBy("tag").agg(F.sort_array(F.collect_set("ip_hex")).alias("ips"))
     return sets.select("tag", F.md5(F.array_join("ips", ",").cast("binary")).alias("signature"), "ips")
 
@@ -142,5 +151,5 @@ def per_second_by_signature(tables: Tables, where: Conditions) -> DataFrame:
     ips = signatures(tables).select("signature", F.explode("ips").alias("hex")).select("signature", net.hex_to_ip(F.col("hex")).alias("ip")).distinct()
     s = accepted(tables, where).select("session_id", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
     members = s.join(ips, "ip").select("session_id", "signature").distinct()
-    rows = _measures(tables, where).join(members, "session_id")
+    rows = measures(tables, where).join(members, "session_id")
     return rows.groupBy("signature", "metric", "second").agg(F.sum("n").cast("long").alias("value"))

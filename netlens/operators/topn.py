@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from netlens.operators import series
 from netlens.plans.conditions import Conditions, accepted, facts
 from netlens.sources.tables import Tables
 
+#: (tables, base, grain, conditions) -> keys of the grain with value and l7; and (tables, grain, conditions) -> n0, d0, n1, d1
+Totals = Callable[[Tables, str, str, Conditions], DataFrame]
+Trips = Callable[[Tables, str, Conditions], DataFrame]
 BASES = ("bytes", "packets", "timeouts", "tcprsts", "tcpdupacks", "tcpzerowindows", "tcpretransmissions", "tcpoutoforders", "tcpportsreused")
 GRAINS = ("source", "destination", "service")
 _MARKERS = {"timeouts": "timeoutcounts"} | {b: b for b in BASES[3:]}
@@ -36,19 +41,19 @@ def _traffic(tables: Tables, table: str, where: Conditions) -> DataFrame:
     forward = F.when(F.col("source_is_small") == 1, F.col("small_to_big")).otherwise(F.col("big_to_small"))
     backward = F.when(F.col("source_is_small") == 1, F.col("big_to_small")).otherwise(F.col("small_to_big"))
     both = F.array(F.struct(F.lit(1).alias("direction"), forward.alias("n")), F.struct(F.lit(0).alias("direction"), backward.alias("n")))
-    return rows.select("second", *SESSION, F.explode(both).alias("x")).select("second", *SESSION, "x.direction", "x.n")
+    return rows.select("session_id", "second", *SESSION, F.explode(both).alias("x")).select("session_id", "second", *SESSION, "x.direction", "x.n")
 
 
 def measured(tables: Tables, base: str, where: Conditions) -> DataFrame:
-    """Rows of a base with session columns, second, direction and n."""
+    """Rows of a base with their session's id and columns, second, direction and n."""
     if base in ("bytes", "packets"):
         return _traffic(tables, "bps" if base == "bytes" else "pps", where).where("n > 0")
     if base == "timeouts":
         rows = series.marker_rows(tables, "timeoutcounts", where)
-        return rows.select("second", *SESSION, F.lit(1).alias("direction"), F.lit(1).cast("long").alias("n"))
+        return rows.select("session_id", "second", *SESSION, F.lit(1).alias("direction"), F.lit(1).cast("long").alias("n"))
     rows = series.marker_rows(tables, _MARKERS[base], where, SESSION)
     direction = F.when(F.col("small_to_big") == F.col("source_is_small"), 1).otherwise(0)
-    return rows.select("second", *SESSION, direction.alias("direction"), F.lit(1).cast("long").alias("n"))
+    return rows.select("session_id", "second", *SESSION, direction.alias("direction"), F.lit(1).cast("long").alias("n"))
 
 
 def totals(tables: Tables, base: str, grain: str, where: Conditions) -> DataFrame:
@@ -56,8 +61,8 @@ def totals(tables: Tables, base: str, grain: str, where: Conditions) -> DataFram
     return measured(tables, base, where).groupBy(*keys(grain)).agg(F.sum("n").cast("long").alias("value"), F.max("l7").alias("l7"))
 
 
-def ranking(tables: Tables, base: str, grain: str, where: Conditions, n: int | None = 100) -> DataFrame:
-    """The n keys of greatest value.  value2 puts it in proportion: the grain's total for bytes and packets, packets of
+def ranking(tables: Tables, base: str, grain: str, where: Conditions, n: int | None = 100, totals: Totals = totals) -> DataFrame:
+    """The n keys of greatest value, from the ``totals`` of facts or of another source.  value2 puts it in proportion: the grain's total for bytes and packets, packets of
     the key for anomalies, sessions of the key for timeouts (plus the value) and reused ports.  Where value exceeds
     value2, it is added to it.  Keys are exact, not cut to a bounded table on the way."""
     own = names(grain)
@@ -72,7 +77,7 @@ def ranking(tables: Tables, base: str, grain: str, where: Conditions, n: int | N
                 other = other.withColumn("direction", F.explode(F.array(F.lit(0), F.lit(1))))
             other = other.groupBy(*keys(grain)).agg(F.count(F.lit(1)).alias("other"))
         else:
-            other = _traffic(tables, "pps", where).groupBy(*keys(grain)).agg(F.sum("n").alias("other"))
+            other = totals(tables, "packets", grain, where).select(*own, F.col("value").alias("other"))
         out = found.join(other, own, "left")
         value2 = F.coalesce("other", F.lit(0)) + (F.col("value") if base == "timeouts" else F.lit(0))
         out = out.withColumn("value2", F.when(F.col("value") > value2, value2 + F.col("value")).otherwise(value2).cast("long"))
@@ -93,17 +98,22 @@ def protocol_split(tables: Tables, base: str, where: Conditions) -> DataFrame:
     return measured(tables, base, where).groupBy(label.alias("protocol")).agg(F.sum("n").cast("long").alias("value"))
 
 
-def latencies(tables: Tables, grain: str, where: Conditions, n: int = 100) -> DataFrame:
+def round_trips(tables: Tables, grain: str, where: Conditions) -> DataFrame:
+    """Sums and counts of the round trips of every key by side, which can be added."""
+    rows = facts(tables, "rtts", where, SESSION).where(series.good_rtt())
+    rows = rows.withColumn("direction", F.when(F.col("small_to_big") == F.col("source_is_small"), 1).otherwise(0))
+    return rows.groupBy(*keys(grain)).agg(*series.rtt_sums())
+
+
+def latencies(tables: Tables, grain: str, where: Conditions, n: int = 100, totals: Totals = totals, trips: Trips = round_trips) -> DataFrame:
     """Keys by mean round trip; for services one row a direction.  value2 is the bytes of the key."""
     own = names(grain)
-    rows = facts(tables, "rtts", where, SESSION).where(series.good_rtt())
+    found = trips(tables, grain, where)
     if grain == "service":
-        rows = rows.withColumn("direction", F.when(F.col("small_to_big") == F.col("source_is_small"), 1).otherwise(0))
-        value = net.div(F.col("total"), F.col("n"))
-        found = rows.groupBy(*keys(grain)).agg(F.sum("tail").cast("long").alias("total"), F.count(F.lit(1)).alias("n")).where("total > 0").select(*own, value.alias("value"))
+        found = found.withColumn("total", F.col("n0") + F.col("n1")).where("total > 0").select(*own, net.div(F.col("total"), F.col("d0") + F.col("d1")).alias("value"))
     else:
-        found = rows.groupBy(*keys(grain)).agg(*series.rtt_sums()).select(*own, series.represent().alias("value"))
-    bytes_ = _traffic(tables, "bps", where).groupBy(*keys(grain)).agg(F.sum("n").cast("long").alias("value2"))
+        found = found.select(*own, series.represent().alias("value"))
+    bytes_ = totals(tables, "bytes", grain, where).select(*own, F.col("value").alias("value2"))
     out = found.join(bytes_, own, "left").withColumn("value2", F.coalesce("value2", F.lit(0)).cast("long"))
     return out.orderBy(F.desc("value"), *own).limit(n)
 

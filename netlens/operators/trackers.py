@@ -28,8 +28,9 @@ def _mean(value: Column) -> Column:
 # ---------------------------------------------------------------- DNS
 
 
-def dns_sessions(tables: Tables, where: Conditions) -> DataFrame:
-    """One row for each DNS remark: status, question, client, server, latency (null without a round trip).
+def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None) -> DataFrame:
+    """One row for each DNS remark: status, question, client, server, latency (null without a round trip).  ``only`` is a
+    further condition on session rows (first_second, client, server).
 
     Only-requests are timeouts if their session has one, and stay requests otherwise.  Only sessions of DNS count.
     """
@@ -37,7 +38,8 @@ def dns_sessions(tables: Tables, where: Conditions) -> DataFrame:
     content = F.col("content")
     code = F.substring(net.remark(content, "DnsException"), 1, 1)
     status = F.when(content.contains("DnsAnswerRRs="), "RESOLVED").when(code == "A", "ZEROANSWER").when(code == "R", "ANSWERBROKEN").when(code == "M", "MULTIPLEQUERIES").otherwise("REQUESTONLY")
-    rows = tables["dns_remarks"].join(_ends(tables, where), "session_id")
+    ends = _ends(tables, where)
+    rows = tables["dns_remarks"].join(ends if only is None else ends.where(only), "session_id")
     rows = rows.select("session_id", "client", "server", status.alias("status"), F.substring_index(net.remark(content, "DnsQuestion"), ",", 1).alias("query"))
     gone = facts(tables, "timeouts", where).select("session_id").distinct().withColumn("gone", F.lit(True))
     rtt = facts(tables, "rtts", where, ["source_is_small"]).where(series.good_rtt()).groupBy("session_id").agg(*series.rtt_sums()).select("session_id", series.represent().alias("latency"))
@@ -148,6 +150,19 @@ def http_records(tables: Tables, where: Conditions, feed_end_ns: int | None = No
     return out if feed_end_ns is None else out.where((F.col("responseat") >= 0) | (F.col("requestat") + model.TIMEOUT_SECONDS * 1_000_000_000 <= feed_end_ns))
 
 
+def http_blocks(tables: Tables, where: Conditions) -> DataFrame:
+    """Blocks of HTTP sessions: place, text of the request or response line, the block's nanosecond ``at``, and the columns
+    of its request and session."""
+    blocks = tables["http_remarks"].select("session_id", "file_seq", F.posexplode(F.split("content", r"HttpEnd=[A-Za-z]+\n")).alias("place", "block")).where("block <> ''")
+    request, response = net.remark(F.col("block"), "HttpRequest"), net.remark(F.col("block"), "HttpResponse")
+    rows = blocks.withColumn("request", request).withColumn("response", response).join(_ends(tables, where), "session_id")
+    at = F.substring(F.when(F.col("request") != "", F.col("request")).otherwise(F.col("response")), 1, 19).cast("long")
+    return rows.select(
+        "session_id", "file_seq", "place", "request", "response", at.alias("at"), net.header(F.col("block"), "Host").alias("host"), F.regexp_extract("request", r"^\d+ \S+ (.*)$", 1).alias("path"),
+        F.col("server").alias("server_ip"), F.col("dst_port").alias("server_port"), F.col("client").alias("client_ip"),
+    )
+
+
 def with_country(records: DataFrame, geo: DataFrame, column: str = "client_ip") -> DataFrame:
     """The country whose range holds an address, '' without one.  Ranges are cut at /16 borders, so the join has an
     equality to hash on and needs no broadcast."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.operators import flows, rollup, series, topn
-from netlens.plans import catalog_apps
+from netlens.plans import catalog_apps, catalog_stored
 from netlens.plans import oracles as o
 from netlens.plans.conditions import Conditions, Network
 from netlens.sources.fixtures import duckdb_with
@@ -108,7 +108,7 @@ def _rankings() -> None:
         register(f"topn_latencies_{grain}", lambda t, grain=grain: topn.latencies(t, grain, MONTH), o.latencies(grain))
     register("topn_bytes_source6", lambda t: topn.ranking6(t, "bytes", "src", MONTH), o.SOURCE6)
     part = Conditions(o.MONTH[0] + 17, o.MONTH[1] - 33)
-    filtered = Conditions(o.MONTH[0] + 17, o.MONTH[1] - 33, ips=INSIDE, payload_protocol=6, ports=((443, 443),))
+    filtered = Conditions(o.MONTH[0] + 17, o.MONTH[1] - 33, ips=INSIDE, payload_protocol=6, server_ports=((443, 443),))
     for name, where, more in (("", part, ""), ("_filtered", filtered, "AND (src_ip & 4294967232) = 167772160 AND payload_protocol = 6 AND dst_port = 443")):
         for base in ("bytes", "packets"):
             register(f"topn_{base}_with_rollup{name}", lambda t, base=base, where=where: rollup.ranking_with_rollup(t, rollup.per_minute(t, base, "service", MONTH), base, where), o.service_pairs(base, (part.second_from, part.second_to), 100, more))
@@ -153,7 +153,7 @@ _series()
 _filters()
 _rankings()
 _flows()
-for _name, _build, _text in catalog_apps.entries():
+for _name, _build, _text in [*catalog_apps.entries(), *catalog_stored.entries()]:
     register(_name, _build, _text)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,6 +84,7 @@ class Conditions:
     tags: tuple[str, ...] = ()
     apps: tuple[str, ...] = ()
     excluded: tuple[tuple[int, int | None], ...] = ()
+    server_ports: tuple[tuple[int, int], ...] = ()
     cached: tuple[int, int] | None = None
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
@@ -92,6 +93,11 @@ class Conditions:
         inside = second.between(self.second_from, self.second_to)
         return inside & ~second.between(*self.cached) if self.cached else inside
 
+    def asked(self) -> set[str]:
+        """Names of the conditions, besides time, that this question sets."""
+        free = {"second_from", "second_to", "include_external", "cached", "extra"}
+        return {f.name for f in fields(self) if f.name not in free and getattr(self, f.name) not in ((), None)}
+
     def parts(self, cached: tuple[int, int]) -> tuple[Conditions, Conditions]:
         """The same question for raw data outside a rollup's range, and for the rollup inside it."""
         return replace(self, cached=cached), replace(self, second_from=max(self.second_from, cached[0]), second_to=min(self.second_to, cached[1]))
@@ -127,6 +133,21 @@ def member(ip: Column, nets: tuple[Network | Network6, ...], ip6: Column | None
     return any_of(tests) if tests else F.lit(False)
 
 
+def named_addresses(tables: Tables, where: Conditions) -> DataFrame | None:
+    """Addresses (ip_hex) that the asked tags and apps stand for; None where none is asked."""
+    names = None
+    if where.tags:
+        names = tables["tag_ip"].where(F.col("tag").isin(*where.tags)).select("ip_hex")
+    if where.apps:
+        called = lambda rows: rows.where(any_of([F.col("name").contains(a) for a in where.apps]))
+        like = called(tables["fqdns"]).select("ip_hex")
+        like = like.unionByName(called(tables["user_apps"]).select(F.explode(F.split("ips", ",")).alias("ip_hex")))
+        if like.isEmpty():  # the users' lists, small tables
+            raise ValueError(f"no app is called {' or '.join(where.apps)}")
+        names = like if names is None else names.unionByName(like)
+    return names
+
+
 def accepted(tables: Tables, where: Conditions) -> DataFrame:
     """Sessions that meet the conditions."""
     s = tables["sessions"]
@@ -139,16 +160,7 @@ def accepted(tables: Tables, where: Conditions) -> DataFrame:
     elif where.ips:
         src, dst = member(F.col("src_ip"), where.ips), member(F.col("dst_ip"), where.ips)
         s = s.where(src | dst if where.include_external else src & dst)
-    names = None
-    if where.tags:
-        names = tables["tag_ip"].where(F.col("tag").isin(*where.tags)).select("ip_hex")
-    if where.apps:
-        called = lambda rows: rows.where(any_of([F.col("name").contains(a) for a in where.apps]))
-        like = called(tables["fqdns"]).select("ip_hex")
-        like = like.unionByName(called(tables["user_apps"]).select(F.explode(F.split("ips", ",")).alias("ip_hex")))
-        if like.isEmpty():  # the users' lists, small tables
-            raise ValueError(f"no app is called {' or '.join(where.apps)}")
-        names = like if names is None else names.unionByName(like)
+    names = named_addresses(tables, where)
     if names is not None:
         digits = F.length("ip_hex")
         wanted = names.where(digits == 8).select(net.hex_to_ip(F.col("ip_hex")).alias("wanted")).distinct()
@@ -161,6 +173,8 @@ def accepted(tables: Tables, where: Conditions) -> DataFrame:
         s = s.join(src.unionByName(dst).distinct() if where.include_external else src.intersect(dst), "session_id", "left_semi")
     if where.ports:
         s = s.where(any_of([F.col("src_port").between(a, b) | F.col("dst_port").between(a, b) for a, b in where.ports]))
+    if where.server_ports:
+        s = s.where(any_of([F.col("dst_port").between(a, b) for a, b in where.server_ports]))
     if where.payload_protocol is not None:
         s = s.where(F.col("payload_protocol") == where.payload_protocol)
     if where.l7 is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ class Tables:
         self.spark = spark
         self._open = open_table
         self._made: dict[str, DataFrame] = {}
+        self.origin = ""
+        self._reopen: Callable[[int, int], Tables] | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -37,6 +40,10 @@ class Tables:
     def __setitem__(self, name: str, table: DataFrame) -> None:
         self._made[name] = table
 
+    def narrowed(self, second_from: int, second_to: int) -> Tables:
+        """The tables for facts of a range: those of a store are opened for its hours only."""
+        return self._reopen(second_from, second_to) if self._reopen else self
+
     @classmethod
     def derived(cls, spark: SparkSession, directory: str) -> Tables:
         """Tables computed from the general-purpose tables below ``directory``."""
@@ -57,7 +64,9 @@ class Tables:
                 text = text.replace("{e} JOIN", "{e} e JOIN")
             return spark.sql(text, **inputs)
 
-        return cls(spark, open_table)
+        tables = cls(spark, open_table)
+        tables.origin = directory
+        return tables
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str, feed: str, second_from: int | None = None, second_to: int | None = None) -> Tables:
@@ -78,7 +87,10 @@ class Tables:
             table = table.drop("feed", "hour")
             return whole_sessions(table) if name == "sessions" else table
 
-        return cls(spark, open_table)
+        tables = cls(spark, open_table)
+        tables.origin = f"{root}:{feed}"
+        tables._reopen = lambda low, high: cls.stored(spark, root, feed, low, high)
+        return tables
 
 
 def store(tables: Tables, root: str, feed: str, names: list[str] | None = None, mode: str = "append") -> None:
