@@ -101,7 +101,7 @@ def _sweep() -> None:
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """For a step whose result is written: gives a :func:`materialize` for the result, and removes all else that was
-    written inside at the end."""
+    written inside at the end, also where the step fails."""
     before, kept = len(_written), []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -109,11 +109,13 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
         kept.append(_written[-1])
         return out
 
-    yield keep
-    for item in _written[before:]:
-        if item not in kept:
-            _remove(*item)
-    _written[before:] = kept
+    try:
+        yield keep
+    finally:
+        for item in _written[before:]:
+            if item not in kept:
+                _remove(*item)
+        _written[before:] = kept
 
 
 def partitions(spark: SparkSession) -> int:
@@ -139,6 +141,19 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], spread: l
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def aside(df: DataFrame, own: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with every column but ``own`` under a name that no operator uses, and what gives the names back."""
+    names = {c: f"_aside_{k}" for k, c in enumerate(df.columns) if c not in own}
+    moved = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
+    return moved, lambda out: out.select(*[F.col(names.get(c, f"`{c}`")).alias(c) for c in df.columns])
+
+
+def kept_columns(keep: list[str], own: list[str]) -> list[str]:
+    """The columns of ``keep`` that go through an operator: those whose names its own results do not have."""
+    taken = {c.lower() for c in own}
+    return [c for c in keep if c.lower() not in taken]
+
+
 # ---------------------------------------------------------------- packed text
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import ALNUM_WORDS, LOWER, SpanHash, chain, slices, word_spans
+from netlens.llm.common import ALNUM_WORDS, LOWER, SpanHash, chain, kept_columns, slices, word_spans
 
 #: Words of a window.  An item with fewer words is one window of its own length.
 WINDOW = 10
@@ -115,14 +115,23 @@ def _blank_hits(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarr
     return b"".join(out)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text) with ids as text, as both paths name them: 'true' for a boolean, '1.0' for a double, 'null' for none."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").alias("text")).where("text is not null")
+
+
 def _windows_of(benchmark: DataFrame, window: int) -> Windows | None:
     """The packed windows of a test set, none if they are too large to broadcast; their size is known before they are built."""
-    own = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    own = _items(benchmark)
     words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + words * WINDOW_BYTES), F.lit(0))).first()[0]
     return build([tuple(r) for r in own.collect()], window) if size <= BROADCAST_BYTES else None
 
 
+#: Columns of :func:`decontaminate` besides the id.
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text"]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, _force_join: bool = False) -> DataFrame:
     """One row for each row of ``docs``: the words, which of them lie inside an occurrence of a test window, and the text
     without those runs.
@@ -133,15 +142,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     size is measured first.  A larger test set goes to :func:`_decontaminate_by_join`, which joins window hashes and
     broadcasts nothing.  Either way a hash only proposes a hit and the words decide, so the rows are the same.
 
-    A null or empty text has no words and is clean; a null or empty test item has no windows; equal items all count;
-    repeated rows each give their row.
+    A null or empty text has no words and is clean; a null or empty test item has no windows; an item without id is called
+    "null"; items that share an id are one; equal items all count; repeated rows each give their row; a column of ``keep``
+    that is called like a result gives way to it.
     """
-    keep = keep or []
+    keep = kept_columns(keep or [], ["doc_id", *RESULTS])
     sets = None if _force_join else _windows_of(benchmark, window)
     if sets is None:
         return _decontaminate_by_join(docs, benchmark, window, id_col, text_col, keep)
     windows = docs.sparkSession.sparkContext.broadcast(sets)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,10 +223,10 @@ def _decontaminate_by_join(docs: DataFrame, benchmark: DataFrame, window: int, i
     """The same result for a test set of any size: window hashes of both sides meet in a join, and the positions come back
     to their document with the words of the item's window, which must be the document's.  Rows are told apart by a hash
     of the text."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
     key = F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256)
     source = source.withColumn("_key", key)
-    items = _window_rows(benchmark.select(F.col("item_id").cast("string").alias("_key"), F.col("text").alias("_text")), window, None)
+    items = _window_rows(_items(benchmark).select(F.col("item_id").alias("_key"), F.col("text").alias("_text")), window, None)
     items = items.select(F.col("_key").alias("item"), "size", "hash", "words").distinct()
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())
     texts = source.select("_key", "_text").dropDuplicates(["_key"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, chain, discard, join_counted, materialize, partitions, slices, word_spans
+from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, aside, chain, discard, join_counted, materialize, partitions, slices, word_spans
 
 #: Values of a sketch, and the chance at which a link at the very threshold may look too weak in its sketches.
 SKETCH, MISS = 64, 1e-9
@@ -238,7 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of :func:`near_duplicates`, the one of the least id; of rows that repeat id and
-    text one stays."""
+    text one stays.  Columns may have any names."""
+    docs, back = aside(docs, [id_col, text_col])
     found = near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col, with_key=True)
     found = materialize(found.groupBy("doc_id", "_key").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near-found")
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"))
@@ -247,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den:
     left = keyed.join(small, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
     if found.where("kept AND n > 1").limit(1).count():
         left = left.dropDuplicates([id_col, "_key"])
-    return left.drop("_key")
+    return back(left)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100, k: int = SKETCH, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:

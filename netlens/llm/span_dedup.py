@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, discard, join_counted, materialize, signed, slices, token_hash, word_spans
+from netlens.llm.common import LOWER, SPACE_WORDS, SpanHash, discard, join_counted, kept_columns, materialize, signed, slices, token_hash, word_spans
 
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 MIN_SENTENCES, MIN_WORDS = 2, 20
@@ -166,14 +166,15 @@ def span_dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: i
     Returns id_col, n_sentences, n_removed, n_spans (maximal removed runs), clean_text and the columns in ``keep``.
 
     A null or empty text has no sentences and stays as it is; rows that repeat both id and text are one document and
-    come back alike; equal texts under different ids lose all but the first's spans; an empty table gives no rows.
+    come back alike; equal texts under different ids lose all but the first's spans; an empty table gives no rows; a column
+    of ``keep`` that is called like a result gives way to it.
     """
-    keep = keep or []
+    keep = kept_columns(keep or [], ["doc_id", "n_sentences", "n_removed", "n_spans", "clean_text"])
     source = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"),
         F.col(text_col).alias("_text"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
+        *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep],
     )
     types = dict(source.dtypes)
     hashed = source.select("_text").mapInArrow(_rows(min_sentences, min_words, False), "hash long")

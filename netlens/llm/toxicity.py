@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm.common import materialize
+from netlens.llm.common import kept_columns, materialize
 
 #: Labelled rows that the lexicon and its calibration are fitted on, at most: those of least hash of the id.
 SAMPLE_ROWS = 12_000
@@ -187,7 +187,7 @@ def _by_label(sample: DataFrame, found, columns: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit a lexicon on a bounded sample of the labelled rows (``sample_rows``, by least hash of the id, so the same rows
-    on every run).  Two thirds of the sample choose and weigh patterns, the rest calibrates the score.
+    on every run; an id that repeats counts as one row).  Two thirds of the sample choose and weigh patterns, the rest calibrates the score.
 
     Patterns that many toxic texts have are candidates.  Pairs of words around their matches that clean texts have and toxic
     ones hardly ever do become exceptions, beside those given; then the matches outside exceptions are counted anew, and
@@ -203,8 +203,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         .orderBy("_h", "_id")
         .limit(sample_rows)
     )
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "_id").select("_text", "_toxic", (F.pmod(F.shiftright("_h", 7), F.lit(3)) == 0).alias("_second")), "toxicity-sample")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # an id that repeats gives one text, that of least hash, so the sample has as many rows as ids at most
+    one = texts.groupBy("_id").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"), F.first("_toxic").alias("_toxic"), F.first("_h").alias("_h"))
+    sample = materialize(one.select("_text", "_toxic", (F.pmod(F.shiftright("_h", 7), F.lit(3)) == 0).alias("_second")), "toxicity-sample")
     sizes = {(r["_second"], r["_toxic"]): r["count"] for r in sample.groupBy("_second", "_toxic").count().collect()}
     toxic, clean = sizes.get((False, 1), 0), sizes.get((False, 0), 0)
     if not toxic or not clean:
@@ -246,13 +248,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns in ``keep`` (all by default), and score (0 to 1), predicted (1 from ``threshold`` up), n_matches.
+    """Columns in ``keep`` (all by default; not those that are called like a result), and score (0 to 1), predicted (1 from ``threshold`` up), n_matches.
 
     One pass over the partitions, no shuffle; the lexicon that is broadcast has ``MAX_PATTERNS`` patterns at most.
     A null or empty text has no match and gets the score of such texts; repeated rows score alike.
     """
-    keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"))
+    keep = kept_columns(docs.columns if keep is None else keep, ["score", "predicted", "n_matches"])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

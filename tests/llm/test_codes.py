@@ -268,3 +268,44 @@ def test_bounds_spare_distances():
 def test_squared_is_exact_for_large_components():
     x = np.array([[vc.LARGEST, -vc.LARGEST], [3, 4]], np.int64)
     assert vc.squared(x, -x).tolist() == [[sum((int(a) + int(b)) ** 2 for a, b in zip(p, q, strict=True)) for q in x] for p in x]
+
+
+# ---------------------------------------------------------------- earlier operators
+
+
+@pytest.mark.parametrize("kind, ids, names", [("string", [None, "b", "a"], ["null", "b", "a"]), ("boolean", [True, None, False], ["true", "null", "false"]), ("double", [1.0, 2.5, None], ["1.0", "2.5", "null"]), ("long", [3, 20, None], ["3", "20", "null"])])
+def test_item_ids_of_any_kind_on_both_paths(spark, kind, ids, names):
+    from netlens.llm.decontamination import decontaminate
+
+    items = ["one two three four", "five six seven", "eight"]
+    bench = spark.createDataFrame(list(zip(ids, items, strict=True)) + [(ids[1], None), (ids[0], "")], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["say one two three four, five six seven", "EIGHT!", "nothing", None])], "doc_id long, text string")
+    for join in (False, True):
+        got = {r.doc_id: r for r in decontaminate(docs, bench, _force_join=join).collect()}
+        digest = lambda found: hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert [got[k].items_sha256 for k in range(4)] == [digest(names[:2]), digest(names[2:]), digest([]), digest([])], join
+        assert [got[k].n_hit for k in range(4)] == [7, 1, 0, 0]
+
+
+def test_sample_of_labels_is_bounded_by_rows(spark, monkeypatch):
+    from netlens.llm import toxicity
+
+    seen = []
+    keep = toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    docs = spark.createDataFrame([(k % 40, f"text {k} {'bad' if k % 2 else 'good'} words") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(80)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels, sample_rows=35)
+    assert seen[0].count() == 35
+
+
+def test_results_win_over_kept_columns(spark):
+    from netlens.llm import decontamination, span_dedup, toxicity
+
+    docs = spark.createDataFrame([(1, "a b c", "x", "y")], "doc_id long, text string, score string, clean_text string")
+    assert toxicity.score(docs, toxicity.Lexicon({})).columns == ["doc_id", "text", "clean_text", "score", "predicted", "n_matches"]
+    bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    for join in (False, True):
+        (row,) = decontamination.decontaminate(docs, bench, keep=["score", "clean_text"], _force_join=join).collect()
+        assert (row.clean_text, row.score) == ("a  c", "x")
+    assert span_dedup.span_dedup(docs, keep=["score", "clean_text"]).first().score == "x"
