@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm.common import discard, scratch
+from netlens.llm.common import aside, discard, scratch
 from netlens.llm.decontamination import decontaminate
 from netlens.llm.near_dedup import drop_near_duplicates
 from netlens.llm.sentencepiece_codec import encode_documents
@@ -20,6 +23,21 @@ def _with_text(cleaned: DataFrame, columns: list[str]) -> DataFrame:
     return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _any_columns(stage: Stage) -> Stage:
+    """The stage on documents with further columns of any names: they go through it under names that it does not use."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        moved, back = aside(docs, ["doc_id", "text", "n_chars"])
+        return back(stage(spark, moved, sf_dir))
+
+    return run
+
+
+@_any_columns
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score under 0.7; learned from the labels whose crc32(doc_id) mod 3 is not 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -27,17 +45,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, labels), threshold=0.7).where("predicted = 0").select(*docs.columns)
 
 
+@_any_columns
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
     return drop_near_duplicates(docs, shingle=5, num=80, den=100)
 
 
+@_any_columns
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of spans that stood in an earlier document or place."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     return _with_text(span_dedup(docs, keep=rest), docs.columns)
 
 
+@_any_columns
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that lie in a window of a benchmark item."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
