@@ -28,6 +28,12 @@ def _mean(value: Column) -> Column:
 # ---------------------------------------------------------------- DNS
 
 
+def dns_status(content: Column) -> Column:
+    """What a DNS remark tells of its question."""
+    code = F.substring(net.remark(content, "DnsException"), 1, 1)
+    return F.when(content.contains("DnsAnswerRRs="), "RESOLVED").when(code == "A", "ZEROANSWER").when(code == "R", "ANSWERBROKEN").when(code == "M", "MULTIPLEQUERIES").otherwise("REQUESTONLY")
+
+
 def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None) -> DataFrame:
     """One row for each DNS remark: status, question, client, server, latency (null without a round trip).  ``only`` is a
     further condition on session rows (first_second, client, server).
@@ -36,8 +42,7 @@ def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None)
     """
     where = implied(where, "dnstracker")
     content = F.col("content")
-    code = F.substring(net.remark(content, "DnsException"), 1, 1)
-    status = F.when(content.contains("DnsAnswerRRs="), "RESOLVED").when(code == "A", "ZEROANSWER").when(code == "R", "ANSWERBROKEN").when(code == "M", "MULTIPLEQUERIES").otherwise("REQUESTONLY")
+    status = dns_status(content)
     ends = _ends(tables, where)
     rows = tables["dns_remarks"].join(ends if only is None else ends.where(only), "session_id")
     rows = rows.select("session_id", "client", "server", status.alias("status"), F.substring_index(net.remark(content, "DnsQuestion"), ",", 1).alias("query"))
@@ -60,11 +65,16 @@ def dns_top(rows: DataFrame, column: str, name: str, limit: int = 10) -> DataFra
     return rows.groupBy(F.col(column).alias(name)).agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), name).limit(limit)
 
 
+def dns_answers(remarks: DataFrame, *keep: str) -> DataFrame:
+    """Names and addresses (hex) of A and AAAA answers."""
+    answers = net.remark(F.col("content"), "DnsAnswerRRs")
+    rows = remarks.select(*keep, F.substring_index(answers, ",", 1).alias("name"), F.explode(F.split(answers, " ")).alias("record")).where(F.col("record").rlike(",(1|28),[0-9a-f]+$"))
+    return rows.select(*keep, "name", F.regexp_extract("record", ",(?:1|28),([0-9a-f]+)$", 1).alias("ip_hex"))
+
+
 def fqdn_from_dns(remarks: DataFrame) -> DataFrame:
     """Names and addresses (hex) of A and AAAA answers, each pair once.  Works on a stream as on a table."""
-    answers = net.remark(F.col("content"), "DnsAnswerRRs")
-    rows = remarks.select(F.substring_index(answers, ",", 1).alias("name"), F.explode(F.split(answers, " ")).alias("record")).where(F.col("record").rlike(",(1|28),[0-9a-f]+$"))
-    return rows.select("name", F.regexp_extract("record", ",(?:1|28),([0-9a-f]+)$", 1).alias("ip_hex")).dropDuplicates(["name", "ip_hex"])
+    return dns_answers(remarks).dropDuplicates(["name", "ip_hex"])
 
 
 # ---------------------------------------------------------------- mail and files

@@ -93,7 +93,8 @@ class RollupStore:
         keep_from_hour = keep_from_hour // self.hours * self.hours
         names = sorted({r[0] for r in self._noted()})
         self._note([(name, 0, keep_from_hour * 3600, "expired") for name in names])
-        return drop_old_rollups(self.spark, self.root, self.feed, keep_from_hour)
+        gone = drop_old_rollups(self.spark, self.root, self.feed, keep_from_hour)
+        return {name: gone.get(name, []) for name in names}
 
 
 _made: dict[tuple[str, str], RollupStore] = {}
