@@ -186,12 +186,28 @@ def packet_hash(tables: Tables, where: Conditions) -> DataFrame:
 
 def packet_loss_latency(near: DataFrame, far: DataFrame, window_ns: int = 10_000_000_000) -> DataFrame:
     """Each packet of ``near`` with the least non-negative delay to an equal packet of ``far`` within the window; else the
-    least delay backwards; else it is lost."""
-    other = far.select(*HASHED, F.col("timestamp").alias("t"))
-    pairs = near.join(other, HASHED, "left").withColumn("d", F.when(F.abs(F.col("t") - F.col("timestamp")) <= window_ns, F.col("t") - F.col("timestamp")))
-    out = pairs.groupBy("file_seq", *HASHED, "timestamp", "idx").agg(F.min(F.when(F.col("d") >= 0, F.col("d"))).alias("ahead"), F.min(F.when(F.col("d") < 0, -F.col("d"))).alias("behind"))
-    status = F.when(F.col("ahead").isNotNull(), "FORWARD").when(F.col("behind").isNotNull(), "REVERSE").otherwise("LOST")
-    return out.select("session_id", "small_to_big", "idx", "timestamp", status.alias("status"), F.coalesce("ahead", "behind", F.lit(-1)).cast("long").alias("latency"))
+    least delay backwards; else it is lost.  A packet with a null among the hashed fields equals none.
+
+    Both sides are merged in the order of time, key by key and by blocks as long as the window: the nearest packet of
+    ``far`` stands in the own block, or is the first of the next or the last of the one before.  The work grows with the
+    packets, not with their pairs, and one key with very many packets is as many groups as it has blocks."""
+    block = F.expr(f"(t - pmod(t, {window_ns}L)) div {window_ns}L").alias("block")
+    mine = near.select("file_seq", "idx", *HASHED, F.col("timestamp").alias("t"), F.lit(1).alias("own"))
+    other = far.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in HASHED])).select(F.lit(None).cast("long").alias("file_seq"), F.lit(None).cast("long").alias("idx"), *HASHED, F.col("timestamp").alias("t"), F.lit(0).alias("own"))
+    both = mine.unionByName(other).select("*", block, F.when(F.col("own") == 0, F.col("t")).alias("there"))
+    group = W.partitionBy(*HASHED, "block")
+    # of equal times, a packet of far counts as ahead and not as behind
+    ahead = F.last("there", ignorenulls=True).over(group.orderBy(F.desc("t"), "own").rowsBetween(W.unboundedPreceding, 0))
+    behind = F.last("there", ignorenulls=True).over(group.orderBy("t", F.desc("own")).rowsBetween(W.unboundedPreceding, 0))
+    found = both.withColumn("ahead", ahead).withColumn("behind", behind).where("own = 1")
+    edges = other.select(*HASHED, block, "t").groupBy(*HASHED, "block").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    after = edges.select(*HASHED, (F.col("block") - 1).alias("block"), F.col("first").alias("next"))
+    before = edges.select(*HASHED, (F.col("block") + 1).alias("block"), F.col("last").alias("previous"))
+    found = found.join(after, [*HASHED, "block"], "left").join(before, [*HASHED, "block"], "left")
+    near_by = lambda d: F.when(d <= window_ns, d)
+    forward, back = near_by(F.coalesce("ahead", "next") - F.col("t")), near_by(F.col("t") - F.coalesce("behind", "previous"))
+    status = F.when(forward.isNotNull(), "FORWARD").when(back.isNotNull(), "REVERSE").otherwise("LOST")
+    return found.select("session_id", "small_to_big", "idx", F.col("t").alias("timestamp"), status.alias("status"), F.coalesce(forward, back, F.lit(-1)).cast("long").alias("latency"))
 
 
 def packet_report(matched: DataFrame, limit: int = 100) -> DataFrame:
@@ -203,15 +219,46 @@ def packet_report(matched: DataFrame, limit: int = 100) -> DataFrame:
     return out.orderBy(F.desc("latency"), "sessionid", "direction").limit(limit)
 
 
+#: Seconds of one block of a session in ordered scans.
+BLOCK_SECONDS = 60
+
+
+def lag_in_blocks(rows: DataFrame, keys: list[str], order: list[str], value: str, second: Column) -> DataFrame:
+    """``rows`` with ``before``, the value of the row before in the order of their key (null for the first).
+
+    A window covers one minute of a key, and a second one the minutes of a key, which hand over their last values: a
+    session with most of the rows is as many groups as it has minutes."""
+    rows = rows.withColumn("block", net.div(second, BLOCK_SECONDS))
+    last = rows.groupBy(*keys, "block").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    handed = last.select(*keys, "block", F.lag("_last").over(W.partitionBy(*keys).orderBy("block")).alias("_handed"))
+    inside = W.partitionBy(*keys, "block").orderBy(*order)
+    own = rows.withColumn("_own", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    return own.join(handed, [*keys, "block"]).withColumn("before", F.when(F.col("_first"), F.col("_handed")).otherwise(F.col("_own"))).drop("_own", "_first", "_handed", "block")
+
+
+def running_sum_in_blocks(rows: DataFrame, keys: list[str], order: str, value: str, second: Column) -> DataFrame:
+    """``rows`` with ``total``, the sum of the values up to their place, rows of equal order included; by minutes as in
+    :func:`lag_in_blocks`."""
+    rows = rows.withColumn("block", net.div(second, BLOCK_SECONDS))
+    sums = rows.groupBy(*keys, "block").agg(F.sum(value).alias("_sum"))
+    ahead = F.sum("_sum").over(W.partitionBy(*keys).orderBy("block")) - F.col("_sum")
+    inside = F.sum(value).over(W.partitionBy(*keys, "block").orderBy(order))
+    return rows.withColumn("_inside", inside).join(sums.select(*keys, "block", ahead.alias("_ahead")), [*keys, "block"]).withColumn("total", F.col("_inside") + F.col("_ahead")).drop("_inside", "_ahead", "block")
+
+
 def jitter(tables: Tables, where: Conditions) -> DataFrame:
-    """Per session and side: mean, deviation and number of the changes from one round trip to the next."""
+    """Per session and side: mean, deviation and number of the changes from one round trip to the next.
+
+    The deviation needs no second pass: the squares around the mean follow from the sums of the values and their squares."""
     rows = facts(tables, "rtts", where, ["source_is_small"]).where(series.good_rtt())
     side = F.when(F.col("small_to_big") == F.col("source_is_small"), 0).otherwise(1)
-    order = W.partitionBy("session_id", "side").orderBy("second", "ns", "tail")
-    change = rows.withColumn("side", side).withColumn("v", F.abs(F.col("tail") - F.lag("tail").over(order))).where("v IS NOT NULL")
-    mean = change.groupBy("session_id", "side").agg(net.div(net.total(F.col("v")), F.count("v")).alias("mean"), F.count("v").alias("n"))
-    off = (F.col("v") - F.col("mean")).cast("decimal(12,0)")  # 10 s at most; the square does not fit 64 bits
-    spread = change.join(mean, ["session_id", "side"]).groupBy("session_id", "side", "mean", "n").agg(F.sum(off * off).cast("decimal(38,0)").alias("q"))
+    change = lag_in_blocks(rows.withColumn("side", side), ["session_id", "side"], ["second", "ns", "tail"], "tail", F.col("second"))
+    change = change.select("session_id", "side", F.abs(F.col("tail") - F.col("before")).alias("v")).where("v IS NOT NULL")
+    v = F.col("v").cast("decimal(11,0)")  # 10 s at most; the squares do not fit 64 bits
+    sums = change.groupBy("session_id", "side").agg(F.count("v").alias("n"), F.sum(v).cast("decimal(24,0)").alias("s"), F.sum(v * v).cast("decimal(36,0)").alias("ss"))
+    sums = sums.withColumn("mean", net.div(F.col("s"), F.col("n")))
+    mean, n = F.col("mean").cast("decimal(11,0)"), F.col("n").cast("decimal(13,0)")
+    spread = sums.withColumn("q", F.col("ss") - (F.col("s") + F.col("s")).cast("decimal(25,0)") * mean + n * (mean * mean).cast("decimal(22,0)"))
     deviation = F.floor(F.sqrt(F.floor(F.col("q") / F.col("n")).cast("double"))).cast("long")
     spread = spread.select("session_id", "side", "mean", "n", deviation.alias("deviation"))
     pick = lambda c, k: F.coalesce(F.max(F.when(F.col("side") == k, F.col(c))), F.lit(0)).cast("long")
@@ -261,7 +308,7 @@ def session_audit(tables: Tables, where: Conditions) -> DataFrame:
     events = session_events(tables, where, packets)
     data = packets.where(F.size("events") == 0).select("session_id", "second", "nanosecond", "value", "fromclient", F.lit("Transmit").alias("event"))
     both = events.unionByName(data).withColumn("t", F.struct("second", "nanosecond")).withColumn("mark", (F.col("event") != "Transmit").cast("int"))
-    gaps = both.withColumn("gap", F.sum("mark").over(W.partitionBy("session_id").orderBy("t"))).where("mark = 0")
+    gaps = running_sum_in_blocks(both, ["session_id"], "t", "mark", F.col("second")).withColumnRenamed("total", "gap").where("mark = 0")
     moved = gaps.groupBy("session_id", "gap", "fromclient").agg(F.min("t").alias("t"), F.sum("value").cast("long").alias("value")).where("value > 0")
     return events.unionByName(moved.select("session_id", "t.second", "t.nanosecond", "value", "fromclient", F.lit("Transmit").alias("event")))
 

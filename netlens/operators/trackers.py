@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from netlens import model
 from netlens.functions import net
 from netlens.operators import series
-from netlens.operators.flows import session_bytes
+from netlens.operators.flows import lag_in_blocks, session_bytes
 from netlens.plans.conditions import Conditions, accepted, facts, implied
 from netlens.sources.tables import Tables
 
@@ -315,8 +315,8 @@ def rtp_jitter(messages: DataFrame, tables: Tables, where: Conditions) -> DataFr
     """
     media = messages.where("media_port <> ''").select("sipfrom", "sipto", "callid", F.col("fromip").alias("ip"), F.col("media_port").cast("int").alias("port")).distinct()
     s = accepted(tables, where).where(F.col("payload_protocol") == model.UDP)
-    at = facts(tables, "packets", where).select("session_id", "small_to_big", (F.col("second") * 1_000_000_000 + F.col("ns")).alias("t"))
-    gap = at.withColumn("gap", F.col("t") - F.lag("t").over(W.partitionBy("session_id", "small_to_big").orderBy("t"))).where("gap IS NOT NULL")
+    at = facts(tables, "packets", where).select("session_id", "small_to_big", "second", (F.col("second") * 1_000_000_000 + F.col("ns")).alias("t"))
+    gap = lag_in_blocks(at, ["session_id", "small_to_big"], ["t"], "t", F.col("second")).select("session_id", "small_to_big", (F.col("t") - F.col("before")).alias("gap")).where("gap IS NOT NULL")
     mean = gap.groupBy("session_id", "small_to_big").agg(net.div(net.total(F.col("gap")), F.count("gap")).alias("mean"), F.count("gap").alias("n")).where("n > 1")
     off = net.total(F.abs(F.col("gap") - F.col("mean")))
     streams = gap.join(mean, ["session_id", "small_to_big"]).groupBy("session_id", "small_to_big", "n").agg(off.alias("dev")).select("session_id", net.div(F.col("dev"), F.col("n")).alias("jitter"))

@@ -13,7 +13,9 @@ from netlens.sources import fixtures
 from netlens.sources.sessions import whole_sessions
 
 #: Fact tables and the column that holds their time.
-TIME = {"bps": "second", "pps": "second", "rtts": "second", "tcp_rsts": "second", "tcp_dupacks": "second", "tcp_retransmissions": "second", "tcp_misc": "second", "tcp_syns": "second", "timeouts": "marker_second", "packets": "second"}
+TIME = {"bps": "second", "pps": "second", "rtts": "second", "tcp_rsts": "second", "tcp_dupacks": "second", "tcp_retransmissions": "second", "tcp_misc": "second", "tcp_syns": "second", "timeouts": "marker_second", "packets": "second", "icmp_packets": "second", "icmp6_packets": "second"}
+#: Tables without a time of their own: their rows stand in the hours of their session.
+BY_SESSION = ("session_vlan", "session_mpls", "session_ip6", "http_remarks", "dns_remarks", "tls_remarks", "mail_remarks", "sip_remarks", "icmp_remarks", "icmp6_remarks")
 #: Columns of stored tables, given so that a table without any row can be read.
 SCHEMAS = {"sessions": model.SESSION_SCHEMA, "bps": model.TRAFFIC_SCHEMA, "pps": model.TRAFFIC_SCHEMA, "timeouts": model.SESSION_SCHEMA + ", marker_second long, marker_ns long"}
 SCHEMAS |= dict.fromkeys(("rtts", "tcp_rsts", "tcp_dupacks", "tcp_retransmissions", "tcp_misc", "tcp_syns"), model.MARKER_SCHEMA)
@@ -73,13 +75,16 @@ class Tables:
         """Tables of a store with a folder for each table, partitioned by feed and hour; a time range prunes hours.
 
         Sessions stand in every hour that they touch and in every file that has packets of them; what is read of them is
-        merged by session and turned to the known services (:func:`netlens.sources.sessions.whole_sessions`).
+        merged by session and turned to the known services (:func:`netlens.sources.sessions.whole_sessions`).  Rows of
+        :data:`BY_SESSION` are read once: where their session begins or, if that is before the range, in its first hour.
         """
 
         def open_table(self: Tables, name: str) -> DataFrame:
             reader = spark.read.schema(f"{SCHEMAS[name]}, feed string, hour long") if name in SCHEMAS else spark.read
             table = reader.parquet(f"{root}/{name}").where(F.col("feed") == feed)
-            timed = name in TIME or name == "sessions"
+            timed = name in TIME or name == "sessions" or name in BY_SESSION
+            if name in BY_SESSION:
+                table = table.where(F.col("home") if second_from is None else F.col("home") | (F.col("hour") == second_from // 3600)).drop("home")
             if timed and second_from is not None:
                 table = table.where(F.col("hour") >= second_from // 3600)
             if timed and second_to is not None:
@@ -94,11 +99,18 @@ class Tables:
 
 
 def store(tables: Tables, root: str, feed: str, names: list[str] | None = None, mode: str = "append") -> None:
-    """Write tables below ``root``, partitioned by feed and hour; a session goes to every hour that it touches, what has no
-    time to hour 0.  The rows of an hour are dealt to ``WRITERS`` tasks, so no task writes a busy hour alone."""
-    for name in names or list(TIME) + ["sessions"]:
+    """Write tables below ``root``, partitioned by feed and hour; a session goes to every hour that it touches, and so do its
+    rows of :data:`BY_SESSION`, marked where the session begins (``home``); what has no time goes to hour 0.  The rows of an
+    hour are dealt to ``WRITERS`` tasks, so no task writes a busy hour alone."""
+    for name in names or [*TIME, "sessions", *BY_SESSION]:
         table = tables[name]
-        if name == "sessions":
+        if name in BY_SESSION:
+            spans = tables["sessions"].groupBy("session_id").agg(F.min(F.expr("first_second div 3600")).alias("_a"), F.max(F.expr("greatest(first_second, last_second) div 3600")).alias("_b"))
+            none = F.lit(0).cast("long")
+            table = table.join(spans, "session_id", "left").withColumn("_a", F.coalesce("_a", none)).withColumn("_b", F.coalesce("_b", none))
+            table = table.select(*tables[name].columns, "_a", F.explode(F.sequence("_a", "_b")).alias("hour")).withColumn("home", F.col("hour") == F.col("_a")).drop("_a")
+            hour = F.col("hour")
+        elif name == "sessions":
             hour = F.explode(F.sequence(F.expr("first_second div 3600"), F.greatest(F.expr("first_second div 3600"), F.expr("last_second div 3600"))))
         else:
             hour = F.expr(f"{TIME[name]} div 3600") if name in TIME else F.lit(0).cast("long")
