@@ -278,55 +278,78 @@ def _edges(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return ends, far
 
 
-def _search(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _search(codes: np.ndarray, pieces: Pieces, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(nodes by end as :func:`_edges` gives them, flags of the boundaries on the best path, stretches left to Stream).
 
-    Where no piece spans a boundary, every path passes it: these are the commits.  The search of what follows needs
-    nothing of what lies before, so lanes begin at commits.  A lane's window is a row with the scores of the last
-    ``longest`` boundaries; all lanes move on by one character at a time.
+    Lanes make one text, or many, wide enough for array steps: they begin where no piece spans a boundary, which every path
+    passes, and all move on by one character at a time.  A lane's window is a row with the scores of the last ``longest``
+    boundaries, the survivors, and with the ancestor that each has among the boundaries of the lane's last checkpoint.
+    Every ``longest`` characters the lanes are looked at: where all survivors have one ancestor, what lies before it is
+    committed, and the window is the next checkpoint.  ``seen`` gets the number of such commits and the widest window.
     """
     n, longest = len(codes), pieces.longest
     ends, far = _edges(codes, pieces)
     place = np.arange(1, n + 1)
-    commits = np.concatenate([[0], place[np.maximum.accumulate(far) == place]])
-    low, high = commits[:-1], commits[1:]
+    certain = np.concatenate([[0], place[np.maximum.accumulate(far) == place]])
+    low, high = certain[:-1], certain[1:]
     long_ = high - low > LONG
     step = max(64, n // LANES)
     lane = (low // step + np.cumsum(long_) * (n // step + 2))[~long_]
     low, high, stretches = low[~long_], high[~long_], list(zip(low[long_].tolist(), high[long_].tolist(), strict=True))
     bound = np.zeros(n + 1, bool)
-    bound[commits] = True
+    bound[[0, n, *(x for pair in stretches for x in pair)]] = True
     if not len(low):
         return ends, bound, stretches
     head = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
-    start, size = low[head], high[np.append(head[1:], len(low)) - 1] - low[head]
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
-    commit = np.zeros(n + 1, bool)
-    commit[high] = True
+    start, stop = low[head], high[np.append(head[1:], len(low)) - 1]
+    order = np.argsort(start - stop, kind="stable")
+    start, stop = start[order], stop[order]
+    size = stop - start
+    bound[start] = bound[stop] = True
+    fresh = np.zeros(n + 1, bool)
+    fresh[high] = True
     score, back = pieces.trie.score, np.zeros(n + 1, np.int16)
     window = np.full((len(start), longest), _NONE)
     window[:, -1] = 0.0
+    ancestor = np.repeat(start[:, None], longest, 1).astype(np.int32)
+    committed, behind = start.copy(), np.arange(longest - 1, -1, -1)
     rows, live = np.arange(len(start)), np.searchsorted(-size, -np.arange(size[0]), "left")
+
+    def commit(at: np.ndarray, down_to: np.ndarray) -> None:
+        while len(at):
+            bound[at] = True
+            at = at - back[at]
+            on = at > down_to
+            at, down_to = at[on], down_to[on]
+
     for k in range(size[0]):
         m = live[k]
-        at, own = start[:m] + (k + 1), window[:m]
+        at, own, line = start[:m] + (k + 1), window[:m], ancestor[:m]
         offers = own + score[ends[at]]
         best = offers.argmax(1)
         value = offers[rows[:m], best]
         spelled = own[:, -1] + pieces.worst
         none = spelled > value
+        best[none] = longest - 1
         value = np.where(none, spelled, value)
-        back[at] = np.where(none, 1, longest - best)
-        value[commit[at]] = 0.0  # no path goes on from before, so sums may begin anew and stay exact
+        back[at] = longest - best
+        came = line[rows[:m], best]
+        value[fresh[at]] = 0.0  # no path goes on from before, so sums may begin anew and stay exact
         own[:, :-1] = own[:, 1:]
         own[:, -1] = value
-    at = high
-    while len(at):
-        at = at - back[at]
-        bound[at] = True
-        on = at > low
-        at, low = at[on], low[on]
+        line[:, :-1] = line[:, 1:]
+        line[:, -1] = came
+        if (k + 1) % longest == 0:
+            meet = line[:, 0].copy()
+            one = np.flatnonzero((line == meet[:, None]).all(1))
+            new = one[meet[one] > committed[one]]
+            commit(meet[new], committed[new])
+            if seen is not None:
+                seen["commits"] = seen.get("commits", 0) + len(new)
+                seen["widest"] = max(seen.get("widest", 0), int((at - committed[:m]).max()))
+            committed[new] = meet[new]
+            line[one] = at[one, None] - behind
+    commit(stop, committed)
     return ends, bound, stretches
 
 

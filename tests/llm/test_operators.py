@@ -194,6 +194,15 @@ def test_lanes_blocks_and_stream_agree(pieces, prose, monkeypatch):
         assert all(raw[ends[a] : ends[b]].tobytes().decode() == (" " + t if t else "") for t, a, b in zip(texts, offsets, offsets[1:], strict=False))
 
 
+def test_lanes_commit_where_survivors_meet(pieces, prose):
+    """Ids are committed by converging backpointers, every few words, and the window stays a few pieces wide."""
+    text = " " + " ".join(t for _, t in prose if t)
+    for lanes in (text, "".join(text.split(" "))[:20_000]):  # prose, and prose without a space
+        codes, seen = pieces.trie.alphabet[np.frombuffer(lanes.encode("utf-32-le"), "<u4")], {}
+        sentencepiece_codec._search(codes, pieces, seen)
+        assert seen["commits"] > len(lanes) / 100 and seen["widest"] <= 12 * pieces.longest
+
+
 def test_window_of_a_long_text_without_spaces(pieces):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
