@@ -25,6 +25,7 @@ ANSWERS = {
     "seconds": set(),
     "flows": set(),
     "signature_seconds": {"ips", "tags", "apps"},
+    "signature_flows": {"ips", "tags", "apps"},
     "pairs": {"ips", "tags", "apps", "payload_protocol", "l7", "server_ports", "excluded"},
     "dns": set(),
     "icmp": set(),
@@ -133,17 +134,35 @@ def alive(levels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return levels.select(*by, "level", "steps", second).select(*by, "timestamp", (F.col("level") + before).cast("long").alias("value"))
 
 
-def _members(tables: Tables, sessions: DataFrame) -> DataFrame:
+#: Rollups with a folder for each signature.
+SIGNED = ("signature_seconds", "signature_flows")
+
+
+def _signatures(tables: Tables) -> set[str]:
+    """All signatures of the users' tags and apps, which are small lists."""
+    return {r["signature"] for r in rollup.signatures(tables, (8, 32)).select("signature").distinct().collect()}
+
+
+def _members(tables: Tables, sessions: DataFrame, only: set[str] | None = None) -> DataFrame:
     """(session_id, signature) of sessions that have an address of either version in a signature's set, each once."""
-    sets = rollup.signatures(tables, (8, 32)).select("signature", F.explode("ips").alias("hex"))
+    sets = rollup.signatures(tables, (8, 32))
+    sets = sets if only is None else sets.where(F.col("signature").isin(sorted(only)))
+    sets = sets.select("signature", F.explode("ips").alias("hex"))
     four = sessions.select("session_id", F.explode(F.array(*[net.ip_to_hex(F.col(c)) for c in ("src_ip", "dst_ip")])).alias("hex"))
     six = tables["session_ip6"].join(sessions.select("session_id"), "session_id", "left_semi").select("session_id", F.explode(F.array("src_ip6", "dst_ip6")).alias("hex"))
     return four.unionByName(six).join(sets, "hex").select("session_id", "signature").distinct()
 
 
-def signature_seconds(tables: Tables, where: Conditions) -> DataFrame:
+def signature_flows(tables: Tables, low: int, high: int, only: set[str] | None = None) -> DataFrame:
+    """Sessions alive by signature, as :func:`flow_levels` has them."""
+    sessions = tables["sessions"]
+    members = _members(tables, sessions.select("session_id", "src_ip", "dst_ip"), only)
+    return flow_levels(sessions.join(members, "session_id"), low, high, ("signature",))
+
+
+def signature_seconds(tables: Tables, where: Conditions, only: set[str] | None = None) -> DataFrame:
     """Every per-second metric by signature, of addresses of both versions."""
-    members = _members(tables, accepted(tables, where).select("session_id", "src_ip", "dst_ip"))
+    members = _members(tables, accepted(tables, where).select("session_id", "src_ip", "dst_ip"), only)
     rows = rollup.measures(tables, where).join(members, "session_id")
     return rows.groupBy("signature", "metric", "second").agg(F.sum("n").cast("long").alias("value"))
 
@@ -161,6 +180,8 @@ def build(store: RollupStore, tables: Tables, low: int, high: int, names: tuple[
             return flow_levels(sessions, low, high), "minute"
         if name == "signature_seconds":
             return signature_seconds(tables, where), "second"
+        if name == "signature_flows":
+            return signature_flows(tables, low, high), "minute"
         if name == "pairs":
             return pairs(tables, where), "minute"
         if name == "dns":
@@ -169,7 +190,28 @@ def build(store: RollupStore, tables: Tables, low: int, high: int, names: tuple[
             return rollup.icmp(tables, where), "minute"
         return http_segments(tables, Conditions(low, high - 1)), "minute"
 
-    store.build(low, high, {name: of(name) for name in names})
+    known = _signatures(tables) if set(names) & set(SIGNED) else set()
+    store.build(low, high, {name: of(name) for name in names}, {name: ("signature", known) for name in SIGNED})
+
+
+def maintain_signatures(store: RollupStore, tables: Tables) -> tuple[set[str], set[str]]:
+    """Bring the signature rollups up to the users' present tags and apps: new sets of addresses are built over all that is
+    stored already, vanished ones lose their folders, and the files of all others are left alone.  Returns both sets."""
+    now, new, gone = _signatures(tables), set(), set()
+    for name in SIGNED:
+        covered = store.covered(name)
+        if covered is None:
+            continue
+        low, high = covered
+        have = store.parts(name)
+        fresh, old = now - have, have - now
+        if fresh:
+            rows = signature_seconds(tables, _build_range(low, high), fresh) if name == "signature_seconds" else signature_flows(tables, low, high, fresh)
+            store.backfill(name, rows, "second" if name == "signature_seconds" else "minute", "signature", fresh)
+        if old:
+            store.drop(name, "signature", old)
+        new, gone = new | fresh, gone | old
+    return new, gone
 
 
 # ---------------------------------------------------------------- the planner
@@ -208,13 +250,13 @@ def plan(store: RollupStore, tables: Tables, name: str, where: Conditions, lag:
     if missing:
         return facts_only(f"{name} has no {', '.join(sorted(missing))} in its key")
     signature = None
-    if name == "signature_seconds":
+    if name in SIGNED:
         if not where.include_external:
             return facts_only("a signature counts sessions with one end in its set")
         signature = asked_signature(tables, where)
         if signature is None:
             return facts_only("no signature has exactly the addresses that are asked for")
-    covered = store.covered(name)
+    covered = store.covered(f"{name}/{signature}" if signature else name)
     if covered is None:
         return facts_only(f"{name} has not been built")
     low = -(-max(where.second_from + lag, covered[0]) // 60) * 60
@@ -254,8 +296,8 @@ def _stored_series(store: RollupStore, chosen: Plan, metric: str) -> DataFrame:
     """(timestamp, value or casts) of the stored seconds that have facts."""
     inside = F.col("second").between(chosen.low, chosen.high - 1)
     if metric == "flowcounts":
-        levels = store.read("flows", chosen.low, chosen.high).where(F.col("minute").between(chosen.low, chosen.high - 60))
-        return alive(merged_levels(levels))
+        levels = store.read(chosen.rollup, chosen.low, chosen.high).where(F.col("minute").between(chosen.low, chosen.high - 60))
+        return alive(merged_levels(levels if chosen.signature is None else levels.where(F.col("signature") == chosen.signature)))
     names = {"pps": [f"pps_{c}" for c in series.CASTS], "averagelatency": ["n0", "d0", "n1", "d1"]}.get(metric, [metric])
     rows = store.read(chosen.rollup, chosen.low, chosen.high).where(inside)
     if chosen.rollup == "signature_seconds":
@@ -269,7 +311,7 @@ def _stored_series(store: RollupStore, chosen: Plan, metric: str) -> DataFrame:
 
 def plan_series(store: RollupStore, tables: Tables, metric: str, where: Conditions) -> Plan:
     if metric == "flowcounts":
-        return plan(store, tables, "flows", where)
+        return plan(store, tables, "signature_flows" if where.asked() else "flows", where)
     return plan(store, tables, "signature_seconds" if where.asked() else "seconds", where, LAG.get(metric, 0))
 
 
@@ -478,4 +520,4 @@ def http_errors(store: RollupStore, tables: Tables, where: Conditions, n: int =
     return topn.http_errors(failed_requests(store, tables, where), n)
 
 
-__all__ = ["ANSWERS", "Plan", "Rewriter", "alive", "build", "dns", "failed_requests", "flow_levels", "http_errors", "http_segments", "icmp", "key_filter", "merged_levels", "paired_requests", "pairs", "per_second", "plan", "plan_series", "ranking6"]
+__all__ = ["ANSWERS", "Plan", "Rewriter", "alive", "build", "dns", "failed_requests", "flow_levels", "http_errors", "http_segments", "icmp", "key_filter", "maintain_signatures", "merged_levels", "paired_requests", "pairs", "per_second", "plan", "plan_series", "ranking6"]

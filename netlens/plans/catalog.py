@@ -29,6 +29,11 @@ def register(name: str, build: Callable[[Tables], DataFrame], sql: str | None) -
         _sql[name] = duckdb_with(sql)
 
 
+def _month(sql: str) -> str:
+    """SQL text of the day, over the month."""
+    return sql.replace(str(o.DAY[1] + 1), str(o.MONTH[1] + 1)).replace(str(o.DAY[0]), str(o.MONTH[0])).replace(str(o.DAY[1]), str(o.MONTH[1]))
+
+
 def _series() -> None:
     register("bps", lambda t: series.bps(t, DAY), o.bps())
     for kind in series.COUNTS:
@@ -45,6 +50,11 @@ def _series() -> None:
     register("averagelatency_bins", lambda t: series.bins(series.average_latency(t, MONTH), MONTH, 600), o.bins(o.latency(o.MONTH), o.MONTH, 600))
     register("pps_bins", lambda t: series.bins(series.pps(t, MONTH), MONTH, 3600, "unicast", zeros=True), o.bins(o.pps(o.MONTH), o.MONTH, 3600, "unicast", zeros=True))
     register("bps2_bins", lambda t: series.bins(series.bps2(t, MONTH, INSIDE), MONTH, 3600, "egress", zeros=True), o.bins(o.bps2(o.MONTH), o.MONTH, 3600, "egress", zeros=True))
+    for kind in series.COUNTS:
+        if kind != "tcprsts":
+            register(f"{kind}_bins", lambda t, kind=kind: series.bins(series.counts(t, kind, MONTH), MONTH, 3600), o.bins(o.count_series(kind, o.MONTH), o.MONTH, 3600))
+    register("flowcounts_bins", lambda t: series.bins(series.flow_counts(t, MONTH), MONTH, 3600, zeros=True), o.bins(_month(o.flow_counts()), o.MONTH, 3600, zeros=True))
+    register("pps_ignoremac_bins", lambda t: series.bins(series.pps(t, MONTH, macs), MONTH, 3600, "unicast"), o.bins(o.pps(o.MONTH, macs), o.MONTH, 3600, "unicast"))
     register("bps_minmax", lambda t: series.min_max(series.bps(t, MONTH)), o.min_max(o.bps(o.MONTH)))
     register("bps_top", lambda t: series.top(series.bps(t, MONTH), 20), f"SELECT * FROM ({o.bps(o.MONTH)}) ORDER BY value DESC, timestamp LIMIT 20")
     register("pps_top", lambda t: series.top(series.pps(t, MONTH), 20, series.CASTS), f"SELECT * FROM ({o.pps(o.MONTH)}) ORDER BY unknown + broadcast + multicast + unicast DESC, timestamp LIMIT 20")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netlens.operators import rewriting, topn
+from netlens.operators.series import bins as binned
 from netlens.plans import oracles as o
 from netlens.plans import oracles_apps as a
 from netlens.plans.conditions import Conditions, Network
@@ -98,8 +99,13 @@ def entries() -> list[tuple]:
     for name in ("l7", "tag", "app6", "ips6"):
         series(f"stored_bps_{name}", "bps", o.bps(DAY_PART), FILTERS[name][1], **FILTERS[name][0])
     series("stored_pps_tag", "pps", o.pps(DAY_PART), FILTERS["tag"][1], **FILTERS["tag"][0])
+    series("stored_flowcounts_tag", "flowcounts", _within(o.flow_counts(), DAY_PART, o.DAY), FILTERS["tag"][1], **FILTERS["tag"][0])
     series("stored_averagelatency_tag", "averagelatency", o.latency(DAY_PART), FILTERS["tag"][1], **FILTERS["tag"][0])
 
+    part = Conditions(*PART)
+    for metric, sql in (("bps", o.bps(PART)), ("averagelatency", o.latency(PART)), ("flowcounts", _within(o.flow_counts(), PART, o.DAY)), ("timeoutcounts", o.count_series("timeoutcounts", PART))):
+        out.append((f"stored_{metric}_bins", lambda t, metric=metric: binned(rewriting.per_second(stored(t), t, metric, part), part, 3600), o.bins(sql, PART, 3600)))
+
     def ranking(base: str, grain: str, name: str = "") -> None:
         asked, more = FILTERS[name] if name else ({}, "")
         where = Conditions(*PART, **asked)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from netlens.sources.tables import drop_old_rollups
 
-_RANGES = "rollup string, low long, high long, kind string"
+_RANGES = "rollup string, low long, high long, kind string, seq long"
 _temporary: list[tuple[SparkSession, str]] = []
 
 
@@ -50,26 +50,40 @@ class RollupStore:
         _temporary.append((spark, store.root))
         return store
 
-    def _noted(self) -> list[tuple[str, int, int, str]]:
-        """The ranges of this feed: one row for each build and rollup."""
+    def _noted(self) -> list[tuple[str, int, int, str, int]]:
+        """What has been done to this feed's rollups, in order: one row for each rollup and step."""
         folder = f"{self.root}/ranges/feed={self.feed}"
         path, files = _path(self.spark, folder)
-        return [tuple(r) for r in self.spark.read.schema(_RANGES).parquet(folder).collect()] if files.exists(path) else []
+        rows = self.spark.read.schema(_RANGES).parquet(folder).collect() if files.exists(path) else []
+        return sorted((tuple(r) for r in rows), key=lambda r: r[4])
 
     def _note(self, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, _RANGES).coalesce(1).write.mode("append").parquet(f"{self.root}/ranges/feed={self.feed}")
+        first = 1 + max((r[4] for r in self._noted()), default=0)
+        numbered = [(*r, first + k) for k, r in enumerate(rows)]
+        self.spark.createDataFrame(numbered, _RANGES).coalesce(1).write.mode("append").parquet(f"{self.root}/ranges/feed={self.feed}")
 
     def covered(self, name: str) -> tuple[int, int] | None:
         """First second, and the second behind the last, of what a rollup holds without a gap."""
-        rows = [r for r in self._noted() if r[0] == name]
-        built = sorted({(low, high) for _, low, high, kind in rows if kind == "built"})
-        if not built:
-            return None
-        low = max([built[0][0], *(high for _, _, high, kind in rows if kind == "expired")])
-        return (low, built[-1][1]) if low < built[-1][1] else None
-
-    def build(self, low: int, high: int, rollups: dict[str, tuple[DataFrame, str]]) -> None:
-        """Write rollups, each with its column of time, for the whole minutes from ``low`` to before ``high``."""
+        found = None
+        for rollup, low, high, kind, _ in self._noted():
+            if rollup != name:
+                continue
+            if kind == "built":
+                found = (found[0] if found else low, high)
+            elif kind == "dropped":
+                found = None
+            elif found:
+                found = (max(found[0], high), found[1])
+        return found if found and found[0] < found[1] else None
+
+    def parts(self, name: str) -> set[str]:
+        """The parts of a rollup that has a folder for each, by name, that are there now."""
+        names = {r[0] for r in self._noted() if r[0].startswith(f"{name}/")}
+        return {n.split("/", 1)[1] for n in names if self.covered(n)}
+
+    def build(self, low: int, high: int, rollups: dict[str, tuple[DataFrame, str]], parts: dict[str, tuple[str, set[str]]] | None = None) -> None:
+        """Write rollups, each with its column of time, for the whole minutes from ``low`` to before ``high``.  ``parts``
+        names a column of a rollup whose values have folders of their own, and the values that this build covers."""
         if low % 60 or high % 60 or low >= high:
             raise ValueError("a build covers whole minutes")
         for name in rollups:
@@ -77,14 +91,38 @@ class RollupStore:
             if before and before[1] != low:
                 raise ValueError(f"{name} is built up to {before[1]}, the next build begins there")
         for name, (rows, time) in rollups.items():
-            out = rows.withColumn("feed", F.lit(self.feed)).withColumn("hour", F.expr(f"{time} div {3600 * self.hours} * {self.hours}")).withColumn("build", F.lit(low))
-            # rows of a busy hour are split over tasks, those of quiet hours share one
-            out.hint("rebalance", F.col("hour")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed", "hour", "build").parquet(f"{self.root}/{name}")
-            self._note([(name, low, high, "built")])
+            column, values = (parts or {}).get(name, (None, set()))
+            self._write(name, rows, time, low, column)
+            self._note([(name, low, high, "built"), *[(f"{name}/{v}", low, high, "built") for v in sorted(values)]])
+
+    def _write(self, name: str, rows: DataFrame, time: str, low: int, column: str | None) -> None:
+        out = rows.withColumn("feed", F.lit(self.feed)).withColumn("hour", F.expr(f"{time} div {3600 * self.hours} * {self.hours}")).withColumn("build", F.lit(low))
+        # rows of a busy hour are split over tasks, those of quiet hours share one
+        inner = [column] if column else []
+        out = out.hint("rebalance", F.col("hour"), *[F.col(c) for c in inner])
+        keys = ["feed", "hour", "build", *inner]
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{self.root}/{name}")
+
+    def backfill(self, name: str, rows: DataFrame, time: str, column: str, values: set[str]) -> None:
+        """Add parts to what a rollup holds already: their folders only are written."""
+        low, high = self.covered(name)
+        self._write(name, rows, time, low, column)
+        self._note([(f"{name}/{v}", low, high, "built") for v in sorted(values)])
+
+    def drop(self, name: str, column: str, values: set[str]) -> list[str]:
+        """Remove parts of a rollup, noted first, so nobody reads half of one; returns the folders that went."""
+        self._note([(f"{name}/{v}", 0, 0, "dropped") for v in sorted(values)])
+        gone = []
+        for value in sorted(values):
+            pattern, files = _path(self.spark, f"{self.root}/{name}/feed={self.feed}/hour=*/build=*/{column}={value}")
+            for status in files.globStatus(pattern) or []:
+                gone.append(status.getPath().toString())
+                files.delete(status.getPath(), True)
+        return gone
 
     def read(self, name: str, low: int, high: int) -> DataFrame:
         """Rows of the hours of a range; only noted builds count."""
-        builds = sorted({x for n, x, _, kind in self._noted() if n == name and kind == "built"})
+        builds = sorted({x for n, x, _, kind, _ in self._noted() if n == name and kind == "built"})
         rows = self.spark.read.parquet(f"{self.root}/{name}").where((F.col("feed") == self.feed) & F.col("hour").between(low // 3600 - self.hours + 1, (high - 1) // 3600) & F.col("build").isin(builds))
         return rows.drop("feed", "hour", "build")
 
@@ -92,7 +130,8 @@ class RollupStore:
         """Remove the folders before an hour; from then on the rollups cover what is left."""
         keep_from_hour = keep_from_hour // self.hours * self.hours
         names = sorted({r[0] for r in self._noted()})
-        self._note([(name, 0, keep_from_hour * 3600, "expired") for name in names])
+        names, every = [n for n in names if "/" not in n], names
+        self._note([(name, 0, keep_from_hour * 3600, "expired") for name in every])
         gone = drop_old_rollups(self.spark, self.root, self.feed, keep_from_hour)
         return {name: gone.get(name, []) for name in names}
 

@@ -59,7 +59,7 @@ def tables(spark):
 def built(spark, tables, tmp_path_factory):
     """Rollups of two builds; the second continues the first."""
     out = RollupStore(spark, str(tmp_path_factory.mktemp("rollups")), "f")
-    names = ("seconds", "flows", "signature_seconds", "pairs", "icmp")
+    names = ("seconds", "flows", "signature_seconds", "signature_flows", "pairs", "icmp")
     rewriting.build(out, tables, LOW, MIDDLE, names)
     rewriting.build(out, tables, MIDDLE, HIGH, names)
     return out
@@ -172,6 +172,38 @@ def test_builds_follow_each_other_and_can_be_repeated(spark, tables, tmp_path):
     assert out.covered("x") == (3600, 10800) and out.covered("y") is None
 
 
+def test_signatures_are_backfilled_and_dropped(spark, tables, tmp_path):
+    """A new tag is built over the past, a vanished one loses its folders, and no other file is touched."""
+    import glob
+    import os
+
+    moved = Tables(spark, lambda self, name: tables[name])
+    out = RollupStore(spark, str(tmp_path), "f")
+    for low, high in ((LOW, MIDDLE), (MIDDLE, HIGH)):
+        rewriting.build(out, moved, low, high, rewriting.SIGNED)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{tmp_path}/signature_*/**/*.parquet", recursive=True)}
+    ask = lambda tag: Conditions(13, 3544, tags=(tag,))
+    assert rewriting.maintain_signatures(out, moved) == (set(), set())
+    before = files()
+    moved["tag_ip"] = spark.createDataFrame([("lab", "0000000c"), ("lab", "0000000e"), ("six", "20010db8" + "0" * 24)], EMPTY["tag_ip"])
+    assert rewriting.plan_series(out, moved, "bps", ask("lab")).rollup is None
+    new, gone = rewriting.maintain_signatures(out, moved)
+    assert len(new) == len(gone) == 1
+    after = files()
+    assert {f for f in before if f not in after} == {f for f in before if f"signature={next(iter(gone))}" in f} != set()
+    assert {f for f in after if f not in before} == {f for f in after if f"signature={next(iter(new))}" in f} != set()
+    assert all(after[f] == before[f] for f in after if f in before)
+    for metric, name in (("bps", "signature_seconds"), ("flowcounts", "signature_flows")):
+        for tag in ("lab", "six"):
+            assert rewriting.plan_series(out, moved, metric, ask(tag)).rollup == name
+            assert rows(rewriting.per_second(out, moved, metric, ask(tag))) == rows(rewriting._raw_series(moved, metric, ask(tag))), (metric, tag)
+    # the old tag comes back: its folders are built anew
+    moved["tag_ip"] = tables["tag_ip"]
+    assert rewriting.plan_series(out, moved, "bps", ask("office")).rollup is None
+    assert rewriting.maintain_signatures(out, moved) == (gone, new)
+    assert rows(rewriting.per_second(out, moved, "bps", ask("office"))) == rows(series.bps(moved, ask("office")))
+
+
 def test_levels_of_parts_add_up(spark, tables):
     s = tables["sessions"]
     whole = rewriting.flow_levels(s, 600, 3000)

@@ -125,3 +125,41 @@ def test_names_are_learned_once_with_a_bounded_state(spark, tmp_path, timers):
     again = pairs.names_once(files(spark, f"{tmp_path}/more", [*rows, (BASE + 90000, "DnsAnswerRRs=b,1,0a0000ff\n")], "second long, content string", 50), names)
     found, _ = finish(again, tmp_path, "fresh")
     assert sorted(map(tuple, found.collect())) == [("b", "0a0000ff")]
+
+
+def test_lookbacks_move_on_with_every_minute(spark, tmp_path, timers):
+    from netlens.streaming import lookbacks
+
+    rng = random.Random(1)
+    base = BASE // 60 * 60
+    rows = sorted((base + rng.choice([rng.randrange(0, 900), rng.randrange(3000, 4000)]), rng.choice("ab"), rng.choice(["x", "y"])) for _ in range(300))
+    rows = [(s, k, second) for second, s, k in rows] + [("end", "x", base + 9000)]
+    stream = files(spark, f"{tmp_path}/in", rows, "service string, kind string, second long", 40)
+    sizes = (60, 600, 1800)
+    found, query = finish(lookbacks.service_counters(stream, lookbacks=sizes), tmp_path, "out")
+    got = {(r.service, r.kind, r.end): tuple(r)[3:] for r in found.collect()}
+    watermark = base + 9000 - 60
+    for service in "ab":
+        for kind in "xy":
+            own = [t for s, k, t in rows if (s, k) == (service, kind)]
+            for end in range(min(own) // 60 * 60 + 60, watermark + 1, 60):
+                want = tuple(sum(end - k <= t < end for t in own) for k in sizes)
+                assert got.get((service, kind, end), (0,) * 3) == want, (service, kind, end)
+
+
+def test_results_can_be_read_before_the_scan_ends(spark, tmp_path):
+    from netlens.streaming import lookbacks
+
+    sessions = spark.createDataFrame([(k, 1, 2, 1000, 443, 2048, 1, 6, 100 + k, 0, 200, 0, 7, 2, 0) for k in range(10)], model.SESSION_SCHEMA)
+    schema = "session_id long, file_seq long, content string"
+    rows = [(k % 10, k, f"TLSSNI=host{k}.example\n" if k % 4 else "TLSSNI=bad_name!\n") for k in range(30)]
+    counts = []
+    stream = files(spark, f"{tmp_path}/in", rows, schema, 6)
+    query = lookbacks.as_it_comes(stream, lookbacks.tls_rows(sessions), f"{tmp_path}/out", f"{tmp_path}/c", lambda n: counts.append(lookbacks.so_far(spark, f"{tmp_path}/out").count()))
+    query.awaitTermination(120)
+    assert query.exception() is None and len(counts) == 5 and 0 < counts[0] < counts[-1]
+    t = Tables(spark, lambda self, name: None)
+    t["sessions"], t["tls_remarks"] = sessions, spark.createDataFrame(rows, schema)
+    want = trackers.tls_rows(t, Conditions(0, 1000))
+    mine = lookbacks.first_of_session(lookbacks.so_far(spark, f"{tmp_path}/out"))
+    assert sorted(map(tuple, mine.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
