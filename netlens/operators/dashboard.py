@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,6 +36,29 @@ def alias_of(rows: DataFrame, cidr: DataFrame, ip: str, port: str | None = None)
     return rows.join(best, ips.columns, "left").withColumn("alias", F.coalesce("alias", F.lit("")))
 
 
+def prefix6(ip6: Column, length: Column) -> Column:
+    """The first ``length`` bits of an address of 32 hex digits, as its whole digits and the bits of the next one."""
+    whole, rest = net.div(length, 4).cast("int"), (length % 4).cast("int")
+    digit = F.conv(F.substring(ip6, whole + 1, F.lit(1)), 16, 10).cast("int")
+    bits = F.when(rest > 0, F.conv(digit.bitwiseAND(F.lit(16) - F.call_function("shiftright", F.lit(16), rest)), 10, 16)).otherwise("")
+    return F.concat(F.substring(ip6, F.lit(1), whole), F.lit("/"), F.lower(bits))
+
+
+def alias_of6(rows: DataFrame, networks: DataFrame, ip6: str, port: str | None = None) -> DataFrame:
+    """As :func:`alias_of` for version 6.  ``networks``: (ip6 of 32 hex digits, length, port, alias, ord).
+
+    Every different address meets the networks by its prefix of each length that the list has (129 at most), in one
+    equality join, so there is no comparison with every network.  A row without an address has no alias."""
+    nets = networks.select(F.col("length").cast("int").alias("_length"), prefix6(F.lower("ip6"), F.col("length")).alias("_prefix"), F.col("port").alias("_port"), F.col("alias").alias("_alias"), F.col("ord").alias("_ord"))
+    lengths = [r["_length"] for r in nets.select("_length").distinct().orderBy("_length").collect()]
+    ips = rows.where(F.col(ip6).isNotNull()).select(ip6, *([port] if port else [])).distinct()
+    probes = ips.withColumn("_length", F.explode(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"))).withColumn("_prefix", prefix6(F.lower(ip6), F.col("_length")))
+    hit = probes.join(nets, ["_length", "_prefix"])
+    hit = hit.where((F.col("_port") == 0) | (F.col("_port") == F.col(port))) if port else hit.where("_port = 0")
+    best = hit.groupBy(*ips.columns).agg(F.min_by("_alias", "_ord").alias("alias"))
+    return rows.join(best, ips.columns, "left").withColumn("alias", F.coalesce("alias", F.lit("")))
+
+
 def service_facts(tables: Tables, table: str, where: Conditions) -> DataFrame:
     """Facts of sessions whose destination is a service of the list 'servers', with its alias."""
     rows = facts(tables, table, where, ["src_ip", "dst_ip", "dst_port", "source_is_small"])

@@ -137,6 +137,23 @@ def describe_edges(edges: DataFrame, tag_ip: DataFrame, fqdns: DataFrame, apps:
     return out.select(*edges.columns, "app", F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("names", F.lit("")).alias("names"))
 
 
+def describe_edges6(edges: DataFrame, tag_ip: DataFrame, names: DataFrame, networks: DataFrame) -> DataFrame:
+    """As :func:`describe_edges` for edges (ip6, port) of version 6 and networks of :func:`dashboard.alias_of6`."""
+    from netlens.operators.dashboard import alias_of6
+
+    named = alias_of6(edges, networks, "ip6", "port").withColumnRenamed("alias", "app")
+    joined = lambda rows, column, name: rows.groupBy(F.lower("ip_hex").alias("ip6")).agg(F.array_join(F.sort_array(F.collect_set(column)), ",").alias(name))
+    out = named.join(joined(tag_ip, "tag", "tags"), "ip6", "left").join(joined(names, "name", "names"), "ip6", "left")
+    return out.select("ip6", "port", "app", F.coalesce("tags", F.lit("")).alias("tags"), F.coalesce("names", F.lit("")).alias("names"))
+
+
+def occurring_tags(sessions: DataFrame, tag_ip: DataFrame) -> DataFrame:
+    """(ip, tag) of the addresses that sessions have."""
+    seen = sessions.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct()
+    tags = tag_ip.where(F.length("ip_hex") == 8).select(net.hex_to_ip(F.col("ip_hex")).alias("ip"), "tag").distinct()
+    return seen.join(tags, "ip")
+
+
 # ---------------------------------------------------------------- anomaly documents
 
 WEEK = 7 * 86400

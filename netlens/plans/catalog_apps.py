@@ -122,7 +122,11 @@ def entries() -> list[tuple]:
     add("syslog_summary", lambda t: stores.syslog_summary(t["syslog"], *o.MONTH), a.SYSLOG_SUMMARY)
     add("snmp_search", lambda t: stores.snmp_search(t["snmptrap"], *o.MONTH, enterprise="6.1", kind=2), a.SNMP)
     add("snmp_summary", lambda t: stores.snmp_summary(t["snmptrap"], *o.MONTH), a.SNMP_SUMMARY)
-    add("ip_tags", lambda t: stores.ip_tags(t["tag_ip"], "0a000001"), "SELECT DISTINCT tag FROM tag_ip WHERE ip_hex = '0a000001'")
+    add("ip_tags", lambda t: stores.occurring_tags(t["sessions"], t["tag_ip"]), a.IP_TAGS)
+    add("alias_lookup6", lambda t: dashboard.alias_of6(t["session_ip6"].select("session_id", "src_ip6"), t["cidr6"].where("set_name = 'inside'"), "src_ip6").select("session_id", "alias"), a.ALIASES6)
+    edges6 = lambda t: t["session_ip6"].join(t["sessions"], "session_id").select(F.col("dst_ip6").alias("ip6"), F.col("dst_port").alias("port")).distinct()
+    names = lambda t: t["fqdns"].unionByName(t["user_apps"].select("name", F.explode(F.split("ips", ",")).alias("ip_hex")))
+    add("describe_edge6", lambda t: stores.describe_edges6(edges6(t), t["tag_ip"], names(t), t["cidr6"].where("set_name = 'servers'")), a.EDGES6)
     add("describe_edge", lambda t: stores.describe_edges(t["sessions"].select(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")).distinct(), t["tag_ip"], t["fqdns"], t["cidr"].where("set_name = 'servers'")), a.EDGES)
     add("alias_lookup", lambda t: dashboard.alias_of(flows.raw(t, "sessions", MONTH).select("session_id", "src_ip"), t["cidr"].where("set_name = 'inside'"), "src_ip").select("session_id", "alias"), a.ALIASES)
     documents = lambda t: stores.anomaly_parse(anomaly_documents(probes(t)))

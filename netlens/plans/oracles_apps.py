@@ -230,6 +230,11 @@ SNMP = f"SELECT * FROM snmptrap WHERE timestamp BETWEEN {MONTH[0]} AND {MONTH[1]
 SNMP_SUMMARY = f"SELECT sender, COUNT(CASE WHEN traptype IN (0, 1) THEN 1 END) AS reset, COUNT(CASE WHEN traptype = 2 THEN 1 END) AS linkdown, COUNT(CASE WHEN traptype = 4 THEN 1 END) AS authfail FROM snmptrap WHERE timestamp BETWEEN {MONTH[0]} AND {MONTH[1]} GROUP BY 1"
 EDGES = """WITH ed AS (SELECT DISTINCT dst_ip AS ip, dst_port AS port FROM sessions), hx AS (SELECT *, lpad(lower(to_hex(ip)), 8, '0') AS h FROM ed)
 SELECT ip, port, CASE WHEN ip = 3232235776 AND port = 443 THEN 'secure-web' WHEN (ip & 4294967288) = 3232235776 THEN 'servers' ELSE '' END AS app, coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM tag_ip WHERE ip_hex = h), '') AS tags, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM fqdns WHERE ip_hex = h), '') AS names FROM hx"""
+IP_TAGS = "WITH seen AS (SELECT src_ip AS ip FROM sessions UNION SELECT dst_ip FROM sessions) SELECT DISTINCT ip, tag FROM seen JOIN tag_ip ON ip_hex = lpad(lower(to_hex(ip)), 8, '0')"
+_LOW6 = "20010db8" + "0" * 22
+ALIASES6 = f"SELECT session_id, CASE WHEN src_ip6 BETWEEN '{_LOW6}00' AND '{_LOW6}7f' THEN 'six-low' WHEN src_ip6 BETWEEN '{_LOW6}00' AND '{_LOW6[:-1]}3ff' THEN 'six-mid' WHEN starts_with(src_ip6, '20010db8') THEN 'six-all' ELSE '' END AS alias FROM session_ip6"
+EDGES6 = """WITH ed AS (SELECT DISTINCT dst_ip6 AS ip6, dst_port AS port FROM session_ip6 x JOIN sessions s ON s.session_id = x.session_id), nm AS (SELECT name, ip_hex FROM fqdns UNION ALL SELECT name, unnest(string_split(ips, ',')) FROM user_apps)
+SELECT ip6, port, CASE WHEN ip6 = '20010db8ffff00000000000000000443' AND port = 443 THEN 'six-web' WHEN starts_with(ip6, '20010db8ffff') THEN 'six-servers' ELSE '' END AS app, coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM tag_ip WHERE ip_hex = ip6), '') AS tags, coalesce((SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM nm WHERE ip_hex = ip6), '') AS names FROM ed"""
 ALIASES = f"WITH {acc(MONTH)} SELECT session_id, coalesce({GROUP}, '') AS alias FROM acc"
 ANOMALY = "WITH v AS (SELECT mac, testname, testedat, rtt FROM probe_results) SELECT mac, COUNT(DISTINCT testname) AS scenarios, COUNT(*) AS \"values\", MIN(testedat) AS start_second, MAX(testedat) AS end_second, MAX(testedat) - MIN(testedat) >= 604800 AS ai_ready FROM v GROUP BY 1"
 ANOMALY_THRESHOLD = "SELECT mac, COUNT(CASE WHEN rtt >= 300000 THEN 1 END) AS major, COUNT(CASE WHEN rtt >= 100000 AND rtt < 300000 THEN 1 END) AS minor FROM probe_results GROUP BY 1"

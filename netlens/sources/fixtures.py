@@ -148,6 +148,16 @@ LITERALS: dict[str, tuple[str, list[tuple]]] = {
             ("servers", 3232235776, 4294967288, 0, "servers", 3),
         ],
     ),
+    "cidr6": (
+        "set_name string, ip6 string, length int, port int, alias string, ord int",
+        [
+            ("inside", "20010db8000000000000000000000000", 121, 0, "six-low", 0),
+            ("inside", "20010db8000000000000000000000000", 118, 0, "six-mid", 1),
+            ("inside", "20010db8000000000000000000000000", 32, 0, "six-all", 2),
+            ("servers", "20010db8ffff00000000000000000443", 128, 443, "six-web", 3),
+            ("servers", "20010db8ffff00000000000000000000", 48, 0, "six-servers", 4),
+        ],
+    ),
     "tag_ip": ("tag string, ip_hex string", [("*office", "0a000001"), ("*office", "0a000002"), ("*lab", "0a000003"), ("web", "c0a80100"), ("web", "c0a80101")]),
     "fqdns": ("name string, ip_hex string", [("www.example.com", "c0a80100"), ("cdn.example.com", "c0a80100"), ("mail.example.com", "c0a80103"), ("dns.example.com", "c0a80102")]),
     "user_apps": ("name string, ips string, port int", [("intranet", "0a000005,0a000006", 8080), ("wiki", "c0a80104", 443), ("six", "20010db8ffff00000000000000000053", 0)]),

@@ -88,3 +88,25 @@ def test_remarks_are_read_by_hours_and_once(spark, tmp_path, low, high):
     plan = back["http_remarks"]._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(rf"PartitionFilters: \[[^\]]*hour#\d+L? >= {low // 3600}\)[^\]]*hour#\d+L? <= {high // 3600}\)", plan)
+
+
+def test_aliases_of_version_6_equal_the_first_network_that_holds_them(spark):
+    import ipaddress
+
+    from netlens.operators import dashboard
+
+    rng = random.Random(11)
+    base = int(ipaddress.IPv6Address("2001:db8::"))
+    nets = []
+    for k in range(40):
+        length = rng.choice([0, 1, 3, 32, 47, 48, 63, 64, 101, 126, 127, 128])
+        own = ipaddress.IPv6Network(((base + rng.getrandbits(rng.choice([4, 20, 64, 90]))), length), strict=False)
+        nets.append((own, rng.choice([0, 0, 53]), f"n{k}", k))
+    ips = [base + rng.getrandbits(rng.choice([3, 20, 64, 90])) for _ in range(150)] + [0, (1 << 128) - 1]
+    table = spark.createDataFrame([(n.network_address.packed.hex(), n.prefixlen, p, a, o) for n, p, a, o in nets[5:]], "ip6 string, length int, port int, alias string, ord int")
+    rows = spark.createDataFrame([(f"{ip:032x}", rng.choice([53, 80])) for ip in ips] + [(None, 53)], "ip6 string, port int")
+    for port in (None, "port"):
+        for r in dashboard.alias_of6(rows, table, "ip6", port).collect():
+            ok = [a for n, p, a, _ in nets[5:] if r.ip6 and ipaddress.IPv6Address(bytes.fromhex(r.ip6)) in n and (p == 0 or (port and p == r.port))]
+            assert r.alias == (ok[0] if ok else ""), r
+    assert [r.alias for r in dashboard.alias_of6(rows, table.limit(0), "ip6").distinct().collect()][:1] == [""]
