@@ -103,12 +103,16 @@ def service_rtt(tables: Tables, now: int) -> DataFrame:
 
 
 def working_hours(tables: Tables, where: Conditions, by: str, base: str = "bytes", weekdays: tuple[int, ...] = (2, 3, 4, 5, 6), begin: int = 540, end: int = 1080) -> DataFrame:
-    """Traffic in working hours by day, tag (names that start with *) or service: sum, and the greatest minute with its
-    time.  weekdays: 1 is Sunday; begin and end: minutes of the day, end excluded.  The session's time zone counts."""
-    rows = topn.measured(tables, base, where)
+    """Values in working hours by day, tag (names that start with *) or service: sum, and the greatest minute with its
+    time.  weekdays: 1 is Sunday; begin and end: minutes of the day, end excluded.  The session's time zone counts.
+
+    ``base`` is one of :data:`topn.BASES` or ``bps``: bits a second, the sum over all working minutes (of the day, or of the
+    range) that had any traffic, the greatest minute over its 60 seconds."""
+    rows = topn.measured(tables, "bytes" if base == "bps" else base, where)
     at = F.timestamp_seconds("second")
     minute_of_day = F.hour(at) * 60 + F.minute(at)
     rows = rows.where(F.dayofweek(at).isin(*weekdays) & (minute_of_day >= begin) & (minute_of_day < end))
+    working = rows.select(F.date_format(at, "yyyy-MM-dd").alias("key"), net.minute(F.col("second")).alias("minute")).distinct()
     if by == "days":
         rows = rows.withColumn("key", F.date_format(at, "yyyy-MM-dd"))
     elif by == "services":
@@ -119,7 +123,12 @@ def working_hours(tables: Tables, where: Conditions, by: str, base: str = "bytes
         rows = ends.join(tags, "ip")
     minutes = rows.groupBy("key", net.minute(F.col("second")).alias("minute")).agg(F.sum("n").cast("long").alias("value"))
     best = minutes.groupBy("key").agg(F.sum("value").cast("long").alias("value"), F.max(F.struct("value", (-F.col("minute")).alias("m"))).alias("top"))
-    return best.select("key", "value", F.col("top.value").alias("top"), (-F.col("top.m")).alias("topat"))
+    out = best.select("key", "value", F.col("top.value").alias("top"), (-F.col("top.m")).alias("topat"))
+    if base != "bps":
+        return out
+    read = working.groupBy("key").agg(F.count(F.lit(1)).alias("n")) if by == "days" else working.agg(F.count(F.lit(1)).alias("n"))
+    out = out.join(read, "key") if by == "days" else out.join(F.broadcast(read))  # one row
+    return out.select("key", net.div(F.col("value") * 8, F.col("n") * 60).alias("value"), net.div(F.col("top") * 8, 60).alias("top"), "topat")
 
 
 # ---------------------------------------------------------------- reports

@@ -97,6 +97,8 @@ def entries() -> list[tuple]:
     add("svcd_rtt", lambda t: dashboard.service_rtt(t, o.NOW), a.SVCD_RTT)
     for by in ("days", "tags", "services"):
         add(f"workinghours_{by}", lambda t, by=by: dashboard.working_hours(t, MONTH, by), a.working_hours(by))
+    for by, base in (("days", "bps"), ("services", "bps"), ("tags", "packets"), ("services", "tcprsts")):
+        add(f"workinghours_{base}_{by}", lambda t, by=by, base=base: dashboard.working_hours(t, MONTH, by, base), a.working_hours(by, base))
     add("report_usage", lambda t: dashboard.usage(t, MONTH), o.topn("bytes", "source"))
     add("report_bps_peak", lambda t: dashboard.bps_peak(t, MONTH), a.PEAK)
     add("report_icmp", lambda t: dashboard.icmp_page(t, MONTH), a.ICMP_PAGE)

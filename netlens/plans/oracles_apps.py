@@ -182,12 +182,20 @@ SVCD_RTT = (
 )
 
 
-def working_hours(by: str) -> str:
+def working_hours(by: str, base: str = "bytes") -> str:
     at = "to_timestamp(second) AT TIME ZONE 'UTC'"
     inside = f"dayofweek({at}) BETWEEN 1 AND 5 AND hour({at}) * 60 + minute({at}) >= 540 AND hour({at}) * 60 + minute({at}) < 1080"
     key = {"days": f"strftime({at}, '%Y-%m-%d')", "services": "(dst_ip // 16777216) || '.' || (dst_ip // 65536 % 256) || '.' || (dst_ip // 256 % 256) || '.' || (dst_ip % 256) || ':' || dst_port", "tags": "tg.tag"}[by]
     join = "" if by != "tags" else "JOIN (SELECT DISTINCT tag, CAST('0x' || ip_hex AS BIGINT) AS tip FROM tag_ip WHERE starts_with(tag, '*')) tg ON tip = src_ip OR tip = dst_ip"
-    return f"WITH {acc(MONTH)}, {fact('f', 'bps', MONTH)}, m AS (SELECT {key} AS key, second // 60 * 60 AS minute, SUM(small_to_big + big_to_small) AS value FROM f {join} WHERE {inside} GROUP BY 1, 2) SELECT key, CAST(SUM(value) AS BIGINT) AS value, CAST(MAX(value) AS BIGINT) AS top, arg_max(minute, value * 10000000000 - minute) AS topat FROM m GROUP BY 1"
+    table = {"bytes": "bps", "bps": "bps", "packets": "pps", "tcprsts": "tcp_rsts"}[base]
+    amount = "COUNT(*)" if base == "tcprsts" else "SUM(small_to_big + big_to_small)"
+    minutes = f"WITH {acc(MONTH)}, {fact('f', table, MONTH)}, m AS (SELECT {key} AS key, second // 60 * 60 AS minute, {amount} AS value FROM f {join} WHERE {inside} GROUP BY 1, 2)"
+    sums = "key, CAST(SUM(value) AS BIGINT) AS value, CAST(MAX(value) AS BIGINT) AS top, arg_max(minute, value * 10000000000 - minute) AS topat"
+    if base != "bps":
+        return f"{minutes} SELECT {sums} FROM m GROUP BY 1"
+    read = f"SELECT strftime({at}, '%Y-%m-%d') AS day, COUNT(DISTINCT second // 60) AS n FROM f WHERE {inside} AND small_to_big + big_to_small > 0 GROUP BY 1"
+    n = "(SELECT n FROM rd WHERE day = key)" if by == "days" else "(SELECT SUM(n) FROM rd)"
+    return f"{minutes}, rd AS ({read}) SELECT key, CAST(value * 8 // ({n} * 60) AS BIGINT) AS value, CAST(top * 8 // 60 AS BIGINT) AS top, topat FROM (SELECT {sums} FROM m GROUP BY 1)"
 
 
 PEAK = f"""WITH {acc(MONTH)}, {fact('f', 'bps', MONTH)}, pk AS (SELECT second AS timestamp, SUM(small_to_big + big_to_small) * 8 AS bits FROM f GROUP BY 1 ORDER BY bits DESC, timestamp LIMIT 5), mvd AS (SELECT second AS timestamp, src_ip AS ip, dst_ip AS ip2, SUM(small_to_big + big_to_small) AS bytes FROM f WHERE second IN (SELECT timestamp FROM pk) GROUP BY 1, 2, 3),
