@@ -9,6 +9,8 @@ import corpus_pipeline
 from netlens.llm import queries
 
 DATA = "/root/testdata/sf0.001"
+#: With enough toxic documents to learn from.
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_names():
@@ -114,3 +116,38 @@ def test_stages_against_plain_code(spark, tmp_path):
     pieces = sentencepiece_codec.load()
     ids = {r.doc_id: r.ids for r in corpus_pipeline.tokens(spark, table, str(tmp_path)).collect()}
     assert ids == {i: sentencepiece_codec.encode(t, pieces).tolist() for i, t in docs}
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_toxicity_stage_against_plain_search(spark):
+    """Scores, decisions and the stage's documents, from find() over every pattern and the fitted coefficients."""
+    import math
+    import zlib
+
+    from netlens.llm import toxicity
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    train = labels[[zlib.crc32(str(i).encode()) % 3 != 1 for i in labels["doc_id"]]]
+    lexicon = toxicity.learn(docs, spark.createDataFrame(train))
+    phrases = [" " + " ".join(toxicity.fold(p).split()) + " " for p in lexicon.exceptions]
+
+    def places(text, part):
+        return [k for k in range(len(text) - len(part) + 1) if text.startswith(part, k)] if part in text else []
+
+    def plain(text):
+        folded = toxicity.fold(text)
+        spared = [(k, k + len(p)) for p in phrases for k in places(folded, p)]
+        weights = [w for p, w in lexicon.weights.items() for k in places(folded, p) if not any(a <= k and k + len(p) <= b for a, b in spared)]
+        a, b, c, d = lexicon.coefficients
+        if not weights:
+            return 1 / (1 + math.exp(-min(a, 0.0)))
+        words, total = len(folded.split()), sum(weights)
+        return 1 / (1 + math.exp(-(a + b * math.log1p(total) + c * math.log1p(100 * total / max(words, 1)) + d * math.log1p(words))))
+
+    want = {r.doc_id: plain(r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs, lexicon).collect()}
+    assert lexicon.weights and {i: r.score for i, r in got.items()} == pytest.approx(want)
+    assert {i: r.predicted for i, r in got.items()} == {i: int(p >= 0.7) for i, p in want.items()}
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, LARGER).collect()}
+    assert kept == {i for i, p in want.items() if p < 0.7} and len(kept) < len(want)
