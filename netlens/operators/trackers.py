@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +11,7 @@ from netlens.functions import net
 from netlens.operators import series
 from netlens.operators.flows import lag_in_blocks, session_bytes
 from netlens.plans.conditions import Conditions, accepted, facts, implied
+from netlens.sources.rollups import written
 from netlens.sources.tables import Tables
 
 
@@ -208,35 +206,23 @@ def http_error_details(records: DataFrame, path_pattern: str) -> DataFrame:
     return records.where((F.col("status") >= 400) & F.col("path").rlike(path_pattern)).groupBy(side.alias("side"), "status").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and cut from their lineage by a checkpoint.  Only in local mode may the session go without
-    a checkpoint folder that driver and executors share."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netlens-"))
-    return rows.checkpoint()
-
-
 def transaction_roots(records: DataFrame) -> DataFrame:
     """Requests under their root: the URL that is reached by following referers.
 
     The referer of a URL is that of its earliest request.  Every round each URL's pointer jumps to its pointer's pointer,
-    so chains of 2^n links take n rounds, and rounds go on until no pointer moves.  Following stops at a URL without a
+    so chains of 2^n links take n rounds, and rounds go on until no pointer moves; a round's table replaces the one before.  Following stops at a URL without a
     referer or outside the table; the members of a loop, and the URLs that lead into it, take the loop's least URL.
     """
     url = F.concat(F.lit("http://"), F.col("host"), F.col("path"))
     rows = records.withColumn("url", url)
     parent = rows.groupBy("url").agg(F.min_by("referer", F.struct("requestat", "sessionid")).alias("p"))
-    pointer = _written(parent.where("p <> ''").select("url", F.col("p").alias("root"), F.col("url").alias("least"), F.lit(True).alias("open")))
+    pointer = written(parent.where("p <> ''").select("url", F.col("p").alias("root"), F.col("url").alias("least"), F.lit(True).alias("open")))
     left, reach = pointer.count(), 1
     while left:
         step = pointer.select(F.col("url").alias("root"), F.col("root").alias("next"), F.col("least").alias("other"))
         moved = pointer.where("open").join(step, "root", "left")
         moved = moved.select("url", F.coalesce("next", "root").alias("root"), F.least("least", F.coalesce("other", "least")).alias("least"), F.col("next").isNotNull().alias("open"))
-        pointer = _written(moved.union(pointer.where("not open")))
+        pointer = written(moved.union(pointer.where("not open")), pointer)
         before, left, reach = left, pointer.where("open").count(), 2 * reach
         # A chain has URLs at every distance from its end, so a round that ends none leaves loops and what leads into
         # them; after as many links as there are such URLs, each pointer is in its loop and has met all of it.

@@ -37,6 +37,22 @@ def _path(spark: SparkSession, text: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def written(rows: DataFrame, *before: DataFrame) -> DataFrame:
+    """The rows, computed once, written below the shared folder and read back; what ``before`` was read from is removed.
+    The last of such steps is removed when the driver ends."""
+    spark = rows.sparkSession
+    root = f"{shared_folder(spark)}/netlens/step-{uuid.uuid4().hex}"
+    rows.write.parquet(root)
+    _temporary.append((spark, root))
+    for old in before:
+        for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            for item in [x for x in _temporary if folder.endswith(x[1].split("://")[-1].split(":", 1)[-1])]:
+                path, files = _path(spark, item[1])
+                files.delete(path, True)
+                _temporary.remove(item)
+    return spark.read.schema(rows.schema).parquet(root)
+
+
 class RollupStore:
     """Rollups of one feed below ``root``; a folder holds ``hours`` hours and is named by the first."""
 

@@ -110,3 +110,18 @@ def test_aliases_of_version_6_equal_the_first_network_that_holds_them(spark):
             ok = [a for n, p, a, _ in nets[5:] if r.ip6 and ipaddress.IPv6Address(bytes.fromhex(r.ip6)) in n and (p == 0 or (port and p == r.port))]
             assert r.alias == (ok[0] if ok else ""), r
     assert [r.alias for r in dashboard.alias_of6(rows, table.limit(0), "ip6").distinct().collect()][:1] == [""]
+
+
+def test_steps_of_root_following_leave_one_table(spark):
+    import glob
+    import os
+
+    from netlens.sources.rollups import shared_folder
+
+    base = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/netlens/step-*"))
+    chain = [("h", f"/{k}", f"http://h/{k - 1}" if k else "", k) for k in range(40)]
+    records = spark.createDataFrame([(k, 1, h, p, r, k, k + 1, 200) for h, p, r, k in chain], "sessionid long, client_ip long, host string, path string, referer string, requestat long, responseat long, status int")
+    roots = trackers.transaction_roots(records)
+    assert {r.root for r in roots.collect()} == {"http://h/0"}
+    assert len(set(glob.glob(f"{base}/netlens/step-*")) - before) == 1 and os.path.isdir(base)
