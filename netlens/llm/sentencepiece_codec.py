@@ -283,9 +283,10 @@ def _search(codes: np.ndarray, pieces: Pieces, seen: dict | None = None) -> tupl
 
     Lanes make one text, or many, wide enough for array steps: they begin where no piece spans a boundary, which every path
     passes, and all move on by one character at a time.  A lane's window is a row with the scores of the last ``longest``
-    boundaries, the survivors, and with the ancestor that each has among the boundaries of the lane's last checkpoint.
-    Every ``longest`` characters the lanes are looked at: where all survivors have one ancestor, what lies before it is
-    committed, and the window is the next checkpoint.  ``seen`` gets the number of such commits and the widest window.
+    boundaries, the survivors.  Each boundary also has one word of bits: which of the 64 boundaries up to it its best path
+    passes.  Every other ``longest`` characters the survivors' words are laid over each other: at the last boundary that all of
+    them pass the backpointers have met, and what lies before is committed.  ``seen`` gets the number of such commits and
+    the widest window.
     """
     n, longest = len(codes), pieces.longest
     ends, far = _edges(codes, pieces)
@@ -304,16 +305,17 @@ def _search(codes: np.ndarray, pieces: Pieces, seen: dict | None = None) -> tupl
     start, stop = low[head], high[np.append(head[1:], len(low)) - 1]
     order = np.argsort(start - stop, kind="stable")
     start, stop = start[order], stop[order]
-    size = stop - start
+    reach = stop - start
     bound[start] = bound[stop] = True
     fresh = np.zeros(n + 1, bool)
     fresh[high] = True
     score, back = pieces.trie.score, np.zeros(n + 1, np.int16)
     window = np.full((len(start), longest), _NONE)
     window[:, -1] = 0.0
-    ancestor = np.repeat(start[:, None], longest, 1).astype(np.int32)
-    committed, behind = start.copy(), np.arange(longest - 1, -1, -1)
-    rows, live = np.arange(len(start)), np.searchsorted(-size, -np.arange(size[0]), "left")
+    passed = np.zeros(n + 1, np.int64)
+    passed[start] = 1
+    committed, every = start.copy(), 2 * longest
+    rows, live = np.arange(len(start)), np.searchsorted(-reach, -np.arange(reach[0]), "left")
 
     def commit(at: np.ndarray, down_to: np.ndarray) -> None:
         while len(at):
@@ -322,33 +324,35 @@ def _search(codes: np.ndarray, pieces: Pieces, seen: dict | None = None) -> tupl
             on = at > down_to
             at, down_to = at[on], down_to[on]
 
-    for k in range(size[0]):
+    for k in range(reach[0]):
         m = live[k]
-        at, own, line = start[:m] + (k + 1), window[:m], ancestor[:m]
+        at, own = start[:m] + (k + 1), window[:m]
         offers = own + score[ends[at]]
         best = offers.argmax(1)
         value = offers[rows[:m], best]
         spelled = own[:, -1] + pieces.worst
         none = spelled > value
-        best[none] = longest - 1
         value = np.where(none, spelled, value)
-        back[at] = longest - best
-        came = line[rows[:m], best]
+        size = np.where(none, 1, longest - best)
+        back[at] = size
+        passed[at] = passed[at - size] << size | 1
         value[fresh[at]] = 0.0  # no path goes on from before, so sums may begin anew and stay exact
         own[:, :-1] = own[:, 1:]
         own[:, -1] = value
-        line[:, :-1] = line[:, 1:]
-        line[:, -1] = came
-        if (k + 1) % longest == 0:
-            meet = line[:, 0].copy()
-            one = np.flatnonzero((line == meet[:, None]).all(1))
-            new = one[meet[one] > committed[one]]
-            commit(meet[new], committed[new])
+        if (k + 1) % every == 0:
+            common = passed[at]
+            for j in range(1, longest):
+                common &= passed[at - j] << j
+            one = np.flatnonzero(common)
+            last = common[one] & -common[one]  # its lowest bit is the last boundary that all pass
+            meet = at[one] - (np.frexp(last.astype(np.float64))[1] - 1)
+            new = meet > committed[one]
+            one, meet = one[new], meet[new]
+            commit(meet, committed[one])
             if seen is not None:
-                seen["commits"] = seen.get("commits", 0) + len(new)
+                seen["commits"] = seen.get("commits", 0) + len(one)
                 seen["widest"] = max(seen.get("widest", 0), int((at - committed[:m]).max()))
-            committed[new] = meet[new]
-            line[one] = at[one, None] - behind
+            committed[one] = meet
     commit(stop, committed)
     return ends, bound, stretches
 
