@@ -85,7 +85,7 @@ def test_remarks_are_read_by_hours_and_once(spark, tmp_path, low, high):
     assert records == sorted(k for k, (a, b) in spans.items() if b >= low and a <= high for _ in range(2))
     assert Tables.stored(spark, str(tmp_path), "f")["http_remarks"].count() == 8
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    plan = back["http_remarks"]._jdf.queryExecution().executedPlan().toString()
+    plan = Tables.stored(spark, str(tmp_path), "f", low, high)["http_remarks"]._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(rf"PartitionFilters: \[[^\]]*hour#\d+L? >= {low // 3600}\)[^\]]*hour#\d+L? <= {high // 3600}\)", plan)
 
