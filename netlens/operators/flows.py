@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from netlens import model
 from netlens.functions import net
-from netlens.operators import series
+from netlens.operators import series, texts
 from netlens.plans.conditions import Conditions, accepted, facts
 from netlens.sources.sessions import fix_direction, learn_services, merge_sessions
 from netlens.sources.tables import Tables
@@ -54,10 +54,9 @@ def data_streams_summary(streams: DataFrame) -> DataFrame:
     )
 
 
-def data_streams_matching(streams: DataFrame, texts: DataFrame, pattern: str) -> DataFrame:
-    """Streams whose text, put together in file order, matches a pattern."""
-    whole = texts.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_seq", "content"))), lambda x: x["content"]), "").alias("t"))
-    return streams.join(whole.where(F.col("t").rlike(pattern)), F.col("sessionid") == F.col("session_id"), "left_semi")
+def data_streams_matching(streams: DataFrame, rows: DataFrame, pattern: str) -> DataFrame:
+    """Streams whose text, put together in file order, matches a pattern (:func:`netlens.operators.texts.matching`)."""
+    return streams.join(texts.matching(rows, pattern), F.col("sessionid") == F.col("session_id"), "left_semi")
 
 
 def services_clients(tables: Tables, where: Conditions) -> DataFrame:
@@ -355,7 +354,8 @@ def session_tags(tables: Tables, where: Conditions) -> DataFrame:
 
 
 def payload_stream(packets: DataFrame, session_id: int) -> DataFrame:
-    """Payload of a session in packet order, for stores that keep a ``payload`` column."""
+    """Payload of a session in packet order, for stores that keep a ``payload`` column; a long session is read in parts
+    (:func:`netlens.operators.texts.payload_parts`)."""
     own = packets.where(F.col("session_id") == session_id)
     ordered = F.array_sort(F.collect_list(F.struct("second", "ns", "idx", F.hex("payload").alias("h"))))
     return own.groupBy("session_id", "small_to_big").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), "")).alias("payload"))

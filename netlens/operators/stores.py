@@ -154,6 +154,35 @@ def occurring_tags(sessions: DataFrame, tag_ip: DataFrame) -> DataFrame:
     return seen.join(tags, "ip")
 
 
+def check_apps(entries: DataFrame) -> DataFrame:
+    """Entries (name, ips, port as text) of user apps with ``problem``, the first thing that is wrong (null: none): no name,
+    no ips, no port (a number up to 65535), an entry of ips that is no address or network (8 or 32 hex digits, or 10 or 34 with
+    the length of the network behind), or host bits in a network."""
+    filled = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    port = F.coalesce(F.col("port").rlike("^[0-9]{1,5}$") & (F.try_to_number("port", F.lit("99999")) <= 65535), F.lit(False))
+    digits = lambda x: F.when(F.length(x).isin(8, 10), 8).otherwise(32)
+    length = lambda x: F.when(F.length(x).isin(8, 32), 4 * digits(x)).otherwise(F.conv(F.right(x, F.lit(2)), 16, 10).cast("int"))
+    address = lambda x: x.rlike("^([0-9A-Fa-f]{8}|[0-9A-Fa-f]{10}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{34})$") & (length(x) <= 4 * digits(x))
+
+    def host_bits(x):
+        """Whether anything stands behind a network's length: in the digit that it ends in, or in those after it."""
+        full = net.div(length(x), 4).cast("int")
+        mask = F.element_at(F.array(*[F.lit(m) for m in (15, 7, 3, 1)]), (length(x) % 4 + 1).cast("int"))
+        split = F.coalesce(F.conv(F.substring(F.left(x, digits(x)), full + 1, F.lit(1)), 16, 10).cast("int"), F.lit(0))
+        return (split.bitwiseAND(mask) != 0) | F.substring(F.left(x, digits(x)), full + 2, F.lit(32)).rlike("[^0]")
+
+    each = F.split("ips", ",")
+    problem = F.when(~filled("name"), "no name").when(~filled("ips"), "no ips").when(~port, "no port").when(F.exists(each, lambda x: ~address(x)), "no address").when(F.exists(each, host_bits), "host bits")
+    return entries.withColumn("problem", problem)
+
+
+def latest_apps(entries: DataFrame) -> DataFrame:
+    """The user apps (name, ips, port) of entries in the order of ``at``: a right entry takes the place of earlier ones of
+    its name, a wrong one changes nothing."""
+    right = check_apps(entries).where("problem IS NULL")
+    return right.groupBy("name").agg(F.max_by(F.struct("ips", "port"), F.struct("at", "ips", "port")).alias("x")).select("name", "x.ips", F.col("x.port").cast("int").alias("port"))
+
+
 # ---------------------------------------------------------------- anomaly documents
 
 WEEK = 7 * 86400

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.operators import flows, rollup, series, topn
+from netlens.operators import flows, rollup, series, texts, topn
 from netlens.plans import catalog_apps, catalog_stored
 from netlens.plans import oracles as o
 from netlens.plans.conditions import Conditions, Network
@@ -85,6 +85,7 @@ def _filters() -> None:
     merged = ["session_id", "first_second", "last_second", "status", "l7", "src_port"]
     register("session_tags", lambda t: flows.session_tags(t, MONTH), o.SESSION_TAGS)
     register("sessions_whole", lambda t: whole(t)["sessions"].drop("ether_type", "first_ns", "last_ns", "file_seq"), o.SESSIONS_WHOLE)
+    register("sessions_in_files", lambda t: whole_sessions(t["session_records"], t["files"]).drop("ether_type", "first_ns", "last_ns", "file_seq"), o.SESSIONS_IN_FILES)
     register("topn_bytes_source_whole", lambda t: topn.ranking(whole(t), "bytes", "source", MONTH), o.on_whole(o.topn("bytes", "source")))
     register("topn_bytes_service_whole", lambda t: topn.ranking(whole(t), "bytes", "service", MONTH), o.on_whole(o.topn("bytes", "service")))
     register("datastreams_whole", lambda t: streams(whole(t)), o.on_whole(f"WITH {o.acc(o.MONTH)}, {o.fact('f', 'bps', o.MONTH)}, {o.MOVED} SELECT s.session_id AS sessionid, s.src_ip AS client, s.src_port AS clientport, s.dst_ip AS server, s.dst_port AS serverport, mv.up AS ip1toip2, mv.down AS ip2toip1 FROM acc s JOIN mv ON mv.session_id = s.session_id WHERE mv.up + mv.down > 0"))
@@ -130,6 +131,8 @@ def _flows() -> None:
     register("datastreams_page", lambda t: flows.data_streams_page(flows.data_streams(t, MONTH), 10, 20), f"SELECT * FROM ({o.streams(o.MONTH)}) ORDER BY start, sessionid LIMIT 20 OFFSET 10")
     register("datastreams_summary", lambda t: flows.data_streams_summary(flows.data_streams(t, MONTH)), o.streams_summary(o.MONTH))
     register("datastreams_regex", lambda t: flows.data_streams_matching(flows.data_streams(t, MONTH), t["http_remarks"], "status|POST /|404"), f"SELECT * FROM ({o.streams(o.MONTH)}) WHERE sessionid IN (SELECT session_id FROM (SELECT session_id, string_agg(content, '' ORDER BY file_seq) AS t FROM http_remarks GROUP BY 1) WHERE regexp_matches(t, 'status|POST /|404'))")
+    register("payload_parts", lambda t: texts.payload_parts(t["payloads"], 4096).withColumn("payload", F.hex("payload")), o.PAYLOAD_PARTS)
+    register("payload_heads", lambda t: texts.payload_heads(t["payloads"]), o.PAYLOAD_HEADS)
     register("services_clients", lambda t: flows.services_clients(t, MONTH), o.CLIENTS)
     register("services", lambda t: flows.services(flows.services_clients(t, MONTH)), o.SERVICES)
     register("macsperip", lambda t: flows.macs_per_ip(t, MONTH), o.MACS)

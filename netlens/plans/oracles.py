@@ -254,6 +254,14 @@ CASE WHEN turned THEN 1 - source_is_small ELSE source_is_small END AS source_is_
 SESSIONS_WHOLE = f"WITH {WHOLE} SELECT * FROM whole_sessions"
 
 
+IN_FILES = "kept_records AS (SELECT r.* FROM session_records r LEFT JOIN files f ON f.file_seq = r.file_seq WHERE f.file_seq IS NULL OR NOT (r.first_second > f.second_to OR r.last_second < f.second_from))"
+SESSIONS_IN_FILES = f"WITH {IN_FILES}, {WHOLE.replace('session_parts', 'kept_records')} SELECT * FROM whole_sessions"
+#: Payload in parts of 4,096 bytes, as hex digits.
+PAYLOAD_PARTS = """WITH w AS (SELECT session_id, small_to_big, string_agg(hex(payload), '' ORDER BY second, ns, idx, hex(payload)) AS t FROM payloads WHERE payload IS NOT NULL GROUP BY 1, 2)
+SELECT session_id, small_to_big, k AS part, substr(t, k * 8192 + 1, 8192) AS payload FROM w, unnest(range(0, CAST(greatest(1, (length(t) + 8191) // 8192) AS BIGINT))) AS u(k)"""
+PAYLOAD_HEADS = "SELECT session_id, small_to_big, substr(string_agg(hex(payload), '' ORDER BY second, ns, idx, hex(payload)), 1, 200) AS payloadhead FROM payloads WHERE payload IS NOT NULL GROUP BY 1, 2"
+
+
 def on_whole(sql: str) -> str:
     """A query over the merged and turned sessions."""
     text = sql.replace("FROM sessions ", "FROM whole_sessions ")

@@ -44,6 +44,13 @@ FROM (SELECT session_id, CAST(167772160 + min(user_id) % 65536 AS BIGINT) AS cli
        CAST(CASE WHEN min(tc) IN (2, 4) THEN 0 WHEN min(event_id) % 2 = 0 THEN 2 ELSE 16 END AS INT) AS status,
        (sec - {START}) DIV 86400 AS file_seq
 FROM e GROUP BY session_id, (sec - {START}) DIV 86400) AS parts""",
+    # the days of the records, and records of which some were noted by a clock that was two days off
+    "files": f"""
+SELECT file_seq, {START} + file_seq * 86400 AS second_from, {START} + file_seq * 86400 + 86399 AS second_to FROM session_parts GROUP BY file_seq""",
+    "session_records": """
+SELECT session_id, src_ip, dst_ip, src_port, dst_port, ether_type, source_is_small, payload_protocol, CASE WHEN session_id % 6 = 1 AND file_seq % 4 = 1 THEN first_second + 172800 ELSE first_second END AS first_second, first_ns,
+       CASE WHEN session_id % 6 = 1 AND file_seq % 4 = 1 THEN last_second + 172800 ELSE last_second END AS last_second, last_ns, l7, status, file_seq
+FROM session_parts""",
     "bps": """
 SELECT session_id, sec AS second, CASE WHEN event_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE bytes END AS small_to_big,
        CASE WHEN event_id % 3 = 0 THEN bytes ELSE bytes DIV 2 END AS big_to_small FROM e""",
@@ -122,6 +129,8 @@ SELECT conv_id * 100 + 40 + conv_id % 4 AS session_id, turn AS file_seq, CAST(17
        concat('Call-ID: c', CAST(conv_id AS VARCHAR(10)), CHR(10), 'CSeq: ', CAST(turn DIV 2 AS VARCHAR(10)), ' INVITE', CHR(10), 'From: <sip:', CAST(conv_id % 5 AS VARCHAR(10)), '@example.com>;tag=x', CHR(10), 'To: <sip:', CAST(conv_id % 3 AS VARCHAR(10)), '@example.org>', CHR(10),
               CASE WHEN turn % 4 < 2 THEN concat('m=audio ', CAST(CASE WHEN turn % 4 = 0 THEN 1024 + (conv_id * 100 + 40 + conv_id % 4) % 60000 ELSE 5060 END AS VARCHAR(10)), ' RTP/AVP 0', CHR(10)) ELSE '' END) AS body
 FROM conversations""",
+    "payloads": """
+SELECT conv_id * 100 AS session_id, CAST(1704067200 + turn AS BIGINT) AS second, CAST(0 AS BIGINT) AS ns, CAST(turn AS BIGINT) AS idx, CAST(CASE WHEN role = 'user' THEN 1 ELSE 0 END AS INT) AS small_to_big, text AS payload FROM conversations""",
     "probe_results": """
 SELECT o_orderkey AS uploadat, concat('0200000000', lpad(CAST(10 + o_custkey % 20 AS VARCHAR(10)), 2, '0')) AS mac, USEC(o_orderdate) DIV 1000000 + o_orderkey % 86400 AS testedat, o_orderpriority AS testname,
        '10.0.0.1' AS sourceip, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 9 ELSE 8 END AS INT) AS result, CAST(o_orderkey % 5 AS INT) AS resultdetail,

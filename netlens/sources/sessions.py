@@ -49,8 +49,19 @@ def learn_services(sessions: DataFrame) -> DataFrame:
     return sessions.where((F.col("payload_protocol") == model.TCP) & (F.col("status").bitwiseAND(model.STATUS_SYN) != 0)).select(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port")).distinct()
 
 
-def whole_sessions(parts: DataFrame) -> DataFrame:
+def within_files(parts: DataFrame, files: DataFrame) -> DataFrame:
+    """Records that touch the time of their file (file_seq, second_from, second_to): others have a clock that was set while
+    they ran.  Records of a file without a range stay.  The list of files is as short as it is to open them."""
+    own = files.select(F.col("file_seq").alias("_file"), F.col("second_from").alias("_from"), F.col("second_to").alias("_to"))
+    out = parts.join(own, F.col("file_seq") == F.col("_file"), "left")
+    outside = (F.col("first_second") > F.col("_to")) | (F.col("last_second") < F.col("_from"))
+    return out.where(~F.coalesce(outside, F.lit(False))).select(*parts.columns)
+
+
+def whole_sessions(parts: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Records merged by session and turned to the known services.  A record whose end lies before its begin has a broken
-    clock and is dropped.  A record that is read more than once counts once."""
+    clock and is dropped, and so is one outside the time of its file where ``files`` are given (:func:`within_files`).  A
+    record that is read more than once counts once."""
+    parts = parts if files is None else within_files(parts, files)
     merged = merge_sessions(parts.where(F.struct("first_second", "first_ns") <= F.struct("last_second", "last_ns")))
     return fix_direction(merged, learn_services(merged))

@@ -71,12 +71,13 @@ class Tables:
         return tables
 
     @classmethod
-    def stored(cls, spark: SparkSession, root: str, feed: str, second_from: int | None = None, second_to: int | None = None) -> Tables:
+    def stored(cls, spark: SparkSession, root: str, feed: str, second_from: int | None = None, second_to: int | None = None, files: bool = False) -> Tables:
         """Tables of a store with a folder for each table, partitioned by feed and hour; a time range prunes hours.
 
         Sessions stand in every hour that they touch and in every file that has packets of them; what is read of them is
         merged by session and turned to the known services (:func:`netlens.sources.sessions.whole_sessions`).  Rows of
         :data:`BY_SESSION` are read once: where their session begins or, if that is before the range, in its first hour.
+        With ``files``, records outside the time of their file, by the table of that name, are left out.
         """
 
         def open_table(self: Tables, name: str) -> DataFrame:
@@ -90,11 +91,11 @@ class Tables:
             if timed and second_to is not None:
                 table = table.where(F.col("hour") <= second_to // 3600)
             table = table.drop("feed", "hour")
-            return whole_sessions(table) if name == "sessions" else table
+            return whole_sessions(table, self["files"] if files else None) if name == "sessions" else table
 
         tables = cls(spark, open_table)
         tables.origin = f"{root}:{feed}"
-        tables._reopen = lambda low, high: cls.stored(spark, root, feed, low, high)
+        tables._reopen = lambda low, high: cls.stored(spark, root, feed, low, high, files)
         return tables
 
 
@@ -115,7 +116,8 @@ def store(tables: Tables, root: str, feed: str, names: list[str] | None = None,
         else:
             hour = F.expr(f"{TIME[name]} div 3600") if name in TIME else F.lit(0).cast("long")
         rows = table.withColumn("feed", F.lit(feed)).withColumn("hour", hour)
-        rows.repartition("hour", F.pmod(F.xxhash64("session_id"), F.lit(WRITERS))).write.mode(mode).partitionBy("feed", "hour").parquet(f"{root}/{name}")
+        dealt = "session_id" if "session_id" in table.columns else table.columns[0]
+        rows.repartition("hour", F.pmod(F.xxhash64(dealt), F.lit(WRITERS))).write.mode(mode).partitionBy("feed", "hour").parquet(f"{root}/{name}")
 
 
 def feeds(spark: SparkSession, root: str, name: str = "bps") -> DataFrame:
@@ -138,6 +140,44 @@ def drop_old_hours(spark: SparkSession, root: str, name: str, feed: str, keep_fr
     return sorted(gone)
 
 
+def drop_old_data(spark: SparkSession, root: str, max_bytes: int | None = None, ages: dict[str, int] | None = None, spare: tuple[str, ...] = (), raw: tuple[str, ...] = ("packets", "icmp_packets", "icmp6_packets")) -> list[tuple[str, int, str]]:
+    """Retention by age and size: what went, as (feed, hour, table).
+
+    First, of feeds with an age in hours, the ``raw`` tables lose the hours that are older than that before the feed's
+    newest hour.  Then, while the store has more than ``max_bytes``, the oldest hour of any feed but those of ``spare`` goes
+    with all its tables; a feed without an hour loses its folders.  Only names and sizes of folders are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    below = lambda folder: [x.getPath() for x in files.listStatus(folder) if x.isDirectory()] if files.exists(folder) else []
+    found: dict[tuple[str, int, str], tuple] = {}
+    for table in below(path(root)):
+        for feed in (f for f in below(table) if f.getName().startswith("feed=")):
+            for hour in (h for h in below(feed) if h.getName().startswith("hour=") and h.getName()[5:].isdigit()):
+                key = (feed.getName()[5:], int(hour.getName()[5:]), table.getName())
+                found[key] = (hour, files.getContentSummary(hour).getLength())
+    gone: list[tuple[str, int, str]] = []
+
+    def drop(key: tuple[str, int, str]) -> None:
+        hour, _ = found.pop(key)
+        files.delete(hour, True)
+        gone.append(key)
+        if not below(hour.getParent()):
+            files.delete(hour.getParent(), True)
+
+    for feed, hours in (ages or {}).items():
+        newest = max((h for f, h, _ in found if f == feed), default=0)
+        for key in sorted(k for k in found if k[0] == feed and k[2] in raw and k[1] < newest - hours):
+            drop(key)
+    left = sum(size for _, size in found.values())
+    for hour, feed in sorted({(h, f) for f, h, _ in found if f not in spare}):
+        if max_bytes is None or left <= max_bytes:
+            break
+        for key in sorted(k for k in found if k[:2] == (feed, hour)):
+            left -= found[key][1]
+            drop(key)
+    return gone
+
+
 def drop_old_rollups(spark: SparkSession, root: str, feed: str, keep_from_hour: int) -> dict[str, list[int]]:
     """Expiry of every table of a rollup store; returns the hours that went, by table."""
     jvm = spark.sparkContext._jvm

@@ -24,6 +24,7 @@ SAMPLE = [
     "bps", "pps_ignoremac", "averagelatency", "flowcounts", "bps2_bins", "tcprsts_bins", "bps_minmax", "bps_tags", "sessions_merged", "topn_timeouts_service", "topn_latencies_destination", "datastreams", "packet_loss_latency",
     "jitter", "sessionaudit", "icmpwalk_detail", "icmp6walk_summary", "icmp6walk_detail", "dns_servers", "ftp_sessions", "http_records", "httt_roots", "tls_tracker", "voip_summary", "rollup_ps", "bps_with_rollup", "events_delta", "svcd_counters", "workinghours_tags", "report_tcp_page", "probe_binned", "describe_edge", "anomaly_prepared",
     "bps_ips6", "bps_userapps", "sessions_whole", "datastreams_whole", "topn_bytes_source6", "topn_bytes_with_rollup_filtered", "rollup_ps2", "voip_jitter", "http_records_regex", "probe_latest", "report_tcp_events_tcprsts", "raw_remarks",
+    "sessions_in_files", "payload_parts", "payload_heads", "datastreams_regex",
 ]
 
 
