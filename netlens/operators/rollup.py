@@ -119,9 +119,11 @@ def answer(rollup: DataFrame, by: list[str], name: str, where: Conditions) -> Da
     return rows.groupBy(*by).agg(F.sum("hits").cast("long").alias(name))
 
 
-def http_error_ranking(rollup: DataFrame, where: Conditions, n: int = 100) -> DataFrame:
-    """The ranking of HTTP errors by description, from the rollup."""
-    rows = answer(rollup, ["status", "host", "path", "server_ip", "server_port", "client_ip"], "hits", where)
+def http_error_ranking(rollup: DataFrame, where: Conditions | None = None, n: int = 100) -> DataFrame:
+    """The ranking of HTTP errors by description, from the rollup: of a range of whole minutes, or of all that is in it.
+
+    A rollup of a range's sessions also has requests that they made outside it, which the ranking of their records counts."""
+    rows = rollup if where is None else answer(rollup, ["status", "host", "path", "server_ip", "server_port", "client_ip"], "hits", where)
     return topn.described(rows).groupBy("description").agg(F.sum("hits").cast("long").alias("value")).orderBy(F.desc("value"), "description").limit(n)
 
 
