@@ -332,7 +332,9 @@ def raw(tables: Tables, name: str, where: Conditions) -> DataFrame:
     if name == "sessions":
         return accepted(tables, where)
     if name == "remarks":
-        return remarks(tables).join(accepted(tables, where).select("session_id"), "session_id", "left_semi")
+        # one join for all protocols (a semi-join would be done for each), against a hash table of ids, so no text is sorted
+        ids = accepted(tables, where).select("session_id").distinct()
+        return remarks(tables).join(ids.hint("shuffle_hash"), "session_id").select("protocol", "session_id", "file_seq", "content")
     return facts(tables, name, where)
 
 

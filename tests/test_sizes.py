@@ -42,3 +42,9 @@ def plan(df, kind):
 def test_requests_behind_the_month_are_ranked(spark, folder):
     ranked = equal(spark, folder, "topn_httperrors_from_rollup")
     assert ranked.count() == catalog.queries()["topn_httperrors"](spark, folder).count()
+
+
+def test_remarks_of_all_protocols_meet_the_sessions_once(spark, folder):
+    out = equal(spark, folder, "raw_remarks")
+    assert len(re.findall(r"Join ", plan(out, "optimizedPlan"))) == 1
+    assert "ShuffledHashJoin" in plan(out, "executedPlan")
