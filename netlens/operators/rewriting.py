@@ -144,27 +144,25 @@ def _signatures(tables: Tables) -> set[str]:
 
 
 def _members(tables: Tables, sessions: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """(session_id, signature) of sessions that have an address of either version in a signature's set, each once."""
+    """Sessions that have an address of either version in a signature's set, with the signature, once for each."""
     sets = rollup.signatures(tables, (8, 32))
     sets = sets if only is None else sets.where(F.col("signature").isin(sorted(only)))
-    sets = sets.select("signature", F.explode("ips").alias("hex"))
-    four = sessions.select("session_id", F.explode(F.array(*[net.ip_to_hex(F.col(c)) for c in ("src_ip", "dst_ip")])).alias("hex"))
-    six = tables["session_ip6"].join(sessions.select("session_id"), "session_id", "left_semi").select("session_id", F.explode(F.array("src_ip6", "dst_ip6")).alias("hex"))
-    return four.unionByName(six).join(sets, "hex").select("session_id", "signature").distinct()
+    sets = F.broadcast(sets.select("signature", F.explode("ips").alias("hex")))  # the users' lists are small
+    ends = F.array(*[net.ip_to_hex(F.col(c)) for c in ("src_ip", "dst_ip")], "ip6", "ip62")
+    rows = _with_ip6(tables, sessions).select(*sessions.columns, F.explode(ends).alias("hex"))
+    return rows.join(sets, "hex").select(*sessions.columns, "signature").distinct()
 
 
 def signature_flows(tables: Tables, low: int, high: int, only: set[str] | None = None) -> DataFrame:
     """Sessions alive by signature, as :func:`flow_levels` has them."""
-    sessions = tables["sessions"]
-    members = _members(tables, sessions.select("session_id", "src_ip", "dst_ip"), only)
-    return flow_levels(sessions.join(members, "session_id"), low, high, ("signature",))
+    sessions = tables["sessions"].select("session_id", "src_ip", "dst_ip", "first_second", "last_second")
+    return flow_levels(_members(tables, sessions, only), low, high, ("signature",))
 
 
 def signature_seconds(tables: Tables, where: Conditions, only: set[str] | None = None) -> DataFrame:
     """Every per-second metric by signature, of addresses of both versions."""
-    members = _members(tables, accepted(tables, where).select("session_id", "src_ip", "dst_ip"), only)
-    rows = rollup.measures(tables, where).join(members, "session_id")
-    return rows.groupBy("signature", "metric", "second").agg(F.sum("n").cast("long").alias("value"))
+    members = _members(tables, accepted(tables, where).select("session_id", "source_is_small", "src_ip", "dst_ip"), only)
+    return rollup.by_metric(rollup.by_second(tables, where, members, "signature"), "signature")
 
 
 def build(store: RollupStore, tables: Tables, low: int, high: int, names: tuple[str, ...] = tuple(ANSWERS)) -> None:

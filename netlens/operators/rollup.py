@@ -12,37 +12,60 @@ from netlens.sources.tables import Tables
 
 #: Shortest range that is worth a rollup.
 LEAST_SECONDS = 120
+#: Facts of one table that a task adds up at a time; each has a few rows of other tables beside it.
+FACTS_A_TASK = 100_000
 #: Per-second metrics of :func:`per_second`, in the order of its columns.
 METRICS = ("bps", "pps_unknown", "pps_broadcast", "pps_multicast", "pps_unicast", "n0", "d0", "n1", "d1", *series.COUNTS)
 PAIR_METRICS = (*topn.BASES, "latencies")
 
 
-def measures(tables: Tables, where: Conditions) -> DataFrame:
-    """(session_id, second, metric, n) of every fact of :data:`METRICS`, with its session's columns; sessions are joined
-    once for all metrics."""
+def tasks(tables: Tables, where: Conditions) -> int:
+    """Tasks that hold the facts of a range in parts of bounded size, at least as many as Spark's own number."""
+    n = tables["bps"].where(where.within(F.col("second"))).count()
+    return max(int(tables.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FACTS_A_TASK))
+
+
+def by_second(tables: Tables, where: Conditions, sessions: DataFrame, *by: str) -> DataFrame:
+    """One wide row for each second that has facts: a sum for each of :data:`METRICS`, and in ``seen`` a bit for each that
+    has rows.  ``sessions`` are the accepted ones, a row for each value of ``by``.
+
+    Sessions are joined once for all metrics, as the table that is hashed, so no fact is sorted.  Facts of a session's second
+    then meet in one of :func:`tasks` before seconds are added up, so neither a busy second nor a large table fills a task."""
     n = F.col("small_to_big") + F.col("big_to_small")
     side = F.lit(None).cast("int").alias("side")
     columns = lambda kind, value, at=None: ["session_id", "second", kind.alias("kind"), value.cast("long").alias("n"), side if at is None else F.col(at).alias("side")]
     within = lambda table, time="second": tables[table].where(where.within(F.col(time)))
-    rows = within("bps").select(*columns(F.lit("bps"), n * 8))
-    rows = rows.unionByName(within("pps").select(*columns(F.lit("pps"), n)))
-    rows = rows.unionByName(within("rtts").where(series.good_rtt()).select(*columns(F.lit("rtt"), F.col("tail"), "small_to_big")))
-    rows = rows.unionByName(series.markers(tables, tuple(series.COUNTS), where).select(*columns(F.col("kind"), F.lit(1))))
+    slot = {m: F.lit(k) for k, m in enumerate(METRICS)}
+    rows = within("bps").select(*columns(slot["bps"], n * 8))
+    rows = rows.unionByName(within("pps").select(*columns(slot["pps_unknown"], n)))
+    rows = rows.unionByName(within("rtts").where(series.good_rtt()).select(*columns(slot["n0"], F.col("tail"), "small_to_big")))
+    marker = F.coalesce(*[F.when(F.col("kind") == k, slot[k]) for k in series.COUNTS])
+    rows = rows.unionByName(series.markers(tables, tuple(series.COUNTS), where).select(*columns(marker, F.lit(1))))
     keys = ["source_is_small", "src_ip", "dst_ip"]
-    rows = rows.join(accepted(tables, where).select("session_id", *keys), "session_id")
-    forward = F.when(F.col("side") == F.col("source_is_small"), F.lit("0")).otherwise(F.lit("1"))
+    rows = rows.join(sessions.select("session_id", *by, *keys).hint("shuffle_hash"), "session_id")
     cast = F.concat(F.lit("pps_"), F.lower(net.cast_type(*[F.col(k) for k in keys])))
-    metric = F.when(F.col("kind") == "pps", cast).when(F.col("kind") == "rtt", F.concat(F.lit("n"), forward)).otherwise(F.col("kind"))
+    cast = F.coalesce(*[F.when(cast == m, slot[m]) for m in METRICS if m.startswith("pps_")])
+    forward = F.when(F.col("side") == F.col("source_is_small"), slot["n0"]).otherwise(slot["n1"])
+    found = F.when(F.col("kind") == slot["pps_unknown"], cast).when(F.col("kind") == slot["n0"], forward).otherwise(F.col("kind"))
+    rows = rows.select("session_id", *by, "second", found.alias("slot"), "n").repartition(tasks(tables, where), "session_id", "second")
     # a round trip counts twice: its nanoseconds (n0, n1) and itself (d0, d1)
-    hits = F.array(F.struct(metric.alias("metric"), "n"), F.struct(F.concat(F.lit("d"), forward).alias("metric"), F.lit(1).cast("long").alias("n")))
-    one = F.array(F.struct(metric.alias("metric"), "n"))
-    return rows.select("session_id", "second", F.explode(F.when(F.col("kind") == "rtt", hits).otherwise(one)).alias("x")).select("session_id", "second", "x.metric", "x.n")
+    cell = lambda m: F.sum(F.when(F.col("slot") == slot["n" + m[1:] if m in ("d0", "d1") else m], F.lit(1).cast("long") if m in ("d0", "d1") else F.col("n"))).cast("long").alias(m)
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot"))).alias("seen")
+    return rows.groupBy(*by, "second").agg(*[cell(m) for m in METRICS], seen)
+
+
+def by_metric(wide: DataFrame, *by: str) -> DataFrame:
+    """Rows of :func:`by_second` as one row for each metric that was seen."""
+    bit = lambda m: 1 << METRICS.index("n" + m[1:] if m in ("d0", "d1") else m)
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(bit(m)).cast("long").alias("bit"), F.col(m).alias("value")) for m in METRICS])
+    rows = wide.select(*by, "second", "seen", F.explode(cells).alias("x")).where(F.col("seen").bitwiseAND(F.col("x.bit")) != 0)
+    return rows.select(*by, "x.metric", "second", "x.value")
 
 
 def per_second(tables: Tables, where: Conditions) -> DataFrame:
     """One wide row for each second that has facts: bits, packets by cast, round-trip sums, and every marker count."""
-    cell = lambda c: F.coalesce(F.sum(F.when(F.col("metric") == c, F.col("n"))), F.lit(0)).cast("long").alias(c)
-    return measures(tables, where).groupBy("second").agg(*[cell(c) for c in METRICS])
+    wide = by_second(tables, where, accepted(tables, where))
+    return wide.select("second", *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in METRICS])
 
 
 def from_per_second(rollup: DataFrame, metric: str, where: Conditions) -> DataFrame:
@@ -151,7 +174,7 @@ def per_second_by_signature(tables: Tables, where: Conditions) -> DataFrame:
     """Every metric by signature and second; a session counts once for a signature, however many of its addresses are in
     the set."""
     ips = signatures(tables).select("signature", F.explode("ips").alias("hex")).select("signature", net.hex_to_ip(F.col("hex")).alias("ip")).distinct()
-    s = accepted(tables, where).select("session_id", F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
-    members = s.join(ips, "ip").select("session_id", "signature").distinct()
-    rows = measures(tables, where).join(members, "session_id")
-    return rows.groupBy("signature", "metric", "second").agg(F.sum("n").cast("long").alias("value"))
+    keys = ["session_id", "source_is_small", "src_ip", "dst_ip"]
+    s = accepted(tables, where).select(*keys, F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
+    members = s.join(F.broadcast(ips), "ip").select(*keys, "signature").distinct()  # the users' lists are small
+    return by_metric(by_second(tables, where, members, "signature"), "signature")

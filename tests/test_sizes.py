@@ -6,7 +6,9 @@ import re
 import duckdb
 import pytest
 
+from netlens.operators import rollup
 from netlens.plans import catalog
+from netlens.sources import rollups
 
 MONDAY = datetime.datetime(2024, 1, 1)
 KINDS = ("click", "view", "purchase", "signup", "error")
@@ -48,3 +50,14 @@ def test_remarks_of_all_protocols_meet_the_sessions_once(spark, folder):
     out = equal(spark, folder, "raw_remarks")
     assert len(re.findall(r"Join ", plan(out, "optimizedPlan"))) == 1
     assert "ShuffledHashJoin" in plan(out, "executedPlan")
+
+
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(rollup, "FACTS_A_TASK", 100)  # 2,000 facts: 20 tasks, more than Spark's own 4
+
+
+def test_seconds_are_added_up_in_tasks_of_bounded_size(spark, folder, monkeypatch):
+    small_tasks(monkeypatch)
+    for name in ("rollup_ps2", "rollup_ps"):
+        found = plan(equal(spark, folder, name), "executedPlan")
+        assert "ShuffledHashJoin" in found and re.search(r"hashpartitioning\(session_id#\d+L?, second#\d+L?, 20\)", found), name
