@@ -33,6 +33,8 @@ ANSWERS = {
 }
 #: Columns of the service rollup besides minute, grain, metric and its sums.
 PAIR_KEYS = ("ip", "ip2", "port", "direction", "payloadprotocol", "l7", "ip6", "ip62")
+#: Those without the direction.
+ENDS = tuple(c for c in PAIR_KEYS if c != "direction")
 SERIES = ("bps", "pps", "averagelatency", "flowcounts", *series.COUNTS)
 #: A timeout is noted so long after its session's last packet.
 LAG = {"timeoutcounts": model.TIMEOUT_SECONDS, "timeouts": model.TIMEOUT_SECONDS}
@@ -52,43 +54,68 @@ def _with_ip6(tables: Tables, sessions: DataFrame) -> DataFrame:
 
 
 def pair_facts(tables: Tables, where: Conditions) -> DataFrame:
-    """(second, metric, direction, n, d) of every fact that a pair rollup adds up, with its session's keys.
-
-    Each fact table is read once, and sessions are joined once for all of them.  ``n`` is the value (nanoseconds of round
-    trips), ``d`` the number of round trips."""
-    side = F.col("small_to_big").alias("side")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    """(minute, keys, metric, forward, backward) of every fact that a pair rollup adds up, with its session's keys; ``metric``
+    is its place in :data:`PAIR_METRICS`, and the values of the two directions stand in one row.
+
+    Each fact table is read once, and sessions are joined once for all of them, as the table that is hashed, so no fact is
+    sorted."""
+    none = F.lit(None).cast("long")
+    code = lambda metric: F.lit(rollup.PAIR_METRICS.index(metric)).alias("metric")
+    row = lambda time, metric, side, n, m=none: ["session_id", net.minute(F.col(time)).alias("minute"), code(metric), side.alias("side"), n.cast("long").alias("n"), m.alias("m")]
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
     rows = None
     for table, metric in (("bps", "bytes"), ("pps", "packets")):
-        both = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("small_to_big").alias("n")), F.struct(F.lit(0).alias("side"), F.col("big_to_small").alias("n"))))
-        part = tables[table].where(where.within(F.col("second"))).select("session_id", "second", both.alias("x")).where("x.n > 0")
-        part = part.select("session_id", "second", F.lit(metric).alias("metric"), "x.side", "x.n", none.alias("d"))
+        part = tables[table].where(where.within(F.col("second"))).where("small_to_big > 0 OR big_to_small > 0")
+        part = part.select(*row("second", metric, F.lit(1), some("small_to_big"), some("big_to_small")))
         rows = part if rows is None else rows.unionByName(part)
     trips = tables["rtts"].where(where.within(F.col("second"))).where(series.good_rtt())
-    rows = rows.unionByName(trips.select("session_id", "second", F.lit("latencies").alias("metric"), side, F.col("tail").alias("n"), one.alias("d")))
-    for table, code, metric in [(*series.COUNTS["timeoutcounts" if b == "timeouts" else b], b) for b in topn.BASES[2:]]:
+    rows = rows.unionByName(trips.select(*row("second", "latencies", F.col("small_to_big"), F.col("tail"))))
+    for table, number, metric in [(*series.COUNTS["timeoutcounts" if b == "timeouts" else b], b) for b in topn.BASES[2:]]:
         found = tables[table].where(where.within(F.col(TIME[table])))
-        found = found.where("marker_second <> 0") if table == "timeouts" else found if code is None else found.where(F.col("tail").bitwiseAND(0xFFFFFFFF) == code)
-        own = F.lit(None).cast("int").alias("side") if table == "timeouts" else side
-        rows = rows.unionByName(found.select("session_id", F.col(TIME[table]).alias("second"), F.lit(metric).alias("metric"), own, one.alias("n"), none.alias("d")))
+        found = found.where("marker_second <> 0") if table == "timeouts" else found if number is None else found.where(F.col("tail").bitwiseAND(0xFFFFFFFF) == number)
+        own = F.lit(None).cast("int") if table == "timeouts" else F.col("small_to_big")
+        rows = rows.unionByName(found.select(*row(TIME[table], metric, own, F.lit(1))))
     s = _with_ip6(tables, accepted(tables, where)).select("session_id", "source_is_small", F.col("src_ip").alias("ip"), F.col("dst_ip").alias("ip2"), F.col("dst_port").alias("port"), F.col("payload_protocol").alias("payloadprotocol"), "l7", "ip6", "ip62")
-    direction = F.when(F.coalesce(F.col("side") == F.col("source_is_small"), F.lit(True)), 1).otherwise(0)
-    return rows.join(s, "session_id").withColumn("direction", direction).select("second", "metric", "n", "d", *PAIR_KEYS)
+    ahead = (F.col("metric") == code("timeouts")) | F.coalesce(F.col("side") == F.col("source_is_small"), F.lit(False))
+    rows = rows.join(s.hint("shuffle_hash"), "session_id")
+    return rows.select("minute", *ENDS, "metric", F.when(ahead, F.col("n")).otherwise(F.col("m")).alias("forward"), F.when(ahead, F.col("m")).otherwise(F.col("n")).alias("backward"))
+
+
+def pair_minutes(tables: Tables, where: Conditions) -> DataFrame:
+    """All metrics by minute and service, and by minute and source or destination, in wide rows: (minute, grain, keys without
+    the direction, and for each metric its value in direction 1, ``metric_1``, and 0, ``metric_0``; null where it has none).
+
+    The finest grain is added up first, in :func:`rollup.tasks` parts by minute and client, which are those of the sources
+    too; the destinations come from its rows."""
+    facts = pair_facts(tables, where).repartition(rollup.tasks(tables, where), "minute", "ip")
+    place = {m: F.col("metric") == k for k, m in enumerate(rollup.PAIR_METRICS)}
+    one = F.lit(1).cast("long")
+    cells = []
+    for way, column in ((1, "forward"), (0, "backward")):
+        cells += [F.sum(F.when(place[m], F.col(column))).cast("long").alias(f"{m}_{way}") for m in rollup.PAIR_METRICS]
+        cells.append(F.sum(F.when(place["latencies"] & F.col(column).isNotNull(), one)).alias(f"d_{way}"))
+    finest = facts.groupBy("minute", *ENDS).agg(*cells)
+    kinds = dict(finest.dtypes)
+    values = [c for c in finest.columns if c not in ("minute", *ENDS)]
+    out = None
+    for grain, keys in (("service", ENDS), ("source", ("ip",)), ("destination", ("ip2", "port"))):
+        rows = finest if grain == "service" else finest.groupBy("minute", *keys).agg(*[F.sum(c).cast("long").alias(c) for c in values])
+        rows = rows.select("minute", F.lit(grain).alias("grain"), *[F.col(c) if c in keys else F.lit(None).cast(kinds[c]).alias(c) for c in ENDS], *values)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def pairs(tables: Tables, where: Conditions) -> DataFrame:
-    """All metrics by minute and service, and by minute and source or destination: (minute, grain, metric, keys, value, d).
+def metric_rows(wide: DataFrame, *metrics: str) -> DataFrame:
+    """Rows of :func:`pair_minutes` as one row for each metric and direction: (minute, grain, metric, keys, value, d)."""
+    zero = F.lit(0).cast("long")
+    cells = [F.struct(F.lit(m).alias("metric"), F.lit(way).alias("direction"), F.coalesce(f"{m}_{way}", zero).alias("value"), (F.coalesce(f"d_{way}", zero) if m == "latencies" else zero).alias("d")) for m in metrics for way in (1, 0)]
+    rows = wide.select("minute", "grain", *ENDS, F.explode(F.array(*cells)).alias("x")).select("minute", "grain", *ENDS, "x.*").where("value > 0 OR d > 0")
+    return rows.select("minute", "metric", *PAIR_KEYS, "grain", "value", "d")
 
-    The finest grain is added up first; the two coarse ones come from its rows by grouping sets, not from the facts."""
-    head = ["minute", "metric", "direction"]
-    finest = pair_facts(tables, where).groupBy(net.minute(F.col("second")).alias("minute"), "metric", *PAIR_KEYS).agg(F.sum("n").cast("long").alias("value"), F.sum("d").cast("long").alias("d"))
-    finest = finest.where("value > 0 OR d > 0")
-    sets = {"service": ["minute", "metric", *PAIR_KEYS], "source": [*head, "ip"], "destination": [*head, "ip2", "port"]}
-    every = ["minute", "metric", *PAIR_KEYS]
-    # a set is named by which of two columns it leaves out: only the sources lack ip2, only the destinations lack ip
-    grain = F.when(F.grouping("ip2") == 1, "source").when(F.grouping("ip") == 1, "destination").otherwise("service")
-    out = finest.groupingSets([[F.col(c) for c in s] for s in sets.values()], *[F.col(c) for c in every])
-    return out.agg(grain.alias("grain"), F.sum("value").cast("long").alias("value"), F.sum("d").cast("long").alias("d"))
+
+def pairs(tables: Tables, where: Conditions) -> DataFrame:
+    """All metrics by minute and service, and by minute and source or destination: (minute, grain, metric, keys, value, d)."""
+    return metric_rows(pair_minutes(tables, where), *rollup.PAIR_METRICS)
 
 
 def flow_levels(sessions: DataFrame, low: int, high: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +208,7 @@ def build(store: RollupStore, tables: Tables, low: int, high: int, names: tuple[
         if name == "signature_flows":
             return signature_flows(tables, low, high), "minute"
         if name == "pairs":
-            return pairs(tables, where), "minute"
+            return pair_minutes(tables, where), "minute"
         if name == "dns":
             return rollup.dns(tables, Conditions(low, high - 1 + model.TIMEOUT_SECONDS)).where(begun), "minute"
         if name == "icmp":
@@ -371,7 +398,8 @@ def _grain_keys(grain: str) -> list[Column]:
 def _stored_pairs(store: RollupStore, tables: Tables, chosen: Plan, metric: str, grain: str, where: Conditions) -> DataFrame:
     """Stored rows of a metric, from the coarse grain where nothing is filtered and no column of the finest is needed."""
     coarse = grain if not where.asked() and metric == "latencies" else "service"
-    rows = store.read("pairs", chosen.low, chosen.high).where((F.col("grain") == coarse) & (F.col("metric") == metric) & F.col("minute").between(chosen.low, chosen.high - 60))
+    rows = store.read("pairs", chosen.low, chosen.high).where((F.col("grain") == coarse) & F.col("minute").between(chosen.low, chosen.high - 60))
+    rows = metric_rows(rows, metric)
     return key_filter(rows, tables, where) if coarse == "service" else rows
 
 

@@ -61,3 +61,10 @@ def test_seconds_are_added_up_in_tasks_of_bounded_size(spark, folder, monkeypatc
     for name in ("rollup_ps2", "rollup_ps"):
         found = plan(equal(spark, folder, name), "executedPlan")
         assert "ShuffledHashJoin" in found and re.search(r"hashpartitioning\(session_id#\d+L?, second#\d+L?, 20\)", found), name
+
+
+def test_grains_are_added_up_in_wide_rows(spark, folder, monkeypatch):
+    small_tasks(monkeypatch)
+    found = plan(equal(spark, folder, "rollup_grains"), "executedPlan")
+    assert "Expand" not in found and "ShuffledHashJoin" in found
+    assert re.search(r"hashpartitioning\(minute#\d+L?, ip#\d+L?, 20\)", found)
