@@ -1,6 +1,6 @@
 """Catalogue entries that answer from stored rollups, over ranges that do not end on minutes.
 
-The rollups of a table folder are built once in an application, over the whole month, and read by every entry.
+A rollup of a table folder is built once in an application, over the whole month, when the first entry asks for it.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ FILTERS = {
 
 def stored(tables: Tables) -> RollupStore:
     """The rollups of the month of a table folder."""
-    return store_of(tables.spark, tables.origin, lambda store: rewriting.build(store, tables, o.MONTH[0], o.MONTH[1] + 1))
+    return store_of(tables.spark, tables.origin, lambda store, name: rewriting.build(store, tables, o.MONTH[0], o.MONTH[1] + 1, (name,)))
 
 
 def _within(sql: str, window: tuple[int, int], before: tuple[int, int] = o.MONTH) -> str:

@@ -152,16 +152,35 @@ class RollupStore:
         return {name: gone.get(name, []) for name in names}
 
 
-_made: dict[tuple[str, str], RollupStore] = {}
+class OnDemand(RollupStore):
+    """A store that builds a rollup when it is first asked what that covers."""
 
+    def __init__(self, *where) -> None:
+        super().__init__(*where)
+        self.fill: Callable[[RollupStore, str], None] | None = None
+        self._asked: set[str] = set()
 
-def store_of(spark: SparkSession, key: str, fill: Callable[[RollupStore], None]) -> RollupStore:
-    """The store of a key, filled when this application first asks for it."""
+    def covered(self, name: str) -> tuple[int, int] | None:
+        rollup = name.split("/", 1)[0]
+        if self.fill and rollup not in self._asked:
+            self._asked.add(rollup)
+            try:
+                self.fill(self, rollup)
+            except BaseException:
+                self._asked.discard(rollup)
+                raise
+        return super().covered(name)
+
+
+_made: dict[tuple[str, str], OnDemand] = {}
+
+
+def store_of(spark: SparkSession, key: str, fill: Callable[[RollupStore, str], None]) -> RollupStore:
+    """The store of a key; each rollup is filled when this application first asks for it."""
     name = spark.sparkContext.applicationId, key
     if name not in _made:
-        store = RollupStore.temporary(spark)
-        fill(store)
-        _made[name] = store
+        _made[name] = OnDemand.temporary(spark)
+        _made[name].fill = fill
     return _made[name]
 
 

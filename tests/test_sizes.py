@@ -68,3 +68,16 @@ def test_grains_are_added_up_in_wide_rows(spark, folder, monkeypatch):
     found = plan(equal(spark, folder, "rollup_grains"), "executedPlan")
     assert "Expand" not in found and "ShuffledHashJoin" in found
     assert re.search(r"hashpartitioning\(minute#\d+L?, ip#\d+L?, 20\)", found)
+
+
+@pytest.mark.parametrize("name, built", [("stored_topn_bytes_service_vlan", set()), ("stored_flowcounts", {"flows"}), ("stored_dns", {"dns"}), ("stored_averagelatency_tag", {"signature_seconds"}), ("stored_bps", {"seconds"}), ("stored_topn_packets_destination_app6", {"pairs"})])
+def test_a_query_builds_the_rollup_that_it_reads(spark, folder, name, built):
+    rollups._made.clear()
+    catalog.queries()[name](spark, folder)
+    noted = {r[0].split("/")[0] for made in rollups._made.values() for r in made._noted()}
+    assert noted == built
+
+
+def test_stored_answers_of_all_rollups_equal_sql(spark, folder):
+    for name in ("stored_flowcounts", "stored_dns", "stored_averagelatency_tag", "stored_topn_bytes_service", "stored_topn_latencies_source"):
+        equal(spark, folder, name)
