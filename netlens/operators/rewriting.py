@@ -466,9 +466,9 @@ def dns(store: RollupStore, tables: Tables, where: Conditions, by: list[str]) ->
     chosen = plan(store, tables, "dns", where)
     one = F.lit(1).cast("long").alias("hits")
     if chosen.rollup is None:
-        rows = trackers.dns_sessions(tables, where).select(*by, one)
+        rows = trackers.dns_sessions(tables, where, latency=False).select(*by, one)
     else:
-        rest = trackers.dns_sessions(tables, where, ~F.col("first_second").between(chosen.low, chosen.high - 1)).select(*by, one)
+        rest = trackers.dns_sessions(tables, where, ~F.col("first_second").between(chosen.low, chosen.high - 1), latency=False).select(*by, one)
         rows = store.read("dns", chosen.low, chosen.high).where(F.col("minute").between(chosen.low, chosen.high - 60)).select(*by, "hits").unionByName(rest)
     return rows.groupBy(*by).agg(F.sum("hits").cast("long").alias("hits"))
 

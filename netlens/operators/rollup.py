@@ -152,8 +152,8 @@ def http_error_ranking(rollup: DataFrame, where: Conditions | None = None, n: in
 
 def dns(tables: Tables, where: Conditions) -> DataFrame:
     """DNS sessions by the minute they begin, server, status, question and client."""
-    first = accepted(tables, where).select("session_id", net.minute(F.col("first_second")).alias("minute"))
-    return trackers.dns_sessions(tables, where).join(first, "session_id").groupBy("minute", "server", "status", "query", "client").agg(F.count(F.lit(1)).alias("hits"))
+    rows = trackers.dns_sessions(tables, where, latency=False, keep=("first_second",))
+    return rows.groupBy(net.minute(F.col("first_second")).alias("minute"), "server", "status", "query", "client").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def icmp(tables: Tables, where: Conditions) -> DataFrame:

@@ -32,9 +32,10 @@ def dns_status(content: Column) -> Column:
     return F.when(content.contains("DnsAnswerRRs="), "RESOLVED").when(code == "A", "ZEROANSWER").when(code == "R", "ANSWERBROKEN").when(code == "M", "MULTIPLEQUERIES").otherwise("REQUESTONLY")
 
 
-def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None) -> DataFrame:
-    """One row for each DNS remark: status, question, client, server, latency (null without a round trip).  ``only`` is a
-    further condition on session rows (first_second, client, server).
+def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None, latency: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each DNS remark: status, question, client, server, latency (null without a round trip; ``latency``: whether
+    it is wanted).  ``only`` is a further condition on session rows (first_second, client, server), of which ``keep`` names
+    more columns.
 
     Only-requests are timeouts if their session has one, and stay requests otherwise.  Only sessions of DNS count.
     """
@@ -42,11 +43,14 @@ def dns_sessions(tables: Tables, where: Conditions, only: Column | None = None)
     content = F.col("content")
     status = dns_status(content)
     ends = _ends(tables, where)
-    rows = tables["dns_remarks"].join(ends if only is None else ends.where(only), "session_id")
-    rows = rows.select("session_id", "client", "server", status.alias("status"), F.substring_index(net.remark(content, "DnsQuestion"), ",", 1).alias("query"))
-    gone = facts(tables, "timeouts", where).select("session_id").distinct().withColumn("gone", F.lit(True))
-    rtt = facts(tables, "rtts", where, ["source_is_small"]).where(series.good_rtt()).groupBy("session_id").agg(*series.rtt_sums()).select("session_id", series.represent().alias("latency"))
-    rows = rows.join(gone, "session_id", "left").join(rtt, "session_id", "left")
+    ends = ends if only is None else ends.where(only)
+    rows = tables["dns_remarks"].join(ends.hint("shuffle_hash"), "session_id")
+    rows = rows.select("session_id", "client", "server", *keep, status.alias("status"), F.substring_index(net.remark(content, "DnsQuestion"), ",", 1).alias("query"))
+    gone = tables["timeouts"].where(where.within(F.col("marker_second"))).select("session_id").distinct().withColumn("gone", F.lit(True))
+    rows = rows.join(gone.hint("shuffle_hash"), "session_id", "left")  # of the sessions above only
+    if latency:
+        rtt = facts(tables, "rtts", where, ["source_is_small"]).where(series.good_rtt()).groupBy("session_id").agg(*series.rtt_sums()).select("session_id", series.represent().alias("latency"))
+        rows = rows.join(rtt, "session_id", "left")
     return rows.withColumn("status", F.when((F.col("status") == "REQUESTONLY") & F.col("gone").isNotNull(), "TIMEOUT").otherwise(F.col("status"))).drop("gone")
 
 

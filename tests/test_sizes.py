@@ -81,3 +81,8 @@ def test_a_query_builds_the_rollup_that_it_reads(spark, folder, name, built):
 def test_stored_answers_of_all_rollups_equal_sql(spark, folder):
     for name in ("stored_flowcounts", "stored_dns", "stored_averagelatency_tag", "stored_topn_bytes_service", "stored_topn_latencies_source"):
         equal(spark, folder, name)
+
+
+def test_dns_rollups_read_no_round_trips(spark, folder):
+    assert "tail" not in plan(equal(spark, folder, "rollup_dns"), "optimizedPlan")
+    assert "tail" in plan(equal(spark, folder, "dns_servers"), "optimizedPlan")
